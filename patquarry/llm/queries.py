@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import sharding
+from patquarry.llm import bpe, sharding
 
 SHARDS = 40
 
@@ -13,9 +14,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_documents(spark, sf_dir), SHARDS)
 
 
-QUERIES = {"op4_sharding": op4_sharding}
+QUERIES = {"op3_bpe": op3_bpe, "op4_sharding": op4_sharding}
 ORACLES: dict[str, str] = {}
