@@ -17,12 +17,14 @@ import numpy as np
 import regex
 
 #: White space as the tokenizers library's patterns see it (a fixed value); Python's \\s has four more characters.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: A private-use character that parts chunks; texts that hold it take the slower way.
+_MARK = chr(0xE000)
 #: The published split patterns of the two byte-pair vocabularies (fixed values).
 WORD_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BYTE_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _ODD_FOR_SPLIT = re.compile("[\x1c-\x1f]")
-_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\t\x0b\x0c\r" + SPACE[4:] + _MARK + "]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Chunks kept for good by a worker, and how many more until those are dropped: these bound its memory.
 KEPT, YOUNG = 350_000, 100_000
@@ -123,7 +125,7 @@ class Encoder:
         # a space followed by other than space opens a chunk; a line end is one; other runs go through the pattern
         if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith(("\n\n", " ")) or _ODD_SPACE.search(text):
             return b"".join(map(self.memo.__getitem__, BYTE_PATTERN.findall(text)))
-        parts = text.replace(" ", " ").replace("\n", "\n").split("")
+        parts = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)
         return b"".join(map(self.memo.__getitem__, parts))
 
 
