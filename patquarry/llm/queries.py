@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import arrowstream, bpe, packing, scratch, sharding
+from patquarry.llm import arrowstream, bpe, minhash, packing, scratch, sharding
 
 SHARDS = 40
 
@@ -26,10 +26,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
+
+
 def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.folder(spark, "token-ids")
     return arrowstream.read(arrowstream.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op10_arrow": op10_arrow}
+QUERIES = {"op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
 ORACLES: dict[str, str] = {}
