@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import arrowstream, bpe, minhash, packing, scratch, sharding
+from patquarry.llm import arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding
 
 SHARDS = 40
 
@@ -14,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
 
@@ -35,5 +43,5 @@ def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowstream.read(arrowstream.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
+QUERIES = {"op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
 ORACLES: dict[str, str] = {}
