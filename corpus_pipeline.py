@@ -1,8 +1,58 @@
-"""The corpus pipeline; its stages follow."""
+"""A pipeline from raw documents to packed sequences.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a table. All but the last return the columns of ``docs``, whose
+every row they decide on; a driver may store each result and hand it to the next stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from patquarry.llm import minhash, packing, scratch, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled rows of ``docs``, scores below one half."""
+    network = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, network)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group whose sets of five-word shingles are 0.8 alike or more.
+
+    Rows without an id have no group and stay; of rows that repeat a kept id one stays.
+    """
+    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = scratch.table(kept, "kept-ids")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' places in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL cannot state a trained network or the packing; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

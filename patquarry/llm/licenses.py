@@ -32,7 +32,7 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "mpl": ("subject to the terms of the Mozilla Public License",),
     "reserved-notice": ("copyright all rights reserved by the author",),
 }
-THRESHOLD, WINDOW, STRIDE = 0.8, 64, 32
+THRESHOLD, WINDOW, STRIDE = 0.9, 64, 32
 #: Templates go to every task, so their number is bounded.
 MOST_TEMPLATES = 10_000
 

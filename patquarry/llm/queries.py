@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding
+from patquarry.llm import arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding, toxicity
 
 SHARDS = 40
 
@@ -14,6 +14,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    network = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(documents, network)
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
@@ -43,5 +49,5 @@ def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowstream.read(arrowstream.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
 ORACLES: dict[str, str] = {}
