@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding, toxicity
+from patquarry.llm import ann, arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding, toxicity, vectordup
 
 SHARDS = 40
 
@@ -40,6 +40,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op7_vectordup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(_embeddings(spark, sf_dir), threshold=0.9)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_embeddings(spark, sf_dir), every=100, k=10)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), size=3, percent=85)
 
@@ -49,5 +61,5 @@ def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowstream.read(arrowstream.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op7_vectordup": op7_vectordup, "op8_ann": op8_ann, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
+ORACLES: dict[str, str] = {"op7_vectordup": vectordup.ORACLE}

@@ -20,14 +20,17 @@ def prepare(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column whose lists are of one length as rows of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def dimension(df: DataFrame, column: str = "v") -> int:
-    """The one length of the vectors; raises if there are several. 0 for an empty table."""
-    low, high = df.agg(F.min(F.size(column)), F.max(F.size(column))).first()
+def raw(column: pa.Array, kind: str) -> np.ndarray:
+    """Binary values of one width as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def dimension(df: DataFrame, column: str = "v") -> tuple[int, int]:
+    """The number of vectors and their one length; raises if there are several lengths."""
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(F.size(column)), F.max(F.size(column))).first()
     if low != high:
         raise ValueError(f"vectors of {low} to {high} components cannot be compared")
-    return low or 0
+    return n, low or 0
