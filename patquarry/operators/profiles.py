@@ -60,11 +60,11 @@ def partners(rows: DataFrame) -> DataFrame:
 def designs(rows: DataFrame, limit: int | None = DESIGN_LIMIT) -> DataFrame:
     """Applicants with designs: how many, beside technical patents, when, and the earliest one."""
     df = one_per_patent(rows).withColumn("design", status.is_design(F.col("document_kind")))
-    year, tech_year = F.when("design", F.col("application_year")), F.when(~F.col("design"), F.col("application_year"))
+    tech_year = F.when(~F.col("design"), F.col("application_year"))
     first = F.min(F.when(F.col("design"), F.struct(F.coalesce("application_year", F.lit(9999)).alias("y"), "patent_id")))["patent_id"]
     year = F.when(F.col("design"), F.col("application_year"))
     out = df.groupBy(F.col("applicant_display_name").alias("applicant")).agg(
-        F.count_if("design").alias("design_count"), F.count_if(~F.col("design")).alias("tech_count"), F.min(year).alias("first_design_year"), F.max(year).alias("latest_design_year"),
+        F.count_if(F.col("design")).alias("design_count"), F.count_if(~F.col("design")).alias("tech_count"), F.min(year).alias("first_design_year"), F.max(year).alias("latest_design_year"),
         F.min(tech_year).alias("first_tech_year"), first.alias("representative_design_patent_id"),
     ).where("design_count > 0")
     out = out.withColumn("strategy_type", F.when(F.col("tech_count") > 0, "技術+設計").otherwise("只走設計")).withColumn("filing_order", filing_order(F.col("first_design_year"), F.col("first_tech_year")))
