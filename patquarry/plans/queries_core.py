@@ -34,7 +34,7 @@ query("P25_P27_hashes", "select doc_id, sha256(text) as digest, md5(source) as r
 query("P26_evidence", "select doc_id, case when length(text) > 120 then substr(text, 1, 120) || '...' else text end as evidence from documents")(lambda s, d: load(s, d, "documents").select("doc_id", text.truncate_evidence(F.col("text")).alias("evidence")))
 query("P8_dates", "select o_orderkey, o_orderdate::date::varchar as a, date_trunc('month', o_orderdate)::date::varchar as b, o_orderdate::date::varchar as c from orders")(
     lambda s, d: load(s, d, "orders").select(
-        "o_orderkey", text.parse_date(F.date_format("o_orderdate", "yyyyMMdd")).cast("string").alias("a"), text.parse_date(F.date_format("o_orderdate", "yyyyMM")).cast("string").alias("b"), text.parse_date(F.date_format("o_orderdate", "yyyy/M/d")).cast("string").alias("c")
+        "o_orderkey", text.parse_date(F.date_format("o_orderdate", "yyyyMMdd")).cast("string").alias("a"), text.parse_date(F.date_format("o_orderdate", "yyyyMM")).cast("string").alias("b"), text.parse_date(F.date_format("o_orderdate", "yyyy/MM/dd")).cast("string").alias("c")
     )
 )
 
