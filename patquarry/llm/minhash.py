@@ -3,9 +3,9 @@
 1. Rows with the same words form a class, named by its smallest id. A class has the set of its word shingles, a
    signature of minima and band keys of several minima each.
 2. Classes that share a band key form a bucket. In a first round each is paired with its bucket's hub, the smallest.
-   Two more rounds take, in buckets whose members are not yet in one component, pairs across components: first each
-   class's closest few, then all that the signatures leave possible. A pair counts in its first shared band only,
-   and a large bucket is dealt out in pairs of blocks. So copies never expand into all pairs.
+   A second round takes the buckets whose members are not yet in one component, and in them all pairs across
+   components, the most alike first, until they are joined or verified. A pair counts in its first shared band
+   only, a large bucket is dealt out in pairs of blocks, and only links that join components leave a task.
 3. Signatures are compared in batches. After each batch the posterior probability that the similarity reaches the
    threshold, from a uniform prior, decides: below ``miss`` the pair is dropped.
 4. Survivors are verified on the full sets, and connected components are taken of those that pass.
@@ -24,14 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from patquarry.llm import scratch
-from patquarry.llm.components import connected
+from patquarry.llm.components import Forest, connected
+from patquarry.llm.runs import grouped
 
 #: Bands of so many minima: a pair at similarity 0.85 shares no band with a chance of 7.7e-7.
 BANDS, ROWS = 24, 5
 #: Signature bytes and how many are compared in a batch; the posterior below which a pair is dropped.
 HASHES, BATCH, MISS = 128, 16, 1e-6
-#: Members of a bucket that meet in one task, and the closest ones that the second round takes.
-BLOCK, CLOSEST = 1024, 2
+#: Members of a bucket's block.
+BLOCK = 1024
 
 _random = np.random.default_rng(20240601)
 _A = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -183,14 +184,16 @@ def _verify(size: int, percent: int, most: int = 4096):
     return run
 
 
-def _across(threshold: float, closest: int | None):
-    """Pairs across components within sorted runs of (bucket, block pair); with ``closest``, the best few of each member."""
+def _across(threshold: float, size: int, percent: int):
+    """Verified links across components within runs of (bucket, block pair), those that join two of them only.
 
-    def pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    Pairs that the signatures leave possible are verified on the full sets, the most alike first; a pair whose
+    components a link of the run has joined already is skipped. So a run gives fewer links than it has members."""
+
+    def possible(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rep, label, sig, keys, hub, band, block = (rows[k] for k in ("rep", "label", "sig", "keys", "hub", "band", "block"))
-        n = len(rep)
-        one_block = block.min() == block.max()
-        best: dict[int, list[tuple[int, int]]] = {}
+        n, one_block = len(rep), block.min() == block.max()
+        found: list[tuple[np.ndarray, ...]] = []
         for start in range(0, n, 64):
             i, j = np.nonzero(np.ones((min(64, n - start), n), bool))
             i = i + start
@@ -199,59 +202,36 @@ def _across(threshold: float, closest: int | None):
             first = np.argmax(keys[i] == keys[j], 1) == band[0]  # each pair in its first shared band only
             i, j = i[first], j[first]
             live, matches = survivors(sig[i], sig[j], threshold)
-            i, j = i[live], j[live]
-            if closest is None:
-                yield rep[i], rep[j]
-                continue
-            for x, y, m in zip(i.tolist(), j.tolist(), matches.tolist(), strict=True):
-                for p, q in ((x, y), (y, x)):
-                    top = best.setdefault(p, [])
-                    if len(top) < closest or m > top[-1][0]:
-                        top.append((m, q))
-                        top.sort(key=lambda e: (-e[0], rep[e[1]]))
-                        del top[closest:]
-        if best:
-            p = np.array([k for k, v in best.items() for _ in v])
-            q = np.array([y for v in best.values() for _, y in v])
-            yield np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])
+            found.append((i[live], j[live], matches))
+        i, j, matches = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(-matches, kind="stable")
+        return i[order], j[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def runs(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()
-            if not table:
-                held = []
-                return
-            whole = table[0]
-            group = np.stack([whole.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)], 1)
-            cuts = [0, *(np.nonzero((group[1:] != group[:-1]).any(1))[0] + 1).tolist(), len(group)]
-            if not last:
-                held = [whole.slice(cuts[-2])]
-                cuts.pop()
-            else:
-                held = []
-            a, b = [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                part = whole.slice(s, e - s)
-                rows = {k: part.column(i).to_numpy(zero_copy_only=False) for k, i in (("block", 3), ("rep", 4), ("label", 5), ("hub", 6), ("band", 7))}
-                if rows["label"].min() == rows["label"].max():
+        expand = zstandard.ZstdDecompressor()
+        for part in grouped(batches, 3):
+            rows = {k: part.column(i).to_numpy(zero_copy_only=False) for k, i in (("block", 3), ("rep", 4), ("label", 5), ("hub", 6), ("band", 7))}
+            if rows["label"].min() == rows["label"].max():
+                continue
+            rows["sig"] = _fixed(part.column(8), HASHES, "u1")
+            rows["keys"] = _fixed(part.column(9), 4 * BANDS, "<u4")
+            i, j = possible(rows)
+            if not len(i):
+                continue
+            rep, label = rows["rep"].tolist(), rows["label"].tolist()
+            items: dict[int, np.ndarray] = {}
+            forest, links = Forest(), []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if forest.root(label[x]) == forest.root(label[y]):
                     continue
-                rows["sig"] = _fixed(part.column(8), HASHES, "u1")
-                rows["keys"] = _fixed(part.column(9), 4 * BANDS, "<u4")
-                for x, y in pairs(rows):
-                    a.append(x), b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from runs(False)
-        yield from runs(True)
+                for k in (x, y):
+                    if k not in items:
+                        items[k] = shingles(expand.decompress(part.column(10)[k].as_py()).split(), size)
+                if similar(items[x], items[y], percent):
+                    forest.join(label[x], label[y])
+                    links.append((rep[x], rep[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     return run
 
@@ -278,39 +258,32 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     member = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     buckets = scratch.table(member.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("last")).where("n > 1 and hub != last").drop("last"), "buckets")
     member = scratch.table(member.join(buckets, ["bucket", "band"]), "bucket-members")
-    sigs = scratch.table(classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "sig", "bands", "key"), "bucket-signatures")
+    short = F.transform("bands", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    keys = F.to_binary(F.array_join(short, ""), F.lit("hex"))  # 32 bits of each band key
+    of = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "key", "sig", keys.alias("keys"))
     packed = rows.where("doc_id is not null").mapInArrow(_packed, "doc_id long, key binary, packed binary")
-    of = sigs.select(F.col("rep").alias("doc_id"), "key")
-    packed = scratch.table(packed.join(of, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("rep"), "packed"), "bucket-words")
+    packed = packed.join(of, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    packed = scratch.table(packed.select(F.col("doc_id").alias("rep"), "sig", "keys", "packed"), "bucket-words")
 
-    def attach(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        left = table.select(F.col("rep").alias("a"), F.col(value).alias("x"))
-        right = table.select(F.col("rep").alias("b"), F.col(value).alias("y"))
+    def attach(pairs: DataFrame, value: str) -> DataFrame:
+        left = packed.select(F.col("rep").alias("a"), F.col(value).alias("x"))
+        right = packed.select(F.col("rep").alias("b"), F.col(value).alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.table(attach(pairs, packed, "packed").mapInArrow(_verify(size, percent), "a long, b long").distinct(), name)
-
     hubs = member.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    hubs = scratch.table(attach(hubs, sigs, "sig").mapInArrow(_prune(threshold), "a long, b long"), "hub-pairs")
-    links = verified(hubs, "hub-links")
+    hubs = scratch.table(attach(hubs, "sig").mapInArrow(_prune(threshold), "a long, b long").distinct(), "hub-pairs")
+    links = scratch.table(attach(hubs, "packed").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "hub-links")
     components = connected(links)
-    short = F.transform("bands", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    keys = F.to_binary(F.array_join(short, ""), F.lit("hex"))  # 32 bits of each band key
-    for closest in (CLOSEST, None):
-        labelled = member.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        labelled = scratch.table(labelled, "labelled")
-        open_ = labelled.groupBy("bucket", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "band")
-        some = labelled.where("n > 2").join(open_, ["bucket", "band"], "left_semi")
-        some = some.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        some = some.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        some = some.join(sigs.select("rep", "sig", keys.alias("keys")), "rep")
-        some = some.select("bucket", "i", "j", "block", "rep", "label", "hub", "band", "sig", "keys")
-        dealt = some.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-        pairs = scratch.table(dealt.mapInArrow(_across(threshold, closest), "a long, b long").distinct(), "block-pairs")
-        links = links.unionByName(verified(pairs, "block-links"))
-        components = connected(links.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    labelled = member.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    labelled = scratch.table(labelled, "labelled")
+    open_ = labelled.groupBy("bucket", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "band")
+    some = labelled.join(open_, ["bucket", "band"], "left_semi")
+    some = some.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    some = some.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(packed, "rep")
+    dealt = some.select("bucket", "i", "j", "block", "rep", "label", "hub", "band", "sig", "keys", "packed").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    more = scratch.table(dealt.mapInArrow(_across(threshold, size, percent), "a long, b long"), "block-links")
+    components = connected(more.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of = classes.select("key", F.col("rep").alias("node")).join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return described.select("doc_id", "n_shingles", "key").join(of, "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
