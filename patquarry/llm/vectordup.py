@@ -124,10 +124,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
 #: The same rows by comparing all pairs; for small tables.
 ORACLE = """
 with recursive g as (
-  select vec_id, list_transform(embedding, x -> x::double) as v from embeddings
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
 ), ok as (
   select vec_id, v, sqrt(list_dot_product(v, v)) as norm from g
-  where v is not null and len(v) > 0 and not list_bool_or(list_transform(v, x -> x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(v, x -> x != 0))
+  where v is not null and len(v) > 0 and not list_bool_or(list_transform(v, lambda x: x is null or isnan(x) or isinf(x))) and list_bool_or(list_transform(v, lambda x: x != 0))
 ), links as (
   select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id != b.vec_id and list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
 ), reach(node, other) as (
