@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, functions as F
 
 from patquarry.functions.text import leading_year
 from patquarry.plans.companies import converge, expand_applicants, group_names
 
 
-def patent_base(patents: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Patents with the three display names and the year of grant."""
-    df = converge(patents, aliases, "applicant_std", "applicant_raw", "applicant_code", "applicant_display_name")
-    df = converge(df, aliases, "owner_std", "owner_raw", "owner_code", "current_assignee_display_name")
-    df = converge(df, aliases, "assignee_raw", "assignee_raw", None, "recent_assignee_display_name")
+#: Display names and the columns that they converge: standardised, raw, code.
+NAMES = {
+    "applicant_display_name": ("applicant_std", "applicant_raw", "applicant_code"),
+    "current_assignee_display_name": ("owner_std", "owner_raw", "owner_code"),
+    "recent_assignee_display_name": ("assignee_raw", "assignee_raw", None),
+}
+
+
+def patent_base(patents: DataFrame, aliases: DataFrame, names: Collection[str] = tuple(NAMES)) -> DataFrame:
+    """Patents with the year of grant and the display names asked for; each name costs joins that a plan cannot drop."""
+    df = patents
+    for name, columns in NAMES.items():
+        if name in names:
+            df = converge(df, aliases, *columns, name)
     return df.withColumn("grant_year", leading_year(F.col("grant_date_text")))
 
 
-def applicant_expanded(patents: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The base by applicant, with the converged name of the recent assignee."""
-    df = converge(patents, aliases, "assignee_raw", "assignee_raw", None, "recent_assignee_display_name")
+def applicant_expanded(patents: DataFrame, aliases: DataFrame, names: Collection[str] = tuple(NAMES)) -> DataFrame:
+    """The base by applicant, with the converged name of the recent assignee if asked for."""
+    recent = "recent_assignee_display_name"
+    df = converge(patents, aliases, *NAMES[recent], recent) if recent in names else patents
     return expand_applicants(df, aliases)
 
 

@@ -13,7 +13,8 @@ from patquarry.sources.projection import as_sql, project, with_tables
 
 def _report(name, ids=None, filters=None, scope="company", **more):  # noqa: ANN001, ANN202
     def run(spark, d):  # noqa: ANN001, ANN202
-        return reports.run_report(t.sources(spark, d, scope), name, filters=filters, patent_ids=ids, aliases=t.aliases(spark, d), **more)
+        names = reports.columns_of(reports.REPORTS[name], filters)
+        return reports.run_report(t.sources(spark, d, scope, names), name, filters=filters, patent_ids=ids, aliases=t.aliases(spark, d), **more)
 
     return run
 
@@ -108,7 +109,7 @@ query("J11_J2_alias_match", _with(t.NAMES_SQL, f"select p.patent_id, n.alias_nam
 # shapes of report rows
 _YEARS = list(range(1992, 2002))
 query("W12_pivot_year", _with(t.EXPANDED_SQL, f"select applicant_display_name, {', '.join(f'nullif(count(*) filter (application_year = {y}), 0) as {chr(34)}{y}{chr(34)}' for y in _YEARS)}, count(*)::bigint as total from expanded where trim(applicant_display_name) != '' and application_year is not null group by 1"))(
-    lambda s, d: pivots.by_year(reports.run_report(t.sources(s, d), "applicant_year_matrix"), "applicant_display_name", _YEARS)
+    lambda s, d: pivots.by_year(_report("applicant_year_matrix")(s, d), "applicant_display_name", _YEARS)
 )
 _OFFICES = ["US", "EP", "JP", "CN"]
 _CELLS = ", ".join(f"nullif(count(*) filter (country_code = '{c}'), 0) as {c}" for c in _OFFICES)
@@ -120,13 +121,13 @@ select country_code, count(*) filter (s = 'alive') as granted, count(*) filter (
     lambda s, d: pivots.by_status(t.patents(s, d).where(text.is_filled(F.col("country_code"))).groupBy("country_code", "legal_status").agg(F.count(F.lit(1)).alias("patent_count")))
 )
 query("W15_year_summary", _with(t.EXPANDED_SQL, "select applicant_display_name, count(*) as patents, min(application_year) as first_year, max(application_year) as last_year, max(application_year) - min(application_year) + 1 as span, count(distinct application_year) as active_years from expanded where trim(applicant_display_name) != '' and application_year is not null group by 1"))(
-    lambda s, d: pivots.year_summary(reports.run_report(t.sources(s, d), "applicant_year_matrix"))
+    lambda s, d: pivots.year_summary(_report("applicant_year_matrix")(s, d))
 )
 query("W16_segments", f"select applicant_display_name, greatest(patent_count - joint_count, 0) as solo_count, joint_count, least(solo_transferred_count, greatest(patent_count - joint_count, 0)) as solo_transferred, least(joint_transferred_count, joint_count) as joint_transferred from ({RANKING_SQL})")(
     lambda s, d: pivots.segments(_report("applicant_ranking")(s, d))
 )
 query("AG20_class_collapse", with_tables(f", r as (select upper(regexp_replace(ipc_main, '[^A-Za-z0-9]', '', 'g')) as c from patents where {_CODES.format('ipc_main')}) select substr(c, 1, 4) as key, count(*) as patent_count from r group by 1", "patents"))(
-    lambda s, d: pivots.collapse(reports.run_report(t.sources(s, d), "ipc_main_distribution"), text.classification_level(F.col("ipc_main"), 4))
+    lambda s, d: pivots.collapse(_report("ipc_main_distribution")(s, d), text.classification_level(F.col("ipc_main"), 4))
 )
 query("J14_full_years", _with(t.BASE_SQL, "select coalesce(a.y, g.y) as year, coalesce(a.n, 0) as applications, coalesce(g.n, 0) as grants from (select application_year as y, count(*) as n from base where application_year is not null group by 1) a full join (select grant_year as y, count(*) as n from base where grant_year is not null group by 1) g on a.y = g.y"))(
     lambda s, d: pivots.full_years(_report("application_trend")(s, d), _report("publication_trend")(s, d))

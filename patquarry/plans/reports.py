@@ -71,6 +71,11 @@ REPORTS: dict[str, ReportSpec] = {
 }
 
 
+def columns_of(spec: ReportSpec, filters: Mapping[str, Any] | None = None) -> set[str]:
+    """Every column that a report reads."""
+    return {*spec.columns, *spec.filled, *(c for a in spec.aggregates for c in (a[1], *a[3:])), *(c for c, _ in spec.patterns), *(filters or {})}
+
+
 def predicate(spec: ReportSpec, filters: Mapping[str, Any] | None, df: DataFrame) -> Column:
     """Typed filters: a scalar equals, a list is one of (none matches an empty list), a mapping has from, to or values."""
     parts: list[Column] = [F.lit(True)]

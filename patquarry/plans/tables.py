@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 
 from patquarry.plans import base, companies, family
@@ -28,11 +30,12 @@ def families(spark: SparkSession, d: str) -> DataFrame:
     return family.by_country(patents(spark, d))
 
 
-def sources(spark: SparkSession, d: str, scope: str = "company") -> dict[str, DataFrame]:
-    """The tables that reports read; in the group scope with groups' names."""
+def sources(spark: SparkSession, d: str, scope: str = "company", names: Collection[str] = tuple(base.NAMES)) -> dict[str, DataFrame]:
+    """The tables that reports read, with the display names asked for; in the group scope with groups' names."""
     if scope not in ("company", "group"):
         raise ValueError(f"unknown scope {scope}")
-    found = {"base": base_table(spark, d), "expanded": expanded(spark, d), "family_country": families(spark, d)}
+    p, a = patents(spark, d), aliases(spark, d)
+    found = {"base": base.patent_base(p, a, names), "expanded": base.applicant_expanded(p, a, names), "family_country": family.by_country(p)}
     if scope == "group":
         groups = project(spark, d, "company_groups")
         found |= {k: base.with_groups(found[k], groups) for k in ("base", "expanded")}
