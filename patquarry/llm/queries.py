@@ -62,4 +62,4 @@ def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op7_vectordup": op7_vectordup, "op8_ann": op8_ann, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
-ORACLES: dict[str, str] = {"op7_vectordup": vectordup.ORACLE}
+ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE % {"n": SHARDS}, "op7_vectordup": vectordup.ORACLE, "op9_minhash": minhash.ORACLE}

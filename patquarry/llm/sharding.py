@@ -78,7 +78,7 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     )
 
 
-#: The same rows from standard SQL; %d is the number of shards.
+#: The same rows from SQL, checksum and generator included; ``n`` is the number of shards.
 ORACLE = """
 with recursive docs as (
   select doc_id, coalesce(text, '') as text, row_number() over () as r from documents
@@ -90,8 +90,16 @@ with recursive docs as (
 ), ends as (
   select r, n, b from jumps where j >= n
 ), rows as (
-  select d.doc_id, (octet_length(encode(d.text)) + 16)::bigint as size, d.text, a.b::int as shard, g.b::int as grown_shard
+  select d.r, d.doc_id, (octet_length(encode(d.text)) + 16)::bigint as size, a.b::int as shard, g.b::int as grown_shard
   from docs d join ends a on a.r = d.r and a.n = %(n)d join ends g on g.r = d.r and g.n = %(n)d + 1
+), crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c from (select unnest(range(256)) as i)
+  )
+), bytes as (
+  select r, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: (instr('0123456789ABCDEF', p[1]) - 1) * 16 + instr('0123456789ABCDEF', p[2]) - 1) as b from docs
+), sums as (
+  select r, xor(list_reduce(list_concat([4294967295::bigint], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) as text_crc32 from bytes, crc
 )
-select doc_id, size, shard, grown_shard, 'key' as law, row_number() over (partition by shard order by doc_id) - 1 as slot from rows
+select doc_id, size, text_crc32, shard, grown_shard, 'key' as law, row_number() over (partition by shard order by doc_id) - 1 as slot from rows join sums using (r)
 """

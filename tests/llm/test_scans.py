@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from patquarry.llm import licenses, secrets, sharding, toxicity
-from tests.compare import DATA, connect
+from tests.compare import assert_same
 
 
 def test_sharding(spark, odd, empty):
@@ -34,10 +34,9 @@ def test_sharding(spark, odd, empty):
 
 
 def test_sharding_equals_sql(spark):
-    got = sharding.assign(spark.read.parquet(f"{DATA}/documents.parquet"), 40).drop("text_crc32").toPandas().sort_values("doc_id").reset_index(drop=True)
-    want = connect().sql(sharding.ORACLE % {"n": 40}).df().sort_values("doc_id").reset_index(drop=True)
-    for c in ("doc_id", "size", "law", "shard", "slot", "grown_shard"):
-        assert (got[c] == want[c]).all()
+    from patquarry.llm import queries
+
+    assert_same(queries.QUERIES["op4_sharding"], queries.ORACLES["op4_sharding"], spark)
 
 
 def test_secrets(spark, odd, empty):
