@@ -140,3 +140,11 @@ def merge_people(**columns: Column) -> Column:
     rows = F.transform(zipped, lambda x, i: F.struct((i + 1).alias("sequence"), *[x[k].alias(k) for k in columns]))
     some = lambda x: F.greatest(*[F.coalesce(x[k] != "", F.lit(False)).cast("int") for k in columns], F.lit(0)) == 1
     return F.filter(rows, some)
+
+
+def resolve_number(country: Column, *numbers: Column) -> Column:
+    """The first filled number, as the country writes it, after the two letters of the country; raises without one."""
+    first = F.coalesce(*[transform_number(country, n) for n in numbers])
+    code = F.upper(F.substring(F.trim(country), 1, 2))
+    full = F.when(F.upper(first).startswith(code), first).otherwise(F.concat(code, first))
+    return F.when(first.isNull(), F.raise_error(F.lit("a patent without a number"))).otherwise(F.coalesce(full, first))

@@ -92,3 +92,11 @@ def labels(words: DataFrame, topic: str = "topic") -> DataFrame:
     return words.where("rank <= 3").groupBy(topic).agg(text.alias("label")).withColumn("topic_code", F.format_string("T%03d", F.col(topic) + 1))
 
 
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """Of scored candidates one each from the low, middle and high third of the numbers of topics: the best, the smaller on a tie."""
+    w = Window.partitionBy(F.lit(0)).orderBy("k")  # a row a candidate
+    third = rows.withColumn("part", F.ntile(3).over(w))
+    best = F.row_number().over(Window.partitionBy("part").orderBy(F.col("score").desc(), "k"))
+    return third.withColumn("_nth", best).where("_nth = 1").drop("_nth")

@@ -151,3 +151,24 @@ def ranked_by_distance(assigned: DataFrame, n: Column | int, farthest: bool = Fa
     order = [F.coalesce("distance", F.lit(0.0)).desc(), F.col("patent_id").desc()] if farthest else [F.col("distance").asc_nulls_last(), F.col("patent_id")]
     rank = F.row_number().over(Window.partitionBy("channel", "topic_code").orderBy(*order))
     return assigned.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def merge(topics: DataFrame, assigned: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The topics and assignments of a new run after a merge; nothing of the old run changes.
+
+    ``sources``: channel, topic_code, merged_into. Merged topics stay, marked, with their pointer; their patents move to
+    the end of the pointers, so a merge can be undone by leaving it out."""
+    marked = topics.join(sources, ["channel", "topic_code"], "left").withColumn("status", F.when(F.col("merged_into").isNotNull(), "merged").otherwise("active"))
+    moved = assigned.join(resolve_merges(marked), ["channel", "topic_code"], "left").withColumn("topic_code", F.coalesce("target", "topic_code")).drop("target")
+    return marked, moved
+
+
+def closest_topics(centers: DataFrame, most: int = 5) -> DataFrame:
+    """Pairs of topics of a channel whose centers are nearest: suggestions to merge. A row a topic comes in.
+
+    ``centers``: channel, topic_code, center."""
+    other = centers.select("channel", F.col("topic_code").alias("other"), F.col("center").alias("_other"))
+    far = F.sqrt(F.aggregate(F.zip_with("center", "_other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    rows = centers.join(other, "channel").where("topic_code < other").withColumn("distance", far)
+    rank = F.row_number().over(Window.partitionBy("channel").orderBy("distance", "topic_code", "other"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("channel", "topic_code", "other", "distance")

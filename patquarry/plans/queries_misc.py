@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patquarry.functions import status, text
-from patquarry.operators import claims, clustering, misc, profiles, topics
-from patquarry.plans import adhoc, tables as t
+from patquarry.operators import actions, claims, clustering, misc, profiles, topics
+from patquarry.plans import adhoc, family, tables as t
 from patquarry.plans.catalog import query
 from patquarry.plans.queries_core import _claims
 from patquarry.plans.queries_topics import _LATEST, _latest
@@ -106,3 +106,51 @@ query("T13_score", "select k, coherence, diversity, balance, small, round(0.4 *
 query("W2_latest_labels", with_tables(" select channel, topic_code, max(run_id) as run_id from assignments group by 1, 2", "assignments"))(
     lambda s, d: topics.latest_by(project(s, d, "assignments").select("channel", "topic_code", "run_id"), ["channel", "topic_code"], F.col("run_id").desc())
 )
+
+
+# scalars that work on lists, over text made from each patent
+_PEOPLE = "concat(applicant_raw, '; ', coalesce(assignee_raw, ''), ' ； Extra')"
+query("P1_P5_P7_lists", with_tables(""" select patent_id, regexp_replace(trim(applicant_raw), '\\s+', ' ', 'g') as clean_name,
+  (select count(*) from (select unnest(regexp_split_to_array(applicant_raw || '; ' || coalesce(assignee_raw, '') || ' ； Extra', '[;；|]+')) as x) where trim(x) != '') as people,
+  (select count(*) from (select unnest(regexp_split_to_array(ipc_main || ',' || cpc_main, '[,;|]+')) as x) where trim(x) != '') as classes from patents""", "patents"))(
+    lambda s, d: t.patents(s, d).select(
+        "patent_id", F.coalesce(text.clean_text(F.col("applicant_raw")), F.lit("")).alias("clean_name"), F.size(text.split_people(F.expr(_PEOPLE))).cast("long").alias("people"),
+        F.size(text.split_classifications(F.concat("ipc_main", F.lit(","), "cpc_main"))).cast("long").alias("classes"),
+    )
+)
+query("P6_people", with_tables(""", c as (select patent_id, list_filter(list_transform(string_split(applicant_raw, '|'), lambda x: trim(x)), lambda x: x != '') as a, list_filter(list_transform(string_split(coalesce(assignee_raw, ''), '|'), lambda x: trim(x)), lambda x: x != '') as b from patents)
+select patent_id, i::int as sequence, a[i] as applicant, b[i] as assignee from c, unnest(range(1, greatest(len(a), len(b)) + 1)) as u(i)""", "patents"))(
+    lambda s, d: t.patents(s, d).select("patent_id", F.inline(text.merge_people(applicant=text.split_multi_value(F.col("applicant_raw")), assignee=text.split_multi_value(F.col("assignee_raw")))))
+)
+query("P11_registered", with_tables(" select patent_id, case legal_status when '审查中' then 'pending' when '授权' then 'alive' else 'unknown' end as state from patents", "patents"))(lambda s, d: t.patents(s, d).select("patent_id", status.normalize_registered(status.display(F.col("legal_status"))).alias("state")))
+query("P16_family_counts", with_tables(" select patent_id, upper(regexp_extract(trim(x), '^([A-Za-z]+)\\s*-\\s*(\\d+)$', 1)) as bucket, sum(regexp_extract(trim(x), '^([A-Za-z]+)\\s*-\\s*(\\d+)$', 2)::int)::bigint as n from (select patent_id, unnest(string_split(family_counts_raw, '|')) as x from patents) where regexp_matches(trim(x), '^([A-Za-z]+)\\s*-\\s*(\\d+)$') group by 1, 2", "patents"))(
+    lambda s, d: t.patents(s, d).select("patent_id", F.explode(family.family_counts(F.col("family_counts_raw"))).alias("c")).where("c.bucket is not null").groupBy("patent_id", F.upper("c.bucket").alias("bucket")).agg(F.sum("c.n").alias("n"))
+)
+query("P24_numbers", with_tables(" select patent_id, case when country_code = 'TW' then 'TW' || coalesce(nullif(trim(grant_no), ''), lpad((substr(application_no, 1, 4)::int - 1911)::varchar, 3, '0') || substr(application_no, 5)) else trim(country_code) || coalesce(nullif(trim(grant_no), ''), application_no) end as number from patents", "patents"))(
+    lambda s, d: t.patents(s, d).select("patent_id", text.resolve_number(F.col("country_code"), F.col("grant_no"), F.col("application_no")).alias("number"))
+)
+query("C8_citations", with_tables(" select patent_id as ref, 'country' as field, case when patent_id % 3 = 0 then 'differs' when patent_id % 5 = 0 then 'missing' else 'ok' end as verdict from patents where patent_id % 3 = 0 or patent_id % 5 = 0 or patent_id % 7 = 0", "patents"))(
+    lambda s, d: actions.check_citations(
+        t.patents(s, d).where("patent_id % 3 = 0 or patent_id % 5 = 0 or patent_id % 7 = 0").select(F.col("patent_id").alias("ref"), F.lit("country").alias("field"), F.when(F.col("patent_id") % 3 == 0, "??").otherwise(F.col("country_code")).alias("value")),
+        t.patents(s, d).where("patent_id % 5 != 0 or patent_id % 3 = 0").select(F.col("patent_id").alias("ref"), F.lit("country").alias("field"), F.col("country_code").alias("found")),
+    ).select("ref", "field", "verdict")
+)
+query("T18_merge", with_tables(f", {_LATEST} select channel, case when topic_code in ('T003', 'T004') then 'T001' else topic_code end as topic_code, count(*) as patents from latest group by 1, 2", "assignments"))(
+    lambda s, d: topics.merge(
+        _latest(s, d).select("channel", "topic_code").distinct(), _latest(s, d), _latest(s, d).select("channel", "topic_code").distinct().where("topic_code in ('T003', 'T004')").withColumn("merged_into", F.when(F.col("topic_code") == "T004", "T003").otherwise("T001"))
+    )[1].groupBy("channel", "topic_code").agg(F.count(F.lit(1)).alias("patents"))
+)
+query("T23_closest_topics", "with p as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as x from p group by 1, 2), c as (select label, list(x order by i) as c from m group by 1) select 'technical' as channel, a.label as topic_code, b.label as other, round(list_distance(a.c, b.c), 9) as distance from c a join c b on a.label < b.label order by list_distance(a.c, b.c), 2, 3 limit 5")(
+    lambda s, d: topics.closest_topics(_centers(s, d)).withColumn("distance", F.round("distance", 9))
+)
+
+
+def _centers(s, d):  # noqa: ANN001, ANN202
+    parts = load(s, d, "embeddings").select(F.col("label").alias("topic_code"), F.posexplode("embedding").alias("at", "x")).groupBy("topic_code", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    center = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"])
+    return parts.groupBy("topic_code").agg(center.alias("center")).withColumn("channel", F.lit("technical"))
+
+
+query("T14_profiles", "select 1::bigint as k, 1.0::double as score, 1::int as part union all select 3, 0.0, 2 union all select 6, 1.0, 3")(
+    lambda s, d: clustering.profiles(s.range(1, 7).select(F.col("id").alias("k"), (F.abs(F.col("id") - 3.5) >= 2.5).cast("double").alias("score"))).select("k", "score", "part")
+)
