@@ -55,12 +55,15 @@ def windows(patents: DataFrame) -> DataFrame:
     )
 
 
-def _top3(rows: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    """Distinct applicants, the three with most patents and their shares in per cent of ``n``."""
-    counts = rows.groupBy(*keys, "applicant").agg(F.count_distinct("patent_id").alias("c"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("c").desc(), "applicant")))
-    top = ranked.where("r <= 3").groupBy(*keys).agg(F.sum("c").alias(f"top3{suffix}"), F.max("c").alias(f"top1{suffix}"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "applicant", "c"))), lambda x: F.concat(x["applicant"], F.lit(" "), x["c"].cast("string"))), "; ").alias(f"top_applicants{suffix}"))
-    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"applicants{suffix}")).join(top, keys)
+def _leaders(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of all, the recent and the early patents: distinct applicants and the sum of the three with most; counted once for all three."""
+    parts = {"": F.lit(True), "_recent": F.col("recent"), "_early": F.col("early")}
+    counts = rows.groupBy(*keys, "applicant").agg(*[F.count_if(c).alias(f"c{s}") for s, c in parts.items()])
+    for s in parts:
+        counts = counts.withColumn(f"r{s}", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(f"c{s}").desc(), "applicant")))
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "applicant", "c")))), lambda x: F.concat(x["applicant"], F.lit(" "), x["c"].cast("string")))
+    sums = [x for s in parts for x in (F.count_if(F.col(f"c{s}") > 0).alias(f"applicants{s}"), F.sum(F.when(F.col(f"r{s}") <= 3, F.col(f"c{s}"))).alias(f"top3{s}"))]
+    return counts.groupBy(*keys).agg(*sums, F.max("c").alias("top1"), F.array_join(named, "; ").alias("top_applicants"))
 
 
 def topic_table(assigned: DataFrame, applicants: DataFrame, patents: DataFrame) -> DataFrame:
@@ -78,8 +81,7 @@ def topic_table(assigned: DataFrame, applicants: DataFrame, patents: DataFrame)
         state(status.PENDING).alias("pending_count"), state(status.ALIVE).alias("granted_count"), state(status.DEAD).alias("inactive_count"), state(status.UNKNOWN).alias("unknown_status_count"),
     )
     named = rows.join(applicants.select("patent_id", "applicant").distinct(), "patent_id")
-    for part, suffix in ((named, ""), (named.where("recent"), "_recent"), (named.where("early"), "_early")):
-        base = base.join(_top3(part, keys, suffix), keys, "left")
+    base = base.join(_leaders(named, keys), keys, "left")
     share = lambda part, whole: F.bround(F.coalesce(F.col(part), F.lit(0)) / F.col(whole) * 100, 1)
     per = Window.partitionBy("channel")
     out = base.select(
