@@ -27,7 +27,7 @@ _ODD_FOR_SPLIT = re.compile("[\x1c-\x1f]")
 _ODD_SPACE = re.compile("[\t\x0b\x0c\r" + SPACE[4:] + _MARK + "]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Chunks kept for good by a worker, and how many more until those are dropped: these bound its memory.
-KEPT, YOUNG = 350_000, 100_000
+KEPT, YOUNG = 250_000, 75_000
 
 
 def byte_letters() -> list[str]:

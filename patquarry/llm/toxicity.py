@@ -24,12 +24,12 @@ HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 12, 16_384
 #: Stands for no word where a text ends within a window.
 PAD = b"\n"
 #: The bounds of training: rows of each label (taken by a hash of the id), words read of each, vocabulary, epochs.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_WORDS, VOCABULARY, EPOCHS = 2000, 4000, 3000, 8192, 8
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_WORDS, VOCABULARY, EPOCHS = 2000, 4000, 1500, 8192, 8
 #: The optimizer's step, and how often a word's embedding is hidden in training.
 RATE, DROP = 0.015, 0.4
 #: Words whose inputs a worker keeps; it starts anew beyond that. Words, and windows, scored
 #: together.
-KEPT, TOGETHER, CHUNK = 200_000, 400_000, 2048
+KEPT, TOGETHER, CHUNK = 120_000, 150_000, 2048
 
 
 def grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +237,7 @@ def train(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 11) ->
     rows = net.rows(known)
 
     def cut(t: list[bytes]) -> np.ndarray:
-        ids = np.zeros(blocks(len(t)) * STRIDE, np.int64)
+        ids = np.zeros(blocks(len(t)) * STRIDE, np.int32)
         ids[: len(t)] = [of[w] for w in t]
         at = np.arange(0, len(ids) - STRIDE, STRIDE)
         return ids[at[:, None] + np.arange(WINDOW)]
@@ -249,11 +249,15 @@ def train(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 11) ->
         offered = [np.arange(len(w)) if y or len(w) <= 10 else r.choice(len(w), 10, replace=False) for w, y in texts]
         flat = np.concatenate([w[s] for (w, _), s in zip(texts, offered, strict=True)])
         if epoch:
-            gates = net.gates(net.inputs(known, rows))
+            gates = {way: np.empty((len(known), 3 * HIDDEN), np.float32) for way in "fb"}
+            for i in range(0, len(known), 16_384):  # bounds the memory of the words' characters
+                for way, g in net.gates(net.inputs(known[i : i + 16_384], rows[i : i + 16_384])).items():
+                    gates[way][i : i + 16_384] = g
             logit = lambda part: net.run(lambda way, t: np.ascontiguousarray(gates[way][part[:, t]].T), len(part))  # noqa: E731, B023
             value = np.concatenate([logit(flat[i : i + CHUNK]) for i in range(0, len(flat), CHUNK)])
         else:
-            value = odds[flat].max(1) + odds[flat].clip(0).sum(1) / WINDOW
+            parts = (odds[flat[i : i + CHUNK]] for i in range(0, len(flat), CHUNK))
+            value = np.concatenate([x.max(1) + x.clip(0).sum(1) / WINDOW for x in parts])
         index, labels, at = [], [], 0
         for (w, y), some in zip(texts, offered, strict=True):
             picks = [some[int(np.argmax(value[at : at + len(some)]))]]
@@ -297,10 +301,14 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     some = [marked.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*by_hash).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = df.sparkSession.createDataFrame([(r.doc_id, r.y) for part in some for r in part.collect()], "doc_id long, y int")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.substring(F.col(text), 1, 16 * TRAIN_WORDS).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
-    taken: dict[int, tuple[int, str]] = {r.doc_id: (r.y, r.text) for r in rows.collect()}  # bounded by the sample
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    taken: dict[int, tuple[int, list[bytes]]] = {}
+    for r in rows.toLocalIterator():  # bounded by the sample
+        taken[r.doc_id] = (r.y, [one.setdefault(w, w) for w in words(r.text)[:TRAIN_WORDS]])
     parts: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for _, (y, x) in sorted(taken.items()):
-        parts[1 if y else 0].append(words(x)[:TRAIN_WORDS])
+    for _, (y, tokens) in sorted(taken.items(), key=lambda e: e[0]):
+        parts[1 if y else 0].append(tokens)
+    del taken, one
     return train(parts[1], parts[0])
 
 
