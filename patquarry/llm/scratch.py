@@ -18,7 +18,7 @@ _own: dict[str, str] = {}
 def base(spark: SparkSession) -> str:
     """The shared folder of this application."""
     app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         shared = _own.setdefault(app, tempfile.mkdtemp(prefix="patquarry-"))
     return f"{shared.rstrip('/')}/patquarry-{app}"

@@ -300,10 +300,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marked.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*by_hash).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = df.sparkSession.createDataFrame([(r.doc_id, r.y) for part in some for r in part.collect()], "doc_id long, y int")
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.substring(F.col(text), 1, 16 * TRAIN_WORDS).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.substring(F.col(text), 1, 16 * TRAIN_WORDS).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id").repartition(16, "doc_id")
     one: dict[bytes, bytes] = {}  # equal words are one object
     taken: dict[int, tuple[int, list[bytes]]] = {}
-    for r in rows.toLocalIterator():  # bounded by the sample
+    for r in rows.toLocalIterator():  # bounded by the sample, a part at a time
         taken[r.doc_id] = (r.y, [one.setdefault(w, w) for w in words(r.text)[:TRAIN_WORDS]])
     parts: dict[int, list[list[bytes]]] = {0: [], 1: []}
     for _, (y, tokens) in sorted(taken.items(), key=lambda e: e[0]):
