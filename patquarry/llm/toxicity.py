@@ -17,14 +17,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from patquarry.llm import scratch
 from patquarry.llm.licenses import words
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 12, 16_384
 #: Stands for no word where a text ends within a window.
 PAD = b"\n"
-#: The bounds of training: rows of each label (taken by a hash of the id), words read of each, vocabulary, epochs.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_WORDS, VOCABULARY, EPOCHS = 2000, 4000, 1500, 8192, 8
+#: The bounds of training: rows of each label (taken by a hash of the id), characters of each label's rows together,
+#: vocabulary, epochs.
+TOXIC_ROWS, CLEAN_ROWS, TOXIC_CHARS, CLEAN_CHARS, VOCABULARY, EPOCHS = 2000, 4000, 12_000_000, 24_000_000, 8192, 8
 #: The optimizer's step, and how often a word's embedding is hidden in training.
 RATE, DROP = 0.015, 0.4
 #: Words whose inputs a worker keeps; it starts anew beyond that. Words, and windows, scored
@@ -290,24 +292,33 @@ def held_out(key: F.Column) -> F.Column:
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
-    """Train on a bounded sample of labelled rows outside the held-out fifth.
+    """Train on a bounded sample of labelled rows outside the held-out fifth, each read whole.
 
-    Of each label the rows with the smallest hashes of their ids are taken, ``TOXIC_ROWS`` and ``CLEAN_ROWS`` at most, and
-    the first ``TRAIN_WORDS`` words of each are read. Null ids, labels and texts are left out. With rows of one label
-    only, or none, the network is a constant.
+    Of each label the rows with the smallest hashes of their ids are taken, ``TOXIC_ROWS`` and ``CLEAN_ROWS`` at most; one
+    that would exceed ``TOXIC_CHARS`` or ``CLEAN_CHARS`` with those before it is passed over. Null ids, labels and texts are
+    left out; of texts that repeat an id the smallest counts. With rows of one label only, or none, the network is a
+    constant.
     """
+    spark = df.sparkSession
     marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marked.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*by_hash).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    ids = df.sparkSession.createDataFrame([(r.doc_id, r.y) for part in some for r in part.collect()], "doc_id long, y int")
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.substring(F.col(text), 1, 16 * TRAIN_WORDS).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id").repartition(16, "doc_id")
+    label_of = {r.doc_id: r.y for part in some for r in part.collect()}  # bounded, in the order of the hashes
+    ids = spark.createDataFrame([(i,) for i in label_of], "doc_id long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = scratch.table(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "labelled-texts")
+    size = {r.doc_id: r.n for r in rows.select("doc_id", F.length("text").alias("n")).collect()}  # a row an id of the sample
+    left, chosen = {1: TOXIC_CHARS, 0: CLEAN_CHARS}, []
+    for i, y in label_of.items():
+        if size.get(i, left[y] + 1) <= left[y]:
+            left[y] -= size[i]
+            chosen.append((i,))
+    rows = rows.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
     one: dict[bytes, bytes] = {}  # equal words are one object
-    taken: dict[int, tuple[int, list[bytes]]] = {}
-    for r in rows.toLocalIterator():  # bounded by the sample, a part at a time
-        taken[r.doc_id] = (r.y, [one.setdefault(w, w) for w in words(r.text)[:TRAIN_WORDS]])
+    taken = {r.doc_id: [one.setdefault(w, w) for w in words(r.text)] for r in rows.toLocalIterator()}  # bounded by the sample
     parts: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for _, (y, tokens) in sorted(taken.items(), key=lambda e: e[0]):
-        parts[1 if y else 0].append(tokens)
+    for i in sorted(taken):
+        parts[label_of[i]].append(taken[i])
     del taken, one
     return train(parts[1], parts[0])
 
