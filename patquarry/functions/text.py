@@ -114,7 +114,7 @@ def display_number(*columns: Column) -> Column:
 def classification_level(c: Column, level: Column | int) -> Column:
     """From level 5 on the text before the slash, else the first so many letters and digits."""
     level = F.lit(level) if isinstance(level, int) else level
-    return F.when(level >= 5, F.trim(F.substring_index(c, "/", 1))).otherwise(F.substring(F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", "")), F.lit(1), level))
+    return F.when(level >= 5, F.trim(F.substring_index(c, "/", 1))).otherwise(F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""), F.lit(1), level))
 
 
 def surrogate_family(family: Column, patent_id: Column) -> Column:

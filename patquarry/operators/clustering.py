@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from patquarry.functions.status import is_design
+from patquarry.functions.text import is_filled
+
 
 def ladder(n: int) -> tuple[int, ...]:
     """Numbers of topics to try for ``n`` documents; raises below 30."""
@@ -24,6 +27,15 @@ def ladder(n: int) -> tuple[int, ...]:
     return tuple(range(10, min(40, 15 + 5 * ((n - 100) // 100)) + 1, 5))
 
 
+def corpus(patents: DataFrame, vectors: DataFrame, text: str, members: DataFrame | None = None) -> DataFrame:
+    """What topics are found in: patents with text and a vector, the latest one, that are no designs, of a workspace if given."""
+    rows = patents.where(is_filled(F.col(text)) & ~is_design(F.col("document_kind")))
+    if members is not None:
+        rows = rows.join(members.select("patent_id"), "patent_id", "left_semi")
+    latest = vectors.groupBy("patent_id").agg(F.max(F.struct("created", "embedding_id", "vector")).alias("v"))
+    return rows.join(latest, "patent_id").select("patent_id", F.col(text).alias("text"), "v.embedding_id", "v.vector")
+
+
 @F.pandas_udf(StringType())
 def _unescape(x):  # noqa: ANN001, ANN202
     return x.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")

@@ -51,6 +51,11 @@ def key_players(rows: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
+def key_player_groups(rows: DataFrame, limit: int | None = LIMIT) -> DataFrame:
+    """The leading applicants in two parts: those with a trajectory over the years, and the rest."""
+    return key_players(rows, limit).withColumn("part", F.when(F.col("has_trajectory"), "trajectory").otherwise("technical"))
+
+
 def partners(rows: DataFrame) -> DataFrame:
     """How many patents two applicants share: ``applicant, partner, patents``."""
     df = one_per_patent(rows).select("patent_id", F.col("applicant_display_name").alias("applicant"))

@@ -174,3 +174,20 @@ def closest_topics(centers: DataFrame, most: int = 5) -> DataFrame:
     rows = centers.join(other, "channel").where("topic_code < other").withColumn("distance", far)
     rank = F.row_number().over(Window.partitionBy("channel").orderBy("distance", "topic_code", "other"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("channel", "topic_code", "other", "distance")
+
+
+def centers(assigned: DataFrame) -> DataFrame:
+    """``topic_code, center``: the mean of each topic's vectors."""
+    parts = assigned.select("topic_code", F.posexplode("vector").alias("at", "x")).groupBy("topic_code", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return parts.groupBy("topic_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("center"))
+
+
+def assign_unassigned(vectors: DataFrame, assigned: DataFrame, centers: DataFrame) -> DataFrame:
+    """``patent_id, topic_code, distance``: the nearest topic of each patent that has none yet, the smaller code on a tie.
+
+    Topics are few, 40 at most, so their centers travel as one row."""
+    one = centers.agg(F.collect_list(F.struct("topic_code", "center")).alias("_centers"))
+    far = lambda c: F.sqrt(F.aggregate(F.zip_with("vector", c, lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda s, x: s + x))
+    best = F.array_min(F.transform("_centers", lambda c: F.struct(far(c["center"]).alias("distance"), c["topic_code"].alias("topic_code"))))
+    new = vectors.join(assigned.select("patent_id"), "patent_id", "left_anti")
+    return new.join(F.broadcast(one)).select("patent_id", best.alias("b")).select("patent_id", "b.topic_code", "b.distance")

@@ -36,10 +36,21 @@ def differential(stored: DataFrame, incoming: DataFrame, key: str, columns: Sequ
 
 
 def guard_status(rows: DataFrame) -> DataFrame:
-    """A status that someone registered, i.e. a history entry without source, is kept; a differing incoming one is a conflict."""
-    manual = F.exists(F.coalesce("history", F.array()), lambda h: h["source"].isNull())
+    """A status that someone registered, i.e. a history entry without source, is kept; a differing incoming one is a conflict.
+
+    A change by an import joins the history; of its entries' fields ``from_status``, ``to_status`` and ``source`` are filled."""
+    before = F.coalesce("history", F.array())
+    manual = F.exists(before, lambda h: h["source"].isNull())
     differs = blank_to_null(F.col("incoming")).isNotNull() & ~F.col("incoming").eqNullSafe(F.col("legal_status"))
-    return rows.withColumn("conflict", F.coalesce(manual & differs, F.lit(False))).withColumn("legal_status", F.when(differs & ~F.coalesce(manual, F.lit(False)), F.col("incoming")).otherwise(F.col("legal_status")))
+    known = {"from_status": F.col("legal_status"), "to_status": F.col("incoming"), "source": F.lit("import")}
+    entry = F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema["history"].dataType.elementType.fields])
+    return rows.withColumns(
+        {
+            "conflict": manual & differs,
+            "history": F.when(differs & ~manual, F.concat(before, F.array(entry))).otherwise(F.col("history")),
+            "legal_status": F.when(differs & ~manual, F.col("incoming")).otherwise(F.col("legal_status")),
+        }
+    )
 
 
 def insert_or_ignore(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -25,6 +26,26 @@ def scoped_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], p
     return out.limit(most) if most is not None else out
 
 
+def narrative_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], patents: DataFrame) -> DataFrame:
+    """One SELECT whose rows are patents of the population: it must return ``patent_id`` and neither aggregate nor use windows.
+
+    The statement's own plan is judged, over empty tables of the same columns, so how the tables came about does not count."""
+    empty = {name: spark.createDataFrame([], df.schema) for name, df in tables.items()}
+    shell, names = [], {}
+    for name, df in empty.items():
+        names[name] = f"{name}_{uuid.uuid4().hex[:8]}"
+        df.createOrReplaceTempView(names[name])
+        shell.append(f"{name} as (select * from {names[name]})")
+    plan = spark.sql(f"explain extended with {', '.join(shell)} select * from (\n{sql}\n)").first()[0]
+    analyzed = plan.split("== Analyzed Logical Plan ==")[1].split("== Optimized Logical Plan ==")[0]
+    if re.search(r"^[\s:+|-]*(Aggregate|Window)\b", analyzed, re.M):
+        raise ValueError("a narrative shows patents, not aggregates or windows over them")
+    out = scoped_sql(spark, sql, tables, patents)
+    if "patent_id" not in out.columns:
+        raise ValueError("a narrative must return patent_id")
+    return out.join(patents.select("patent_id").distinct(), "patent_id", "left_semi")
+
+
 def evidence(df: DataFrame, column: str, values: list[str], most: int = 50) -> DataFrame:
     """Rows whose value, as text, is one of the given ones, with their total and whether more were left out."""
     rows = df.where(F.col(column).cast("string").isin(*values) if values else F.lit(False))

@@ -70,6 +70,18 @@ REPORTS: dict[str, ReportSpec] = {
     "opportunity_quadrant": ReportSpec("Opportunities", "cluster", kind="cluster", by_patent=False),
 }
 
+#: Reports that the catalog no longer offers; their source has ``cited_count`` and ``inventor_count``, too.
+ARCHIVED: dict[str, ReportSpec] = {
+    "top_cited_patents": ReportSpec(
+        "Most cited patents", "base", ("patent_id", "title", "application_year", "applicant_display_name", "cited_count"),
+        kind="detail", order=(("cited_count", "desc"), ("patent_id", "asc")), limit=50, filled=("cited_count",),
+    ),
+    "company_rd_energy": _counted(
+        "Applicants by patents, citations and inventors", "base", "applicant_display_name", limit=30,
+        aggregates=(("sum", "cited_count", "cited_total"), ("sum", "inventor_count", "inventor_total"), ("count", "cited_count", "cited_rows")),
+    ),
+}
+
 
 def columns_of(spec: ReportSpec, filters: Mapping[str, Any] | None = None) -> set[str]:
     """Every column that a report reads."""
@@ -159,7 +171,8 @@ def aggregate(function: str, name: str, group: str, extra: str | None) -> Column
 
 def count_as_value(source: DataFrame, name: str, group: str, out: str) -> DataFrame:
     """How many rows of the whole source, whatever the filters, have the group's key in another column."""
-    return source.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(group)).agg(F.count(F.lit(1)).alias(out))
+    value = blank_to_null(F.col(name))
+    return source.where(value.isNotNull()).groupBy(value.alias(group)).agg(F.count(F.lit(1)).alias(out))
 
 
 def co_values(df: DataFrame, aliases: DataFrame, name: str, group: str, out: str) -> DataFrame:
@@ -171,7 +184,7 @@ def co_values(df: DataFrame, aliases: DataFrame, name: str, group: str, out: str
 
 def run_report(sources: Mapping[str, DataFrame], name: str, filters: Mapping[str, Any] | None = None, patent_ids: DataFrame | Sequence[int] | None = None, limit: int | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """The rows of a report. ``sources`` has the tables that specs name, of either scope."""
-    spec = REPORTS[name]
+    spec = REPORTS[name] if name in REPORTS else ARCHIVED[name]
     if spec.kind == "cluster":
         raise ValueError(f"{name} is made from topics, not from one table")
     source = sources[spec.source]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from patquarry.functions.text import blank_to_null, clean_text, parse_date
+from patquarry.functions.text import blank_to_null, clean_long_text, parse_date
 
 #: Encodings in the order in which they are tried, the headers that mark a patent table, and delimiters (fixed values).
 ENCODINGS = ("utf-8-sig", "utf-16", "big5", "cp950", "gb18030")
@@ -108,7 +108,7 @@ def rename_headers(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 def normalized(df: DataFrame, text: Sequence[str], dates: Mapping[str, Sequence[str]], status: str, fallback: str) -> DataFrame:
     """Cleaned text columns, the first date that parses of each group, and the status with its fallback."""
     first: Callable[[Sequence[str]], Column] = lambda cs: F.coalesce(*[parse_date(F.col(c)) for c in cs])
-    return df.select(*[clean_text(F.col(c)).alias(c) for c in text], *[first(cs).alias(name) for name, cs in dates.items()], F.coalesce(blank_to_null(F.col(status)), blank_to_null(F.col(fallback))).alias(status))
+    return df.select(*[clean_long_text(F.col(c)).alias(c) for c in text], *[first(cs).alias(name) for name, cs in dates.items()], F.coalesce(blank_to_null(F.col(status)), blank_to_null(F.col(fallback))).alias(status))
 
 
 def new_files(files: DataFrame, imported: DataFrame) -> DataFrame:

@@ -86,3 +86,27 @@ def test_manual_status_is_kept(spark):
 def test_compose_needs_two(spark):
     with pytest.raises(ValueError):
         sets.compose(spark.createDataFrame([(1, 1)], "workspace_id int, patent_id long"), [1, 1])
+
+
+def test_import_joins_the_history(spark):
+    schema = "legal_status string, incoming string, history array<struct<from_status:string,to_status:string,source:string>>"
+    df = spark.createDataFrame([("a", "b", None), ("a", "b", [("x", "a", None)]), (None, "b", [("x", "a", "import")])], schema)
+    got = [(r.legal_status, [tuple(h) for h in r.history]) for r in upsert.guard_status(df).collect()]
+    assert got == [("b", [("a", "b", "import")]), ("a", [("x", "a", None)]), ("b", [("x", "a", "import"), (None, "b", "import")])]
+
+
+def test_narratives_show_patents_only(spark):
+    from patquarry.plans import adhoc
+
+    patents = spark.createDataFrame([(1, "US"), (2, "JP"), (3, "JP")], "patent_id long, country string").dropDuplicates()
+    some = patents.where("patent_id < 3")
+    run = lambda sql: adhoc.narrative_sql(spark, sql, {"patents": patents}, some)
+    assert [r.patent_id for r in run("select patent_id from patents where country = 'JP'").collect()] == [2]
+    for bad in ("select max(patent_id) as patent_id from patents", "select patent_id, count(*) over () as n from patents", "select country from patents", "select patent_id from patents group by patent_id"):
+        with pytest.raises(ValueError):
+            run(bad)
+
+
+def test_class_levels_keep_case(spark):
+    assert one(spark, text.classification_level(F.col("c"), 4), c="a01d-034/416") == "a01d"
+    assert one(spark, text.classification_level(F.col("c"), 5), c="A01D-034/416") == "A01D-034"
