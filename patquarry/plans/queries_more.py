@@ -69,10 +69,16 @@ query("S4_normalized_ids", with_tables(" select patent_id, array_to_string(list_
 query("P12_kinds", with_tables(" select patent_id, upper(trim(document_kind)) in ('S', 'S1') as design, case when upper(trim(document_kind)) in ('S', 'S1') then '設計' when patent_type = 'U' then '新型' when patent_type = 'P' then '發明' else '未標示' end as kind from patents", "patents"))(
     lambda s, d: t.patents(s, d).select("patent_id", status.is_design(F.col("document_kind")).alias("design"), status.patent_kind(F.col("document_kind"), F.col("patent_type")).alias("kind"))
 )
-_VALID = F.when(F.col("patent_id") % 4 == 0, "").when(F.col("patent_id") % 4 == 1, "DE | FR").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("C"), i.cast("string"))), " | "))
 query("P17_ep_contribution", with_tables(" select patent_id, case when patent_id % 3 = 0 then 'countries' when patent_id % 4 = 0 then 'missing' when patent_id % 4 = 1 then 'countries' else 'in_transition' end as kind from patents", "patents"))(
-    lambda s, d: t.patents(s, d).select("patent_id", family.ep_contribution(_VALID, F.when(F.col("patent_id") % 3 == 0, "GB").otherwise(" ")).alias("kind"))
+    lambda s, d: t.patents(s, d).select("patent_id", family.ep_contribution(_designated(), F.when(F.col("patent_id") % 3 == 0, "GB").otherwise(" ")).alias("kind"))
 )
+
+
+def _designated():  # noqa: ANN202
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("C"), i.cast("string"))), " | ")
+    return F.when(F.col("patent_id") % 4 == 0, "").when(F.col("patent_id") % 4 == 1, "DE | FR").otherwise(many)
+
+
 query("P18_class_levels", with_tables(" select patent_id, substr(regexp_replace(ipc_main, '[^A-Za-z0-9]', '', 'g'), 1, 4) as subclass, trim(split_part(ipc_main, '/', 1)) as main_group from patents", "patents"))(
     lambda s, d: t.patents(s, d).select("patent_id", text.classification_level(F.col("ipc_main"), 4).alias("subclass"), text.classification_level(F.col("ipc_main"), 5).alias("main_group"))
 )

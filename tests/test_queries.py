@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from patquarry.plans import catalog
@@ -8,8 +10,6 @@ SOME = ("R7_applicant_ranking", "AG17_family_quality", "N1_N2_N3_display_names",
 
 
 def _names():
-    import os
-
     return sorted(catalog.ORACLES) if os.environ.get("TEST_ALL") else SOME
 
 
@@ -28,3 +28,10 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert {"R1_application_trend"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert DATA
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
