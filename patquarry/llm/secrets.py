@@ -3,7 +3,8 @@
 A candidate is a run of key-like characters after a word that announces a secret. It is compressed by zstandard
 with a dictionary of code and identifiers, once the text around it alone and once with the candidate in its place;
 the difference is what the candidate adds. Words, identifiers and what stands nearby already add few bytes,
-random strings nearly their full content, and those are reported.
+random strings nearly their full content, and those are reported. Copies of the candidate nearby are blanked before, so
+a secret that stands twice does not explain itself.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
 #: How far after a name a candidate may begin, how much text on either side primes the compressor, the least share of
 #: a candidate's bytes that must be new, and the least of new bytes.
 REACH, AROUND, SHARE, LEAST = 48, 160, 0.62, 14
+#: As many characters in a row that stand in a candidate too are a copy of it, which does not explain it.
+COPY = 12
 #: Text that secrets do not look like: code, identifiers and prose that surround them (a fixed text of this operator).
 IDENTIFIERS = (
     "import os import sys from typing import Any, Optional def __init__(self, config: dict) -> None: return self.config.get( class Client: async def await "
@@ -70,12 +73,25 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def _without(text: str, grams: frozenset[str]) -> str:
+    """The text with spaces where it repeats ``COPY`` or more characters in a row of a candidate, given by its grams."""
+    out, at = [], 0
+    for i in range(len(text) - COPY + 1):
+        if text[i : i + COPY] in grams:
+            out += [text[at : max(at, i)], " " * (i + COPY - max(at, i))]
+            at = i + COPY
+    return "".join([*out, text[at:]]) if out else text
+
+
 def novelty(text: str, start: int, end: int) -> int:
-    """Compressed bytes that a candidate adds to the text around it."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    """Compressed bytes that a candidate adds to the text around it, in which copies of the candidate are blanked."""
+    candidate = text[start:end]
+    grams = frozenset(candidate[i : i + COPY] for i in range(end - start - COPY + 1))
+    more = AROUND + COPY - 1  # a copy across the border is seen as one
+    before, after = _without(text[max(0, start - more) : start], grams)[-AROUND:], _without(text[end : end + more], grams)[:AROUND]
     around = f"{after}\n{before}"  # the candidate comes last, after all that may explain it
     size = lambda x: len(_compressor().compress(x.encode("utf-8", "surrogatepass")))
-    return size(around + text[start:end]) - size(around)
+    return size(around + candidate) - size(around)
 
 
 def keylike(x: str) -> bool:

@@ -51,6 +51,18 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).count() == odd.count() and secrets.redact(odd).columns == odd.columns
 
 
+def test_repeated_secrets():
+    r = np.random.default_rng(3)
+    for n in (20, 40, 90, 200):
+        key = "k7Q" + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n - 3))
+        line = f"Authorization: Bearer {key}\n"
+        for text in (line, line * 2, line * 5, f"{line}curl -H 'bearer={key}' x\n", line + "x y " * 30 + line, f"{line}{'-' * (150 - n // 2)}\n{line}"):
+            novel = [(a, b) for a, b, k in secrets.spans(text) if k == "novel"]
+            assert all(any(a <= m.start() and m.end() <= b for a, b in novel) for m in re.finditer(key, text)), text
+            assert key not in secrets.redacted(text)
+    assert secrets.spans("bearer your_api_key_here_2\n" * 2) == []
+
+
 def test_base_secrets_equal_plain_patterns():
     plain = (("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
     r = np.random.default_rng(1)
