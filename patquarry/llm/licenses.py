@@ -1,7 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line's words, in overlapping windows where the line is long. A block matches a template if it contains
-``threshold`` of the template's distinct words or more. The join is exact and prunes: words are ordered by their
+A block is a window over the words of the whole text, so line ends do not part a statement; long lines have windows of
+their own beside. Windows overlap by the longest template's words at least, so that every statement of a template in
+a row stands whole in one. A block matches a template if it contains ``threshold`` of the template's distinct words or more. The join is exact and prunes: words are ordered by their
 document frequency in the whole corpus, rarest first. A template that needs ``r`` of its ``n`` words must share one
 of its first ``n - r + 1`` with the block (prefix filter); the block must have ``r`` distinct words (length
 filter); and the words left after the first shared one in both orders must suffice (positional filter).
@@ -32,6 +33,7 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "mpl": ("subject to the terms of the Mozilla Public License",),
     "reserved-notice": ("copyright all rights reserved by the author",),
 }
+#: Window and stride are the least ones; a template of more than ``STRIDE`` words widens both.
 THRESHOLD, WINDOW, STRIDE = 0.9, 64, 32
 #: Templates go to every task, so their number is bounded.
 MOST_TEMPLATES = 10_000
@@ -59,13 +61,28 @@ def places(tokens: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
         return found
 
 
+def windows(tokens: list[bytes], window: int, stride: int) -> Iterator[frozenset[bytes]]:
+    """Word sets of overlapping windows that reach the end."""
+    for start in range(0, max(1, len(tokens) - window + stride), stride):
+        yield frozenset(tokens[start : start + window])
+
+
 def blocks(text: str, window: int = WINDOW, stride: int = STRIDE) -> Iterator[frozenset[bytes]]:
-    """Word sets of all lines; of a long line, those of overlapping windows that reach its end."""
+    """Word sets of overlapping windows over the whole text, and of those over each line that may not lie in one of them."""
+    tokens: list[bytes] = []
     for line in text.encode("utf-8", "surrogatepass").translate(_LINE_BYTES).split(b"\n"):
-        tokens = line.split()
-        if tokens:
-            for start in range(0, max(1, len(tokens) - window + stride), stride):
-                yield frozenset(tokens[start : start + window])
+        own = line.split()
+        tokens += own
+        if len(own) > window - stride + 1:  # a shorter one is part of a window over the text, which contains all it does
+            yield from windows(own, window, stride)
+    if tokens:
+        yield from windows(tokens, window, stride)
+
+
+def extent(templates: Mapping[str, tuple[str, ...]]) -> tuple[int, int]:
+    """Window and stride by the longest template: each run of as many words as it has lies in a window."""
+    stride = max(STRIDE, max((len(words(t)) for texts in templates.values() for t in texts), default=0))
+    return max(WINDOW, 2 * stride), stride
 
 
 class TemplateIndex:
@@ -135,10 +152,11 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     those of the templates met; ``score`` is 1 with a base phrase, else the best containment found, else 0.
 
     A null text counts as empty: counts of 0, null places, empty labels. Null and repeated keys pass through, a row for
-    each row; other columns are not read; an empty table gives an empty result. Very long lines are read in
-    overlapping windows to their end.
+    each row; other columns are not read; an empty table gives an empty result. Texts are read in overlapping
+    windows to their end, whatever their line ends.
     """
     sets = _sets(templates)
+    window, stride = extent(templates)
     vocabulary = frozenset().union(*(t for _, t in sets)) if sets else frozenset()
     index = df.sparkSession.sparkContext.broadcast(TemplateIndex(sets, document_frequency(df, vocabulary, text), threshold))
     starts = frozenset(p[0] for p, _ in _PHRASES)
@@ -160,7 +178,7 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
                             base.add(label)
                 met: dict[str, float] = {}
                 if not join.prefix.isdisjoint(distinct):
-                    for block in blocks(raw):
+                    for block in blocks(raw, window, stride):
                         for label, value in join.matches(block).items():
                             met[label] = max(met.get(label, 0.0), value)
                 row = (len(tokens), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(met))), 1.0 if base else max(met.values(), default=0.0))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -90,6 +91,32 @@ def test_licenses_equal_brute_force(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_and_long_statements(spark):
+    def best(text, template, width):
+        w, t = licenses.words(text), frozenset(licenses.words(template))
+        return max(len(t.intersection(w[i : i + width])) / len(t) for i in range(max(1, len(w) - width + 1)))
+
+    notices = {
+        "mit": "Copyright (c) 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "gpl-notice": "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation",
+    }
+    texts = [before + wrap(n) for n in notices.values() for before in ("", "word\n" * 25, "some other words " * 40) for wrap in (str, lambda x: "\n".join(textwrap.wrap(x, 30)), lambda x: "\n".join(x.split()))] + ["nothing here\n" * 50, "redistribution\nand use in source " + "x\n" * 80 + "and binary forms with or without modification are permitted"]
+    long = {f"t{n}": (" ".join(f"w{n}x{i}" for i in range(n)),) for n in (33, 50, 64, 90, 200)}
+    texts += ["x " * at + t + end + "y " * 70 for (t,) in long.values() for at in (0, 1, 17, 31, 45) for end in (" ", "\n")]
+    templates = {**licenses.TEMPLATES, **long}
+    for chosen in (licenses.TEMPLATES, templates):
+        window, stride = licenses.extent(chosen)
+        rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chosen).collect()
+        for r in rows:
+            got = set(filter(None, r.labels.split(","))) - set(r.base_labels.split(","))
+            value = {label: tuple(max(best(texts[r.doc_id], t, w) for t in ts) for w in (stride + 1, window)) for label, ts in chosen.items()}
+            assert {k for k, (x, _) in value.items() if x >= 0.9} <= got <= {k for k, (_, y) in value.items() if y >= 0.9}, texts[r.doc_id]
+        assert all(label in rows[9 * i + j].labels.split(",") for i, label in enumerate(notices) for j in range(9))
+        assert [r.labels for r in rows[27:29]] == ["", ""] or chosen is templates
+    assert all(f"t{n}" in rows[29 + 10 * i + j].labels.split(",") for i, n in enumerate((33, 50, 64, 90, 200)) for j in range(10))
+
+
 def test_containment_join_is_exact():
     r = np.random.default_rng(2)
     vocabulary = [f"w{i}".encode() for i in range(30)]
