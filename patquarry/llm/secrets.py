@@ -1,6 +1,6 @@
 """Secret scans: three fixed patterns, and strings that a primed compressor finds new.
 
-A candidate is a run of key-like characters after a word that announces a secret. It is compressed by zstandard
+A candidate is a whole run of key-like characters, however long, after a word that announces a secret. It is compressed by zstandard
 with a dictionary of code and identifiers, once the text around it alone and once with the candidate in its place;
 the difference is what the candidate adds. Words, identifiers and what stands nearby already add few bytes,
 random strings nearly their full content, and those are reported. Copies of the candidate nearby are blanked before, so
@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -28,12 +29,15 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Names that announce a secret (a fixed list of this operator).
 CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "private_key", "private-key", "client_key", "auth_key", "access_key", "bearer", "authorization", "connection_string", "encryption_key", "signing_key", "ssh-rsa", "ssh-ed25519")
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+#: A whole run of key-like characters, over single points inside it; counted from so many characters on.
+_CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"), 16
 #: How far after a name a candidate may begin, how much text on either side primes the compressor, the least share of
 #: a candidate's bytes that must be new, and the least of new bytes.
 REACH, AROUND, SHARE, LEAST = 48, 160, 0.62, 14
 #: As many characters in a row that stand in a candidate too are a copy of it, which does not explain it.
 COPY = 12
+#: Longer candidates are measured in pieces of so many characters.
+PIECE = 256
 #: Text that secrets do not look like: code, identifiers and prose that surround them (a fixed text of this operator).
 IDENTIFIERS = (
     "import os import sys from typing import Any, Optional def __init__(self, config: dict) -> None: return self.config.get( class Client: async def await "
@@ -94,32 +98,57 @@ def novelty(text: str, start: int, end: int) -> int:
     return size(around + candidate) - size(around)
 
 
-def keylike(x: str) -> bool:
-    """Whether letters and digits mix, or the case of letters changes often, as in keys and hardly in words."""
-    if any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
+def _new(text: str, start: int, end: int) -> bool:
+    """Whether a candidate of at most ``PIECE`` characters adds most of what random characters of its kind hold."""
+    bits = log2(10) if text[start:end].isdigit() else 6  # of eight
+    return novelty(text, start, end) >= max(LEAST, SHARE * (end - start) * bits / 8)
+
+
+def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The candidate, or where it is long pieces that reach its end; the last one overlaps."""
+    for at in range(start, max(start + 1, end - PIECE), PIECE):
+        yield at, min(end, at + PIECE)
+    if end - start > PIECE:
+        yield end - PIECE, end
+
+
+def _any_new(text: str, start: int, end: int) -> bool:
+    """Whether a candidate as a whole, one of its pieces, or one of the parts that points join is new."""
+    if any(_new(text, a, b) for a, b in _pieces(start, end)):
         return True
-    letters = [c.isupper() for c in x if c.isalpha()]
-    return sum(a != b for a, b in zip(letters[:-1], letters[1:], strict=True)) >= max(4, len(x) // 5)
+    at = start
+    for part in text[start:end].split("."):
+        if SHORTEST <= len(part) < end - start and any(_new(text, a, b) for a, b in _pieces(at, at + len(part))):
+            return True
+        at += len(part) + 1
+    return False
 
 
 def novel_spans(text: str) -> list[tuple[int, int, str]]:
-    """Incompressible candidates that follow a name of a secret closely."""
+    """Incompressible candidates that follow a name of a secret closely, to their full extent."""
     found = []
     lower = text.lower()
     if not any(x in lower for x in CONTEXT):
         return found
-    seen = -1
+    ends: dict[int, bool] = {}  # of the runs seen, and whether one is reported
+    last, tried = (0, 0), -SHORTEST
     for m in _CONTEXT.finditer(text):
-        for c in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 512)):
-            if c.start() > m.end() + REACH:
-                break
-            if c.start() <= seen or not keylike(c.group()):
+        at, reach = m.end(), m.end() + REACH
+        while (c := _CANDIDATE.search(text, at, min(len(text), reach + 1))) is not None:
+            start = c.start()
+            end = last[1] if last[0] <= start < last[1] else _CANDIDATE.match(text, start).end()
+            if end > last[1]:
+                last = (start, end)
+            at = end
+            if end - start < SHORTEST or ends.get(end):
                 continue
-            seen = c.start()
-            n = c.end() - c.start()
-            added = novelty(text, c.start(), c.end())
-            if added >= max(LEAST, SHARE * n * 0.75):  # a random key-like character holds six bits of eight
-                found.append((c.start(), c.end(), "novel"))
+            if end not in ends:
+                ends[end] = _any_new(text, start, end)
+            elif start == m.end() and start - tried >= SHORTEST:  # the name stands in a run that is not new as a whole; what follows it may be
+                tried = start
+                ends[end] = _new(text, start, min(end, start + PIECE))
+            if ends[end]:
+                found.append((start, end, "novel"))
     return found
 
 

@@ -64,6 +64,23 @@ def test_repeated_secrets():
     assert secrets.spans("bearer your_api_key_here_2\n" * 2) == []
 
 
+def test_whole_secrets_of_any_kind():
+    r = np.random.default_rng(4)
+    draw = lambda n, x="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(list(x), n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = [draw(n) for n in (24, 511, 513, 700, 5000)] + [".".join(map(draw, n)) for n in ((36, 80, 43), (60, 600, 43), (8, 8, 8, 8))] + [draw(n, x) for x in (lower, digits) for n in (24, 40, 100, 300, 900)]
+    for key in keys:
+        for text in (f"the passphrase is {key}", f"Bearer {key}. Next\nBearer {key}\n", f"bearer a/token/in/a/path/{key}"):
+            left = secrets.redacted(text)
+            assert not any(key[i : i + 6] in left for i in range(len(key) - 5)), text
+            found = [(a, b) for a, b, k in secrets.spans(text) if k == "novel"]
+            assert all(b <= a for (_, b), (a, _) in zip(found[:-1], found[1:], strict=True))
+    assert secrets.redacted("the passphrase is xkqzvbnwmplrtyhsgd") == "the passphrase is [removed]"
+    assert secrets.spans("the token is on https://www.example.com and the passphrase is your_password_here, passphrase ================================") == []
+    secrets.spans("token" * 10_000)
+    assert secrets.redacted("bearer " + draw(100_000)) == "bearer [removed]"
+
+
 def test_base_secrets_equal_plain_patterns():
     plain = (("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
     r = np.random.default_rng(1)
