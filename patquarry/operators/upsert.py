@@ -58,6 +58,16 @@ def insert_or_ignore(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]
     return stored.unionByName(incoming.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti").select(*stored.columns))
 
 
+def pending_embeddings(texts: DataFrame, stored: DataFrame, model: str, model_version: str, preprocessing: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows with a text for which the model's version has no embedding of the same id, preprocessing version and text.
+
+    ``stored`` has ``key, embedding_model, model_version, preprocessing_version, text_hash`` (SHA-256 in hex)."""
+    keys = [key, "preprocessing_version", "text_hash"]
+    known = stored.where((F.col("embedding_model") == model) & (F.col("model_version") == model_version)).select(*keys)
+    asked = texts.where(F.col(text).isNotNull()).withColumns({"preprocessing_version": F.lit(preprocessing), "text_hash": F.sha2(text, 256)})
+    return asked.join(known, keys, "left_anti").select(*texts.columns)
+
+
 def backfill(df: DataFrame, raw: DataFrame, key: str, column: str, order: str) -> DataFrame:
     """Missing values from the latest raw record of each row."""
     latest = raw.groupBy(key).agg(F.max(F.struct(order, column))[column].alias("_raw"))

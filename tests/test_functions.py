@@ -110,3 +110,20 @@ def test_narratives_show_patents_only(spark):
 def test_class_levels_keep_case(spark):
     assert one(spark, text.classification_level(F.col("c"), 4), c="a01d-034/416") == "a01d"
     assert one(spark, text.classification_level(F.col("c"), 5), c="A01D-034/416") == "A01D-034"
+
+
+def test_changed_texts_are_embedded_again(spark):
+    import hashlib
+
+    from patquarry.plans import catalog
+    from tests.compare import assert_same
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = spark.createDataFrame([(1, "same"), (2, "changed"), (3, "new"), (4, None), (5, "other model"), (6, "old model"), (7, "old preprocessing"), (8, "twice")], "doc_id long, text string")
+    stored = spark.createDataFrame(
+        [(1, "m", "2", "p2", h("same")), (2, "m", "2", "p2", h("before")), (5, "n", "2", "p2", h("other model")), (6, "m", "1", "p2", h("old model")), (7, "m", "2", "p1", h("old preprocessing")), (8, "m", "2", "p1", h("once")), (8, "m", "2", "p2", h("twice"))],
+        "doc_id long, embedding_model string, model_version string, preprocessing_version string, text_hash string",
+    )
+    got = upsert.pending_embeddings(texts, stored, "m", "2", "p2")
+    assert got.columns == ["doc_id", "text"] and sorted(r.doc_id for r in got.collect()) == [2, 3, 5, 6, 7]
+    assert_same(catalog.QUERIES["T8_embedding_diff"], catalog.ORACLES["T8_embedding_diff"], spark)
