@@ -1,15 +1,20 @@
 """Near-duplicate embeddings: sign hashing by random hyperplanes in several tables, exact cosines, components.
 
-Equal vectors form a class, named by its smallest id, so copies are compared once. The signs of a class's products
-with a table's random hyperplanes are its key there; classes of one key are a bucket. In a bucket all pairs are
-compared exactly, by blocks of a matrix product, and a pair counts in its first shared table only. A bucket gives
-each class's number of links and a spanning forest of its links, never the pairs themselves.
+Equal vectors form a class, so copies are compared once. The signs of a class's products with a table's random
+hyperplanes are its key there; classes of one key are a bucket. Two passes over the buckets keep vectors out of the
+shuffle until they are needed:
+
+1. Buckets get the classes' packed signs alone. The share of signs in which two classes differ estimates their angle, and pairs
+   whose angle is clearly too wide are dropped. A pair counts in its first shared table only.
+2. Only classes with a pair left get their vectors, in the buckets where it counts, and all pairs there
+   are compared exactly, by blocks of a matrix product. A bucket gives each class's number of links and a
+   spanning forest of its links, never the pairs themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from patquarry.llm import scratch
 from patquarry.llm.components import Forest, connected
 from patquarry.llm.runs import grouped
-from patquarry.llm.vectors import dimension, matrix, prepare, raw, usable
+from patquarry.llm.vectors import binary, digests, dimension, matrix, prepare, raw, stored_kind, units
 
-#: The chance that a pair at the threshold shares no table, the classes wanted in a bucket, and those of a block.
-MISS, WANTED, BLOCK = 1e-4, 256, 1024
+#: The chance that a pair at the threshold shares no table, that of dropping it by its signs, the classes wanted in a bucket, and
+#: those of a block. A larger bucket is dealt out in pairs of blocks, and its classes are spread over so many salts.
+MISS, SIGN_MISS, WANTED, BLOCK, SALTS = 1e-4, 1e-7, 1024, 1024, 64
 
 
 def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -31,52 +37,116 @@ def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     return bits, max(1, ceil(log(miss) / log(1 - alike)))
 
 
-def _keys(planes: np.ndarray, bits: int):
+def most_different(signs: int, threshold: float, miss: float = SIGN_MISS) -> int:
+    """The fewest differing signs that a pair at the threshold exceeds with a chance below ``miss``."""
+    p, left = acos(threshold) / pi, 1.0
+    for k in range(signs + 1):
+        left -= comb(signs, k) * p**k * (1 - p) ** (signs - k)
+        if left < miss:
+            return k
+    return signs
+
+
+def _signed(planes: np.ndarray, kind: str):
+    """The packed signs and the key of each vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                v = matrix(batch.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), digests(v), binary(np.packbits(units(v) @ planes > 0, axis=1)), binary(v.astype(kind))], names=["vec_id", "key", "signs", "v"]
+                )
+
+    return run
+
+
+def _unpacked(packed: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signs as rows of 0 and 1, and each table's key."""
+    signs = np.unpackbits(packed, axis=1, count=bits * tables)
+    return signs, signs.reshape(len(signs), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def _placed(bits: int, tables: int):
+    """A row for each class and table: the bucket, which has the table's number above the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, keys = _unpacked(raw(batch.column(1), "u1"), bits, tables)
+                bucket = keys + (np.arange(tables, dtype=np.int64) << bits)
+                of = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), batch.column(0).take(of), batch.column(1).take(of)], names=["bucket", "key", "signs"])
+
+    return run
+
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of a run's two blocks, and whether they are one block."""
+    pair, block = group.column(1)[0].as_py(), group.column(2).to_numpy()
+    same = pair >> 31 == pair & 0x7FFFFFFF
+    left = np.nonzero(block == pair >> 31)[0]
+    return left, left if same else np.nonzero(block == pair & 0x7FFFFFFF)[0], same
+
+
+def _first(keys: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs whose first shared table is this one."""
+    if not len(i):
+        return i, j
+    keep = np.concatenate([np.argmax(keys[i[s : s + 65_536]] == keys[j[s : s + 65_536]], 1) for s in range(0, len(i), 65_536)]) == table
+    return i[keep], j[keep]
+
+
+def _candidates(bits: int, tables: int, most: int):
+    """The rows of each run that have a pair whose signs differ in ``most`` places or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 2):
+            if group.num_rows < 2:
                 continue
-            v = matrix(batch.column(2))
-            unit = v / np.sqrt((v * v).sum(1, keepdims=True))
-            sign = (unit @ planes > 0).reshape(len(v), -1, bits)
-            keys = sign @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in unit], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in keys], pa.binary())],
-                names=["rep", "copies", "unit", "keys", "all_keys"],
-            )
+            left, right, same = _sides(group)
+            if not len(left) or not len(right):
+                continue
+            signs, keys = _unpacked(raw(group.column(4), "u1"), bits, tables)
+            s = signs.astype(np.float32) * 2 - 1
+            i, j = np.nonzero(s[left] @ s[right].T >= bits * tables - 2 * most - 0.5)
+            i, j = left[i], right[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            i, j = _first(keys, i, j, group.column(0)[0].as_py() >> bits)
+            if len(i):
+                yield group.take(pa.array(np.union1d(i, j)))
 
     return run
 
 
-def _compare(threshold: float):
-    """Counts (a, null, n) and forest links (a, b, 0) of sorted runs of (table, key, block pair)."""
+def _compare(bits: int, tables: int, threshold: float, kind: str):
+    """Counts (a, null, n) and forest links (a, b, 0) of sorted runs of (bucket, pair of blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 4):
-            table = group.column(0)[0].as_py()
-            same = group.column(2)[0].as_py() == group.column(3)[0].as_py()
-            block, rep, copies = (group.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6))
-            unit, keys = raw(group.column(7), "<f8"), raw(group.column(8), "<i8")
-            left = np.nonzero(block == group.column(2)[0].as_py())[0]
-            right = left if same else np.nonzero(block == group.column(3)[0].as_py())[0]
+        for group in grouped(batches, 2):
+            left, right, same = _sides(group)
             if not len(left) or not len(right):
                 continue
+            _, keys = _unpacked(raw(group.column(4), "u1"), bits, tables)
+            rep, copies = group.column(5).to_numpy(), group.column(6).to_numpy()
+            unit = units(raw(group.column(7), kind).astype(np.float64))
             i, j = np.nonzero(unit[left] @ unit[right].T >= threshold)
             i, j = left[i], right[j]
             if same:
                 i, j = i[i < j], j[i < j]
-            if len(i):
-                first = np.concatenate([np.argmax(keys[i[s : s + 65_536]] == keys[j[s : s + 65_536]], 1) for s in range(0, len(i), 65_536)]) == table
-                i, j = i[first], j[first]
+            i, j = _first(keys, i, j, group.column(0)[0].as_py() >> bits)
             if not len(i):
                 continue
             n = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
             some = np.nonzero(n)[0]
             forest = Forest()
             tree = [(a, b) for a, b in zip(rep[i].tolist(), rep[j].tolist(), strict=True) if forest.join(a, b)]
-            a = [*rep[some].tolist(), *(x for x, _ in tree)]
-            b = [*[None] * len(some), *(y for _, y in tree)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*n[some].astype(np.int64).tolist(), *[0] * len(tree)], pa.int64())], names=["a", "b", "n"])
+            a = [*group.column(3).take(pa.array(some)).to_pylist(), *[None] * len(tree)]
+            x = [*[None] * len(some), *(x for x, _ in tree)]
+            y = [*[None] * len(some), *(y for _, y in tree)]
+            count = [*n[some].astype(np.int64).tolist(), *[0] * len(tree)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(count, pa.int64())], names=["key", "a", "b", "n"])
 
     return run
 
@@ -91,32 +161,36 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     kept. A null id has a null component and is kept; its vector takes no part. Rows that repeat an id are one node of
     the graph, each returned. Other columns are not read; an empty table gives an empty result. Vectors of different
     lengths raise. No link below the threshold is ever given; a link at the threshold is missed with a chance of 1e-4.
+    Classes are told apart by a hash of 128 bits.
     """
-    rows = prepare(df, key, vector).withColumn("ok", usable(F.col("v")) & F.col("vec_id").isNotNull())
-    good = rows.where("ok")
-    classes = scratch.table(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
-    n, width = dimension(classes)
+    rows, kind = prepare(df, key, vector), stored_kind(df, vector)
+    n, width = dimension(rows.where("ok"))
     bits, tables = layout(n, threshold)
     planes = np.random.default_rng(seed).standard_normal((width, bits * tables))
-    keyed = classes.select("rep", "copies", "v").mapInArrow(_keys(planes, bits), "rep long, copies long, unit binary, keys array<long>, all_keys binary")
-    keyed = scratch.table(keyed, "vector-keys")
-    member = keyed.select("rep", F.posexplode("keys").alias("hash_table", "bucket"))
-    buckets = member.groupBy("hash_table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = member.join(scratch.table(buckets, "vector-buckets"), ["hash_table", "bucket"])
-    member = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    signed = rows.where("ok").select("vec_id", "v").mapInArrow(_signed(planes, kind), "vec_id long, key binary, signs binary, v binary")
+    signed = scratch.table(signed, "vector-signs")
+    classes = scratch.table(signed.groupBy("key", "signs").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+    member = classes.select("key", "signs").mapInArrow(_placed(bits, tables), "bucket long, key binary, signs binary")
+    hot = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    hot = scratch.table(hot, "vector-hot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = member.withColumn("hash", F.xxhash64("key")).withColumn("salt", F.pmod(F.shiftright("hash", 32), F.lit(SALTS)).cast("int"))
+    member = member.join(hot, ["bucket", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod("hash", "blocks"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = member.select("hash_table", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep").join(
-        keyed.select("rep", "copies", "unit", "all_keys"), "rep"
-    )
-    order = ["hash_table", "bucket", "i", "j"]
-    dealt = dealt.select(*order, "block", "rep", "copies", "unit", "all_keys").repartition(*order).sortWithinPartitions(*order)
-    found = scratch.table(dealt.mapInArrow(_compare(threshold), "a long, b long, n long"), "vector-links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    pair = F.shiftleft(F.least("block", "other"), 31).bitwiseOR(F.greatest("block", "other"))
+    dealt = member.select("bucket", pair.alias("pair"), "block", "key", "signs").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    close = dealt.mapInArrow(_candidates(bits, tables, most_different(bits * tables, threshold)), "bucket long, pair long, block long, key binary, signs binary")
+    close = scratch.table(close, "vector-candidates")
+    wanted = close.select("key").distinct()
+    vectors = signed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    both = close.join(vectors.join(wanted, "key", "left_semi"), "key").select("bucket", "pair", "block", "key", "signs", "rep", "copies", "v")
+    both = both.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    found = scratch.table(both.mapInArrow(_compare(bits, tables, threshold, kind), "key binary, a long, b long, n long"), "vector-links")
+    counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
     components = connected(found.where("b is not null").select("a", "b"))
-    of = classes.join(counts, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component")
+    of = classes.join(counts, "key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component")
     )
-    linked = good.join(of, "v").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    linked = signed.select("vec_id", "key").join(of, "key").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

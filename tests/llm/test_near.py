@@ -138,6 +138,61 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.limit(3), every=1).count() == 6
 
 
+def recall(spark, x, every=10, k=10):
+    """Share of true neighbors found, and the share of lists that a query takes."""
+    fitted, fit = [], ann.Quantiser.fit.__func__
+
+    def spy(cls, *a):
+        fitted.append(fit(cls, *a))
+        return fitted[-1]
+
+    ann.Quantiser.fit = classmethod(spy)
+    try:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        got = ann.nearest(df, every=every, k=k).toPandas()
+    finally:
+        ann.Quantiser.fit = classmethod(fit)
+    x, hits, asked = x.astype(np.float32).astype(float), 0, range(0, len(x), every)
+    for i in asked:
+        far = np.sqrt(((x - x[i]) ** 2).sum(1))
+        far[i] = np.inf
+        hits += (got[got.query_id == i].score.to_numpy() <= np.sort(far)[k - 1] + 1e-9).sum()
+    return hits / (k * len(asked)), fitted[0].taken / len(fitted[0].centers)
+
+
+def test_nearest_prunes_clusters(spark):
+    r = np.random.default_rng(2)
+    found, share = recall(spark, r.standard_normal((60, 24))[r.integers(0, 60, 4000)] + 0.3 * r.standard_normal((4000, 24)), every=40)
+    assert found >= 0.9 and share <= 0.15
+
+
+def test_nearest_prunes_vectors_of_all_directions(spark):
+    found, share = recall(spark, np.random.default_rng(3).standard_normal((4000, 24)), every=40)
+    assert found >= 0.9 and share <= 0.5
+
+
+def test_nearest_of_one_direction_and_extreme_sizes(spark):
+    x = np.array([[10.0**e, 10.0**e] for e in (-160, -159, 0, 1, 150, 155)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df, every=1, k=5).collect()}
+    assert len(got) == 30 and all(np.isclose(s, np.sqrt(2) * abs(x[i, 0] - x[j, 0]), rtol=1e-12, atol=0) for (i, j), s in got.items())
+    assert {r.n_links for r in vectordup.near_duplicates(df).collect()} == {5}
+
+
+def test_vector_blocks_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectordup, "BLOCK", 8)
+    r = np.random.default_rng(8)
+    base = r.standard_normal((6, 12))
+    x = base[r.integers(0, 6, 240)] + 0.15 * r.standard_normal((240, 12))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    forest = components.Forest()
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        forest.join(int(i), int(j))
+    got = vectordup.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(linked[i].sum()) - 1, forest.root(i)) for i in range(240)]
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
