@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from patquarry.llm.tokens import KEPT, WORD_PATTERN, byte_letters, lower_nfc, split_space
+from patquarry.llm.tokens import KEPT, WORD_PATTERN, WORD_RULES, byte_letters, lower_nfc, rules, split_space
 
 _NONE = np.int64(1) << 60
 
 
 class SegmentTreeBPE:
-    """The vocabulary with word ends of a tokenizers file: encodes words, decodes ids."""
+    """The vocabulary with word ends of a tokenizers file: encodes words, decodes ids.
+
+    Raises for a file whose rules of splitting are not ``WORD_RULES``."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -33,10 +35,12 @@ class SegmentTreeBPE:
         self.end = model.get("end_of_word_suffix")
         if not self.end:
             raise ValueError(f"{path} has no word ends; its words cannot be told apart")
+        if rules(spec) != WORD_RULES:
+            raise ValueError(f"{path} has other rules of splitting than those that are built in")
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: s for s, i in (vocab | self.special).items()}
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + self.end] for c in letters], np.int64)

@@ -23,6 +23,18 @@ _MARK = chr(0xE000)
 #: The published split patterns of the two byte-pair vocabularies (fixed values).
 WORD_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BYTE_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: How the vocabulary files state those rules (fixed values): normalizer and pre-tokenizer.
+WORD_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+BYTE_RULES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
 _ODD_FOR_SPLIT = re.compile("[\x1c-\x1f]")
 _ODD_SPACE = re.compile("[\t\x0b\x0c\r" + SPACE[4:] + _MARK + "]")
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -30,6 +42,11 @@ _SPACES = re.compile(f"[{SPACE}]+")
 KEPT, YOUNG = 250_000, 75_000
 
 
+def rules(spec: dict) -> tuple[dict | None, dict | None]:
+    """Normalizer and pre-tokenizer that a vocabulary file asks for."""
+    return spec.get("normalizer"), spec.get("pre_tokenizer")
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -100,10 +117,9 @@ class Encoder:
             raise ValueError(f"ids of {path} need more than {width} bytes")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.tokenize = self.library.model.tokenize
-        kind = spec["pre_tokenizer"]["type"] if spec.get("pre_tokenizer") else ""
-        if spec["model"].get("end_of_word_suffix"):
+        if spec["model"].get("end_of_word_suffix") and rules(spec) == WORD_RULES:
             self.encode, self.memo = self._by_words, Memo(lambda chunk: self._ids(WORD_PATTERN.findall(chunk)))
-        elif kind == "ByteLevel" and not spec.get("normalizer"):
+        elif not spec["model"].get("end_of_word_suffix") and rules(spec) == BYTE_RULES:
             self.encode, self.memo = self._by_bytes, Memo(lambda chunk: self._ids(BYTE_PATTERN.findall(chunk)))
         else:
             self.encode = self.whole

@@ -90,7 +90,9 @@ def test_packing(odd, empty):
 def test_plan_places_every_piece_once(seed):
     lengths = np.random.default_rng(seed).integers(1, 101, 500)
     histogram = np.bincount(lengths, minlength=101)
-    chosen = packing.plan(histogram)
+    made = packing.plan(histogram)
+    chosen = made.plan
+    assert made.placed >= 0.8 * made.pieces == 0.8 * 500  # the programs place them, not best fit
     held = np.zeros(101, int)
     for filling, n in chosen:
         assert sum(k * c for k, c in filling) <= 100
@@ -105,3 +107,48 @@ def test_plan_places_every_piece_once(seed):
     sequence, offset = places(length, rank)
     cells = {(s, o + i) for s, o, n in zip(sequence, offset, length, strict=True) for i in range(n)}
     assert len(cells) == lengths.sum() and sequence.max() < bins
+
+
+def test_program_has_a_cover_and_a_bound():
+    """The fractional cover covers, its value and the dual bound enclose the optimum, and fillings fit."""
+    histogram = np.bincount(np.random.default_rng(7).integers(20, 70, 3000), minlength=101)
+    found = packing.cover(histogram, gap=0.02)
+    assert found.bound <= found.value <= found.bound * 1.06
+    covered = np.zeros(101)
+    for filling, n in found.fillings.items():
+        assert sum(k * c for k, c in filling) <= 100
+        for k, c in filling:
+            covered[k] += n * c
+    lack = np.maximum(0, histogram - covered)
+    assert (lack * np.ceil(1 / np.maximum(1, 100 // np.maximum(1, np.arange(101))))).sum() <= 0.05 * 3000
+    assert sum(found.fillings.values()) <= found.value + 1e-6
+
+
+def test_program_beats_best_fit():
+    """Best-fit decreasing pairs 45 with 45 and strands the rest; the program mixes lengths."""
+    histogram = np.zeros(101, int)
+    histogram[[45, 35, 20]] = 600
+    made = packing.plan(histogram)
+    assert sum(n for _, n in made.plan) == 600 and made.placed == made.pieces and round(made.bound, 6) == 600
+    assert sum(n for _, n in packing.best_fit(histogram)) > 600
+
+
+def test_files_are_read_in_as_many_tasks(spark):
+    df = spark.range(600).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    manifest = arrowstream.write(df, scratch.folder(spark, "t"), WORD, end_id=1)
+    out = arrowstream.read(manifest)
+    assert out.rdd.getNumPartitions() == manifest.count() > 1
+
+
+def test_vocabularies_with_other_rules_are_refused(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    path = str(tmp_path / "t.json")
+    for change in ({"normalizer": None}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec | change, f)
+        with pytest.raises(ValueError, match="rules"):
+            bpe.SegmentTreeBPE(path)
