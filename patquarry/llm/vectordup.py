@@ -26,8 +26,8 @@ from patquarry.llm.runs import grouped
 from patquarry.llm.vectors import binary, digests, dimension, matrix, prepare, raw, stored_kind, units
 
 #: The chance that a pair at the threshold shares no table, that of dropping it by its signs, the classes wanted in a bucket, and
-#: those of a block. A larger bucket is dealt out in pairs of blocks, and its classes are spread over so many salts.
-MISS, SIGN_MISS, WANTED, BLOCK, SALTS = 1e-4, 1e-7, 1024, 1024, 64
+#: those of a block. Signs kept of a class at the least, so that they tell angles well. A larger bucket is dealt out in pairs of blocks, and its classes are spread over so many salts.
+MISS, SIGN_MISS, WANTED, BLOCK, SIGNS, SALTS = 1e-4, 1e-7, 1024, 1024, 256, 64
 
 
 def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -63,8 +63,8 @@ def _signed(planes: np.ndarray, kind: str):
 
 def _unpacked(packed: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Signs as rows of 0 and 1, and each table's key."""
-    signs = np.unpackbits(packed, axis=1, count=bits * tables)
-    return signs, signs.reshape(len(signs), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    signs = np.unpackbits(packed, axis=1, count=max(SIGNS, bits * tables))
+    return signs, signs[:, : bits * tables].reshape(len(signs), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
 def _placed(bits: int, tables: int):
@@ -109,7 +109,7 @@ def _candidates(bits: int, tables: int, most: int):
                 continue
             signs, keys = _unpacked(raw(group.column(4), "u1"), bits, tables)
             s = signs.astype(np.float32) * 2 - 1
-            i, j = np.nonzero(s[left] @ s[right].T >= bits * tables - 2 * most - 0.5)
+            i, j = np.nonzero(s[left] @ s[right].T >= s.shape[1] - 2 * most - 0.5)
             i, j = left[i], right[j]
             if same:
                 i, j = i[i < j], j[i < j]
@@ -166,7 +166,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     rows, kind = prepare(df, key, vector), stored_kind(df, vector)
     n, width = dimension(rows.where("ok"))
     bits, tables = layout(n, threshold)
-    planes = np.random.default_rng(seed).standard_normal((width, bits * tables))
+    signs = max(SIGNS, bits * tables)
+    planes = np.random.default_rng(seed).standard_normal((width, signs))
     signed = rows.where("ok").select("vec_id", "v").mapInArrow(_signed(planes, kind), "vec_id long, key binary, signs binary, v binary")
     signed = scratch.table(signed, "vector-signs")
     classes = scratch.table(signed.groupBy("key", "signs").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
@@ -178,7 +179,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.shiftleft(F.least("block", "other"), 31).bitwiseOR(F.greatest("block", "other"))
     dealt = member.select("bucket", pair.alias("pair"), "block", "key", "signs").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
-    close = dealt.mapInArrow(_candidates(bits, tables, most_different(bits * tables, threshold)), "bucket long, pair long, block long, key binary, signs binary")
+    close = dealt.mapInArrow(_candidates(bits, tables, most_different(signs, threshold)), "bucket long, pair long, block long, key binary, signs binary")
     close = scratch.table(close, "vector-candidates")
     wanted = close.select("key").distinct()
     vectors = signed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
