@@ -5,7 +5,8 @@
 2. Classes that share a band key form a bucket. In a first round each is paired with its bucket's hub, the smallest.
    A second round takes the buckets whose members are not yet in one component, and in them all pairs across
    components, the most alike first, until they are joined or verified. A pair counts in its first shared band
-   only, a large bucket is dealt out in pairs of blocks, and only links that join components leave a task.
+   only, a large bucket is dealt out in pairs of blocks, and only links that join components leave a task. Blocks get
+   signatures first; words follow only for classes with a pair that those leave possible.
 3. Signatures are compared in batches. After each batch the posterior probability that the similarity reaches the
    threshold, from a uniform prior, decides: below ``miss`` the pair is dropped.
 4. Survivors are verified on the full sets, and connected components are taken of those that pass.
@@ -31,8 +32,9 @@ from patquarry.llm.runs import grouped
 BANDS, ROWS = 24, 5
 #: Signature bytes and how many are compared in a batch; the posterior below which a pair is dropped.
 HASHES, BATCH, MISS = 128, 16, 1e-6
-#: Members of a bucket's block.
-BLOCK = 1024
+#: Members of a bucket's block, the salts over which a bucket's members are spread in joins (bits of a mask), and bytes of sets that a
+#: task keeps while it verifies.
+BLOCK, SALTS, HELD = 1024, 64, 64 << 20
 
 _random = np.random.default_rng(20240601)
 _A = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -164,17 +166,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _verify(size: int, percent: int, most: int = 4096):
+def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         held: dict[bytes, np.ndarray] = {}
+        n = 0
 
         def items(packed: bytes) -> np.ndarray:
+            nonlocal n
             found = held.get(packed)
             if found is None:
-                if len(held) >= most:
+                found = shingles(expand.decompress(packed).split(), size)
+                if n + len(packed) + found.nbytes > HELD:
                     held.clear()
-                found = held[packed] = shingles(expand.decompress(packed).split(), size)
+                    n = 0
+                held[packed] = found
+                n += len(packed) + found.nbytes
             return found
 
         for batch in batches:
@@ -184,41 +191,53 @@ def _verify(size: int, percent: int, most: int = 4096):
     return run
 
 
+def _possible(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a run (bucket, block pair), across components, that the signatures leave possible, the most alike first."""
+    block, rep, label, hub, band = (part.column(i).to_numpy() for i in range(3, 8))
+    if label.min() == label.max():
+        return np.zeros(0, int), np.zeros(0, int)
+    sig, keys = _fixed(part.column(8), HASHES, "u1"), _fixed(part.column(9), 8 * BANDS, "<u8")
+    n, one_block = len(rep), block.min() == block.max()
+    found: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, n, 64):
+        i, j = np.nonzero(np.ones((min(64, n - start), n), bool))
+        i = i + start
+        ok = (label[i] != label[j]) & (rep[i] != hub[0]) & (rep[j] != hub[0]) & (rep[i] < rep[j] if one_block else (block[i] < block[j]))
+        i, j = i[ok], j[ok]
+        first = np.argmax(keys[i] == keys[j], 1) == band[0]  # each pair in its first shared band only
+        i, j = i[first], j[first]
+        live, matches = survivors(sig[i], sig[j], threshold)
+        found.append((i[live], j[live], matches))
+    i, j, matches = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-matches, kind="stable")
+    return i[order], j[order]
+
+
+def _close(threshold: float):
+    """The rows of each run that have a possible pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, 3):
+            i, j = _possible(part, threshold)
+            if len(i):
+                yield part.take(pa.array(np.union1d(i, j)))
+
+    return run
+
+
 def _across(threshold: float, size: int, percent: int):
     """Verified links across components within runs of (bucket, block pair), those that join two of them only.
 
     Pairs that the signatures leave possible are verified on the full sets, the most alike first; a pair whose
     components a link of the run has joined already is skipped. So a run gives fewer links than it has members."""
 
-    def possible(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rep, label, sig, keys, hub, band, block = (rows[k] for k in ("rep", "label", "sig", "keys", "hub", "band", "block"))
-        n, one_block = len(rep), block.min() == block.max()
-        found: list[tuple[np.ndarray, ...]] = []
-        for start in range(0, n, 64):
-            i, j = np.nonzero(np.ones((min(64, n - start), n), bool))
-            i = i + start
-            ok = (label[i] != label[j]) & (rep[i] != hub[0]) & (rep[j] != hub[0]) & (rep[i] < rep[j] if one_block else (block[i] < block[j]))
-            i, j = i[ok], j[ok]
-            first = np.argmax(keys[i] == keys[j], 1) == band[0]  # each pair in its first shared band only
-            i, j = i[first], j[first]
-            live, matches = survivors(sig[i], sig[j], threshold)
-            found.append((i[live], j[live], matches))
-        i, j, matches = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.argsort(-matches, kind="stable")
-        return i[order], j[order]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for part in grouped(batches, 3):
-            rows = {k: part.column(i).to_numpy(zero_copy_only=False) for k, i in (("block", 3), ("rep", 4), ("label", 5), ("hub", 6), ("band", 7))}
-            if rows["label"].min() == rows["label"].max():
-                continue
-            rows["sig"] = _fixed(part.column(8), HASHES, "u1")
-            rows["keys"] = _fixed(part.column(9), 4 * BANDS, "<u4")
-            i, j = possible(rows)
+            i, j = _possible(part, threshold)
             if not len(i):
                 continue
-            rep, label = rows["rep"].tolist(), rows["label"].tolist()
+            rep, label = part.column(4).to_pylist(), part.column(5).to_pylist()
             items: dict[int, np.ndarray] = {}
             forest, links = Forest(), []
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
@@ -255,11 +274,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     classes = scratch.table(
         named.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("c")).select("key", F.col("c.doc_id").alias("rep"), "c.sig", "c.bands"), "classes"
     )
-    member = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    buckets = scratch.table(member.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("last")).where("n > 1 and hub != last").drop("last"), "buckets")
-    member = scratch.table(member.join(buckets, ["bucket", "band"]), "bucket-members")
-    short = F.transform("bands", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    keys = F.to_binary(F.array_join(short, ""), F.lit("hex"))  # 32 bits of each band key
+    # a bucket joins its members once for each salt that they have, so a hot one is spread
+    salted = lambda df: df.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x)) != 0))).drop("mask")
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("mask")
+    place = ["bucket", "band", "salt"]
+    member = classes.select("rep", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    buckets = member.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("last"), mask).where("n > 1 and hub != last").drop("last")
+    member = scratch.table(member.join(salted(scratch.table(buckets, "buckets")), place), "bucket-members")
+    keys = F.to_binary(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit("hex"))
     of = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "key", "sig", keys.alias("keys"))
     packed = rows.where("doc_id is not null").mapInArrow(_packed, "doc_id long, key binary, packed binary")
     packed = packed.join(of, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
@@ -276,13 +298,17 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     components = connected(links)
     labelled = member.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     labelled = scratch.table(labelled, "labelled")
-    open_ = labelled.groupBy("bucket", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "band")
-    some = labelled.join(open_, ["bucket", "band"], "left_semi")
+    open_ = labelled.groupBy("bucket", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), mask).where("lo != hi").select("bucket", "band", "mask")
+    some = labelled.join(salted(scratch.table(open_, "open-buckets")), place, "left_semi")
     some = some.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    some = some.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(packed, "rep")
-    dealt = some.select("bucket", "i", "j", "block", "rep", "label", "hub", "band", "sig", "keys", "packed").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    more = scratch.table(dealt.mapInArrow(_across(threshold, size, percent), "a long, b long"), "block-links")
+    some = some.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    deal = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    columns = [*(F.col(c).cast("long").alias(c) for c in ("bucket", "i", "j", "block", "rep", "label", "hub", "band")), "sig", "keys"]
+    close = deal(some.join(packed.select("rep", "sig", "keys"), "rep").select(columns))
+    close = scratch.table(close.mapInArrow(_close(threshold), close.schema), "block-candidates")
+    worded = deal(close.join(packed.select("rep", "packed"), "rep").select(*close.columns, "packed"))
+    more = scratch.table(worded.mapInArrow(_across(threshold, size, percent), "a long, b long"), "block-links")
     components = connected(more.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of = classes.select("key", F.col("rep").alias("node")).join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return described.select("doc_id", "n_shingles", "key").join(of, "key", "left").select(
