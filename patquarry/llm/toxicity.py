@@ -3,7 +3,8 @@
 A word's input is its embedding, from a vocabulary learnt in training, beside the summed embeddings of its short
 runs of characters. The network reads windows of ``WINDOW`` words that overlap by half and together cover the whole text; a
 text's score is that of its worst window. Training knows labels of texts only: in each epoch the window that the
-network finds worst stands for its text.
+network finds worst stands for its text. A long clean text is offered in turns, every so many windows in one epoch and those
+after them in the next, so that all of its windows are looked at in the course of training.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PAD = b"\n"
 #: The bounds of training: rows of each label (taken by a hash of the id), characters of each label's rows together,
 #: vocabulary, epochs.
 TOXIC_ROWS, CLEAN_ROWS, TOXIC_CHARS, CLEAN_CHARS, VOCABULARY, EPOCHS = 2000, 4000, 12_000_000, 24_000_000, 8192, 8
+#: Windows of a clean text that an epoch offers, or more where the epochs would not get through all of them.
+AT_ONCE = 10
 #: The optimizer's step, and how often a word's embedding is hidden in training.
 RATE, DROP = 0.015, 0.4
 #: Words whose inputs a worker keeps; it starts anew beyond that. Words, and windows, scored
@@ -169,8 +172,9 @@ class Network:
 
     def scores(self, texts: list[list[bytes]], memo: Memo) -> np.ndarray:
         """The worst window's probability for each text; 0 for a text without words."""
+        has = np.fromiter(map(bool, texts), bool, len(texts))
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
+            return np.where(has, self.constant, 0.0)
         flat: list[bytes] = []
         count = [blocks(len(t)) for t in texts]
         for t, n in zip(texts, count, strict=True):
@@ -188,9 +192,15 @@ class Network:
             whose = owner[i : i + n]
             inside = whose == owner[i + 1 : i + n + 1]
             np.maximum.at(best, whose[inside], logit[inside])
-        has = np.fromiter(map(bool, texts), bool, len(texts))
         return np.where(has, _sigmoid(best), 0.0)
 
+    def token(self) -> int:
+        """A hash of all that scores depend on."""
+        h = xxhash.xxh64(repr((self.constant, list(self.vocabulary.items()))).encode())
+        for k in sorted(self.p):
+            h.update(k.encode() + self.p[k].tobytes())
+        return h.intdigest()
+
 
 class Memo:
     """Gate inputs of words, each computed once; holds ``KEPT`` words and those of one call at most."""
@@ -245,10 +255,11 @@ def train(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 11) ->
         return ids[at[:, None] + np.arange(WINDOW)]
 
     texts = [(cut(t), 1.0) for t in toxic] + [(cut(t), 0.0) for t in clean]
+    turns = lambda n: min(EPOCHS, -(-n // AT_ONCE))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        offered = [np.arange(len(w)) if y or len(w) <= 10 else r.choice(len(w), 10, replace=False) for w, y in texts]
+        offered = [np.arange(0 if y else (epoch + k) % turns(len(w)), len(w), 1 if y else turns(len(w))) for k, (w, y) in enumerate(texts)]
         flat = np.concatenate([w[s] for (w, _), s in zip(texts, offered, strict=True)])
         if epoch:
             gates = {way: np.empty((len(known), 3 * HIDDEN), np.float32) for way in "fb"}
@@ -300,9 +311,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     constant.
     """
     spark = df.sparkSession
-    marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
+    marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
+    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [marked.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*by_hash).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    some = [marked.where(F.col("y") == y).orderBy(*by_hash).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     label_of = {r.doc_id: r.y for part in some for r in part.collect()}  # bounded, in the order of the hashes
     ids = spark.createDataFrame([(i,) for i in label_of], "doc_id long")
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
@@ -354,7 +366,7 @@ def _batches(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
 
 def _scorer(df: DataFrame, network: Network):
     shared = df.sparkSession.sparkContext.broadcast(network)
-    token = xxhash.xxh64_intdigest(b"".join(v.tobytes() for v in network.p.values()))
+    token = network.token()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _memos:

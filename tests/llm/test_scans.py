@@ -193,3 +193,41 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.reject(odd, net).columns == odd.columns
     nothing = toxicity.fit(docs, marked.limit(0))
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
+    all_toxic = toxicity.fit(docs, marked.where("toxic = 1"))  # a reused worker tells constant networks apart
+    assert {r.score for r in toxicity.score(docs, all_toxic).collect()} == {1.0}
+    assert {r.score for r in toxicity.score(odd, all_toxic).collect() if r.doc_id in (5, 6)} == {0.0}
+    both = marked.unionByName(marked.where("toxic = 1").selectExpr("doc_id", "0 as toxic"))
+    assert {k: v.tobytes() for k, v in toxicity.fit(docs, both).p.items()} == {k: v.tobytes() for k, v in net.p.items()}
+
+
+def test_scores_are_those_of_the_worst_window_scored_alone(monkeypatch):
+    """Also for texts of more windows than are scored together, and ones that end within a window."""
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    r = np.random.default_rng(6)
+    words_ = [f"w{i}".encode() for i in range(50)]
+    net = toxicity.Network.new({w: i + 1 for i, w in enumerate(words_[:30])})
+    texts = [[words_[k] for k in r.integers(0, 50, n)] for n in (0, 1, 11, 12, 13, 24, 25, 36, 37, 100, 500, 1200)]
+    got = net.scores(texts, toxicity.Memo(net))
+    for t, score in zip(texts, got, strict=True):
+        padded = t + [toxicity.PAD] * (toxicity.blocks(len(t)) * toxicity.STRIDE - len(t))
+        alone = []
+        for i in range(0, len(padded) - toxicity.STRIDE, toxicity.STRIDE):
+            window = padded[i : i + toxicity.WINDOW]
+            gates = net.gates(net.inputs(window))
+            alone.append(net.run(lambda way, k, gates=gates: gates[way][k][:, None].copy(), 1)[0])
+        assert score == pytest.approx(1 / (1 + np.exp(-max(alone))) if t else 0.0, rel=1e-4)
+
+
+def test_every_window_of_a_long_clean_text_is_offered(monkeypatch):
+    run, offered = toxicity.Network.run, []
+
+    def spy(self, step, n, keep=None):
+        if keep is None:  # a look for the worst window
+            offered.append(n)
+        return run(self, step, n, keep)
+
+    monkeypatch.setattr(toxicity.Network, "run", spy)
+    long = [f"c{i % 97}".encode() for i in range(12 * 400)]
+    toxicity.train([[b"bad", b"word"]] * 3, [long, [b"good"]])
+    windows = toxicity.blocks(len(long)) - 1
+    assert sum(offered) >= windows * (toxicity.EPOCHS - 1) // toxicity.EPOCHS
