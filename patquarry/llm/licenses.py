@@ -189,3 +189,18 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+#: The base columns of the same rows in SQL: every start of every phrase among the words.
+BASE_SQL = """
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x != '') as w from documents
+), found as (
+  select *, list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' and w[i + 2] = 'by') as a,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as b,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'all' and w[i + 2] = 'rights' and w[i + 3] = 'reserved') as c from w
+)
+select doc_id, len(w)::bigint as n_words, (len(a) + len(b) + len(c))::bigint as n_base, list_min(a || b || c) as first_word, list_max(a || b || c) as last_word,
+  array_to_string(list_filter([case when len(a) > 0 then 'cc-by' end, case when len(b) > 0 then 'gpl' end, case when len(c) > 0 then 'reserved' end], lambda x: x is not null), ',') as base_labels
+from found
+"""

@@ -1,19 +1,24 @@
 """Secret scans: three fixed patterns, and strings that a primed compressor finds new.
 
 A candidate is a whole run of key-like characters, however long, after a word that announces a secret. It is compressed by zstandard
-with a dictionary of code and identifiers, once the text around it alone and once with the candidate in its place;
-the difference is what the candidate adds. Words, identifiers and what stands nearby already add few bytes,
-random strings nearly their full content, and those are reported. Copies of the candidate nearby are blanked before, so
+with dictionaries of code and identifiers, once the text around it alone and once with the candidate in its place;
+the difference is what the candidate adds, as it stands or in lower case. Words, identifiers and what stands nearby already add few bytes,
+random strings nearly their full content, and those are reported. The words and identifiers are those of Python's own documentation,
+its modules' names and their members, which every worker has, and a fixed text. Copies of the candidate nearby are blanked before, so
 a secret that stands twice does not explain itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log2
+from pydoc_data.topics import topics
+from string import ascii_lowercase, digits
 
 import pyarrow as pa
 import zstandard
@@ -31,9 +36,12 @@ CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "ap
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.I | re.A)
 #: A whole run of key-like characters, over single points inside it; counted from so many characters on.
 _CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"), 16
-#: How far after a name a candidate may begin, how much text on either side primes the compressor, the least share of
-#: a candidate's bytes that must be new, and the least of new bytes.
-REACH, AROUND, SHARE, LEAST = 48, 160, 0.62, 14
+#: How far after a name a candidate may begin, how much text on either side primes the compressor, the least share that
+#: a candidate must add of what random characters in its place add, how many times those are drawn, and the least of new bytes.
+REACH, AROUND, SHARE, CONTROLS, LEAST = 48, 160, 0.75, 2, 11
+#: Words of the dictionary from Python's library, the most frequent ones, and the modules whose members and documentation give them.
+WORDS = 8000
+MODULES = ("argparse", "asyncio", "base64", "collections", "configparser", "csv", "datetime", "email", "ftplib", "functools", "getpass", "hashlib", "hmac", "http.client", "http.server", "imaplib", "inspect", "io", "json", "logging", "os", "pathlib", "platform", "random", "re", "secrets", "shutil", "smtplib", "socket", "socketserver", "sqlite3", "ssl", "string", "subprocess", "threading", "tempfile", "typing", "unittest", "urllib.parse", "urllib.request", "uuid", "xml.sax", "zipfile")
 #: As many characters in a row that stand in a candidate too are a copy of it, which does not explain it.
 COPY = 12
 #: Longer candidates are measured in pieces of so many characters.
@@ -50,6 +58,8 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000000000000000 xxxxxxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXXXXXX ******************** ==================== -------------------- ____________________ "
 ).encode()
 
+#: Words of four letters and more, also inside names.
+_LETTERS = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _LONG_HEX = b"x" * 24
 
@@ -71,9 +81,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def library_words(most: int = WORDS) -> list[str]:
+    """Words of Python's documentation and of its modules' names, in lower case, the most frequent ones last."""
+    counts: Counter[str] = Counter()
+    for name in MODULES:
+        module = importlib.import_module(name)
+        for member, value in [(name, module), *vars(module).items()]:
+            doc = getattr(value, "__doc__", None)
+            counts.update(w.lower() for w in _LETTERS.findall(f"{member} {doc if isinstance(doc, str) else ''}"))
+            if isinstance(value, type):
+                counts.update(w.lower() for a in vars(value) for w in _LETTERS.findall(a))
+    for text in topics.values():
+        counts.update(w.lower() for w in _LETTERS.findall(text))
+    return [w for w, _ in sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:most]][::-1]
+
+
 @lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
-    prime = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words = " ".join(library_words()).encode() + b" " + IDENTIFIERS  # the nearest are the cheapest
+    prime = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    prime.precompute_compress(level=19)
     return zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
@@ -95,13 +122,28 @@ def novelty(text: str, start: int, end: int) -> int:
     before, after = _without(text[max(0, start - more) : start], grams)[-AROUND:], _without(text[end : end + more], grams)[:AROUND]
     around = f"{after}\n{before}"  # the candidate comes last, after all that may explain it
     size = lambda x: len(_compressor().compress(x.encode("utf-8", "surrogatepass")))
-    return size(around + candidate) - size(around)
+    alone = size(around)
+    return min(size(around + x) for x in {candidate, candidate.lower()}) - alone
+
+
+def random_like(text: str, seed: int) -> str:
+    """Random letters and digits, always the same ones, in place of a text's; the case of letters and all else stay.
+
+    Letters of a text that has none beyond f stay within those."""
+    r, lower = random.Random(len(text) + 1_000_000 * seed), ascii_lowercase
+    if all(c in "abcdef" for c in text.lower() if c.isalpha()):
+        lower = "abcdef"
+    kinds = ((str.islower, lower), (str.isupper, lower.upper()), (str.isdigit, digits))
+    return "".join(next((r.choice(kind) for is_, kind in kinds if is_(c)), c) for c in text)
 
 
 def _new(text: str, start: int, end: int) -> bool:
-    """Whether a candidate of at most ``PIECE`` characters adds most of what random characters of its kind hold."""
-    bits = log2(10) if text[start:end].isdigit() else 6  # of eight
-    return novelty(text, start, end) >= max(LEAST, SHARE * (end - start) * bits / 8)
+    """Whether a candidate of at most ``PIECE`` characters adds nearly what random characters of its kind would in its place."""
+    added = novelty(text, start, end)
+    if added < LEAST:
+        return False
+    controls = (text[:start] + random_like(text[start:end], seed) + text[end:] for seed in range(CONTROLS))
+    return any(added >= SHARE * novelty(c, start, end) for c in controls)
 
 
 def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:

@@ -81,6 +81,46 @@ def test_whole_secrets_of_any_kind():
     assert secrets.redacted("bearer " + draw(100_000)) == "bearer [removed]"
 
 
+IDENTIFIERS = (
+    "get_user_access_token_from_request refresh_token_expiration_seconds your_api_key_goes_here AbstractAuthenticationTokenFilter password_reset_confirmation_email "
+    "application/x-www-form-urlencoded docs/guides/authentication/bearer-tokens SPRING_DATASOURCE_PASSWORD_ENV validate_authorization_header "
+    "oauth2_client_credentials_grant placeholder_value_change_me terraform-provider-credentials 2024-01-15T10:30:00.000Z ThisIsAPlaceholderPassword "
+    "documentation-for-developers session_management_configuration"
+).split()
+AFTER = ("Authorization: Bearer {}", "the passphrase is {}", "ssh-rsa {} user@host", "credential {} # prod", "private_key -> {}")
+
+
+def test_recall_and_false_positives_of_new_strings():
+    """Random keys of every length from the least one on are found whole; names and words that follow the same words are not."""
+    r = np.random.default_rng(12)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789")
+    found = []
+    for n in (*range(16, 33), 40, 64, 100, 257, 600, 1500, 5000):
+        for x in alphabets:
+            for k in range(3):
+                key = "".join(r.choice(list(x), n))
+                left = secrets.redacted("some words before\n" + AFTER[(n + k) % len(AFTER)].format(key) + "\nand after")
+                found.append((n, not any(key[i : i + 6] in left for i in range(n - 5))))
+    assert np.mean([ok for n, ok in found if n < 20]) >= 0.93 and np.mean([ok for n, ok in found if n >= 20]) >= 0.98 and all(ok for n, ok in found if n > 64)
+    wrong = [bool(secrets.novel_spans(t.format(i))) for i in IDENTIFIERS for t in AFTER]
+    assert np.mean(wrong) <= 0.15
+
+
+def test_base_columns_equal_sql(spark):
+    """Counts of the base kinds and places of the base phrases over a whole table, by an engine's own patterns."""
+    from patquarry.llm import queries
+    from tests.compare import DATA, connect
+
+    kinds = {"assign": r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)"}
+    least = {"assign": 6, "access": 20, "hex": 24}
+    sql = ", ".join(f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}', 1), lambda x: len(x) >= {least[k]})) as n_{k}" for k, p in kinds.items())
+    want = sorted(connect().sql(f"select doc_id, {sql} from documents").fetchall())
+    assert want == sorted(tuple(r) for r in queries.QUERIES["op6_secrets"](spark, DATA).select("doc_id", "n_assign", "n_access", "n_hex").collect())
+    want = connect().sql(licenses.BASE_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.QUERIES["op2_licenses"](spark, DATA).select(*want.columns).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert [tuple(None if x != x else x for x in r) for r in want.itertuples(index=False)] == [tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)]
+
+
 def test_base_secrets_equal_plain_patterns():
     plain = (("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
     r = np.random.default_rng(1)
