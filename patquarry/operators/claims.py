@@ -13,36 +13,49 @@ CANCELED, RANGE = r"(?i)cancell?ed", r"(?i)[-–~]|to|至"
 STATUSES = ("not_established", "needs_review", "possibly_established")
 
 
+#: A range of more numbers than this stands for its ends only.
+LONGEST_RANGE = 10_000
+
+
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, nth, segment``: parts between bars or line ends; one that starts with no number goes on the one before."""
-    parts = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\s*\|\s*|\r?\n")).alias("at", "part"))
-    parts = parts.withColumn("nth", F.sum(F.col("part").rlike(ANCHOR).cast("int")).over(Window.partitionBy(key).orderBy("at")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: F.trim(x["part"])), " ")
-    return parts.where("nth > 0").groupBy(key, "nth").agg(joined.alias("segment"))
+
+    def add(found: Column, part: Column) -> Column:
+        more = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.concat(F.element_at(found, -1), F.lit(" "), F.trim(part))))
+        return F.when(part.rlike(ANCHOR), F.concat(found, F.array(F.trim(part)))).when(F.size(found) == 0, found).otherwise(more)
+
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"\s*\|\s*|\r?\n")
+    joined = F.aggregate(parts, F.array().cast("array<string>"), add)
+    return df.select(key, F.posexplode(joined).alias("nth", "segment")).withColumn("nth", F.col("nth") + 1)
 
 
 def references(body: Column) -> Column:
-    """Numbers of the claims referred to, in order, each once; two numbers of a range stand for all between."""
+    """Numbers of the claims referred to, in order, each once; two numbers of a range stand for all between. Numbers that are no int are none."""
     tokens = F.regexp_extract_all(body, F.lit(REFERENCE), F.lit(1))
 
     def numbers(token: Column) -> Column:
-        n = F.transform(F.regexp_extract_all(token, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
-        return F.when((F.size(n) == 2) & token.rlike(RANGE), F.sequence(F.array_min(n), F.array_max(n))).otherwise(n)
+        n = F.transform(F.regexp_extract_all(token, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+        n = F.filter(n, lambda x: x.isNotNull())
+        short = F.array_max(n).cast("long") - F.array_min(n) < LONGEST_RANGE
+        return F.when((F.size(n) == 2) & token.rlike(RANGE) & short, F.sequence(F.array_min(n), F.array_max(n))).otherwise(n)
 
     return F.array_distinct(F.flatten(F.transform(tokens, numbers)))
 
 
 def parse(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row a claim: ``number, text, type, parent, parents, multiple_dependent``; only references back name parents."""
+    """A row a claim: ``number, text, type, parent, parents, multiple_dependent``; only references back name parents.
+
+    A number that is no int stays as its digits and has no parents."""
     rows = segments(df, key, text)
     get = lambda i: F.regexp_extract("segment", ANCHOR, i)
-    rows = rows.withColumn("first", get(1).cast("int")).withColumn("end", get(2)).withColumn("body", F.trim(get(3)))
+    rows = rows.withColumn("first", get(1).try_cast("int")).withColumn("end", get(2)).withColumn("body", F.trim(get(3)))
     rows = rows.withColumn("refs", references(F.col("body"))).withColumn("back", F.filter("refs", lambda x: x < F.col("first")))
     odd = (F.col("end") != "") | F.col("body").rlike(CANCELED)
     kind = F.when(odd, "unknown").when(F.size("refs") == 0, "independent").when(F.size("back") == 0, "unknown").otherwise("dependent")
     rows = rows.withColumn("type", kind).withColumn("parents", F.when(kind == "dependent", F.col("back")).otherwise(F.array().cast("array<int>")))
+    number = F.coalesce(F.col("first").cast("string"), get(1))
     return rows.select(
-        key, F.when(F.col("end") != "", F.concat(F.col("first").cast("string"), F.lit("-"), F.col("end"))).otherwise(F.col("first").cast("string")).alias("number"), F.trim("segment").alias("text"), "type",
+        key, F.when(F.col("end") != "", F.concat(number, F.lit("-"), F.col("end"))).otherwise(number).alias("number"), F.trim("segment").alias("text"), "type",
         F.when(F.size("parents") == 1, F.get("parents", F.lit(0))).alias("parent"), F.array_join(F.transform("parents", lambda x: x.cast("string")), ",").alias("parents"), (F.size("parents") > 1).alias("multiple_dependent"),
     )
 
@@ -52,14 +65,15 @@ def evaluate(elements: Column) -> Column:
     return F.when(F.size(elements) < 1, None).when(F.exists(elements, lambda x: x == "not_met"), STATUSES[0]).when(F.forall(elements, lambda x: x == "met"), STATUSES[2]).otherwise(STATUSES[1])
 
 
-def infer(claims: DataFrame, key: str, turns: int = 10) -> DataFrame:
+def infer(claims: DataFrame, key: str) -> DataFrame:
     """Statuses along parents: ``key, number, status, inferred``. The least favourable of a claim and those it depends on
-    counts; it is inferred where one of those is not established. Each turn doubles the chain seen, 2 ** ``turns`` in all;
-    a missing parent or a cycle gives a null status."""
+    counts; it is inferred where one of those is not established. Each turn doubles the chain seen, and there are as many turns as
+    the longest list of claims could need; a missing parent or a cycle gives a null status."""
+    most = claims.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("own")).cast("int")
     # up: the least rank of proper ancestors seen so far; at: the next ancestor
     step = claims.select(key, "number", rank.alias("rank"), F.lit(9).alias("up"), F.col("parent").alias("at"))
-    for _ in range(turns):
+    for _ in range(most.bit_length()):
         ahead = step.select(key, F.col("number").alias("at"), F.least("rank", "up").alias("r"), F.col("at").alias("next"), F.lit(True).alias("found"))
         step = step.join(ahead, [key, "at"], "left").select(
             key, "number", "rank", F.least("up", F.coalesce("r", F.lit(9))).alias("up"), F.when(F.col("found"), F.col("next")).otherwise(F.col("at")).alias("at")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
+from functools import reduce
+from math import log, sqrt
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +18,7 @@ from pyspark.sql.window import Window
 
 from patquarry.functions.status import is_design
 from patquarry.functions.text import is_filled
+from patquarry.operators.sets import euclidean
 
 
 def ladder(n: int) -> tuple[int, ...]:
@@ -70,17 +75,123 @@ def assign(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(ready).transform(ready).drop("_v")
 
 
-def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10, vocabulary: int = 20_000) -> DataFrame:
-    """Class-based TF-IDF: ``topic, rank, term, weight``, with the best terms of each topic."""
-    terms = df.select(topic, F.explode(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")).alias("term")).where(F.length("term") > 1)
-    counts = terms.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(topic).agg(F.sum("n").alias("size"))
+def claim_chunks(df: DataFrame, key: str, text: str, most: int = 256, step: int | None = None) -> DataFrame:
+    """``key, chunk, words, text``: whole claims packed in order into chunks of at most ``most`` words.
+
+    A claim begins at ``n.``, after a line end or bar. One of more than ``most`` words makes chunks of its own, which begin every
+    ``step`` words, ``most`` by default, until its end is reached."""
+    step = step or most
+    split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"(?:^|[\r\n|])\s*(?=\d+\s*[.．、])"), split)
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - most + step - 1, F.lit(0)) / step).cast("int"))
+        return F.transform(starts, lambda i: F.slice(words, i * step + 1, F.lit(most)))
+
+    def add(found: Column, words: Column) -> Column:
+        last = F.element_at(found, -1)
+        fits = (F.size(found) > 0) & F.coalesce(F.size(F.try_element_at(found, F.lit(-1))) + F.size(words) <= most, F.lit(False))
+        return F.when(fits, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.concat(last, words)))).otherwise(F.concat(found, cut(words)))
+
+    packed = F.aggregate(F.filter(parts, lambda w: F.size(w) > 0), F.array().cast("array<array<string>>"), add)
+    return df.select(key, F.posexplode(packed).alias("chunk", "w")).select(key, "chunk", F.size("w").alias("words"), F.array_join("w", " ").alias("text"))
+
+
+def terms_of(text: Column) -> Column:
+    """Words of two characters and more in order, and pairs of neighbors among them."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 1)
+    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def term_weights(df: DataFrame, text: str, topic: str = "topic") -> DataFrame:
+    """Class-based TF-IDF of every word and pair of words in each topic: ``topic, term, n, weight``; no term is left out."""
+    counts = df.select(topic, F.explode(terms_of(F.col(text))).alias("term")).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(topic).agg(F.sum("n").alias("size"))  # a row a topic
     mean = sizes.agg(F.avg("size").alias("mean"))
-    whole = counts.groupBy("term").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "term").limit(vocabulary)
+    whole = counts.groupBy("term").agg(F.sum("n").alias("all"))
     weight = F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("all"))
-    rows = counts.join(F.broadcast(sizes), topic).join(whole, "term").join(F.broadcast(mean)).withColumn("weight", weight)
+    return counts.join(F.broadcast(sizes), topic).join(whole, "term").join(F.broadcast(mean)).select(topic, "term", "n", weight.alias("weight"))
+
+
+def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10) -> DataFrame:
+    """``topic, rank, term, weight``, with the best terms of each topic by class-based TF-IDF."""
     rank = F.row_number().over(Window.partitionBy(topic).orderBy(F.col("weight").desc(), "term"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select(topic, "rank", "term", "weight")
+    return term_weights(df, text, topic).withColumn("rank", rank).where(F.col("rank") <= most).select(topic, "rank", "term", "weight")
+
+
+def representative(df: DataFrame, key: str, text: str, topic: str = "topic", most: int = 3) -> DataFrame:
+    """``topic, key, cosine, nearest, farthest``: documents by the cosine of their terms' counts with the topic's weights, the
+    ``most`` nearest and farthest of each topic with their ranks, null for the other kind; ties go to the smaller key. Documents without terms count 0."""
+    weights = term_weights(df, text, topic).select(topic, "term", "weight")
+    norms = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    counts = df.select(topic, key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(topic, key, "term").agg(F.count(F.lit(1)).alias("c"))
+    dots = counts.join(weights, [topic, "term"]).groupBy(topic, key).agg(F.sum(F.col("c") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("own"))
+    rows = df.select(topic, key).distinct().join(dots, [topic, key], "left").join(F.broadcast(norms), topic, "left")
+    rows = rows.withColumn("cosine", F.round(F.coalesce(F.col("dot") / (F.col("own") * F.col("norm")), F.lit(0.0)), 9))
+    by = lambda *o: F.row_number().over(Window.partitionBy(topic).orderBy(*o))
+    near, far = (rows.select(topic, key, "cosine", by(o, key).alias("r")).where(F.col("r") <= most) for o in (F.col("cosine").desc(), F.col("cosine").asc()))
+    return near.withColumnRenamed("r", "nearest").join(far.withColumnRenamed("r", "farthest"), [topic, key, "cosine"], "full")
+
+
+def _windows(sets: dict[int, list[str]], width: int):
+    """How many windows of the texts have each word, and each pair of words of one topic; a row a word or pair and task."""
+    import pyarrow as pa
+
+    topics_of: dict[str, list[int]] = {}
+    for topic, words in sets.items():
+        for w in words:
+            topics_of.setdefault(w, []).append(topic)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        counts: Counter[tuple[str, str]] = Counter()
+        n = 0
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                starts = max(1, len(tokens) - width + 1)
+                n += starts
+                held = Counter(w for w in tokens[:width] if w in topics_of)
+                before, since = None, 0
+                for i in range(starts + 1):
+                    now = frozenset(w for w, c in held.items() if c) if i < starts else None
+                    if now != before:  # windows between two changes count together
+                        if before and i > since:
+                            for a in before:
+                                counts[a, a] += i - since
+                            pairs = {(a, b) for a in before for b in before if a < b and set(topics_of[a]) & set(topics_of[b])}
+                            for pair in pairs:
+                                counts[pair] += i - since
+                        before, since = now, i
+                    if i + width < len(tokens) and i < starts:
+                        held[tokens[i]] -= tokens[i] in topics_of
+                        held[tokens[i + width]] += tokens[i + width] in topics_of
+        counts["", ""] = n
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts]), pa.array([b for _, b in counts]), pa.array(list(counts.values()), pa.int64())], names=["a", "b", "n"])
+
+    return run
+
+
+def coherence(df: DataFrame, text: str, words: DataFrame, topic: str = "topic", width: int = 110) -> dict[int, float]:
+    """The c_v coherence of each topic's words over the texts (Röder et al., 2015).
+
+    In sliding windows of ``width`` words each word of a topic has a vector of its normalised pointwise mutual information
+    with all of them; the mean cosine of these vectors with their sum is the topic's. Only single words count. The driver gets
+    counts of the topics' words, not of the texts'."""
+    sets: dict[int, list[str]] = {}
+    for r in words.select(topic, "term").orderBy(topic, "term").collect():  # a few words a topic
+        if " " not in r.term:
+            sets.setdefault(r[topic], []).append(r.term)
+    tokens = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 1)
+    rows = df.select(tokens.alias("w")).where(F.size("w") > 0).mapInArrow(_windows(sets, width), "a string, b string, n long")
+    n = {(r.a, r.b): r.n for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    total, out = n.get(("", ""), 0), {}
+    for t, ws in sets.items():
+        p = lambda a, b: n.get((min(a, b), max(a, b)), 0) / max(1, total)  # noqa: E731, B023
+        npmi = [[log((p(a, b) + 1e-12) / (p(a, a) * p(b, b))) / -log(p(a, b) + 1e-12) if p(a, a) and p(b, b) and p(a, b) < 1 else float(a == b or p(a, b) == 1) for b in ws] for a in ws]
+        whole = [sum(c) for c in zip(*npmi, strict=True)]
+        dot = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True))
+        cosines = [dot(v, whole) / sqrt(dot(v, v) * dot(whole, whole)) if dot(v, v) and dot(whole, whole) else 0.0 for v in npmi]
+        out[t] = sum(cosines) / len(cosines)
+    return out
 
 
 def quality(assigned: DataFrame, words: DataFrame, topic: str = "topic") -> DataFrame:
@@ -91,6 +202,31 @@ def quality(assigned: DataFrame, words: DataFrame, topic: str = "topic") -> Data
     return balance.join(words.agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity")))
 
 
+def candidates(df: DataFrame, text: str, vector: str, reduced: int = 16, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Every number of topics of the ladder fitted, judged and scored, and what is in which topic.
+
+    Returns the candidates, ``k, coherence, diversity, balance, small, score, profile`` (null, or low, middle or high), and the
+    rows of ``df`` with ``k, topic, distance`` to the topic's center, once for each ``k``."""
+    spark = df.sparkSession
+    ready = reduce_dimensions(df, vector, reduced).withColumn("_v", array_to_vector("reduced")).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = []
+    for k in ladder(ready.count()):
+        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(ready)
+        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "topic int, _center array<double>")
+        near = model.transform(ready).join(F.broadcast(centers), "topic")
+        parts.append(near.withColumn("k", F.lit(k)).withColumn("distance", euclidean(F.col("reduced"), F.col("_center"))).drop("_center", "_v"))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("_topic", F.col("k") * 1000 + F.col("topic"))
+    words = keywords(rows, text, "_topic")
+    held = [(t, v) for t, v in coherence(df, text, words, "_topic").items()]
+    per_topic = spark.createDataFrame(held, "_topic int, c double").groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg(F.avg("c").alias("coherence"))
+    diverse = words.groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity"))
+    sizes = rows.groupBy("k", "topic").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("k")))
+    even = sizes.groupBy("k").agg((-F.sum(F.col("p") * F.log("p")) / F.greatest(F.log(F.count(F.lit(1)).cast("double")), F.lit(1e-12))).alias("balance"), F.avg((F.col("n") < 5).cast("double")).alias("small"))
+    scored = score(even.join(per_topic, "k").join(diverse, "k"))
+    chosen = profiles(scored).select("k", F.element_at(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), F.col("part")).alias("profile"))
+    return scored.join(chosen, "k", "left"), rows.drop("_topic")
+
+
 def score(rows: DataFrame) -> DataFrame:
     """Candidates ``k, coherence, diversity, balance, small`` with their weighted score of values scaled to 0..1."""
     w = Window.partitionBy(F.lit(0))  # a row a candidate
@@ -104,8 +240,6 @@ def labels(words: DataFrame, topic: str = "topic") -> DataFrame:
     return words.where("rank <= 3").groupBy(topic).agg(text.alias("label")).withColumn("topic_code", F.format_string("T%03d", F.col(topic) + 1))
 
 
-
-
 def profiles(rows: DataFrame) -> DataFrame:
     """Of scored candidates one each from the low, middle and high third of the numbers of topics: the best, the smaller on a tie."""
     w = Window.partitionBy(F.lit(0)).orderBy("k")  # a row a candidate

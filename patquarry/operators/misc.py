@@ -55,6 +55,14 @@ def targets(aliases: DataFrame) -> DataFrame:
     return aliases.where("review_status = 'confirmed'").groupBy("code").agg(F.max(zh).alias("name_zh"), F.max(norm).alias("name_norm")).where("name_zh is not null or name_norm is not null")
 
 
+def grouped_aliases(aliases: DataFrame) -> DataFrame:
+    """Confirmed aliases and those to review in the order of codes, each with how many of its code are confirmed. Rows, not
+    lists: no code's aliases have to stand in one place."""
+    rows = aliases.where(F.col("review_status").isin("confirmed", "review_required")).select("code", "alias_id", "alias", "review_status")
+    counts = rows.groupBy(F.col("code").alias("_code")).agg(F.count_if(F.col("review_status") == "confirmed").alias("confirmed"))
+    return rows.join(counts, F.col("code").eqNullSafe(F.col("_code"))).drop("_code").orderBy("code", "alias_id")
+
+
 def codes_without(aliases: DataFrame, done: DataFrame) -> DataFrame:
     """Confirmed codes that have no Chinese name and were neither reviewed nor drafted, with their most frequent name."""
     from patquarry.plans.companies import mode_by

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from patquarry.functions.text import blank_to_null, lookup_key, split_multi_value
 
@@ -50,7 +51,7 @@ def search_terms(patents: DataFrame, fields: Mapping[str, int]) -> DataFrame:
 
 
 def keyword_search(patents: DataFrame, terms: DataFrame, keyword: str) -> DataFrame:
-    """Patents of which a term has the keyword; a blank keyword filters nothing."""
+    """Patents of which a term has the keyword, in which % and _ are wildcards; a blank keyword filters nothing."""
     key = " ".join(keyword.lower().split())
     return patents.join(terms.where(F.col("lookup").like(f"%{key}%")).select("patent_id"), "patent_id", "left_semi") if key else patents
 
@@ -72,19 +73,27 @@ def similar(vectors: DataFrame, subject: int, most: int = 10) -> DataFrame:
     return rows.groupBy("patent_id").agg(F.min("distance").alias("distance")).orderBy("distance", "patent_id").limit(most)
 
 
+def mean_vector(vector: Column, weight: Column | None = None) -> Column:
+    """The mean of vectors in a group, merged from each task's, so that no component is a row of its own."""
+    v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    return vector_to_array(Summarizer.mean(v) if weight is None else Summarizer.mean(v, weight))
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
+
+
 def centroid_distance(rows: DataFrame) -> DataFrame:
     """Euclidean distance of each vector to the mean of its topic: ``topic, patent_id, distance``."""
-    parts = rows.select("topic", "patent_id", F.posexplode("vector").alias("at", "x"))
-    means = parts.groupBy("topic", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return parts.join(means, ["topic", "at"]).groupBy("topic", "patent_id").agg(F.sqrt(F.sum((F.col("x").cast("double") - F.col("mean")) ** 2)).alias("distance"))
+    means = rows.groupBy("topic").agg(mean_vector(F.col("vector")).alias("_mean"))
+    return rows.join(means, "topic").select("topic", "patent_id", euclidean(F.col("vector"), F.col("_mean")).alias("distance"))
 
 
 def weighted_mean(chunks: DataFrame) -> DataFrame:
     """The mean of each patent's chunk vectors by their shares of tokens, or by equal shares where there are no tokens."""
-    w = Window.partitionBy("patent_id")
-    share = F.when(F.sum("tokens").over(w) > 0, F.col("tokens") / F.sum("tokens").over(w)).otherwise(1 / F.count(F.lit(1)).over(w))
-    parts = chunks.withColumn("share", share).select("patent_id", "share", F.posexplode("vector").alias("at", "x"))
-    return parts.groupBy("patent_id", "at").agg(F.sum(F.col("share") * F.col("x").cast("double")).alias("value"))
+    tokens = F.coalesce(F.col("tokens"), F.lit(0)).cast("double")
+    means = chunks.groupBy("patent_id").agg(mean_vector(F.col("vector"), tokens).alias("by_tokens"), mean_vector(F.col("vector")).alias("equal"), F.sum(tokens).alias("n"))
+    return means.select("patent_id", F.posexplode(F.when(F.col("n") > 0, F.col("by_tokens")).otherwise(F.col("equal"))).alias("at", "value"))
 
 
 def pending(patents: DataFrame, blank: Column, country: str = "TW") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from patquarry.functions import status
+from patquarry.operators.sets import mean_vector
 
 #: Names of a topic's status (fixed values).
 EMERGING, GROWING, MATURE, CONCENTRATED, DECLINING, UNCLASSIFIED, INSUFFICIENT = "近期新進", "申請成長", "申請趨穩", "少數申請人集中", "申請下降", "未分類", "樣本不足"
@@ -178,8 +179,7 @@ def closest_topics(centers: DataFrame, most: int = 5) -> DataFrame:
 
 def centers(assigned: DataFrame) -> DataFrame:
     """``topic_code, center``: the mean of each topic's vectors."""
-    parts = assigned.select("topic_code", F.posexplode("vector").alias("at", "x")).groupBy("topic_code", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy("topic_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("center"))
+    return assigned.groupBy("topic_code").agg(mean_vector(F.col("vector")).alias("center"))
 
 
 def assign_unassigned(vectors: DataFrame, assigned: DataFrame, centers: DataFrame) -> DataFrame:

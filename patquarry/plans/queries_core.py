@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patquarry.functions import status, text
-from patquarry.operators import claims, sets, upsert
+from patquarry.operators import claims, misc, sets, upsert
 from patquarry.plans import adhoc, companies, tables as t
 from patquarry.plans.catalog import query
 from patquarry.sources.projection import as_sql, load, project, with_tables
@@ -106,7 +106,7 @@ select patent_id, number, case least(k, coalesce(up, 9)) when 1 then 'not_establ
     lambda s, d: claims.infer(
         t.patents(s, d).select("patent_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("number")).withColumn("parent", F.when(F.col("number") > 1, F.col("number") - 1)).withColumn(
             "own", F.when((F.col("patent_id") + F.col("number")) % 5 == 0, "not_established").when((F.col("patent_id") * F.col("number")) % 3 == 0, "needs_review").otherwise("possibly_established")
-        ), "patent_id", turns=3,
+        ), "patent_id",
     )
 )
 
@@ -169,6 +169,6 @@ query("AG29_distinct_pending", with_tables(f" select country_code, count(distinc
 query("W3_latest_company", with_tables(" select code, alias_id from (select code, alias_id, row_number() over (partition by code order by updated desc, alias_id desc) as k from aliases) where k = 1", "aliases"))(
     lambda s, d: t.aliases(s, d).withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy(F.col("updated").desc(), F.col("alias_id").desc()))).where("k = 1").select("code", "alias_id")
 )
-query("AG33_grouped_aliases", with_tables(" select code, string_agg(alias, ',' order by alias_id) as names, count(*) filter (review_status = 'confirmed') as confirmed from aliases group by 1", "aliases"))(
-    lambda s, d: t.aliases(s, d).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias_id", "alias"))), lambda x: x["alias"]), ",").alias("names"), F.count_if(F.col("review_status") == "confirmed").alias("confirmed"))
+query("AG33_grouped_aliases", with_tables(" select code, alias_id, alias, review_status, count(*) filter (review_status = 'confirmed') over (partition by code) as confirmed from aliases where review_status in ('confirmed', 'review_required')", "aliases"))(
+    lambda s, d: misc.grouped_aliases(t.aliases(s, d))
 )

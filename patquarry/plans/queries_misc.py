@@ -50,7 +50,12 @@ query("N7_N8_name_pairs", with_tables(" select distinct nullif(code, '') as code
     lambda s, d: misc.name_pairs(t.patents(s, d), [("applicant_raw", "applicant_code"), ("assignee_raw", None)])
 )
 query("N6_N9_govern")(lambda s, d: misc.govern(misc.name_pairs(t.patents(s, d), [("applicant_raw", "applicant_code"), ("assignee_raw", None)]), t.aliases(s, d)))
-query("W7_representatives")(lambda s, d: _representatives(s, d))
+query("W7_representatives", f"""with {t.EXPANDED_SQL}, assignments as ({as_sql('assignments')}), {_LATEST},
+rows as (select l.topic_code, e.applicant_display_name as applicant, e.patent_id, e.application_year, replace(e.application_no, '-', chr(8209)) as n from latest l join expanded e using (patent_id) where l.channel = 'technical'),
+ranked as (select topic_code, applicant, row_number() over (partition by topic_code order by count(distinct patent_id) desc, applicant) as k from rows group by 1, 2),
+one as (select topic_code, k, arg_min(n, -coalesce(application_year, -1)::bigint * 100000000000 + patent_id) as n from rows join ranked using (topic_code, applicant) where k <= 3 group by 1, 2),
+kept as (select topic_code, n, min(k) as k from one group by 1, 2)
+select topic_code, string_agg(n, '、' order by k) as representative from kept group by 1""")(lambda s, d: _representatives(s, d))
 
 
 def _representatives(s, d):  # noqa: ANN001, ANN202
@@ -95,11 +100,46 @@ query("T9_T10_T16_topics")(lambda s, d: clustering.assign(clustering.reduce_dime
 
 
 def _discovered(s, d):  # noqa: ANN001, ANN202
-    return load(s, d, "documents").where("text is not null").select("text", F.col("lang").alias("topic_name")).withColumn("topic", F.expr("array_position(array('de', 'en', 'es', 'fr'), topic_name) - 1"))
+    return load(s, d, "documents").where("text is not null").select("doc_id", "text", F.expr("cast(array_position(array('de', 'en', 'es', 'fr'), lang) - 1 as int)").alias("topic"))
+
+
+#: Words and pairs of words of each language's documents, their weights and ranks.
+_TERMS = """w as (
+  select list_position(['de', 'en', 'es', 'fr'], lang)::int - 1 as topic, doc_id, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 1) as w from documents where text is not null
+), term as (select topic, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from w
+), counts as (select topic, term, count(*) as n from term group by 1, 2), sizes as (select topic, sum(n)::bigint as size from counts group by 1), mean as (select avg(size) as mean from sizes),
+whole as (select term, sum(n)::bigint as whole from counts group by 1),
+weights as (select topic, term, n / size * ln(1 + mean / whole) as weight from counts join sizes using (topic) join whole using (term), mean),
+ranked as (select *, row_number() over (partition by topic order by weight desc, term) as rank from weights)"""
+query("T12_quality", f"""with {_TERMS}, n as (select topic, count(*) as n from w group by 1), p as (select n, n / sum(n) over () as p from n)
+select round(-sum(p * ln(p)) / greatest(ln(count(*)), 1e-12), 9) as balance, avg(case when n < 5 then 1.0 else 0.0 end)::double as small, count(*) as topics, (select count(distinct term) / count(*) from ranked where rank <= 10) as diversity from p""")(
+    lambda s, d: clustering.quality(_discovered(s, d), clustering.keywords(_discovered(s, d), "text")).withColumn("balance", F.round("balance", 9))
+)
+query("T15_T25_keywords", f"with {_TERMS} select topic, string_agg(term, ' / ' order by rank) as label, 'T' || lpad((topic + 1)::varchar, 3, '0') as topic_code from ranked where rank <= 3 group by 1")(
+    lambda s, d: clustering.labels(clustering.keywords(_discovered(s, d), "text"))
+)
+query("T15_representative", f"""with {_TERMS}, norms as (select topic, sqrt(sum(weight * weight)) as norm from weights group by 1), c as (select topic, doc_id, term, count(*) as c from term group by 1, 2, 3),
+dots as (select topic, doc_id, sum(c * weight) as dot, sqrt(sum(c * c)) as own from c join weights using (topic, term) group by 1, 2),
+r as (select w.topic, w.doc_id, round(coalesce(dot / (own * norm), 0.0), 9) as cosine from w left join dots using (topic, doc_id) left join norms on norms.topic = w.topic),
+k as (select *, row_number() over (partition by topic order by cosine desc, doc_id) as nearest, row_number() over (partition by topic order by cosine, doc_id) as farthest from r)
+select topic, doc_id, cosine, case when nearest <= 3 then nearest end as nearest, case when farthest <= 3 then farthest end as farthest from k where nearest <= 3 or farthest <= 3""")(
+    lambda s, d: clustering.representative(_discovered(s, d), "doc_id", "text")
+)
+query("T9_T14_candidates")(lambda s, d: clustering.candidates(_embedded_texts(s, d), "text", "embedding")[0])
+query("T9_T16_discovered")(lambda s, d: _profiles(s, d))
+query("T6_claim_chunks")(lambda s, d: clustering.claim_chunks(_claims(s, d), "patent_id", "claims", 12).select("patent_id", "chunk", "words"))
+
+
+def _embedded_texts(s, d):  # noqa: ANN001, ANN202
+    """Documents with the vector of the same number."""
+    return load(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("patent_id"), "text").join(load(s, d, "embeddings").select(F.col("vec_id").alias("patent_id"), "embedding"), "patent_id")
+
+
+def _profiles(s, d):  # noqa: ANN001, ANN202
+    found, rows = clustering.candidates(_embedded_texts(s, d), "text", "embedding")
+    return rows.join(F.broadcast(found.where("profile is not null").select("k", "profile")), "k").select("profile", "k", "patent_id", "topic", "distance")
 
 
-query("T12_quality")(lambda s, d: clustering.quality(_discovered(s, d), clustering.keywords(_discovered(s, d), "text")))
-query("T15_T25_keywords")(lambda s, d: clustering.labels(clustering.keywords(_discovered(s, d), "text")))
 query("T13_score", "select k, coherence, diversity, balance, small, round(0.4 * (coherence - 1) / 3 + 0.25 * (diversity - 5) / 3 + 0.25 + 0.1 * (1 - (small - 0) / 3.0), 9) as score from (select k, k::double as coherence, (k + 4)::double as diversity, 1.0::double as balance, (4 - k)::double as small from range(1, 5) as r(k))")(
     lambda s, d: clustering.score(s.range(1, 5).select(F.col("id").alias("k"), F.col("id").cast("double").alias("coherence"), (F.col("id") + 4).cast("double").alias("diversity"), F.lit(1.0).alias("balance"), (4 - F.col("id")).cast("double").alias("small"))).withColumn("score", F.round("score", 9))
 )

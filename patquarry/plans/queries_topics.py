@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 from patquarry.operators import actions, topics
 from patquarry.plans import tables as t
 from patquarry.plans.catalog import query
-from patquarry.sources.projection import as_sql, project, with_tables
+from patquarry.sources.derived import derived
+from patquarry.sources.projection import as_sql, project, sources as files, with_tables
 
 
 def _latest(s, d):  # noqa: ANN001, ANN202
-    return topics.latest_assignments(project(s, d, "assignments"))
+    return derived(s, "latest_assignments", files(d, "assignments"), lambda: topics.latest_assignments(project(s, d, "assignments")))
 
 
 def _applicants(s, d):  # noqa: ANN001, ANN202
@@ -20,7 +21,7 @@ def _applicants(s, d):  # noqa: ANN001, ANN202
 
 
 def topic_table(s, d):  # noqa: ANN001, ANN202
-    return topics.topic_table(_latest(s, d), _applicants(s, d), t.patents(s, d))
+    return derived(s, "topic_table", [*files(d, "patents"), *files(d, "assignments")], lambda: topics.topic_table(_latest(s, d), _applicants(s, d), t.patents(s, d)))
 
 
 _LATEST = "latest as (select channel, patent_id, run_id, topic_code, distance from (select *, row_number() over (partition by channel, patent_id order by run_id desc, topic_code) as k from assignments) where k = 1)"

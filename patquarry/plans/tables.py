@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from patquarry.plans import base, companies, family
-from patquarry.sources.projection import as_sql, project
+from patquarry.sources.derived import derived
+from patquarry.sources.projection import as_sql, project, sources as files
 
 
 def patents(spark: SparkSession, d: str) -> DataFrame:
@@ -18,24 +19,30 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
     return project(spark, d, "aliases")
 
 
+def _derived(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return derived(spark, name, [*files(d, "patents"), *files(d, "aliases")], build)
+
+
 def base_table(spark: SparkSession, d: str) -> DataFrame:
-    return base.patent_base(patents(spark, d), aliases(spark, d))
+    """A row a patent with its display names, rebuilt when its sources have changed."""
+    return _derived(spark, d, "report_base", lambda: base.patent_base(patents(spark, d), aliases(spark, d)))
 
 
 def expanded(spark: SparkSession, d: str) -> DataFrame:
-    return base.applicant_expanded(patents(spark, d), aliases(spark, d))
+    """A row a patent and applicant, rebuilt when its sources have changed."""
+    return _derived(spark, d, "report_applicants", lambda: base.applicant_expanded(patents(spark, d), aliases(spark, d)))
 
 
 def families(spark: SparkSession, d: str) -> DataFrame:
-    return family.by_country(patents(spark, d))
+    """A row a family and country, rebuilt when its sources have changed."""
+    return _derived(spark, d, "family_country", lambda: family.by_country(patents(spark, d)))
 
 
-def sources(spark: SparkSession, d: str, scope: str = "company", names: Collection[str] = tuple(base.NAMES)) -> dict[str, DataFrame]:
-    """The tables that reports read, with the display names asked for; in the group scope with groups' names."""
+def sources(spark: SparkSession, d: str, scope: str = "company") -> dict[str, DataFrame]:
+    """The tables that reports read; in the group scope with groups' names."""
     if scope not in ("company", "group"):
         raise ValueError(f"unknown scope {scope}")
-    p, a = patents(spark, d), aliases(spark, d)
-    found = {"base": base.patent_base(p, a, names), "expanded": base.applicant_expanded(p, a, names), "family_country": family.by_country(p)}
+    found = {"base": base_table(spark, d), "expanded": expanded(spark, d), "family_country": families(spark, d)}
     if scope == "group":
         groups = project(spark, d, "company_groups")
         found |= {k: base.with_groups(found[k], groups) for k in ("base", "expanded")}
@@ -102,5 +109,3 @@ FAMILY_SQL = "coalesce(nullif(trim(family_id_raw), ''), 'P' || patent_id)"
 def state(c: str = "legal_status") -> str:
     return STATE_SQL.format(c)
 
-
-__all__ = ["companies"]

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patquarry.sources.derived import derived
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 _FIRST_ITEM = "select l_orderkey, min(l_partkey) as pk, min(l_suppkey) as sk from {lineitem} group by l_orderkey"
@@ -90,12 +92,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of ``NAMES`` as a DataFrame; only the columns that a query uses are read."""
+def sources(sf_dir: str, name: str) -> list[str]:
+    """The files that one of ``NAMES`` is made from."""
+    return [f"{sf_dir}/{t}.parquet" for t in TABLES if "{" + t + "}" in NAMES[name]]
+
+
+def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of ``NAMES`` made anew."""
     sql = NAMES[name]
     return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
+def project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of ``NAMES``, built at its first use; after that only the columns that a query uses are read."""
+    return derived(spark, name, sources(sf_dir, name), lambda: build(spark, sf_dir, name))
+
+
 def as_sql(name: str) -> str:
     """The projection as SQL over tables of the plain names."""
     return NAMES[name].format(**{t: t for t in TABLES})

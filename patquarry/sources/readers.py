@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patquarry.functions.text import blank_to_null, clean_long_text, parse_date
+from patquarry.sources import workbook
 
 #: Encodings in the order in which they are tried, the headers that mark a patent table, and delimiters (fixed values).
 ENCODINGS = ("utf-8-sig", "utf-16", "big5", "cp950", "gb18030")
@@ -71,28 +72,126 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip(chr(0xFEFF)).strip() for c in df.columns])
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """Elements of one tag as rows of text columns."""
-    df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+#: Attributes that name the field which an element holds (fixed values).
+FIELD_NAMES = ("name", "field", "label", "title")
 
 
-def read_jdbc(spark: SparkSession, path: str, table: str, driver: str, **options: str) -> DataFrame:
-    """A table of a database file through a driver that the cluster has."""
-    return spark.read.format("jdbc").options(url=path, dbtable=table, driver=driver, **options).load()
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2].rpartition(":")[2]
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {".csv": read_delimited, ".txt": read_delimited, ".tsv": read_delimited, ".xml": read_xml, ".mdb": read_jdbc, ".accdb": read_jdbc}
+def _flat(element) -> dict[str, str | None]:  # noqa: ANN001
+    """An element's fields: its attributes, its children's texts and other attributes, and what those below hold; the first value of a name stays."""
+    found: dict[str, str | None] = {_local(k): v for k, v in element.attrib.items()}
+    if not len(element):
+        text = (element.text or "").strip()
+        return {_local(element.tag): text} if text else found
+    for child in element:
+        name = next((child.attrib[a].strip() for a in FIELD_NAMES if child.attrib.get(a)), _local(child.tag))
+        if len(child):
+            more = _flat(child)
+        else:
+            more = {name: (child.text or "").strip() or None} | {f"{name}_{_local(k)}": v for k, v in child.attrib.items() if k not in FIELD_NAMES}
+        for k, v in more.items():
+            found.setdefault(k, v)
+    return found
+
+
+def row_tag_of(raw: bytes, markers: Sequence[str] = MARKERS) -> str:
+    """The tag of a file's rows, as it is written there, from its first bytes: that whose elements have most markers as fields, the more frequent of
+    several; without markers that of the first element below the root."""
+    from xml.etree import ElementTree
+
+    parser, depth, first, seen = ElementTree.XMLPullParser(("start", "end")), 0, None, {}
+    try:
+        parser.feed(raw)
+        for event, element in parser.read_events():
+            depth += 1 if event == "start" else -1
+            if event == "start" and depth == 2 and first is None:
+                first = _local(element.tag)
+            if event == "end" and depth and (score := len(set(markers) & set(_flat(element)))):
+                n, best = seen.get(_local(element.tag), (0, 0))
+                seen[_local(element.tag)] = (n + 1, max(best, score))
+    except ElementTree.ParseError:
+        pass  # what follows the bytes that were read
+    tag = max(seen, key=lambda t: (seen[t][1], seen[t][0])) if seen else first
+    if tag is None:
+        raise ValueError("no elements below the root")
+    import re
+
+    return re.search(rf"<((?:[\w.-]+:)?{re.escape(tag)})[\s/>]", raw.decode("utf-8", "replace"))[1]
+
+
+def _fragments(tag: str):
+    """Rows of the text that ends before each end tag; prefixes go, as what they stand for is outside."""
+    import re
+    from xml.etree import ElementTree
+
+    import pyarrow as pa
+
+    start, prefix = re.compile(rf"<{re.escape(tag)}[\s/>]"), re.compile(r"(</?|\s)(?!xml\b)[\w.-]+:(?=[\w.-]+[\s=/>])")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = []
+            for x in batch.column(0).to_pylist():
+                at = start.search(x)
+                if at is None:
+                    continue
+                text = re.sub(r"\sxmlns(:[\w.-]+)?=(\"[^\"]*\"|'[^']*')", "", x[at.start() :] + f"</{tag}>")
+                fields = _flat(ElementTree.fromstring(prefix.sub(r"\1", text)))
+                if any(v for v in fields.values()):
+                    out.append(list(fields.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.map_(pa.string(), pa.string()))], names=["cells"])
+
+    return run
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Elements of one tag as rows of text columns; without a tag that is chosen by its elements' fields.
+
+    Files are split at the end tag, so a large one is read by many tasks. A row is flattened: attributes, children by their name
+    or by the attribute that names the field, and theirs. Columns are all fields of any row, in alphabetical order; rows without a value are left out."""
+    tag = row_tag or row_tag_of(head(spark, path))
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path).mapInArrow(_fragments(tag), "cells map<string,string>")
+    names = sorted(r.k for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect())  # a row a column
+    return rows.select(*[F.col("cells")[n].alias(n) for n in names])
+
+
+def read_jdbc(spark: SparkSession, path: str, table: str | Sequence[str], driver: str, **options: str) -> DataFrame:
+    """A table of a database file through a driver that the cluster has; of several the one whose columns have most markers."""
+    of = lambda t: spark.read.format("jdbc").options(url=path, dbtable=t, driver=driver, **options).load()
+    if isinstance(table, str):
+        return of(table)
+    return max(map(of, table), key=lambda df: len(set(MARKERS) & set(df.columns)))
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The sheet of a workbook whose header has most markers; see ``workbook.read_workbook``."""
+    return workbook.read_workbook(spark, path, MARKERS)
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {".xlsx": read_workbook, ".csv": read_delimited, ".txt": read_delimited, ".tsv": read_delimited, ".xml": read_xml, ".mdb": read_jdbc, ".accdb": read_jdbc}
 
 
 def load(spark: SparkSession, path: str, **more: str) -> DataFrame:
-    """A vendor file by its suffix; raises for one that no reader takes. Workbooks are to be exported as CSV first."""
+    """A vendor file by its suffix; raises for one that no reader takes."""
     suffix = f".{path.rpartition('.')[2].lower()}"
     if suffix not in READERS:
         raise ValueError(f"no reader for {suffix}")
     return READERS[suffix](spark, path, **more)
 
 
+#: Headers of an alias file (fixed values) and the columns they become.
+ALIAS_HEADERS = {"申請人代碼": "code", "公司中文名稱": "name_zh", "正規化名稱": "name_norm", "別稱": "alias"}
+
+
+def load_aliases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Alias rows of a file and those dropped; see ``aliases``. Missing columns are null, and rows count in the file's order."""
+    df = rename_headers(load(spark, path), ALIAS_HEADERS)
+    return aliases(df.select(*[(F.trim(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in ALIAS_HEADERS.values()], F.monotonically_increasing_id().alias("row_no")))
+
+
 def is_patent_table(columns: Sequence[str]) -> bool:
     return set(MARKERS) <= set(columns)
 

@@ -5,15 +5,8 @@ import pytest
 from patquarry.plans import catalog
 from tests.compare import DATA, assert_same
 
-#: One query of each area here; ``TEST_ALL=1`` runs every one.
-SOME = ("R7_applicant_ranking", "AG17_family_quality", "N1_N2_N3_display_names", "AG7_AG8_AG9_AG10_C3_C4_topic_table", "C5_C6_C7_actions", "U1_differential", "K1_K2_K3_claims", "K5_K6_verdicts", "P10_status_terms", "P8_dates", "SRC8_search_terms", "T19_merge_chain")
 
-
-def _names():
-    return sorted(catalog.ORACLES) if os.environ.get("TEST_ALL") else SOME
-
-
-@pytest.mark.parametrize("name", _names())
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(name, spark):
     assert_same(catalog.QUERIES[name], catalog.ORACLES[name], spark)
 
