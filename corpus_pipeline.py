@@ -21,12 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group whose sets of five-word shingles are 0.8 alike or more.
 
-    Rows without an id have no group and stay; of rows that repeat a kept id one stays.
+    Rows without an id have no group and stay. Of rows that repeat a kept id one stays: that of the smallest text, a null one being
+    the smallest, then of the smallest other columns as JSON.
     """
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = scratch.table(kept, "kept-ids")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    first = again.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        docs, path = scratch.stored(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.delete(spark, last)  # the next stage's table is stored whole
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
