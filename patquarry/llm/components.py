@@ -55,7 +55,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     minimum is pre-aggregated, and no task holds a component. Turns are tables in the shared folder.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
-    edges = scratch.table(pairs.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    edges, path = scratch.stored(pairs.mapInArrow(_contract, "u long, v long").distinct(), "links")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -63,7 +63,9 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before = path
+        edges, path = scratch.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        scratch.delete(links.sparkSession, before)  # the new turn is stored whole
         state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == last:
             break

@@ -1,11 +1,12 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a window over the words of the whole text, so line ends do not part a statement; long lines have windows of
-their own beside. Windows overlap by the longest template's words at least, so that every statement of a template in
-a row stands whole in one. A block matches a template if it contains ``threshold`` of the template's distinct words or more. The join is exact and prunes: words are ordered by their
-document frequency in the whole corpus, rarest first. A template that needs ``r`` of its ``n`` words must share one
-of its first ``n - r + 1`` with the block (prefix filter); the block must have ``r`` distinct words (length
-filter); and the words left after the first shared one in both orders must suffice (positional filter).
+A block is a window over the words of the whole text, so line ends do not part a statement. Templates of like length share windows
+of twice that length, half overlapping, so that every statement of a template in a row stands whole in one and words far apart do
+not. A block matches a template if it contains ``threshold`` of the template's distinct words or more. The join is exact
+and prunes: words are ordered by their document frequency in the whole corpus, rarest first. A template that needs ``r``
+of its ``n`` words must share one of its first ``n - r + 1`` with the block (prefix filter); the block must have ``r``
+distinct words (length filter); and the words left after the first shared one in both orders must suffice (positional
+filter).
 """
 
 from __future__ import annotations
@@ -19,28 +20,59 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The base phrases and their labels (fixed values).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Short statements of common licenses in the words of this operator; ``label -> texts``.
+#: Statements by which common licenses are granted or named (fixed values); ``label -> texts``.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
-    "agpl": ("licensed under the GNU Affero General Public License",),
-    "apache": ("licensed under the Apache License version 2.0", "you may not use this file except in compliance with the Apache License"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the BSD license"),
+    "agpl": ("licensed under the GNU Affero General Public License", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    "apache": (
+        "licensed under the Apache License version 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE 2.0",
+        "unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied",
+    ),
+    "artistic": ("licensed under the Artistic License 2.0", "you may redistribute it and or modify it under the same terms as Perl itself"),
+    "boost": ("distributed under the Boost Software License version 1.0",),
+    "bsd": (
+        "licensed under the BSD license",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "cc-by": ("licensed under a Creative Commons Attribution 4.0 International License",),
     "cc-by-nc": ("licensed under CC BY NC 4.0", "licensed under a Creative Commons Attribution NonCommercial license"),
+    "cc-by-nd": ("licensed under CC BY ND 4.0", "licensed under a Creative Commons Attribution NoDerivatives license"),
     "cc-by-sa": ("licensed under CC BY SA 4.0", "licensed under a Creative Commons Attribution ShareAlike license"),
-    "cc0": ("dedicated to the public domain under CC0", "no copyright reserved CC0 public domain dedication"),
-    "gpl-notice": ("this work is licensed under the GNU General Public License", "you can redistribute it and or modify it under the terms of the GNU General Public License"),
-    "lgpl": ("licensed under the GNU Lesser General Public License",),
-    "mit": ("released under the MIT License", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    "mpl": ("subject to the terms of the Mozilla Public License",),
+    "cc0": ("dedicated to the public domain under CC0", "no copyright reserved CC0 public domain dedication", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    "cddl": ("subject to the terms of the Common Development and Distribution License",),
+    "epl": ("made available under the terms of the Eclipse Public License",),
+    "eupl": ("licensed under the European Union Public Licence",),
+    "gfdl": ("permission is granted to copy distribute and or modify this document under the terms of the GNU Free Documentation License",),
+    "gpl-notice": (
+        "this work is licensed under the GNU General Public License",
+        "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "you should have received a copy of the GNU General Public License along with this program",
+    ),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "lgpl": ("licensed under the GNU Lesser General Public License", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    "mit": (
+        "released under the MIT License",
+        "licensed under the MIT License",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    "mpl": ("subject to the terms of the Mozilla Public License", "if a copy of the MPL was not distributed with this file you can obtain one at"),
+    "odbl": ("made available under the Open Database License",),
+    "ofl": ("this font software is licensed under the SIL Open Font License version 1.1",),
+    "proprietary": ("this document contains confidential and proprietary information", "no part of this publication may be reproduced without prior written permission"),
     "reserved-notice": ("copyright all rights reserved by the author",),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "zlib": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",),
 }
-#: Window and stride are the least ones; a template of more than ``STRIDE`` words widens both.
-THRESHOLD, WINDOW, STRIDE = 0.9, 64, 32
+#: The least stride of windows, which are twice as long.
+THRESHOLD, STRIDE = 0.9, 8
 #: Templates go to every task, so their number is bounded.
 MOST_TEMPLATES = 10_000
 
 #: Bytes of words stay, A-Z become a-z, all other ASCII parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LINE_BYTES = bytes(10 if b == 10 else w for b, w in enumerate(_WORD_BYTES))
 _PHRASES = tuple((tuple(p.encode().split()), label) for p, label in PHRASES)
 
 
@@ -61,28 +93,15 @@ def places(tokens: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
         return found
 
 
-def windows(tokens: list[bytes], window: int, stride: int) -> Iterator[frozenset[bytes]]:
-    """Word sets of overlapping windows that reach the end."""
-    for start in range(0, max(1, len(tokens) - window + stride), stride):
-        yield frozenset(tokens[start : start + window])
+def windows(tokens: list[bytes], stride: int) -> Iterator[frozenset[bytes]]:
+    """Word sets of windows of twice the stride that overlap by half and reach the end."""
+    for start in range(0, max(1, len(tokens) - stride), stride):
+        yield frozenset(tokens[start : start + 2 * stride])
 
 
-def blocks(text: str, window: int = WINDOW, stride: int = STRIDE) -> Iterator[frozenset[bytes]]:
-    """Word sets of overlapping windows over the whole text, and of those over each line that may not lie in one of them."""
-    tokens: list[bytes] = []
-    for line in text.encode("utf-8", "surrogatepass").translate(_LINE_BYTES).split(b"\n"):
-        own = line.split()
-        tokens += own
-        if len(own) > window - stride + 1:  # a shorter one is part of a window over the text, which contains all it does
-            yield from windows(own, window, stride)
-    if tokens:
-        yield from windows(tokens, window, stride)
-
-
-def extent(templates: Mapping[str, tuple[str, ...]]) -> tuple[int, int]:
-    """Window and stride by the longest template: each run of as many words as it has lies in a window."""
-    stride = max(STRIDE, max((len(words(t)) for texts in templates.values() for t in texts), default=0))
-    return max(WINDOW, 2 * stride), stride
+def stride_of(n: int) -> int:
+    """The stride for a template of ``n`` words: each run of as many words lies in one of its windows."""
+    return max(STRIDE, 1 << (n - 1).bit_length() if n else 0)
 
 
 class TemplateIndex:
@@ -101,6 +120,11 @@ class TemplateIndex:
                 self.by_word.setdefault(w, []).append((k, position))
         self.prefix = frozenset(self.by_word)
 
+    def possible(self, distinct: set[bytes]) -> bool:
+        """Whether a whole text's words meet some template; only then can a block of it."""
+        hits = self.prefix & distinct
+        return any(len(self.templates[k][2] & distinct) >= self.templates[k][3] for k in {k for w in hits for k, _ in self.by_word[w]})
+
     def matches(self, block: frozenset[bytes]) -> dict[str, float]:
         """Label and containment of every template that the block meets."""
         found: dict[str, float] = {}
@@ -123,11 +147,15 @@ class TemplateIndex:
         return found
 
 
-def _sets(templates: Mapping[str, tuple[str, ...]]) -> list[tuple[str, frozenset[bytes]]]:
-    found = [(label, frozenset(words(t))) for label, texts in sorted(templates.items()) for t in texts]
-    if len(found) > MOST_TEMPLATES:
+def _sets(templates: Mapping[str, tuple[str, ...]]) -> dict[int, list[tuple[str, frozenset[bytes]]]]:
+    """Label and word set of each template, by the stride of its windows."""
+    found: dict[int, list[tuple[str, frozenset[bytes]]]] = {}
+    for label, t in sorted((label, t) for label, texts in templates.items() for t in texts):
+        if tokens := words(t):
+            found.setdefault(stride_of(len(tokens)), []).append((label, frozenset(tokens)))
+    if sum(map(len, found.values())) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    return [x for x in found if x[1]]
+    return found
 
 
 def document_frequency(df: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
@@ -156,18 +184,17 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     windows to their end, whatever their line ends.
     """
     sets = _sets(templates)
-    window, stride = extent(templates)
-    vocabulary = frozenset().union(*(t for _, t in sets)) if sets else frozenset()
-    index = df.sparkSession.sparkContext.broadcast(TemplateIndex(sets, document_frequency(df, vocabulary, text), threshold))
+    vocabulary = frozenset().union(*(t for some in sets.values() for _, t in some))
+    frequency = document_frequency(df, vocabulary, text) if vocabulary else {}
+    index = df.sparkSession.sparkContext.broadcast({stride: TemplateIndex(some, frequency, threshold) for stride, some in sets.items()})
     starts = frozenset(p[0] for p, _ in _PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = index.value
+        joins = index.value
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for x in batch.column(1):
-                raw = x.as_py() or ""
-                tokens = words(raw)
+                tokens = words(x.as_py() or "")
                 distinct = set(tokens)
                 at: list[int] = []
                 base: set[str] = set()
@@ -177,10 +204,11 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
                             at += found
                             base.add(label)
                 met: dict[str, float] = {}
-                if not join.prefix.isdisjoint(distinct):
-                    for block in blocks(raw, window, stride):
-                        for label, value in join.matches(block).items():
-                            met[label] = max(met.get(label, 0.0), value)
+                for stride, join in joins.items():
+                    if join.possible(distinct):
+                        for block in windows(tokens, stride):
+                            for label, value in join.matches(block).items():
+                                met[label] = max(met.get(label, 0.0), value)
                 row = (len(tokens), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(met))), 1.0 if base else max(met.values(), default=0.0))
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)

@@ -1,7 +1,8 @@
 """Tables written to the folder that all executors share, to cut lineage.
 
-The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
-folder under the system's temporary folder used. Files are read and written by Spark alone, so any file
+The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one process (tests, a
+laptop) is a folder under the system's temporary folder used; with other masters its lack is an error, as
+executors do not see each other's disks. Files are read and written by Spark alone, so any file
 system that Spark knows will do.
 """
 
@@ -20,6 +21,8 @@ def base(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = _own.setdefault(app, tempfile.mkdtemp(prefix="patquarry-"))
     return f"{shared.rstrip('/')}/patquarry-{app}"
 
@@ -29,16 +32,25 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back with the same schema."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in the shared folder and read back with the same schema, and where."""
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back with the same schema."""
+    return stored(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application wrote; results not yet stored elsewhere become unreadable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, base(spark))

@@ -109,16 +109,15 @@ def test_recall_and_false_positives_of_new_strings():
 def test_base_columns_equal_sql(spark):
     """Counts of the base kinds and places of the base phrases over a whole table, by an engine's own patterns."""
     from patquarry.llm import queries
-    from tests.compare import DATA, connect
+    from tests.compare import DATA, connect, rows
 
     kinds = {"assign": r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)"}
     least = {"assign": 6, "access": 20, "hex": 24}
     sql = ", ".join(f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}', 1), lambda x: len(x) >= {least[k]})) as n_{k}" for k, p in kinds.items())
     want = sorted(connect().sql(f"select doc_id, {sql} from documents").fetchall())
     assert want == sorted(tuple(r) for r in queries.QUERIES["op6_secrets"](spark, DATA).select("doc_id", "n_assign", "n_access", "n_hex").collect())
-    want = connect().sql(licenses.BASE_SQL).df().sort_values("doc_id").reset_index(drop=True)
-    got = queries.QUERIES["op2_licenses"](spark, DATA).select(*want.columns).toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert [tuple(None if x != x else x for x in r) for r in want.itertuples(index=False)] == [tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)]
+    want = connect().sql(licenses.BASE_SQL).df()
+    assert rows(queries.QUERIES["op2_licenses"](spark, DATA).select(*want.columns).toPandas()) == rows(want)
 
 
 def test_base_secrets_equal_plain_patterns():
@@ -161,19 +160,27 @@ def test_wrapped_and_long_statements(spark):
     texts = [before + wrap(n) for n in notices.values() for before in ("", "word\n" * 25, "some other words " * 40) for wrap in (str, lambda x: "\n".join(textwrap.wrap(x, 30)), lambda x: "\n".join(x.split()))] + ["nothing here\n" * 50, "redistribution\nand use in source " + "x\n" * 80 + "and binary forms with or without modification are permitted"]
     long = {f"t{n}": (" ".join(f"w{n}x{i}" for i in range(n)),) for n in (33, 50, 64, 90, 200)}
     texts += ["x " * at + t + end + "y " * 70 for (t,) in long.values() for at in (0, 1, 17, 31, 45) for end in (" ", "\n")]
-    templates = {**licenses.TEMPLATES, **long}
-    for chosen in (licenses.TEMPLATES, templates):
-        window, stride = licenses.extent(chosen)
+    for chosen in (licenses.TEMPLATES, {**licenses.TEMPLATES, **long}):
         rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chosen).collect()
         for r in rows:
-            got = set(filter(None, r.labels.split(","))) - set(r.base_labels.split(","))
-            value = {label: tuple(max(best(texts[r.doc_id], t, w) for t in ts) for w in (stride + 1, window)) for label, ts in chosen.items()}
-            assert {k for k, (x, _) in value.items() if x >= 0.9} <= got <= {k for k, (_, y) in value.items() if y >= 0.9}, texts[r.doc_id]
+            got = set(filter(None, r.labels.split(",")))
+            value = {}
+            for label, ts in chosen.items():  # in every run as long as the statement's stride allows, and in any window of its size
+                size = {t: licenses.stride_of(len(licenses.words(t))) for t in ts}
+                value[label] = tuple(max(best(texts[r.doc_id], t, w(size[t])) for t in ts) for w in (lambda x: x + 1, lambda x: 2 * x))
+            assert {k for k, (x, _) in value.items() if x >= 0.9} <= got, texts[r.doc_id]
+            assert got - set(r.base_labels.split(",")) <= {k for k, (_, y) in value.items() if y >= 0.9}, texts[r.doc_id]
         assert all(label in rows[9 * i + j].labels.split(",") for i, label in enumerate(notices) for j in range(9))
-        assert [r.labels for r in rows[27:29]] == ["", ""] or chosen is templates
+        assert [r.labels for r in rows[27:29]] == ["", ""]
     assert all(f"t{n}" in rows[29 + 10 * i + j].labels.split(",") for i, n in enumerate((33, 50, 64, 90, 200)) for j in range(10))
 
 
+def test_short_statements_need_their_words_close_together(spark):
+    near, far = "it is licensed under the well known BSD license today", "licensed to us " + "and so on " * 8 + "under the old BSD rules " + "and more " * 8 + "a license"
+    rows = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(1, near), (2, far)], "doc_id long, text string")).collect()}
+    assert rows == {1: "bsd", 2: ""}
+
+
 def test_containment_join_is_exact():
     r = np.random.default_rng(2)
     vocabulary = [f"w{i}".encode() for i in range(30)]
