@@ -80,3 +80,14 @@ def infer(claims: DataFrame, key: str) -> DataFrame:
         )
     status = F.get(F.array(*map(F.lit, STATUSES)), F.least("rank", "up") - 1)
     return step.select(key, "number", F.when(F.col("at").isNull(), status).alias("status"), (F.col("at").isNull() & (F.col("up") == 1)).alias("inferred"))
+
+
+def aggregate(understood: DataFrame, analysed: DataFrame, key: str) -> DataFrame:
+    """``key, number, status, inferred`` of the claims that were understood: their elements' statuses, and inference along parents.
+
+    ``understood``: the columns of ``parse``; unknown claims are left out. ``analysed``: key, number, elements. A claim without elements
+    has only what it infers; one that depends on several takes the last of them."""
+    kept = understood.where("type != 'unknown'").join(analysed.select(key, "number", "elements"), [key, "number"], "left")
+    last = F.element_at(F.split("parents", ","), -1)
+    parent = F.when(F.col("type") == "dependent", F.coalesce(F.col("parent").cast("string"), last))
+    return infer(kept.select(key, "number", parent.alias("parent"), evaluate(F.coalesce("elements", F.array().cast("array<string>"))).alias("own")), key)

@@ -118,15 +118,45 @@ def name_pairs(patents: DataFrame, pairs: Sequence[tuple[str, str | None]]) -> D
     return reduce(DataFrame.unionByName, [one(*p) for p in pairs]).distinct()
 
 
-def govern(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """What to do with each (code, name): known, add to the code's only name, conflict, new code, or suspected likeness."""
-    confirmed = aliases.where("review_status = 'confirmed'")
-    names = confirmed.where(blank_to_null(F.col("name_norm")).isNotNull()).groupBy("code").agg(F.count_distinct("name_norm").alias("names"))
-    exact = confirmed.select(lookup_key(F.col("alias")).alias("lookup")).distinct().withColumn("known", F.lit(True))
-    loose = confirmed.select(loose_key(F.col("alias")).alias("loose")).distinct().withColumn("like", F.lit(True))
-    df = pairs.withColumn("lookup", lookup_key(F.col("name"))).withColumn("loose", loose_key(F.col("name"))).join(exact, "lookup", "left").join(loose, "loose", "left").join(names, "code", "left")
-    act = F.when(F.col("known"), "known").when(F.col("code").isNull() & F.col("like"), "suspected").when(F.col("code").isNull(), "unmatched").when(F.col("names").isNull(), "new code").when(F.col("names") > 1, "conflict").otherwise("add alias")
-    return df.select("code", "name", act.alias("action"))
+def govern(pairs: DataFrame, aliases: DataFrame, standard: DataFrame | None = None) -> DataFrame:
+    """What to do with each (code, name) of a batch, and the rows to write: ``code, name, action, target_code, name_zh, name_norm, review_status``.
+
+    * ``known``: the code has the alias, or, without a code, some code has it; nothing is written.
+    * ``add alias``: the code has one pair of names, which the new alias takes; without a code one whose alias or name is the same.
+    * ``new group``: an unknown code gets a row to be reviewed, with its standard name (``standard``: code, name) or this one;
+      further names of the code in the batch are added to it.
+    * ``conflict``: the code has several pairs of names. ``suspected``: without a code, a likeness only. ``unmatched``: neither.
+
+    Of names of one code that differ in spelling only the smallest is written. Of several codes for a name the smallest counts."""
+    rows = aliases.where("code is not null").select("code", lookup_key(F.col("alias")).alias("lookup"), F.coalesce(blank_to_null(F.col("name_zh")), F.lit("")).alias("zh"), F.coalesce(blank_to_null(F.col("name_norm")), F.lit("")).alias("norm"))
+    named = F.when((F.col("zh") != "") | (F.col("norm") != ""), F.struct("zh", "norm"))
+    groups = rows.groupBy("code").agg(F.count_distinct(named).alias("names"), F.min(named).alias("own"))
+    has = rows.where("lookup is not null").select("code", "lookup").distinct().withColumn("has", F.lit(True))
+    exact = rows.select("code", F.explode(F.array("lookup", lookup_key(F.col("zh")), lookup_key(F.col("norm")))).alias("lookup")).where("lookup is not null").distinct()
+    loose = exact.withColumn("loose", loose_key(F.col("lookup"))).where("loose is not null").groupBy("loose").agg(F.min("code").alias("like"))
+    by_name = exact.groupBy("lookup").agg(F.min("code").alias("same"))
+    df = pairs.select("code", "name").withColumn("lookup", lookup_key(F.col("name"))).withColumn("loose", loose_key(F.col("name"))).where("lookup is not null")
+    df = df.join(by_name, "lookup", "left").join(loose, "loose", "left").withColumn("target_code", F.coalesce("code", "same"))
+    df = df.join(groups.withColumnRenamed("code", "target_code"), "target_code", "left").join(has.withColumnRenamed("code", "target_code"), ["target_code", "lookup"], "left")
+    if standard is not None:
+        df = df.join(standard.select(F.col("code").alias("target_code"), F.col("name").alias("standard")).groupBy("target_code").agg(F.min("standard").alias("standard")), "target_code", "left")
+    else:
+        df = df.withColumn("standard", F.lit(None).cast("string"))
+    first, nth = F.min("name").over(Window.partitionBy("target_code", "lookup")), F.row_number().over(Window.partitionBy("target_code").orderBy("name", F.col("code").asc_nulls_last()))
+    df = df.withColumn("first", F.col("name") == first).withColumn("nth", F.when(F.col("target_code").isNotNull() & F.col("names").isNull(), nth))
+    act = (
+        F.when(F.col("target_code").isNull(), F.when(F.col("like").isNotNull(), "suspected").otherwise("unmatched"))
+        .when(F.col("has"), "known").when(F.col("names").isNull() & (F.col("nth") == 1), "new group")
+        .when((F.col("names") > 1) & F.col("code").isNotNull(), "conflict").when(F.col("first"), "add alias").otherwise("known")
+    )
+    df = df.withColumn("action", act).withColumn("fresh", F.min(F.when(F.col("action") == "new group", F.coalesce("standard", "name"))).over(Window.partitionBy("target_code")))
+    writes = F.col("action").isin("add alias", "new group")
+    only = F.when(F.col("names") == 1, F.col("own"))
+    return df.select(
+        "code", "name", "action", F.when(F.col("action") == "suspected", F.col("like")).otherwise(F.col("target_code")).alias("target_code"),
+        F.when(writes, F.nullif(only["zh"], F.lit(""))).alias("name_zh"), F.when(writes, F.coalesce(F.nullif(only["norm"], F.lit("")), F.when(F.col("names").isNull(), F.col("fresh")))).alias("name_norm"),
+        F.when(F.col("action") == "new group", "review_required").when(F.col("action") == "add alias", F.when(F.col("names").isNull(), "review_required").otherwise("confirmed")).alias("review_status"),
+    )
 
 
 def validate_corpus(corpus: DataFrame, width: int) -> DataFrame:
@@ -134,11 +164,6 @@ def validate_corpus(corpus: DataFrame, width: int) -> DataFrame:
     return corpus.agg(F.count_if(F.sha2("text", 256) != F.col("hash")).alias("stale"), F.count_if(F.size("vector") != width).alias("odd_vectors"), F.count_distinct("model").alias("models"))
 
 
-def verdicts_of(inferred: DataFrame, understood: DataFrame) -> DataFrame:
-    """Inferred statuses of the claims that were understood; unknown ones are left out."""
-    return inferred.join(understood.where("type != 'unknown'").select("patent_id", "number"), ["patent_id", "number"], "left_semi")
-
-
 def skeleton(claims: DataFrame) -> DataFrame:
     """Numbers of each type of claim, as lists."""
     of = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("number")))), ",").alias(kind)

@@ -25,6 +25,21 @@ def latest_assignments(assignments: DataFrame) -> DataFrame:
     return latest_by(assignments, ["channel", "patent_id"], F.col("run_id").desc(), F.col("topic_code"))
 
 
+def latest_labels(runs: DataFrame) -> DataFrame:
+    """``channel, topic_code, label``: of all runs' states, JSON with ``topics``, the label that the latest run gives a code.
+
+    ``runs``: channel, run_id, topic_state_json; a state without topics, or one that is no JSON, gives none."""
+    topics = F.from_json("topic_state_json", "topics array<struct<topic_code:string,label:string>>")["topics"]
+    rows = runs.select("channel", "run_id", F.explode(topics).alias("t")).select("channel", "run_id", "t.topic_code", "t.label").where("topic_code is not null")
+    return latest_by(rows, ["channel", "topic_code"], F.col("run_id").desc(), F.col("label")).drop("run_id")
+
+
+def unmerge(topics: DataFrame, assigned: DataFrame, merges: DataFrame, undone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A new run with some merges taken back: those of ``merges`` (channel, topic_code, merged_into) that ``undone`` (channel, topic_code) does
+    not name are made again on the topics and assignments from before, so later merges into an undone topic lead to it."""
+    return merge(topics, assigned, merges.join(undone.select("channel", "topic_code"), ["channel", "topic_code"], "left_anti"))
+
+
 def resolve_merges(topics: DataFrame, turns: int = 20) -> DataFrame:
     """``channel, topic_code, target``: where a chain of merges ends. Each turn doubles the distance looked ahead;
     a code on a cycle resolves to the smallest code of it."""

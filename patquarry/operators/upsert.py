@@ -18,6 +18,18 @@ def find_identity(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], r
     return incoming.select(row).join(best, row, "left")
 
 
+def find_by_application(incoming: DataFrame, stored: DataFrame, number: str, context: Sequence[str], row: str = "row_no") -> DataFrame:
+    """``row, patent_id``: the stored patent of an incoming row's application number whose context (country, database) is the same or null on
+    either side; equal ones first, in the order of ``context``, then the lowest id. Stored patents of one number and context are one candidate."""
+    known = stored.where(F.col(number).isNotNull()).groupBy(number, *context).agg(F.min("patent_id").alias("patent_id")).select(number, "patent_id", *[F.col(c).alias(f"_{c}") for c in context])
+    pairs = incoming.select(row, number, *context).join(known, number)
+    for c in context:
+        pairs = pairs.where(F.col(c).isNull() | F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")))
+    order = F.struct(*[(~F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))).alias(c) for c in context], "patent_id")
+    best = pairs.groupBy(row).agg(F.min(order)["patent_id"].alias("patent_id"))
+    return incoming.select(row).join(best, row, "left")
+
+
 def fold(incoming: DataFrame, key: str, columns: Sequence[str], row: str = "row_no") -> DataFrame:
     """Several rows of one patent as one: of each column the last filled value in the order of rows."""
     last = lambda c: F.max(F.when(blank_to_null(F.col(c)).isNotNull(), F.struct(row, c)))[c].alias(c)

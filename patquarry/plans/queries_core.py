@@ -134,6 +134,19 @@ query("ING4_identity", with_tables(""", st as (select patent_id, nullif(trim(gra
 g as (select g, min(patent_id) as id from st where g is not null group by 1), a as (select a, min(patent_id) as id from st group by 1) select row_no, coalesce(g.id, a.id) as patent_id from inc left join g using (g) left join a using (a)""", "patents"))(
     lambda s, d: upsert.find_identity(t.patents(s, d).where("patent_id % 3 = 0").select(F.col("patent_id").alias("row_no"), "grant_no", "application_no"), _stored(s, d), ["grant_no", "application_no"])
 )
+_CONTEXT = "select patent_id as row_no, patent_id, substr(application_no, 1, 7) as application, nullif(trim(country_code), '') as country_code, case patent_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' end as database_name from"
+query("ING4_application", with_tables(f""", r as ({_CONTEXT} patents), i as (select * from r where row_no % 3 = 0), st as (select application, country_code, database_name, min(patent_id) as patent_id from r where patent_id % 2 = 0 group by 1, 2, 3),
+m as (select i.row_no, st.patent_id, row_number() over (partition by i.row_no order by coalesce(st.country_code = i.country_code, false) desc, coalesce(st.database_name = i.database_name, false) desc, st.patent_id) as k from i join st on st.application = i.application
+  and (i.country_code is null or st.country_code is null or st.country_code = i.country_code) and (i.database_name is null or st.database_name is null or st.database_name = i.database_name))
+select i.row_no, m.patent_id from i left join m on m.row_no = i.row_no and m.k = 1""", "patents"))(
+    lambda s, d: upsert.find_by_application(_context(s, d).where("row_no % 3 = 0"), _context(s, d).where("patent_id % 2 = 0"), "application", ["country_code", "database_name"])
+)
+
+
+def _context(s, d):  # noqa: ANN001, ANN202
+    return s.sql(f"{_CONTEXT} {{patents}}", patents=t.patents(s, d))
+
+
 query("SNK2_insert_or_ignore", with_tables(" select patent_id, title from patents where patent_id % 2 = 0 or patent_id % 3 = 0", "patents"))(
     lambda s, d: upsert.insert_or_ignore(t.patents(s, d).where("patent_id % 2 = 0").select("patent_id", "title"), t.patents(s, d).where("patent_id % 3 = 0").select("patent_id", "title"), ["patent_id"])
 )

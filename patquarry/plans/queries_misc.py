@@ -49,7 +49,21 @@ query("F2_F3_blank_and_pattern", with_tables(" select patent_id from patents whe
 query("N7_N8_name_pairs", with_tables(" select distinct nullif(code, '') as code, name from (select applicant_code as code, nullif(trim(split_part(applicant_raw, '|', 1)), '') as name from patents union all select null, nullif(trim(split_part(applicant_raw, '|', 2)), '') from patents union all select null, nullif(trim(assignee_raw), '') from patents) where name is not null", "patents"))(
     lambda s, d: misc.name_pairs(t.patents(s, d), [("applicant_raw", "applicant_code"), ("assignee_raw", None)])
 )
-query("N6_N9_govern")(lambda s, d: misc.govern(misc.name_pairs(t.patents(s, d), [("applicant_raw", "applicant_code"), ("assignee_raw", None)]), t.aliases(s, d)))
+#: Pairs of a batch as in N7, and aliases by code.
+_GOVERN = f"""pairs as (
+  select distinct nullif(code, '') as code, name from (select applicant_code as code, nullif(trim(split_part(applicant_raw, '|', 1)), '') as name from patents union all select null, nullif(trim(split_part(applicant_raw, '|', 2)), '') from patents union all select null, nullif(trim(assignee_raw), '') from patents) where name is not null
+), a as (select code, {t.key('alias')} as lookup, coalesce(trim(name_zh), '') as zh, coalesce(trim(name_norm), '') as norm from known),
+g as (select code, count(distinct case when zh != '' or norm != '' then {{'zh': zh, 'norm': norm}} end) as names, min(case when zh != '' or norm != '' then {{'zh': zh, 'norm': norm}} end) as own from a group by 1),
+exact as (select distinct code, lookup from (select code, lookup from a union all select code, {t.key('zh')} from a union all select code, {t.key('norm')} from a) where lookup != ''),
+same as (select lookup, min(code) as same from exact group by 1), x as (select p.code, p.name, {t.key('p.name')} as lookup, coalesce(p.code, same.same) as target_code from pairs p left join same on same.lookup = {t.key('p.name')}),
+y as (select x.*, g.names, g.own, exists (select 1 from a where a.code = x.target_code and a.lookup = x.lookup) as has, x.name = min(x.name) over (partition by target_code, x.lookup) as first,
+  row_number() over (partition by target_code order by x.name, x.code nulls last) as nth from x left join g on g.code = x.target_code),
+z as (select *, case when target_code is null then 'unmatched' when has then 'known' when names is null and nth = 1 then 'new group' when names > 1 and code is not null then 'conflict' when first then 'add alias' else 'known' end as action from y)"""
+query("N6_N9_govern", with_tables(f""", known as (select * from aliases where code not in ('AC3', 'AC6')), {_GOVERN} select code, name, action, target_code, case when action in ('add alias', 'new group') and names = 1 then nullif(own.zh, '') end as name_zh,
+case when action in ('add alias', 'new group') then case when names = 1 then nullif(own.norm, '') when names is null then min(case when action = 'new group' then name end) over (partition by target_code) end end as name_norm,
+case action when 'new group' then 'review_required' when 'add alias' then case when names is null then 'review_required' else 'confirmed' end end as review_status from z""", "patents", "aliases"))(
+    lambda s, d: misc.govern(misc.name_pairs(t.patents(s, d), [("applicant_raw", "applicant_code"), ("assignee_raw", None)]), t.aliases(s, d).where("code not in ('AC3', 'AC6')"))
+)
 query("W7_representatives", f"""with {t.EXPANDED_SQL}, assignments as ({as_sql('assignments')}), {_LATEST},
 rows as (select l.topic_code, e.applicant_display_name as applicant, e.patent_id, e.application_year, replace(e.application_no, '-', chr(8209)) as n from latest l join expanded e using (patent_id) where l.channel = 'technical'),
 ranked as (select topic_code, applicant, row_number() over (partition by topic_code order by count(distinct patent_id) desc, applicant) as k from rows group by 1, 2),
@@ -80,10 +94,18 @@ query("T24_validation", "select 0::bigint as stale, count(*) filter (len(embeddi
     lambda s, d: misc.validate_corpus(load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("text"), F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"), F.col("embedding").alias("vector"), (F.col("label") % 2).alias("model")), 64)
 )
 query("K4_skeleton", with_tables(" select patent_id, '1' as independent, '2,3,9' as dependent, '4,5,6-8' as unknown from patents", "patents"))(lambda s, d: misc.skeleton(claims.parse(_claims(s, d), "patent_id", "claims")))
-query("K7_aggregate", with_tables(" select patent_id, n as number from patents, (values ('1'), ('2'), ('3'), ('9')) as v(n)", "patents"))(
-    lambda s, d: misc.verdicts_of(claims.parse(_claims(s, d), "patent_id", "claims"), claims.parse(_claims(s, d), "patent_id", "claims")).select("patent_id", "number")
+_ELEMENTS = "case (patent_id + cast(number as int)) % 4 when 0 then array('met', 'not_met') when 1 then array('met', 'met') when 2 then array('met', 'unclear') end"
+query("K7_aggregate", with_tables(""", k as (select patent_id, n, case (patent_id + n) % 4 when 0 then 1 when 1 then 3 when 2 then 2 end as k from patents, (values (1), (2), (3), (9)) as v(n)),
+p as (select patent_id, max(k) filter (n = 1) as a, max(k) filter (n = 2) as b from k group by 1),
+u as (select k.*, case n when 1 then 9 when 2 then coalesce(a, 9) when 3 then least(coalesce(a, 9), coalesce(b, 9)) end as up from k join p using (patent_id))
+select patent_id, n::varchar as number, case when n < 9 then case least(k, up) when 1 then 'not_established' when 2 then 'needs_review' when 3 then 'possibly_established' end end as status, coalesce(n < 9 and up = 1, false) as inferred from u""", "patents"))(
+    lambda s, d: claims.aggregate(claims.parse(_claims(s, d), "patent_id", "claims"), claims.parse(_claims(s, d), "patent_id", "claims").where("type != 'unknown'").select("patent_id", "number", F.expr(_ELEMENTS).alias("elements")), "patent_id")
 )
-query("P21_W17_positions")(lambda s, d: _positions(s, d))
+query("P21_W17_positions", f"""with {t.EXPANDED_SQL}, assignments as ({as_sql('assignments')}), {_LATEST}, x as (select distinct on (applicant_display_name, patent_id) * from expanded where trim(applicant_display_name) != ''),
+p as (select applicant_display_name as applicant, count(distinct nullif(trim(country_code), '')) as country_count, count(*) filter ({t.state()} = 'alive') as granted_count, count(*) filter ({t.state()} = 'dead') as dead_count, count(distinct l.topic_code) as topic_count, count(*) as n
+  from x left join (select patent_id, topic_code from latest where channel = 'technical') l using (patent_id) group by 1 order by n desc, applicant limit 10),
+m as (select median(country_count) as cm, median(topic_count) as tm from p)
+select applicant, country_count, topic_count, granted_count, dead_count, case when granted_count = 0 and dead_count > 0 then '{profiles.PRIOR_ART}' when country_count >= cm and topic_count >= tm then '{profiles.FULL}' when country_count >= cm then '{profiles.SINGLE}' else '{profiles.NICHE}' end as position from p, m""")(lambda s, d: _positions(s, d))
 
 
 def _positions(s, d):  # noqa: ANN001, ANN202
@@ -143,11 +165,18 @@ def _profiles(s, d):  # noqa: ANN001, ANN202
 query("T13_score", "select k, coherence, diversity, balance, small, round(0.4 * (coherence - 1) / 3 + 0.25 * (diversity - 5) / 3 + 0.25 + 0.1 * (1 - (small - 0) / 3.0), 9) as score from (select k, k::double as coherence, (k + 4)::double as diversity, 1.0::double as balance, (4 - k)::double as small from range(1, 5) as r(k))")(
     lambda s, d: clustering.score(s.range(1, 5).select(F.col("id").alias("k"), F.col("id").cast("double").alias("coherence"), (F.col("id") + 4).cast("double").alias("diversity"), F.lit(1.0).alias("balance"), (4 - F.col("id")).cast("double").alias("small"))).withColumn("score", F.round("score", 9))
 )
-query("W2_latest_labels", with_tables(" select channel, topic_code, max(run_id) as run_id from assignments group by 1, 2", "assignments"))(
-    lambda s, d: topics.latest_by(project(s, d, "assignments").select("channel", "topic_code", "run_id"), ["channel", "topic_code"], F.col("run_id").desc())
+query("W2_latest_labels", with_tables(" select channel, topic_code, arg_max('label ' || run_id || ' of ' || topic_code, run_id) as label from assignments group by 1, 2", "assignments"))(
+    lambda s, d: topics.latest_labels(_states(s, d))
 )
 
 
+def _states(s, d):  # noqa: ANN001, ANN202
+    """A state for each run as JSON, and two that have no topics."""
+    label = F.concat(F.lit("label "), F.col("run_id").cast("string"), F.lit(" of "), F.col("topic_code")).alias("label")
+    runs = project(s, d, "assignments").select("channel", "run_id", F.struct("topic_code", label).alias("t")).groupBy("channel", "run_id").agg(F.to_json(F.struct(F.collect_set("t").alias("topics"))).alias("topic_state_json"))
+    return runs.unionByName(s.createDataFrame([("technical", 99, "{}"), ("effect", 98, None)], "channel string, run_id int, topic_state_json string"))
+
+
 # scalars that work on lists, over text made from each patent
 _PEOPLE = "concat(applicant_raw, '; ', coalesce(assignee_raw, ''), ' ； Extra')"
 query("P1_P5_P7_lists", with_tables(""" select patent_id, regexp_replace(trim(applicant_raw), '\\s+', ' ', 'g') as clean_name,

@@ -30,7 +30,7 @@ query("R3_country_distribution", _with(t.BASE_SQL, "select country_code, legal_s
 query("R4_applicant_country", _with(t.EXPANDED_SQL, "select applicant_display_name, country_code, count(*) as patent_count from expanded where trim(applicant_display_name) != '' and trim(country_code) != '' group by 1, 2"))(_report("applicant_country_distribution"))
 query("R5_ipc_main", _with(t.BASE_SQL, f"select ipc_main, count(*) as patent_count from base where {_CODES.format('ipc_main')} group by 1"))(_report("ipc_main_distribution"))
 query("R6_cpc_main", _with(t.BASE_SQL, f"select cpc_main, count(*) as patent_count from base where {_CODES.format('cpc_main')} group by 1"))(_report("cpc_main_distribution"))
-RANKING_SQL = _with(t.EXPANDED_SQL, """, co as (
+_RANKING = """, co as (
   select applicant_display_name, string_agg(name, '; ' order by name) as co_applicant_names from (
     select distinct e.applicant_display_name, coalesce(n.alias_name, trim(e.other)) as name
     from (select applicant_display_name, unnest(string_split(applicant_raw, '|')) as other from expanded) e left join low_names n on n.alias_key = lower(regexp_replace(trim(e.other), '\\s+', ' ', 'g')) where trim(e.other) != ''
@@ -44,7 +44,8 @@ r as (
   where trim(applicant_display_name) != '' group by 1
 )
 select r.*, coalesce(a.n, 0) as acquired_count, coalesce(co.co_applicant_names, '') as co_applicant_names from r left join acquired a using (applicant_display_name) left join co using (applicant_display_name)
-order by patent_count desc, applicant_display_name limit 100""")
+order by patent_count desc, applicant_display_name limit 100"""
+RANKING_SQL = _with(t.EXPANDED_SQL, _RANKING)
 query("R7_applicant_ranking", RANKING_SQL)(_report("applicant_ranking"))
 query("R8_applicant_year", _with(t.EXPANDED_SQL, "select applicant_display_name, application_year, count(*) as patent_count from expanded where trim(applicant_display_name) != '' and application_year is not null group by 1, 2"))(_report("applicant_year_matrix"))
 
@@ -82,7 +83,10 @@ query("F1_typed_filters", _with(t.BASE_SQL, "select application_year, count(*) a
     _report("application_trend", filters={"application_year": {"from": 1993, "to": 1997}, "country_code": ["US", "JP"]})
 )
 query("F4_empty_scope", "select 1::int as application_year, 1::bigint as patent_count, 1::bigint as family_count where false")(_report("application_trend", ids=[]))
-query("F6_group_ranking", None)(_report("applicant_ranking", scope="group"))
+_GROUPED = t.EXPANDED_SQL.replace("\nexpanded as (", "\nplain as (") + f""", company_groups as ({as_sql('company_groups')}), named as (select {t.key('company')} as k, min(group_name) as g from company_groups where review_status = 'confirmed' group by 1),
+expanded as (select plain.* replace (coalesce(a.g, applicant_display_name) as applicant_display_name, coalesce(b.g, recent_assignee_display_name) as recent_assignee_display_name) from plain
+  left join named a on a.k = {t.key('applicant_display_name')} left join named b on b.k = {t.key('recent_assignee_display_name')})"""
+query("F6_group_ranking", _with(_GROUPED, _RANKING))(_report("applicant_ranking", scope="group"))
 
 query("N1_N2_N3_display_names", _with(t.BASE_SQL, "select patent_id, applicant_display_name, current_assignee_display_name, recent_assignee_display_name from base"))(
     lambda s, d: t.base_table(s, d).select("patent_id", "applicant_display_name", "current_assignee_display_name", "recent_assignee_display_name")
