@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from patquarry.functions import status, text
 from patquarry.operators import pivots, profiles
 from patquarry.plans import companies, family, reports, tables as t
-from patquarry.plans.catalog import query
+from patquarry.plans.catalog import ORACLES, query
 from patquarry.sources.projection import as_sql, project, with_tables
 
 
@@ -138,7 +138,13 @@ query("J14_full_years", _with(t.BASE_SQL, "select coalesce(a.y, g.y) as year, co
 query("SNK4_truncated", _with(t.EXPANDED_SQL, "select *, count(*) over () as rows_total from (select applicant_display_name, count(*) as patent_count from expanded group by 1) order by patent_count desc, applicant_display_name limit 20"))(
     lambda s, d: pivots.truncated(t.expanded(s, d).groupBy("applicant_display_name").agg(F.count(F.lit(1)).alias("patent_count")), [F.col("patent_count").desc(), F.col("applicant_display_name")], 20)
 )
-query("SNK5_fingerprint")(lambda s, d: pivots.fingerprint(_report("country_distribution")(s, d)))
+query("SNK5_fingerprint", f"""with r as (select * from ({ORACLES['R3_country_distribution']})),
+j as (select sha256('{{' || array_to_string(list_filter([case when country_code is not null then '"country_code":' || to_json(country_code)::varchar end, case when legal_status is not null then '"legal_status":' || to_json(legal_status)::varchar end, '"patent_count":' || patent_count], lambda x: x is not null), ',') || '}}') as d from r)
+select count(*) as rows, bit_xor(('0x' || substr(d, 1, 15))::bigint) as fingerprint from j""")(lambda s, d: pivots.fingerprint(_report("country_distribution")(s, d)))
+query("A4_A5_A6_aggregates", _with(t.BASE_SQL, """select country_code, count(*) filter (trim(grant_no) != '') as granted, coalesce(string_agg(distinct nullif(trim(patent_type), ''), '; ' order by nullif(trim(patent_type), '')), '') as types,
+  count(distinct application_year) as years, avg(application_year)::decimal(12, 2) as mean_year, max(application_year) as last_year from base group by 1"""))(
+    lambda s, d: t.base_table(s, d).groupBy("country_code").agg(*[reports.aggregate(f, c, "country_code", None).alias(n) for f, c, n in (("count_nonblank", "grant_no", "granted"), ("string_agg_distinct_nonblank", "patent_type", "types"), ("count_distinct", "application_year", "years"), ("avg", "application_year", "mean_year"), ("max", "application_year", "last_year"))])
+)
 
 # profiles
 _ONE = ", x as (select distinct on (applicant_display_name, patent_id) * from expanded where trim(applicant_display_name) != '')"
