@@ -107,7 +107,7 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                     if at < start + n and at + len(values) > start:
                         parts.append(values[max(0, start - at) : start + n - at])
                     at += len(values)
-                yield doc_id, start, np.concatenate(parts) if len(parts) != 1 else parts[0]
+                yield doc_id, start, parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, data.schema.field("ids").type.value_type.to_pandas_dtype())
 
 
 def read_sequence(uri: str, k: int) -> tuple[np.ndarray, np.ndarray]:

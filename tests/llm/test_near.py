@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from patquarry.llm import ann, components, minhash, vectordup
+from patquarry.llm import ann, components, minhash, scratch, vectordup
 from tests.compare import assert_same
 from tests.llm.conftest import prose
 
@@ -82,6 +83,23 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_superseded_tables_are_deleted(spark):
+    """Turns of the components leave one table, and cleanup leaves none; off a local master a shared folder must be set."""
+    import os
+    import types
+
+    base = scratch.base(spark)
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r.component for r in components.connected(links).collect()} == {0}
+    assert len(set(os.listdir(base)) - before) == 1
+    scratch.cleanup(spark)
+    assert not os.path.exists(base)
+    far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(applicationId="x", master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.base(far)
+
+
 def vectors():
     r = np.random.default_rng(5)
     rows = [(i, r.standard_normal(16).tolist(), 0) for i in range(200)]
@@ -204,5 +222,6 @@ def test_pipeline(spark, odd, tmp_path):
         docs = stage(spark, docs, path)
         assert docs.columns == odd.columns
     kept = {r.doc_id for r in docs.collect()}
+    assert [r.text for r in docs.where("doc_id = 7").collect()] == ["   \n\t "]  # of two rows of one id that of the smaller text
     assert 1 in kept and 2 not in kept and {5, 6, 8, 10, 11, 12, 14, None} <= kept and 13 not in kept
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).select("doc_id").distinct().collect()} == kept

@@ -142,6 +142,23 @@ def test_files_are_read_in_as_many_tasks(spark):
     assert out.rdd.getNumPartitions() == manifest.count() > 1
 
 
+def test_documents_across_batches_and_sequences(tmp_path):
+    """Documents of none, one and many sequences read back whole, whatever batches and sequences they end in."""
+    r = np.random.default_rng(4)
+    docs = [(i, r.integers(0, 60_000, n).astype("<u2")) for i, n in enumerate((0, 1, 63, 64, 65, 128, 5000, 0, 3, 16_384, 1, 200))]
+    out = arrowstream.SequenceWriter(str(tmp_path / "a"), 64, 2, batch=16)
+    for i, ids in docs:
+        out.add(i, ids.tobytes())
+    out.close()
+    got = list(arrowstream.read_documents(str(tmp_path / "a")))
+    starts = np.cumsum([0, *(len(ids) for _, ids in docs)])
+    assert [(i, start, ids.tolist()) for i, start, ids in got] == [(i, int(s), ids.tolist()) for (i, ids), s in zip(docs, starts, strict=False)]
+    flat = np.concatenate([ids for _, ids in docs])
+    for k in (0, 15, 16, 100, len(flat) // 64):
+        ids, mask = arrowstream.read_sequence(str(tmp_path / "a"), k)
+        assert ids[mask].tolist() == flat[64 * k : 64 * (k + 1)].tolist()
+
+
 def test_vocabularies_with_other_rules_are_refused(tmp_path):
     import json
 
