@@ -31,10 +31,14 @@ def _lookup(key: Column) -> Column:
     return out
 
 
+#: A note in brackets at the end of a status (a fixed pattern).
+NOTE = r"\s*[(（].*[)）]\s*$"
+
+
 def normalize(status: Column) -> Column:
     """alive, dead, pending or unknown: the whole value first, then without a bracket at its end."""
     text = F.trim(status)
-    bare = F.trim(F.regexp_replace(text, r"\s*[(（].*[)）]\s*$", ""))
+    bare = F.trim(F.regexp_replace(text, NOTE, ""))
     return F.coalesce(_lookup(F.lower(text)), _lookup(F.lower(bare)), F.lit(UNKNOWN))
 
 

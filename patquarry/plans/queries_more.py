@@ -162,11 +162,21 @@ query("F13_narrative", with_tables(f", members as ({as_sql('members')}) select p
 )
 
 # topics
-query("T11_ladder", "select * from (values (30, '3,5,8'), (49, '3,5,8'), (50, '5,10'), (99, '5,10'), (100, '10,15'), (250, '10,15,20'), (900, '10,15,20,25,30,35,40')) as v(documents, ks)")(
-    lambda s, d: s.createDataFrame([(n, ",".join(map(str, clustering.ladder(n)))) for n in (30, 49, 50, 99, 100, 250, 900)], "documents int, ks string")
+query("T11_ladder", """with n as (select lang, count(*) as documents from documents group by 1 union all select 'all', count(*) from documents union all select 'vectors', count(*) from embeddings)
+select lang, documents, case when documents < 50 then '3,5,8' when documents < 100 then '5,10' else (select string_agg(k, ',' order by k) from range(10, least(40, 15 + 5 * ((documents - 100) // 100)) + 1, 5) as r(k)) end as ks from n where documents >= 30""")(
+    lambda s, d: _ladders(s, d)
 )
 
 
+def _ladders(s, d):  # noqa: ANN001, ANN202
+    documents, vectors = load(s, d, "documents"), load(s, d, "embeddings")
+    n = documents.groupBy("lang").count().unionByName(documents.groupBy(F.lit("all").alias("lang")).count()).unionByName(vectors.groupBy(F.lit("vectors").alias("lang")).count())
+    rows = [(r.lang, r["count"], ",".join(map(str, clustering.ladder(r["count"])))) for r in n.where("count >= 30").collect()]  # a row a language
+    return s.createDataFrame(rows, "lang string, documents long, ks string")
+
+
+
+
 def _topics_of(s, d):  # noqa: ANN001, ANN202
     return load(s, d, "embeddings").select(F.col("vec_id").alias("patent_id"), F.col("label").alias("topic_code"), F.col("embedding").alias("vector"))
 

@@ -12,7 +12,7 @@ def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows, one a key, whose keys a table lacks."""
+    """Append the rows, one a key, whose keys a table lacks. One writer at a time: Parquet folders do not isolate two."""
     there = df.sparkSession.read.parquet(path).select(*keys)
     df.dropDuplicates(keys).join(there, keys, "left_anti").write.mode("append").parquet(path)
 
