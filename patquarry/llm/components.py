@@ -11,6 +11,21 @@ from pyspark.sql import DataFrame, functions as F
 from patquarry.llm import scratch
 
 
+#: A class of more copies than this is hot: there is at most one for so many rows, so those few are broadcast.
+HOT = 10_000
+
+
+def with_classes(rows: DataFrame, of: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` with the columns of their class; ``of`` has a row a class, with ``copies``, its number of rows. Rows of no class get nulls.
+
+    The copies of one text or vector may be a third of all rows, as may rows without a key: neither meets in one task."""
+    hot = F.broadcast(of.where(F.col("copies") > HOT))
+    named = rows.where(F.col(key).isNotNull())
+    parts = (named.join(hot, key), named.join(hot.select(key), key, "left_anti").join(of.where(F.col("copies") <= HOT), key))
+    none = rows.where(F.col(key).isNull())
+    return parts[0].unionByName(parts[1]).unionByName(none, allowMissingColumns=True)
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from patquarry.llm import scratch
-from patquarry.llm.components import Forest, connected
+from patquarry.llm.components import Forest, connected, with_classes
 from patquarry.llm.runs import grouped
 
 #: Bands of so many minima: a pair at similarity 0.85 shares no band with a chance of 7.7e-7.
@@ -272,7 +272,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     described = scratch.table(rows.mapInArrow(_describe(size), schema), "signatures")
     named = described.where("doc_id is not null and key is not null")
     classes = scratch.table(
-        named.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("c")).select("key", F.col("c.doc_id").alias("rep"), "c.sig", "c.bands"), "classes"
+        named.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("c"), F.count(F.lit(1)).alias("copies")).select("key", F.col("c.doc_id").alias("rep"), "c.sig", "c.bands", "copies"), "classes"
     )
     # a bucket joins its members once for each salt that they have, so a hot one is spread
     salted = lambda df: df.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x)) != 0))).drop("mask")
@@ -310,8 +310,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     worded = deal(close.join(packed.select("rep", "packed"), "rep").select(*close.columns, "packed"))
     more = scratch.table(worded.mapInArrow(_across(threshold, size, percent), "a long, b long"), "block-links")
     components = connected(more.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of = classes.select("key", F.col("rep").alias("node")).join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return described.select("doc_id", "n_shingles", "key").join(of, "key", "left").select(
+    of = classes.select("key", "copies", F.col("rep").alias("node")).join(components, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("component"))
+    of = scratch.table(of, "text-components")
+    # rows without an id have no class here, whatever their text
+    keys = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    return with_classes(keys, of).select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

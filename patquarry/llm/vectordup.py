@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from patquarry.llm import scratch
-from patquarry.llm.components import Forest, connected
+from patquarry.llm.components import Forest, connected, with_classes
 from patquarry.llm.runs import grouped
 from patquarry.llm.vectors import binary, digests, dimension, matrix, prepare, raw, stored_kind, units
 
@@ -189,9 +189,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
     components = connected(found.where("b is not null").select("a", "b"))
     of = classes.join(counts, "key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component")
+        "key", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component")
     )
-    linked = signed.select("vec_id", "key").join(of, "key").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    linked = with_classes(signed.select("vec_id", "key"), scratch.table(of, "vector-components")).select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -35,7 +35,9 @@ def check(df, size, percent):
     assert sorted(r.n_shingles for r in got) == sorted(len(sets(t, size)) for _, t in rows)
 
 
-def test_minhash_on_odd_rows(odd, empty):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_minhash_on_odd_rows(odd, empty, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     check(odd, 3, 85)
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -110,7 +112,9 @@ def vectors():
     return rows
 
 
-def test_vector_links(spark):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_vector_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int").withColumn("embedding", F.col("embedding").cast("array<float>"))
     good = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
