@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
 from pyspark.sql import DataFrame, functions as F
 
 from patquarry.functions.text import leading_year
-from patquarry.plans.companies import converge, expand_applicants, group_names
+from patquarry.plans.companies import Names, converge, expand_applicants, group_names
 
 
 #: Display names and the columns that they converge: standardised, raw, code.
-NAMES = {
+COLUMNS = {
     "applicant_display_name": ("applicant_std", "applicant_raw", "applicant_code"),
     "current_assignee_display_name": ("owner_std", "owner_raw", "owner_code"),
     "recent_assignee_display_name": ("assignee_raw", "assignee_raw", None),
 }
 
 
-def patent_base(patents: DataFrame, aliases: DataFrame, names: Collection[str] = tuple(NAMES)) -> DataFrame:
-    """Patents with the year of grant and the display names asked for; each name costs joins that a plan cannot drop."""
+def patent_base(patents: DataFrame, names: Names) -> DataFrame:
+    """Patents with the year of grant and the display names."""
     df = patents
-    for name, columns in NAMES.items():
-        if name in names:
-            df = converge(df, aliases, *columns, name)
+    for name, columns in COLUMNS.items():
+        df = converge(df, names, *columns, name)
     return df.withColumn("grant_year", leading_year(F.col("grant_date_text")))
 
 
-def applicant_expanded(patents: DataFrame, aliases: DataFrame, names: Collection[str] = tuple(NAMES)) -> DataFrame:
-    """The base by applicant, with the converged name of the recent assignee if asked for."""
+def applicant_expanded(patents: DataFrame, names: Names) -> DataFrame:
+    """The base by applicant, with the converged name of the recent assignee."""
     recent = "recent_assignee_display_name"
-    df = converge(patents, aliases, *NAMES[recent], recent) if recent in names else patents
-    return expand_applicants(df, aliases)
+    return expand_applicants(converge(patents, names, *COLUMNS[recent], recent), names)
 
 
 def with_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Company names replaced by those of their groups."""
-    for c in ("applicant_display_name", "current_assignee_display_name", "recent_assignee_display_name"):
+    for c in COLUMNS:
         if c in df.columns:
             df = group_names(df, groups, c, f"{c}_group").drop(c).withColumnRenamed(f"{c}_group", c)
     return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -35,29 +37,43 @@ def lowest_alias_names(aliases: DataFrame) -> DataFrame:
     return rows.groupBy("alias_key").agg(F.min(F.struct("alias_id", "name"))["name"].alias("alias_name"))
 
 
+@dataclass(frozen=True)
+class Names:
+    """What confirmed aliases say, made once for all columns that converge: ``alias_key, alias_name`` by the best and by the lowest row, ``code, code_name``."""
+
+    by_alias: DataFrame
+    by_lowest_alias: DataFrame
+    by_code: DataFrame
+
+    @classmethod
+    def of(cls, aliases: DataFrame) -> Names:
+        return cls(alias_names(aliases), lowest_alias_names(aliases), code_names(aliases))
+
+
 def corpus_names(patents: DataFrame, code: str, std: str, raw: str) -> DataFrame:
-    """``code, corpus_name``: the most frequent standardised, else raw, primary name that patents give a code."""
-    rows = patents.select(blank_to_null(F.col(code)).alias("code"), first_part(F.col(std)).alias("std"), first_part(F.col(raw)).alias("raw")).where("code is not null")
-    return mode_by(rows, "code", "std", "std").join(mode_by(rows, "code", "raw", "raw"), "code", "full").select("code", F.coalesce("std", "raw").alias("corpus_name"))
+    """``code, corpus_name``: the most frequent standardised, else raw, primary name that patents give a code, in one pass over them."""
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), first_part(F.col(std)).alias("name")), F.struct(F.lit(1).alias("kind"), first_part(F.col(raw)).alias("name"))))
+    rows = patents.select(blank_to_null(F.col(code)).alias("code"), kinds.alias("k")).select("code", "k.*").where("code is not null and name is not null")
+    counts = rows.groupBy("code", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("code").agg(F.min(F.struct("kind", (-F.col("n")).alias("n"), "name"))["name"].alias("corpus_name"))
 
 
-def converge(patents: DataFrame, aliases: DataFrame, std: str, raw: str, code: str | None, out: str) -> DataFrame:
+def converge(patents: DataFrame, names: Names, std: str, raw: str, code: str | None, out: str) -> DataFrame:
     """``patents`` with the display name ``out``: by code, by alias of the standardised or raw name, by the corpus, as it stands."""
-    names = alias_names(aliases)
     df = patents.withColumn("_std", first_part(F.col(std))).withColumn("_raw", first_part(F.col(raw)))
-    for key in ("_std", "_raw"):
-        df = df.withColumn("alias_key", lookup_key(F.col(key))).join(names.withColumnRenamed("alias_name", f"_by{key}"), "alias_key", "left").drop("alias_key")
-    ways = ["_by_std", "_by_raw", "_std", "_raw"]
+    for key in ("_std", "_raw") if std != raw else ("_raw",):
+        df = df.withColumn("alias_key", lookup_key(F.col(key))).join(names.by_alias.withColumnRenamed("alias_name", f"_by{key}"), "alias_key", "left").drop("alias_key")
+    ways = [*(("_by_std",) if std != raw else ()), "_by_raw", "_std", "_raw"]
     if code:
-        df = df.withColumn("code", blank_to_null(F.col(code))).join(code_names(aliases), "code", "left").join(corpus_names(patents, code, std, raw), "code", "left").drop("code")
-        ways = ["code_name", "_by_std", "_by_raw", "corpus_name", "_std", "_raw"]
+        df = df.withColumn("code", blank_to_null(F.col(code))).join(names.by_code, "code", "left").join(corpus_names(patents, code, std, raw), "code", "left").drop("code")
+        ways = ["code_name", *ways[:-2], "corpus_name", "_std", "_raw"]
     return df.withColumn(out, F.coalesce(*ways)).drop("_std", "_raw", "_by_std", "_by_raw", "code_name", "corpus_name")
 
 
-def expand_applicants(patents: DataFrame, aliases: DataFrame, raw: str = "applicant_raw") -> DataFrame:
+def expand_applicants(patents: DataFrame, names: Names, raw: str = "applicant_raw") -> DataFrame:
     """A row for each applicant of each patent: ``applicant_no`` from 1, ``is_primary`` and ``applicant_display_name``."""
     rows = patents.select("*", F.posexplode(split_multi_value(F.col(raw))).alias("_at", "applicant_name"))
-    rows = rows.withColumn("alias_key", lookup_key(F.col("applicant_name"))).join(lowest_alias_names(aliases), "alias_key", "left")
+    rows = rows.withColumn("alias_key", lookup_key(F.col("applicant_name"))).join(names.by_lowest_alias, "alias_key", "left")
     return rows.withColumn("applicant_no", F.col("_at") + 1).withColumn("is_primary", F.col("_at") == 0).withColumn("applicant_display_name", F.coalesce("alias_name", "applicant_name")).drop("_at", "alias_key", "alias_name")
 
 

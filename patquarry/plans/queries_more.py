@@ -131,7 +131,7 @@ _MADE = ("application_trend", "country_distribution", "ipc_main_distribution")
 
 
 def _batch(s, d):  # noqa: ANN001, ANN202
-    found = reports.run_batch(t.sources(s, d), [*_MADE, *_CLUSTER, "nothing"], aliases=t.aliases(s, d))
+    found = reports.run_batch(t.Sources(s, d), [*_MADE, *_CLUSTER, "nothing"], aliases=t.aliases(s, d))
     rows = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("name"), "row_count", F.lit(None).cast("string").alias("skipped")) for n, df in found.items() if isinstance(df, DataFrame)]
     skipped = s.createDataFrame([(n, None, why) for n, why in found.items() if isinstance(why, str)], "name string, row_count long, skipped string")
     return reduce(DataFrame.unionByName, [*rows, skipped])
@@ -151,7 +151,7 @@ query("R15_top_cited", f"{_CITED} select patent_id, title, application_year, app
 query("R15_rd_energy", f"""{_CITED} select applicant_display_name, count(*) as patent_count, coalesce(sum(cited_count), 0)::bigint as cited_total, coalesce(sum(inventor_count), 0)::bigint as inventor_total, count(cited_count) as cited_rows
 from cited where trim(applicant_display_name) != '' group by 1 order by patent_count desc, 1 limit 30""")(lambda s, d: reports.run_report(_cited(s, d), "company_rd_energy"))
 query("W11_limits", f"select * from ({RANKING_SQL}) order by patent_count desc, applicant_display_name limit 7")(
-    lambda s, d: reports.run_report(t.sources(s, d), "applicant_ranking", limit=7, aliases=t.aliases(s, d))
+    lambda s, d: reports.run_report(t.Sources(s, d), "applicant_ranking", limit=7, aliases=t.aliases(s, d))
 )
 query("W19_opportunity_rows", f"select channel, topic_code as label, patent_count, applicant_count, quadrant, case when leading_applicants = '' then '—' else leading_applicants end as leading_applicants, leading_applicant_count, patent_median, applicant_median from ({ORACLES['AG11_P22_opportunity']})")(
     lambda s, d: opportunity(s, d).withColumnRenamed("topic_code", "label").withColumn("leading_applicants", F.when(F.col("leading_applicants") == "", "—").otherwise(F.col("leading_applicants")))

@@ -13,7 +13,7 @@ from patquarry.sources.projection import as_sql, project, with_tables
 
 def _report(name, ids=None, filters=None, scope="company", **more):  # noqa: ANN001, ANN202
     def run(spark, d):  # noqa: ANN001, ANN202
-        return reports.run_report(t.sources(spark, d, scope), name, filters=filters, patent_ids=ids, aliases=t.aliases(spark, d), **more)
+        return reports.run_report(t.Sources(spark, d, scope), name, filters=filters, patent_ids=ids, aliases=t.aliases(spark, d), **more)
 
     return run
 

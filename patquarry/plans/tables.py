@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +23,20 @@ def _derived(spark: SparkSession, d: str, name: str, build: Callable[[], DataFra
     return derived(spark, name, [*files(d, "patents"), *files(d, "aliases")], build)
 
 
+def names(spark: SparkSession, d: str) -> companies.Names:
+    """Names by alias and code, rebuilt when the aliases have changed."""
+    made = {"alias_names": companies.alias_names, "lowest_alias_names": companies.lowest_alias_names, "code_names": companies.code_names}
+    return companies.Names(*[derived(spark, n, files(d, "aliases"), lambda f=f: f(aliases(spark, d))) for n, f in made.items()])
+
+
 def base_table(spark: SparkSession, d: str) -> DataFrame:
     """A row a patent with its display names, rebuilt when its sources have changed."""
-    return _derived(spark, d, "report_base", lambda: base.patent_base(patents(spark, d), aliases(spark, d)))
+    return _derived(spark, d, "report_base", lambda: base.patent_base(patents(spark, d), names(spark, d)))
 
 
 def expanded(spark: SparkSession, d: str) -> DataFrame:
     """A row a patent and applicant, rebuilt when its sources have changed."""
-    return _derived(spark, d, "report_applicants", lambda: base.applicant_expanded(patents(spark, d), aliases(spark, d)))
+    return _derived(spark, d, "report_applicants", lambda: base.applicant_expanded(patents(spark, d), names(spark, d)))
 
 
 def families(spark: SparkSession, d: str) -> DataFrame:
@@ -38,15 +44,24 @@ def families(spark: SparkSession, d: str) -> DataFrame:
     return _derived(spark, d, "family_country", lambda: family.by_country(patents(spark, d)))
 
 
-def sources(spark: SparkSession, d: str, scope: str = "company") -> dict[str, DataFrame]:
-    """The tables that reports read; in the group scope with groups' names."""
-    if scope not in ("company", "group"):
-        raise ValueError(f"unknown scope {scope}")
-    found = {"base": base_table(spark, d), "expanded": expanded(spark, d), "family_country": families(spark, d)}
-    if scope == "group":
-        groups = project(spark, d, "company_groups")
-        found |= {k: base.with_groups(found[k], groups) for k in ("base", "expanded")}
-    return found
+class Sources(Mapping):
+    """The tables that reports read, each built when it is asked for; in the group scope with groups' names."""
+
+    def __init__(self, spark: SparkSession, d: str, scope: str = "company") -> None:
+        if scope not in ("company", "group"):
+            raise ValueError(f"unknown scope {scope}")
+        self.spark, self.d, self.scope = spark, d, scope
+        self.made = {"base": base_table, "expanded": expanded, "family_country": families}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        df = self.made[name](self.spark, self.d)
+        return base.with_groups(df, project(self.spark, self.d, "company_groups")) if self.scope == "group" and name != "family_country" else df
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
 
 
 _KEY = "lower(regexp_replace(trim({0}), '\\s+', ' ', 'g'))"
