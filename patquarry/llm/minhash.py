@@ -282,19 +282,20 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     buckets = member.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("last"), mask).where("n > 1 and hub != last").drop("last")
     member = scratch.table(member.join(salted(scratch.table(buckets, "buckets")), place), "bucket-members")
     keys = F.to_binary(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit("hex"))
-    of = classes.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "key", "sig", keys.alias("keys"))
+    signed = scratch.table(classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "sig", keys.alias("keys")), "bucket-signatures")
+    # ids alone decide whose words are needed, so this side of the join stays small
     packed = rows.where("doc_id is not null").mapInArrow(_packed, "doc_id long, key binary, packed binary")
-    packed = packed.join(of, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    packed = scratch.table(packed.select(F.col("doc_id").alias("rep"), "sig", "keys", "packed"), "bucket-words")
+    packed = packed.join(signed.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    packed = scratch.table(packed.select(F.col("doc_id").alias("rep"), "packed"), "bucket-words")
 
-    def attach(pairs: DataFrame, value: str) -> DataFrame:
-        left = packed.select(F.col("rep").alias("a"), F.col(value).alias("x"))
-        right = packed.select(F.col("rep").alias("b"), F.col(value).alias("y"))
+    def attach(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        left = values.select(F.col("rep").alias("a"), F.col(value).alias("x"))
+        right = values.select(F.col("rep").alias("b"), F.col(value).alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     hubs = member.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    hubs = scratch.table(attach(hubs, "sig").mapInArrow(_prune(threshold), "a long, b long").distinct(), "hub-pairs")
-    links = scratch.table(attach(hubs, "packed").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "hub-links")
+    hubs = scratch.table(attach(hubs, signed, "sig").mapInArrow(_prune(threshold), "a long, b long").distinct(), "hub-pairs")
+    links = scratch.table(attach(hubs, packed, "packed").mapInArrow(_verify(size, percent), "a long, b long").distinct(), "hub-links")
     components = connected(links)
     labelled = member.where("n > 2").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     labelled = scratch.table(labelled, "labelled")
@@ -305,9 +306,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     some = some.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     deal = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
     columns = [*(F.col(c).cast("long").alias(c) for c in ("bucket", "i", "j", "block", "rep", "label", "hub", "band")), "sig", "keys"]
-    close = deal(some.join(packed.select("rep", "sig", "keys"), "rep").select(columns))
+    close = deal(some.join(signed.select("rep", "sig", "keys"), "rep").select(columns))
     close = scratch.table(close.mapInArrow(_close(threshold), close.schema), "block-candidates")
-    worded = deal(close.join(packed.select("rep", "packed"), "rep").select(*close.columns, "packed"))
+    worded = deal(close.join(packed, "rep").select(*close.columns, "packed"))
     more = scratch.table(worded.mapInArrow(_across(threshold, size, percent), "a long, b long"), "block-links")
     components = connected(more.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of = classes.select("key", "copies", F.col("rep").alias("node")).join(components, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("component"))
