@@ -31,9 +31,9 @@ from patquarry.llm import scratch
 from patquarry.llm.tokens import encoder
 
 #: Rounds of the first program and of those of pieces left, at most; the share of a length that a round may cover; how fast a
-#: weight falls as its length is covered; how far below the best value a filling may be; the gap at which rounds end; the
-#: share of pieces that another program must place; how much dearer a token of the longest piece is at first than one of the shortest.
-ROUNDS, AGAIN, STEP, RATE, SLACK, GAP, WORTH, TILT = 400, 80, 0.1, 1.0, 0.02, 0.01, 0.02, 0.1
+#: weight falls as its length is covered; how far below the best value a filling may be, at first in the first program and at the least, and how fast
+#: that falls; the gap at which rounds end; the share of pieces that another program must place; how much dearer a token of the longest piece is at first than one of the shortest.
+ROUNDS, AGAIN, STEP, RATE, LOOSE, SLACK, FALL, GAP, WORTH, TILT = 400, 80, 0.1, 1.0, 0.02, 0.0005, 0.99, 0.01, 0.02, 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 Filling = tuple[tuple[int, int], ...]  # pairs of a length and how many, long ones first
@@ -76,11 +76,11 @@ def price(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, took
 
 
-def good_fillings(weights: np.ndarray, best: np.ndarray, took: np.ndarray) -> list[Filling]:
+def good_fillings(weights: np.ndarray, best: np.ndarray, took: np.ndarray, slack: float) -> list[Filling]:
     """For each length the filling of most weight that has it, of those that come close to the best."""
     capacity = len(weights) - 1
     lengths = np.nonzero(np.isfinite(weights))[0]
-    lengths = lengths[weights[lengths] + best[capacity - lengths] >= (1 - SLACK) * best[capacity]]
+    lengths = lengths[weights[lengths] + best[capacity - lengths] >= (1 - slack) * best[capacity]]
     start = np.maximum.accumulate(np.where(took > 0, np.arange(capacity + 1), 0))  # where to look for the next piece
     which, room = np.arange(len(lengths)), start[capacity - lengths]
     rows, items = [which], [lengths]
@@ -96,7 +96,7 @@ def good_fillings(weights: np.ndarray, best: np.ndarray, took: np.ndarray) -> li
     return [tuple(pairs[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def cover(histogram: np.ndarray, rounds: int = ROUNDS, gap: float = GAP, seed: int = 1) -> Cover:
+def cover(histogram: np.ndarray, rounds: int = ROUNDS, gap: float = GAP, seed: int = 1, loose: float = LOOSE) -> Cover:
     """Solve the program by multiplicative weights to the gap, or as far as the rounds lead."""
     capacity = len(histogram) - 1
     lengths = np.nonzero(histogram)[0]
@@ -112,7 +112,7 @@ def cover(histogram: np.ndarray, rounds: int = ROUNDS, gap: float = GAP, seed: i
         weights[lengths] = first * np.exp(-RATE * covered)
         best, took = price(weights)
         bound = max(bound, float(have[lengths] @ weights[lengths] / best[capacity]))
-        found, room = good_fillings(weights, best, took), (STEP * have).tolist()
+        found, room = good_fillings(weights, best, took, max(SLACK, loose * FALL**turn)), (STEP * have).tolist()
         for i in r.permutation(len(found)).tolist():
             n = min(room[k] / c for k, c in found[i])
             if n > 1e-9:
@@ -184,7 +184,7 @@ def plan(histogram: np.ndarray) -> Packing:
     chosen: Counter[Filling] = Counter()
     bounds: list[tuple[float, float]] = []
     while (before := sum(left)) > 0:
-        solved = cover(np.array(left), AGAIN if bounds else ROUNDS, seed=1 + len(bounds))
+        solved = cover(np.array(left), AGAIN if bounds else ROUNDS, seed=1 + len(bounds), loose=0.0 if bounds else LOOSE)
         bounds.append((solved.value, solved.bound))
         room = {f: capacity - sum(k * c for k, c in f) for f in solved.fillings}
         down = sorted(solved.fillings.items(), key=lambda e: (-e[1], e[0]))
