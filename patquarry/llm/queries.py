@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patquarry.llm import ann, arrowstream, bpe, licenses, minhash, packing, scratch, secrets, sharding, toxicity, vectordup
+from patquarry.llm import ann, arrowstream, bpe, licenses, manifest, minhash, packing, periodic, quality, scratch, secrets, sharding, toxicity, vectordup
 
 SHARDS = 40
 
@@ -61,5 +61,18 @@ def op10_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowstream.read(arrowstream.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op7_vectordup": op7_vectordup, "op8_ann": op8_ann, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow}
-ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE % {"n": SHARDS}, "op7_vectordup": vectordup.ORACLE, "op9_minhash": minhash.ORACLE}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.scan(_documents(spark, sf_dir))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return manifest.manifest(documents, manifest.tampered(documents))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op7_vectordup": op7_vectordup, "op8_ann": op8_ann, "op9_minhash": op9_minhash, "op10_arrow": op10_arrow, "op11_quality": op11_quality, "op12_periodic": op12_periodic, "op13_manifest": op13_manifest}
+ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE % {"n": SHARDS}, "op7_vectordup": vectordup.ORACLE, "op9_minhash": minhash.ORACLE, "op11_quality": quality.ORACLE, "op12_periodic": periodic.ORACLE, "op13_manifest": manifest.ORACLE}
