@@ -50,10 +50,23 @@ def derived(spark: SparkSession, name: str, sources: Sequence[str], build: Calla
     return spark.read.schema(schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once to this application's folder and read back with the same schema, and where; ``delete`` it after use."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a stored folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application has stored here; frames that read it become unreadable."""
     app = spark.sparkContext.applicationId
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, folder(spark))
     for key in [k for k in _stored if k[0] == app]:
         del _stored[key]
