@@ -1,24 +1,21 @@
-"""Topic discovery with Spark's own learners; numbers differ from other libraries', invariants do not."""
+"""Topic discovery: texts, terms, and the choice between numbers of topics; numbers differ from other libraries', invariants do not."""
 
 from __future__ import annotations
 
 import html
 import unicodedata
 from collections import Counter
-from functools import reduce
+from collections.abc import Sequence
 from math import log, sqrt
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from patquarry.functions.status import is_design
 from patquarry.functions.text import is_filled
-from patquarry.operators.sets import euclidean
+from patquarry.operators import online
+from patquarry.sources import derived
 
 
 def ladder(n: int) -> tuple[int, ...]:
@@ -63,16 +60,15 @@ def chunks(df: DataFrame, key: str, text: str, most: int = 256) -> DataFrame:
     return rows.select(key, "chunk", F.size(part).alias("words"), F.array_join(part, " ").alias("text"))
 
 
-def reduce_dimensions(df: DataFrame, vector: str, k: int) -> DataFrame:
-    """The first ``k`` principal components beside the rows."""
-    ready = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    return PCA(k=k, inputCol="_v", outputCol="_p").fit(ready).transform(ready).withColumn("reduced", vector_to_array("_p")).drop("_v", "_p")
+def reduce_dimensions(df: DataFrame, vector: str, most: int = 100) -> DataFrame:
+    """The rows with ``reduced``, their first ``min(most, rows, dimensions)`` principal components."""
+    return online.components(online.moments(df, vector), most).project(df, vector)
 
 
-def assign(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """A topic from 0 for each row, by k-means."""
-    ready = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(ready).transform(ready).drop("_v")
+def assign(df: DataFrame, vector: str, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
+    """A topic from 0 for each row that has a vector, by the best of several starts of k-means."""
+    fits, _ = online.kmeans(df, vector, [k], starts, seed=seed)
+    return online.assigned(df.where(F.col(vector).isNotNull()), vector, fits).withColumn("topic", F.col("topics")[0]).drop("topics", "distances")
 
 
 def claim_chunks(df: DataFrame, key: str, text: str, most: int = 256, step: int | None = None) -> DataFrame:
@@ -97,26 +93,37 @@ def claim_chunks(df: DataFrame, key: str, text: str, most: int = 256, step: int
     return df.select(key, F.posexplode(packed).alias("chunk", "w")).select(key, "chunk", F.size("w").alias("words"), F.array_join("w", " ").alias("text"))
 
 
-def terms_of(text: Column) -> Column:
-    """Words of two characters and more in order, and pairs of neighbors among them."""
+def terms_of(text: Column, stop_words: Sequence[str] = ()) -> Column:
+    """Words of two characters and more in order, without ``stop_words`` (lower case), and pairs of neighbors among them."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 1)
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
     return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def term_weights(df: DataFrame, text: str, topic: str = "topic") -> DataFrame:
-    """Class-based TF-IDF of every word and pair of words in each topic: ``topic, term, n, weight``; no term is left out."""
-    counts = df.select(topic, F.explode(terms_of(F.col(text))).alias("term")).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(topic).agg(F.sum("n").alias("size"))  # a row a topic
-    mean = sizes.agg(F.avg("size").alias("mean"))
-    whole = counts.groupBy("term").agg(F.sum("n").alias("all"))
+def _weighted(counts: DataFrame, topic: str, by: Sequence[str] = ()) -> DataFrame:
+    """Class-based TF-IDF of counts ``by..., topic, term, n``: adds ``weight``; each value of ``by`` is a corpus of its own."""
+    sizes = counts.groupBy(*by, topic).agg(F.sum("n").alias("size"))  # a row a topic
+    mean = sizes.groupBy(*by).agg(F.avg("size").alias("mean"))
+    whole = counts.groupBy(*by, "term").agg(F.sum("n").alias("all"))
     weight = F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("all"))
-    return counts.join(F.broadcast(sizes), topic).join(whole, "term").join(F.broadcast(mean)).select(topic, "term", "n", weight.alias("weight"))
+    rows = counts.join(F.broadcast(sizes), [*by, topic]).join(whole, [*by, "term"])
+    return (rows.join(F.broadcast(mean), list(by)) if by else rows.join(F.broadcast(mean))).select(*by, topic, "term", "n", weight.alias("weight"))
 
 
-def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10) -> DataFrame:
+def term_weights(df: DataFrame, text: str, topic: str = "topic", stop_words: Sequence[str] = ()) -> DataFrame:
+    """Class-based TF-IDF of every word and pair of words in each topic: ``topic, term, n, weight``; no term is left out but ``stop_words``."""
+    return _weighted(df.select(topic, F.explode(terms_of(F.col(text), stop_words)).alias("term")).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n")), topic)
+
+
+def _best_terms(weights: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("weight").desc(), "term"))
+    return weights.withColumn("rank", rank).where(F.col("rank") <= most).select(*keys, "rank", "term", "weight")
+
+
+def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10, stop_words: Sequence[str] = ()) -> DataFrame:
     """``topic, rank, term, weight``, with the best terms of each topic by class-based TF-IDF."""
-    rank = F.row_number().over(Window.partitionBy(topic).orderBy(F.col("weight").desc(), "term"))
-    return term_weights(df, text, topic).withColumn("rank", rank).where(F.col("rank") <= most).select(topic, "rank", "term", "weight")
+    return _best_terms(term_weights(df, text, topic, stop_words), [topic], most)
 
 
 def representative(df: DataFrame, key: str, text: str, topic: str = "topic", most: int = 3) -> DataFrame:
@@ -202,29 +209,30 @@ def quality(assigned: DataFrame, words: DataFrame, topic: str = "topic") -> Data
     return balance.join(words.agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity")))
 
 
-def candidates(df: DataFrame, text: str, vector: str, reduced: int = 16, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def candidates(df: DataFrame, text: str, vector: str, reduced: int = 100, starts: int = 10, stop_words: Sequence[str] = (), seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Every number of topics of the ladder fitted, judged and scored, and what is in which topic.
 
     Returns the candidates, ``k, coherence, diversity, balance, small, score, profile`` (null, or low, middle or high), and the
-    rows of ``df`` with ``k, topic, distance`` to the topic's center, once for each ``k``."""
+    rows of ``df`` that have a vector with ``k, topic, distance`` to the topic's center, once for each ``k``. All numbers and ``starts`` are fitted in
+    the same passes over stored components; terms are counted once for all numbers, by the topics that a text has in each."""
     spark = df.sparkSession
-    ready = reduce_dimensions(df, vector, reduced).withColumn("_v", array_to_vector("reduced")).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for k in ladder(ready.count()):
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(ready)
-        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "topic int, _center array<double>")
-        near = model.transform(ready).join(F.broadcast(centers), "topic")
-        parts.append(near.withColumn("k", F.lit(k)).withColumn("distance", euclidean(F.col("reduced"), F.col("_center"))).drop("_center", "_v"))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("_topic", F.col("k") * 1000 + F.col("topic"))
-    words = keywords(rows, text, "_topic")
-    held = [(t, v) for t, v in coherence(df, text, words, "_topic").items()]
-    per_topic = spark.createDataFrame(held, "_topic int, c double").groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg(F.avg("c").alias("coherence"))
-    diverse = words.groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity"))
+    ready, _ = derived.stored(reduce_dimensions(df.where(F.col(vector).isNotNull()), vector, reduced), "reduced")
+    ks = ladder(ready.count())
+    fits, _ = online.kmeans(ready, "reduced", ks, starts, seed=seed)
+    near = online.assigned(ready, "reduced", fits)
+    every = F.inline(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("topics").alias("topic")))
+    counts = near.select("topics", F.explode(terms_of(F.col(text), stop_words)).alias("term")).groupBy("topics", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("term", "n", every).groupBy("k", "topic", "term").agg(F.sum("n").alias("n"))
+    words, _ = derived.stored(_best_terms(_weighted(counts, "topic", ["k"]), ["k", "topic"], 10), "words")  # a few rows a topic
+    held = coherence(ready, text, words.withColumn("_topic", F.col("k") * 1000 + F.col("topic")), "_topic")
+    per_topic = spark.createDataFrame(list(held.items()), "_topic int, c double").groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg(F.avg("c").alias("coherence"))
+    diverse = words.groupBy("k").agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity"))
+    rows = near.select(*df.columns, "reduced", F.inline(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("topics").alias("topic"), F.col("distances").alias("distance"))))
     sizes = rows.groupBy("k", "topic").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("k")))
     even = sizes.groupBy("k").agg((-F.sum(F.col("p") * F.log("p")) / F.greatest(F.log(F.count(F.lit(1)).cast("double")), F.lit(1e-12))).alias("balance"), F.avg((F.col("n") < 5).cast("double")).alias("small"))
     scored = score(even.join(per_topic, "k").join(diverse, "k"))
     chosen = profiles(scored).select("k", F.element_at(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), F.col("part")).alias("profile"))
-    return scored.join(chosen, "k", "left"), rows.drop("_topic")
+    return scored.join(chosen, "k", "left"), rows
 
 
 def score(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from patquarry.operators.sets import mean_vector
+from patquarry.sources import derived
+
 #: Partial states that meet in one task of the first merge.
 FAN = 32
 
@@ -67,7 +70,7 @@ def moments(df: DataFrame, vector: str, more: DataFrame | None = None) -> DataFr
     Null vectors are left out; no vectors give no row. A task sends one state of d x d numbers, ``FAN`` tasks merge them, one merges theirs.
     """
     parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(_part, _STATE)
-    fewer = parts.repartition(FAN, "bucket").mapInArrow(_merge, _STATE)
+    fewer = parts.repartition("bucket").mapInArrow(_merge, _STATE)
     return (fewer if more is None else fewer.unionByName(more)).repartition(1).mapInArrow(_merge, _STATE)
 
 
@@ -159,7 +162,7 @@ def _sums(models: list[np.ndarray]):
             ones = np.column_stack([x, np.ones(len(x))])
             for i, centers in enumerate(models):
                 at, far = _nearest(x, centers)
-                np.add.at(total[i], at, ones)
+                total[i] += (at[:, None] == np.arange(len(centers))).astype(float).T @ ones
                 squares[i] += far.sum()
         if seen:
             flat = np.concatenate([squares, *(t.reshape(-1) for t in total)])
@@ -177,14 +180,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "sums"])
 
 
-def kmeans(df: DataFrame, vector: str, ks: Sequence[int], starts: int = 10, rounds: int = 30, tolerance: float = 1e-6, seed: int = 42, sample: int = 4096) -> tuple[list[Fit], int]:
+def kmeans(df: DataFrame, vector: str, ks: Sequence[int], starts: int = 10, rounds: int = 30, tolerance: float = 1e-4, seed: int = 42, sample: int = 4096) -> tuple[list[Fit], int]:
     """For each number in ``ks`` the best of ``starts`` fits by Lloyd's rounds, and the passes over the data that all of them took.
 
     All numbers and starts are fitted together: each round is one pass that sends the stacked centers to the tasks and adds up their sums by
-    tree. Starts are drawn from a sample of about ``sample`` vectors, which is also the most that the driver sees of the data; fits see all rows. A
+    tree; the vectors alone are stored for that. Starts are drawn from a sample of about ``sample`` vectors, which is also the most that the driver sees of the data; fits see all rows. A
     center that no row is nearest to stays. Rounds end when no center moves by more than ``tolerance`` times the spread of the sample.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    rows, path = derived.stored(df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")), "vectors")
     n = rows.count()
     if not n:
         raise ValueError("no vectors")
@@ -195,7 +198,7 @@ def kmeans(df: DataFrame, vector: str, ks: Sequence[int], starts: int = 10, roun
     spread, passes, width = float(x.std()) or 1.0, 0, x.shape[1]
 
     def one_pass(centers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        parts = rows.mapInArrow(_sums(centers), "bucket int, sums binary").repartition(FAN, "bucket").mapInArrow(_added, "bucket int, sums binary")
+        parts = rows.mapInArrow(_sums(centers), "bucket int, sums binary").repartition("bucket").mapInArrow(_added, "bucket int, sums binary")
         flat = np.frombuffer(parts.repartition(1).mapInArrow(_added, "bucket int, sums binary").first()["sums"])
         ends = np.cumsum([len(centers), *(len(c) * (width + 1) for c in centers)])
         return flat[: ends[0]], [flat[a:b].reshape(-1, width + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -207,6 +210,7 @@ def kmeans(df: DataFrame, vector: str, ks: Sequence[int], starts: int = 10, roun
         if passes > rounds or max(float(np.abs(a - b).max()) for a, b in zip(moved, models, strict=True)) <= tolerance * spread:
             break  # the sums of squares belong to the centers that were sent
         models = moved
+    derived.delete(df.sparkSession, path)
     best = []
     for i, k in enumerate(ks):
         at = min(range(i * starts, (i + 1) * starts), key=lambda m: (squares[m], m))
@@ -252,8 +256,6 @@ def nearest(rows: DataFrame, centers: DataFrame, vector: str = "vector") -> Data
 
 def partial_fit(centers: DataFrame, rows: DataFrame, vector: str = "vector") -> DataFrame:
     """The centers after a batch: each moves to the mean of the rows it has had, of which it keeps the number, and the new ones nearest to it."""
-    from patquarry.operators.sets import mean_vector
-
     new = nearest(rows, centers, vector).groupBy("topic").agg(mean_vector(F.col(vector)).alias("_mean"), F.count(F.lit(1)).cast("double").alias("_n"))
     n = F.coalesce("_n", F.lit(0.0))
     moved = F.zip_with("center", "_mean", lambda c, m: (c * F.col("n") + m * n) / (F.col("n") + n))

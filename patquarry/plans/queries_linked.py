@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patquarry.operators import linking
+from patquarry.operators import linking, online
+from patquarry.operators.sets import mean_vector
 from patquarry.plans import tables as t
 from patquarry.plans.catalog import query
-from patquarry.sources.projection import with_tables
+from patquarry.sources.projection import load, with_tables
 
 #: Four rows a patent that name it by one identifier after another. Every fifth patent's third row comes first, and every seventh row has another country:
 #: then rows of one patent found two, as the identifier that joins them comes too late.
@@ -31,3 +32,18 @@ query("U3_file_applied", with_tables(f""", {_LINKS}, filled as (select *, 'title
 select patent_id, coalesce(x.title, p.title) as title, case when patent_id >= base then 'new' when x.title is null then 'same' else 'updated' end as state from folded x full join (select patent_id, title from patents where patent_id % 6 = 1) p using (patent_id)""", "patents"))(
     lambda s, d: (lambda there, rows, found: linking.apply_file(there, rows, found, ["title"]))(*_linked(s, d))
 )
+
+
+def _batches(s, d):  # noqa: ANN001, ANN202
+    """Centers of three quarters of the vectors, by label, and the last quarter."""
+    rows = load(s, d, "embeddings").select(F.col("vec_id").alias("patent_id"), F.col("label").cast("int").alias("topic"), F.col("embedding").alias("vector"))
+    centers = rows.where("patent_id % 4 != 3").groupBy("topic").agg(mean_vector(F.col("vector")).alias("center"), F.count(F.lit(1)).cast("double").alias("n"))
+    return centers, rows.where("patent_id % 4 = 3").drop("topic")
+
+
+query("T17_partial_fit", """with p as (select label as topic, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select topic, i, avg(x) as x, count(*) as n from p where vec_id % 4 != 3 group by 1, 2),
+far as (select p.vec_id, m.topic, sum((p.x - m.x) * (p.x - m.x)) as far from p join m using (i) where vec_id % 4 = 3 group by 1, 2), near as (select vec_id, arg_min(topic, (sqrt(far), topic)) as topic from far group by 1),
+new as (select near.topic, i, sum(x) as x, count(*) as n from near join p using (vec_id) group by 1, 2)
+select m.topic::int as topic, (m.i - 1)::int as position, round((m.x * m.n + coalesce(new.x, 0)) / (m.n + coalesce(new.n, 0)), 9) as value, (m.n + coalesce(new.n, 0))::double as n from m left join new using (topic, i)""")(
+    lambda s, d: online.partial_fit(*_batches(s, d)).select("topic", "n", F.posexplode("center").alias("position", "value")).withColumn("value", F.round("value", 9))
+)

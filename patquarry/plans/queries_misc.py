@@ -127,7 +127,7 @@ query("T3_clean")(lambda s, d: load(s, d, "pages").select("page_id", clustering.
 query("T6_chunks", "with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x != '') as w from documents), c as (select doc_id, w, unnest(range(0, (len(w) - 1) // 256 + 1)) as chunk from w where len(w) > 0) select doc_id, chunk::int as chunk, len(w[chunk * 256 + 1 : chunk * 256 + 256])::int as words from c")(
     lambda s, d: clustering.chunks(load(s, d, "documents"), "doc_id", "text").select("doc_id", "chunk", "words")
 )
-query("T9_T10_T16_topics")(lambda s, d: clustering.assign(clustering.reduce_dimensions(load(s, d, "embeddings"), "embedding", 16), "reduced", 8).select("vec_id", "topic"))
+query("T9_T10_T16_topics")(lambda s, d: clustering.assign(clustering.reduce_dimensions(load(s, d, "embeddings"), "embedding"), "reduced", 8).select("vec_id", "topic"))
 
 
 def _discovered(s, d):  # noqa: ANN001, ANN202
@@ -171,9 +171,18 @@ def _profiles(s, d):  # noqa: ANN001, ANN202
     return rows.join(F.broadcast(found.where("profile is not null").select("k", "profile")), "k").select("profile", "k", "patent_id", "topic", "distance")
 
 
-query("T13_score", "select k, coherence, diversity, balance, small, round(0.4 * (coherence - 1) / 3 + 0.25 * (diversity - 5) / 3 + 0.25 + 0.1 * (1 - (small - 0) / 3.0), 9) as score from (select k, k::double as coherence, (k + 4)::double as diversity, 1.0::double as balance, (4 - k)::double as small from range(1, 5) as r(k))")(
-    lambda s, d: clustering.score(s.range(1, 5).select(F.col("id").alias("k"), F.col("id").cast("double").alias("coherence"), (F.col("id") + 4).cast("double").alias("diversity"), F.lit(1.0).alias("balance"), (4 - F.col("id")).cast("double").alias("small"))).withColumn("score", F.round("score", 9))
-)
+#: A row a source of documents, judged by its texts.
+_JUDGED = "select cast(substr(source, 4) as bigint) as k, avg(n_chars) as coherence, cast(count(distinct lang) as double) as diversity, 1.0D as balance, avg(case when n_chars < 1000 then 1.0D else 0.0D end) as small from {documents} group by 1"
+_SCORED = """j as (select cast(substr(source, 4) as bigint) as k, avg(n_chars) as coherence, count(distinct lang)::double as diversity, 1.0::double as balance, avg(case when n_chars < 1000 then 1.0 else 0.0 end)::double as small from documents group by 1),
+scored as (select *, 0.4 * case when max(coherence) over () = min(coherence) over () then 1 else (coherence - min(coherence) over ()) / (max(coherence) over () - min(coherence) over ()) end + 0.25 * case when max(diversity) over () = min(diversity) over () then 1 else (diversity - min(diversity) over ()) / (max(diversity) over () - min(diversity) over ()) end
+  + 0.25 + 0.1 * (1 - case when max(small) over () = min(small) over () then 1 else (small - min(small) over ()) / (max(small) over () - min(small) over ()) end) as score from j)"""
+
+
+def _scored(s, d):  # noqa: ANN001, ANN202
+    return clustering.score(s.sql(_JUDGED, documents=load(s, d, "documents"))).withColumn("score", F.round("score", 9))
+
+
+query("T13_score", f"with {_SCORED} select k, coherence, diversity, balance, small, round(score, 9) as score from scored")(_scored)
 query("W2_latest_labels", with_tables(" select channel, topic_code, arg_max('label ' || run_id || ' of ' || topic_code, run_id) as label from assignments group by 1, 2", "assignments"))(
     lambda s, d: topics.latest_labels(_states(s, d))
 )
@@ -229,6 +238,6 @@ def _centers(s, d):  # noqa: ANN001, ANN202
     return parts.groupBy("topic_code").agg(center.alias("center")).withColumn("channel", F.lit("technical"))
 
 
-query("T14_profiles", "select 1::bigint as k, 1.0::double as score, 1::int as part union all select 3, 0.0, 2 union all select 6, 1.0, 3")(
-    lambda s, d: clustering.profiles(s.range(1, 7).select(F.col("id").alias("k"), (F.abs(F.col("id") - 3.5) >= 2.5).cast("double").alias("score"))).select("k", "score", "part")
+query("T14_profiles", f"with {_SCORED}, thirds as (select k, round(score, 9) as score, ntile(3) over (order by k) as part from scored) select k, score, part::int as part from thirds qualify row_number() over (partition by part order by score desc, k) = 1")(
+    lambda s, d: clustering.profiles(_scored(s, d)).select("k", "score", "part")
 )
