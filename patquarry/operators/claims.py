@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from patquarry.operators import chains
 
 #: A claim's number at the start of a segment, and references to claims (fixed patterns).
 ANCHOR = r"(?s)^\s*(\d+)(?:\s*[-–]\s*(\d+))?\s*[.．、]\s*(\D.*)$"
@@ -67,19 +67,13 @@ def evaluate(elements: Column) -> Column:
 
 def infer(claims: DataFrame, key: str) -> DataFrame:
     """Statuses along parents: ``key, number, status, inferred``. The least favourable of a claim and those it depends on
-    counts; it is inferred where one of those is not established. Each turn doubles the chain seen, and there are as many turns as
-    the longest list of claims could need; a missing parent or a cycle gives a null status."""
-    most = claims.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("own")).cast("int")
-    # up: the least rank of proper ancestors seen so far; at: the next ancestor
-    step = claims.select(key, "number", rank.alias("rank"), F.lit(9).alias("up"), F.col("parent").alias("at"))
-    for _ in range(most.bit_length()):
-        ahead = step.select(key, F.col("number").alias("at"), F.least("rank", "up").alias("r"), F.col("at").alias("next"), F.lit(True).alias("found"))
-        step = step.join(ahead, [key, "at"], "left").select(
-            key, "number", "rank", F.least("up", F.coalesce("r", F.lit(9))).alias("up"), F.when(F.col("found"), F.col("next")).otherwise(F.col("at")).alias("at")
-        )
-    status = F.get(F.array(*map(F.lit, STATUSES)), F.least("rank", "up") - 1)
-    return step.select(key, "number", F.when(F.col("at").isNull(), status).alias("status"), (F.col("at").isNull() & (F.col("up") == 1)).alias("inferred"))
+    counts; it is inferred where one of those is not established. A missing parent or a cycle gives a null status."""
+    ranks = F.array(*map(F.lit, STATUSES))
+    ranked = claims.select(key, "number", "parent", F.array_position(ranks, F.col("own")).cast("int").alias("rank"))
+    ends = chains.follow(ranked, [key], "number", "parent", "rank")
+    out = ranked.join(ends, [key, "number"])
+    status = F.get(ranks, F.least("rank", "up") - 1)
+    return out.select(key, "number", F.when(F.col("ended"), status).alias("status"), (F.col("ended") & (F.col("up") == 1)).alias("inferred"))
 
 
 def aggregate(understood: DataFrame, analysed: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from patquarry.functions import status
+from patquarry.operators import chains
 from patquarry.operators.sets import mean_vector
 
 #: Names of a topic's status (fixed values).
@@ -40,14 +41,11 @@ def unmerge(topics: DataFrame, assigned: DataFrame, merges: DataFrame, undone: D
     return merge(topics, assigned, merges.join(undone.select("channel", "topic_code"), ["channel", "topic_code"], "left_anti"))
 
 
-def resolve_merges(topics: DataFrame, turns: int = 20) -> DataFrame:
-    """``channel, topic_code, target``: where a chain of merges ends. Each turn doubles the distance looked ahead;
-    a code on a cycle resolves to the smallest code of it."""
-    step = topics.select("channel", "topic_code", F.coalesce("merged_into", "topic_code").alias("target"))
-    for _ in range(turns.bit_length()):
-        ahead = step.select("channel", F.col("topic_code").alias("target"), F.col("target").alias("next"))
-        step = step.join(ahead, ["channel", "target"], "left").select("channel", "topic_code", F.coalesce("next", "target").alias("target"))
-    return step
+def resolve_merges(topics: DataFrame) -> DataFrame:
+    """``channel, topic_code, target``: where a chain of merges ends, however long. A code on a cycle, or before one, resolves to the smallest
+    code of the cycle, one whose chain names a code that is not there to that code."""
+    ends = chains.follow(topics.select("channel", "topic_code", F.when(F.col("merged_into") != F.col("topic_code"), F.col("merged_into")).alias("merged_into")), ["channel"], "topic_code", "merged_into")
+    return ends.select("channel", "topic_code", F.when(F.col("ended") | F.col("missing"), F.col("at")).otherwise(F.col("low")).alias("target"))
 
 
 def tail_years(patents: DataFrame) -> DataFrame:
