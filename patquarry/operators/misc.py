@@ -164,6 +164,27 @@ def validate_corpus(corpus: DataFrame, width: int) -> DataFrame:
     return corpus.agg(F.count_if(F.sha2("text", 256) != F.col("hash")).alias("stale"), F.count_if(F.size("vector") != width).alias("odd_vectors"), F.count_distinct("model").alias("models"))
 
 
+def require_valid(corpus: DataFrame, width: int, model: Sequence[str] = ("model",)) -> DataFrame:
+    """``corpus`` as it is, if topics can be found in it; else an error that names what is wrong and the smallest id of which.
+
+    A corpus (``patent_id, text, hash, vector`` and the columns of ``model``) needs rows, hashes of the texts as they are now, vectors of one width and one
+    model. A null hash or vector is wrong too. One row comes to the driver."""
+    stale = ~F.sha2("text", 256).eqNullSafe(F.col("hash"))
+    odd = ~F.size("vector").eqNullSafe(F.lit(width))
+    first = lambda c: F.min(F.when(c, F.col("patent_id")))
+    kinds = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in model])
+    row = corpus.agg(F.count(F.lit(1)).alias("n"), first(stale).alias("stale"), first(odd).alias("odd"), F.min(kinds).alias("low"), F.max(kinds).alias("high")).first()
+    if not row.n:
+        raise ValueError("no patents with vectors in this scope")
+    if row.stale is not None:
+        raise ValueError(f"the vector of patent {row.stale} is of an earlier text")
+    if row.odd is not None:
+        raise ValueError(f"patent {row.odd} has no vector of {width} numbers")
+    if row.low != row.high:
+        raise ValueError(f"vectors of several models: {tuple(row.low)} and {tuple(row.high)}")
+    return corpus
+
+
 def skeleton(claims: DataFrame) -> DataFrame:
     """Numbers of each type of claim, as lists."""
     of = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("number")))), ",").alias(kind)

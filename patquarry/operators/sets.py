@@ -67,8 +67,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def similar(vectors: DataFrame, subject: int, most: int = 10) -> DataFrame:
-    """The patents nearest to one by cosine distance, each by its nearest vector. The subject's vector is one row."""
-    one = vectors.where(F.col("patent_id") == subject).orderBy(F.col("created").desc()).limit(1).select(F.col("vector").alias("_subject"))
+    """The patents nearest to one by cosine distance, each by its nearest vector. The subject's vector is one row: the latest one, the smallest
+    of several of that time; a subject without a vector raises."""
+    own = vectors.where((F.col("patent_id") == subject) & F.col("vector").isNotNull())
+    one = own.agg(F.max("created").alias("created")).join(own, "created").agg(F.min("vector").alias("_subject")).where("_subject is not null")
+    if one.isEmpty():
+        raise ValueError(f"patent {subject} has no vector")
     rows = vectors.where(F.col("patent_id") != subject).join(F.broadcast(one)).select("patent_id", cosine_distance(F.col("vector"), F.col("_subject")).alias("distance"))
     return rows.groupBy("patent_id").agg(F.min("distance").alias("distance")).orderBy("distance", "patent_id").limit(most)
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patquarry.operators import linking, online
+from patquarry.operators import clustering, hierarchy, linking, online, sets, substrings, tokens, topics
 from patquarry.operators.sets import mean_vector
 from patquarry.plans import tables as t
 from patquarry.plans.catalog import query
-from patquarry.sources.projection import load, with_tables
+from patquarry.plans.queries_core import _FIELDS, _TERMS
+from patquarry.plans.queries_misc import _TERMS as _WEIGHTS, _discovered, _embedded_texts
+from patquarry.plans.queries_topics import _LATEST, _latest
+from patquarry.sources import derived
+from patquarry.sources.projection import load, sources, with_tables
 
 #: Four rows a patent that name it by one identifier after another. Every fifth patent's third row comes first, and every seventh row has another country:
 #: then rows of one patent found two, as the identifier that joins them comes too late.
@@ -47,3 +51,62 @@ new as (select near.topic, i, sum(x) as x, count(*) as n from near join p using
 select m.topic::int as topic, (m.i - 1)::int as position, round((m.x * m.n + coalesce(new.x, 0)) / (m.n + coalesce(new.n, 0)), 9) as value, (m.n + coalesce(new.n, 0))::double as n from m left join new using (topic, i)""")(
     lambda s, d: online.partial_fit(*_batches(s, d)).select("topic", "n", F.posexplode("center").alias("position", "value")).withColumn("value", F.round("value", 9))
 )
+
+# topics that say alike
+query("T23_topic_distances", f"""with {_WEIGHTS}, n as (select topic, sqrt(sum(weight * weight)) as norm from weights group by 1), dots as (select x.topic as a, y.topic as b, sum(x.weight * y.weight) as dot from weights x join weights y using (term) where x.topic < y.topic group by 1, 2)
+select p.topic as a, q.topic as b, round(greatest(0.0, 1 - coalesce(dot, 0) / (p.norm * q.norm)), 9) as distance from n p join n q on p.topic < q.topic left join dots on dots.a = p.topic and dots.b = q.topic""")(
+    lambda s, d: hierarchy.distances(clustering.term_weights(_discovered(s, d), "text")).withColumn("distance", F.round("distance", 9))
+)
+
+
+def _labelled(s, d):  # noqa: ANN001, ANN202
+    """Documents with the label of the vector of the same number as their topic."""
+    return _embedded_texts(s, d).join(load(s, d, "embeddings").select(F.col("vec_id").alias("patent_id"), F.col("label").cast("int").alias("topic")), "patent_id")
+
+
+def _hierarchy(s, d):  # noqa: ANN001, ANN202
+    return hierarchy.as_table(s, hierarchy.hierarchy(clustering.term_weights(_labelled(s, d), "text")))
+
+
+def _suggestions(s, d):  # noqa: ANN001, ANN202
+    """Every third topic has been merged into the one before."""
+    code = F.format_string("T%03d", F.col("topic") - F.when(F.col("topic") % 3 == 2, 1).otherwise(0))
+    active = load(s, d, "embeddings").select(F.col("label").cast("int").alias("topic")).distinct().select("topic", code.alias("topic_code"), F.lit(None).cast("string").alias("label"))
+    return hierarchy.merge_suggestions(_hierarchy(s, d), active)
+
+
+query("T23_hierarchy")(_hierarchy)
+query("T23_merge_suggestions")(_suggestions)
+_UNDONE = "case topic_code when 'T003' then 'T001' when 'T004' then 'T003' when 'T005' then 'T004' end"
+query("T18_unmerge", with_tables(f", {_LATEST} select channel, case when topic_code in ('T004', 'T005') then 'T003' else topic_code end as topic_code, count(*) as patents from latest group by 1, 2", "assignments"))(
+    lambda s, d: (lambda codes: topics.unmerge(codes, _latest(s, d), codes.where("topic_code in ('T003', 'T004', 'T005')").withColumn("merged_into", F.expr(_UNDONE)), codes.where("topic_code = 'T003'"))[1])(_latest(s, d).select("channel", "topic_code").distinct())
+    .groupBy("channel", "topic_code").agg(F.count(F.lit(1)).alias("patents"))
+)
+
+# keywords by trigrams
+_INDEXES: dict[tuple, str] = {}
+#: Words, parts of words, wildcards, and keywords too short for a trigram.
+_KEYWORDS = ("red w", "Red", "almond", "almond antique", "#0000001", "sup%r#", "b_ue", "ti_le of", "k 3%/0", "zz", "e", "no such term", "customer#000000007", "gr%en", "of %d", "_")
+
+
+def _index(s, d):  # noqa: ANN001, ANN202
+    """The index of all patents' search terms, built anew when their sources change."""
+    key = (s.sparkContext.applicationId, derived.state(s, sources(d, "patents")))
+    if key not in _INDEXES:
+        path = f"{derived.folder(s)}/substrings-{len(_INDEXES)}"
+        substrings.build(sets.search_terms(t.patents(s, d), _FIELDS), path)
+        _INDEXES[key] = path
+    return substrings.load(s, _INDEXES[key])
+
+
+query("F7_keyword_index", with_tables(f", {_TERMS}, k as (select unnest([{', '.join(repr(k) for k in _KEYWORDS)}]) as keyword) select distinct keyword, patent_id from k join terms on terms.lookup like '%' || lower(keyword) || '%'", "patents"))(lambda s, d: substrings.matches(_index(s, d), _KEYWORDS))
+query("F7_scanned_share")(lambda s, d: substrings.scanned(_index(s, d), _KEYWORDS))
+
+
+def _token_chunks(s, d):  # noqa: ANN001, ANN202
+    import public_tokenizers
+
+    return tokens.chunks(load(s, d, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 256, 16).select("doc_id", "chunk", "tokens", "start", "end", "within")
+
+
+query("T6_token_chunks")(_token_chunks)

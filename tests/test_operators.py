@@ -5,7 +5,7 @@ from math import log, sqrt
 import pytest
 from pyspark.sql import functions as F
 
-from patquarry.operators import claims, clustering
+from patquarry.operators import claims, clustering, misc, sets
 from patquarry.plans import adhoc, tables
 from patquarry.sources import derived
 from tests.compare import DATA
@@ -143,3 +143,27 @@ def test_derived_tables_follow_their_sources(spark, tmp_path):
     assert derived.derived(spark, "t", [path], build).count() == 5 and len(built) == 2
     base = tables.base_table(spark, DATA)
     assert "parquet" in base._jdf.queryExecution().toString() and base.select("country_code").groupBy("country_code").count().count() > 1
+
+
+def test_a_corpus_that_is_not_fit_raises(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    good = [(1, "a", sha("a"), [1.0, 2.0], "m"), (2, "b", sha("b"), [3.0, 4.0], "m")]
+    make = lambda rows: spark.createDataFrame(rows, "patent_id long, text string, hash string, vector array<double>, model string")
+    assert misc.require_valid(make(good), 2).count() == 2
+    for bad, what in (([(7, "c", sha("d"), [1.0, 2.0], "m")], "patent 7 is of an earlier"), ([(7, "c", None, [1.0, 2.0], "m")], "patent 7 is of an earlier"), ([(8, "c", sha("c"), [1.0], "m")], "patent 8 has no vector of 2"), ([(8, "c", sha("c"), None, "m")], "patent 8 has no"), ([(9, "c", sha("c"), [1.0, 2.0], None)], "several models")):
+        with pytest.raises(ValueError, match=what):
+            misc.require_valid(make(good + bad), 2)
+    with pytest.raises(ValueError, match="no patents"):
+        misc.require_valid(make([]), 2)
+
+
+def test_similar_needs_the_subjects_vector(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (1, [0.0, 2.0], 2), (2, [0.0, 3.0], 1), (3, [1.0, 1.0], 1), (3, [1.0, 0.0], 5), (4, None, 1)]
+    df = spark.createDataFrame(rows, "patent_id long, vector array<double>, created int")
+    got = sets.similar(df.where("patent_id != 4"), 1).collect()
+    assert [r.patent_id for r in got] == [2, 3] and got[0].distance == pytest.approx(0) and got[1].distance == pytest.approx(1 - 0.5**0.5)
+    for subject in (4, 99):
+        with pytest.raises(ValueError, match="no vector"):
+            sets.similar(df, subject)
