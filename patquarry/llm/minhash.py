@@ -24,7 +24,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from patquarry.llm import scratch
+from patquarry.llm import scratch, sieve
 from patquarry.llm.components import Forest, connected, with_classes
 from patquarry.llm.runs import grouped
 
@@ -35,8 +35,6 @@ HASHES, BATCH, MISS = 128, 16, 1e-6
 #: Members of a bucket's block, the salts over which a bucket's members are spread in joins (bits of a mask), and bytes of sets that a
 #: task keeps while it verifies.
 BLOCK, SALTS, HELD = 1024, 64, 64 << 20
-#: Ids and keys, of some 50 bytes each, that are broadcast at most.
-FEW = 300_000
 
 _random = np.random.default_rng(20240601)
 _A = _random.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -285,11 +283,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     member = scratch.table(member.join(salted(scratch.table(buckets, "buckets")), place), "bucket-members")
     keys = F.to_binary(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit("hex"))
     signed = scratch.table(classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "sig", keys.alias("keys")), "bucket-signatures")
-    # ids alone decide whose words are needed: while those are few they are broadcast, and other words are not shuffled
+    # words are made and shuffled of the rows whose id may be a bucket member's
     wanted = signed.select(F.col("rep").alias("doc_id"), "key")
-    wanted = F.broadcast(wanted) if signed.count() <= FEW else wanted
-    packed = rows.where("doc_id is not null").mapInArrow(_packed, "doc_id long, key binary, packed binary")
-    packed = packed.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    asked, _ = sieve.sifted(rows.where("doc_id is not null"), sieve.table(wanted.select("doc_id"), "wanted-ids"), "doc_id")
+    packed = asked.mapInArrow(_packed, "doc_id long, key binary, packed binary")
+    packed = packed.join(wanted.hint("merge"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     packed = scratch.table(packed.select(F.col("doc_id").alias("rep"), "packed"), "bucket-words")
 
     def attach(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:

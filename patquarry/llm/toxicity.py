@@ -34,7 +34,7 @@ AT_ONCE = 10
 RATE, DROP = 0.015, 0.4
 #: Words whose inputs a worker keeps; it starts anew beyond that. Words, and windows, scored
 #: together.
-KEPT, TOGETHER, CHUNK = 120_000, 150_000, 2048
+KEPT, TOGETHER, CHUNK = 80_000, 100_000, 2048
 
 
 def grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ class Memo:
             fresh = self.network.gates(self.network.inputs(new))
             if used + len(new) > len(self.gates["f"]):
                 for way in "fb":
-                    grown = np.zeros((int(1.5 * (used + len(new))), 3 * HIDDEN), np.float32)
+                    grown = np.zeros((int(1.2 * (used + len(new))), 3 * HIDDEN), np.float32)
                     grown[:used] = self.gates[way][:used]
                     self.gates[way] = grown
             for way in "fb":
@@ -364,7 +364,8 @@ def _batches(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield group
 
 
-def _scorer(df: DataFrame, network: Network):
+def _scorer(df: DataFrame, network: Network, text: str | None = None):
+    """Scores of the last column, or of the field ``text`` of the last column's rows."""
     shared = df.sparkSession.sparkContext.broadcast(network)
     token = network.token()
 
@@ -375,16 +376,17 @@ def _scorer(df: DataFrame, network: Network):
         memo = _memos[token]
         for batch in batches:
             last = batch.num_columns - 1
-            texts = (x.as_py() for x in batch.column(last))
+            texts = (x.as_py() for x in (batch.column(last) if text is None else batch.column(last).field(text)))
             found = [memo.network.scores(group, memo) for group in _batches(texts)]
             value = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(value, pa.float64())], names=[*batch.schema.names[:last], "score"])
+            keep = batch.num_columns if text else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(value, pa.float64())], names=[*batch.schema.names[:keep], "score"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
 
 def reject(df: DataFrame, network: Network, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` without the rows whose text scores ``threshold`` or more; all columns stay, whatever their names."""
-    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    schema = rows.select("row").schema.add("score", "double")
-    return rows.mapInArrow(_scorer(df, network), schema).where(F.col("score") < threshold).select("row.*")
+    rows = df.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(_scorer(df, network, text), rows.schema.add("score", "double")).where(F.col("score") < threshold).select("row.*")
