@@ -9,7 +9,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patquarry.llm import minhash, packing, scratch, secrets, toxicity
+from patquarry.llm import minhash, packing, scratch, secrets, sieve, toxicity
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +23,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group whose sets of five-word shingles are 0.8 alike or more.
 
-    Rows without an id have no group and stay. Of rows that repeat a kept id one stays: that of the smallest text, a null one being
-    the smallest, then of the smallest other columns as JSON.
+    Rows without an id have no group and stay. Of rows that repeat a kept id one stays for each sequence of words (A-Z lower-cased, whatever the white
+    space): that of the smallest text, a null one being the smallest, then of the smallest other columns as JSON. All rows of an id that
+    is not kept go. Texts are shuffled only of rows whose id may be dropped or repeated; others stay where they are read.
     """
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = scratch.table(kept, "kept-ids")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    first = again.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")).select("row.*")
-    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
+    decided = minhash.near_duplicates(docs, size=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = scratch.table(decided, "decided-ids")
+    odd = decided.where("not kept or n > 1")
+    asked, stay = sieve.sifted(docs, sieve.table(odd.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "odd-ids"), "doc_id")
+    # the exact answer for what the sieve holds back
+    kept = decided.where("kept").select("doc_id", "n").hint("merge")
+    held = asked.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(kept, "doc_id")
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), "[ \t\n\x0b\f\r]+", " "))
+    again = held.where("n > 1").groupBy("doc_id", F.sha2(words, 256).alias("words")).agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return stay.unionByName(held.where("n = 1").select("row.*")).unionByName(again.select("row.*")).unionByName(asked.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
