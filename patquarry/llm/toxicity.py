@@ -388,5 +388,5 @@ def _scorer(df: DataFrame, network: Network, text: str | None = None):
 
 def reject(df: DataFrame, network: Network, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` without the rows whose text scores ``threshold`` or more; all columns stay, whatever their names."""
-    rows = df.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(_scorer(df, network, text), rows.schema.add("score", "double")).where(F.col("score") < threshold).select("row.*")
+    schema = df.select(F.struct("*").alias("row")).schema.add("score", "double")
+    return df.select(F.struct("*").alias("row")).mapInArrow(_scorer(df, network, text), schema).where(F.col("score") < threshold).select("row.*")
