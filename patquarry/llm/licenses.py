@@ -7,12 +7,15 @@ and prunes: words are ordered by their document frequency in the whole corpus, r
 of its ``n`` words must share one of its first ``n - r + 1`` with the block (prefix filter); the block must have ``r``
 distinct words (length filter); and the words left after the first shared one in both orders must suffice (positional
 filter).
+
+Statements of different licenses may differ in one word. So a template also needs, in the block, what tells it from similar templates of other
+labels (``turns``): "gnu general" side by side where another has "gnu lesser general", and "lesser" where another has "affero".
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from math import ceil
 
 import pyarrow as pa
@@ -37,9 +40,9 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ),
     "cc-by": ("licensed under a Creative Commons Attribution 4.0 International License",),
-    "cc-by-nc": ("licensed under CC BY NC 4.0", "licensed under a Creative Commons Attribution NonCommercial license"),
-    "cc-by-nd": ("licensed under CC BY ND 4.0", "licensed under a Creative Commons Attribution NoDerivatives license"),
-    "cc-by-sa": ("licensed under CC BY SA 4.0", "licensed under a Creative Commons Attribution ShareAlike license"),
+    "cc-by-nc": ("licensed under CC BY NC 4.0", "licensed under a Creative Commons Attribution NonCommercial license", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    "cc-by-nd": ("licensed under CC BY ND 4.0", "licensed under a Creative Commons Attribution NoDerivatives license", "licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"),
+    "cc-by-sa": ("licensed under CC BY SA 4.0", "licensed under a Creative Commons Attribution ShareAlike license", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     "cc0": ("dedicated to the public domain under CC0", "no copyright reserved CC0 public domain dedication", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
     "cddl": ("subject to the terms of the Common Development and Distribution License",),
     "epl": ("made available under the terms of the Eclipse Public License",),
@@ -93,10 +96,42 @@ def places(tokens: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
         return found
 
 
-def windows(tokens: list[bytes], stride: int) -> Iterator[frozenset[bytes]]:
-    """Word sets of windows of twice the stride that overlap by half and reach the end."""
+def windows(tokens: list[bytes], stride: int) -> Iterator[list[bytes]]:
+    """Windows of twice the stride that overlap by half and reach the end."""
     for start in range(0, max(1, len(tokens) - stride), stride):
-        yield frozenset(tokens[start : start + 2 * stride])
+        yield tokens[start : start + 2 * stride]
+
+
+#: Templates of different labels that share so much of the smaller one's words are similar.
+SIMILAR = 0.6
+#: Pairs of neighboring words, and words, that a template needs beside its share of words.
+Turns = tuple[frozenset[tuple[bytes, bytes]], frozenset[bytes]]
+
+
+def turns(templates: Mapping[str, tuple[str, ...]]) -> dict[tuple[str, tuple[bytes, ...]], Turns]:
+    """For each label and template (its words) what tells it from similar templates of other labels.
+
+    Where another has a word between two that are neighbors here ("gnu lesser general" beside "gnu general"), the two are needed side by side;
+    where another has another word between the same two ("gnu affero general" beside "gnu lesser general"), this one's word is needed."""
+    every = [(label, tuple(words(t))) for label, texts in sorted(templates.items()) for t in texts]
+    threes = {own: set(zip(own, own[1:], own[2:], strict=False)) for _, own in every}
+    found: dict[tuple[str, tuple[bytes, ...]], Turns] = {}
+    for label, own in every:
+        mine, beside = frozenset(own), set(zip(own, own[1:], strict=False))
+        middle: dict[tuple[bytes, bytes], set[bytes]] = {}
+        for x, y, z in threes[own]:
+            middle.setdefault((x, z), set()).add(y)
+        pairs, needed = set(), set()
+        for other_label, other in every:
+            theirs = frozenset(other)
+            if label == other_label or len(mine & theirs) < SIMILAR * min(len(mine), len(theirs)):
+                continue
+            for x, w, z in threes[other]:
+                if w not in mine:
+                    pairs.update({(x, z)} & beside)
+                    needed.update(middle.get((x, z), set()) - theirs)
+        found[label, own] = frozenset(pairs), frozenset(needed)
+    return found
 
 
 def stride_of(n: int) -> int:
@@ -107,8 +142,10 @@ def stride_of(n: int) -> int:
 class TemplateIndex:
     """Templates in the global order of words, indexed by the words of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: Mapping[bytes, int], threshold: float) -> None:
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: Mapping[bytes, int], threshold: float, needs: list[Turns] | None = None) -> None:
+        """``needs``: for each template the pairs of neighboring words, and the words, that it needs whatever it shares."""
         vocabulary = frozenset().union(*(t for _, t in templates)) if templates else frozenset()
+        self.needs = needs or [(frozenset(), frozenset())] * len(templates)
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates, self.by_word = [], {}
         for label, words_ in templates:
@@ -125,9 +162,10 @@ class TemplateIndex:
         hits = self.prefix & distinct
         return any(len(self.templates[k][2] & distinct) >= self.templates[k][3] for k in {k for w in hits for k, _ in self.by_word[w]})
 
-    def matches(self, block: frozenset[bytes]) -> dict[str, float]:
-        """Label and containment of every template that the block meets."""
+    def matches(self, window: Sequence[bytes]) -> dict[str, float]:
+        """Label and containment of every template that a window of words meets."""
         found: dict[str, float] = {}
+        block, beside = frozenset(window), None
         hits = block & self.prefix
         if not hits:
             return found
@@ -143,16 +181,22 @@ class TemplateIndex:
                     continue
                 common = len(whole & block)
                 if common >= need:
+                    pairs, needed = self.needs[k]
+                    if pairs:
+                        beside = beside or frozenset(zip(window, window[1:], strict=False))
+                    if not needed <= block or pairs and not pairs <= beside:
+                        continue
                     found[label] = max(found.get(label, 0.0), common / len(template))
         return found
 
 
-def _sets(templates: Mapping[str, tuple[str, ...]]) -> dict[int, list[tuple[str, frozenset[bytes]]]]:
-    """Label and word set of each template, by the stride of its windows."""
-    found: dict[int, list[tuple[str, frozenset[bytes]]]] = {}
+def _sets(templates: Mapping[str, tuple[str, ...]]) -> dict[int, list[tuple[str, frozenset[bytes], Turns]]]:
+    """Label, word set and needs of each template, by the stride of its windows."""
+    found: dict[int, list[tuple[str, frozenset[bytes], Turns]]] = {}
+    needs = turns(templates) if sum(map(len, templates.values())) <= MOST_TEMPLATES else {}
     for label, t in sorted((label, t) for label, texts in templates.items() for t in texts):
         if tokens := words(t):
-            found.setdefault(stride_of(len(tokens)), []).append((label, frozenset(tokens)))
+            found.setdefault(stride_of(len(tokens)), []).append((label, frozenset(tokens), needs.get((label, tuple(tokens)), (frozenset(), frozenset()))))
     if sum(map(len, found.values())) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     return found
@@ -184,9 +228,9 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     windows to their end, whatever their line ends.
     """
     sets = _sets(templates)
-    vocabulary = frozenset().union(*(t for some in sets.values() for _, t in some))
+    vocabulary = frozenset().union(*(t for some in sets.values() for _, t, _ in some))
     frequency = document_frequency(df, vocabulary, text) if vocabulary else {}
-    index = df.sparkSession.sparkContext.broadcast({stride: TemplateIndex(some, frequency, threshold) for stride, some in sets.items()})
+    index = df.sparkSession.sparkContext.broadcast({stride: TemplateIndex([x[:2] for x in some], frequency, threshold, [x[2] for x in some]) for stride, some in sets.items()})
     starts = frozenset(p[0] for p, _ in _PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,6 +266,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     takes no part: its component is null and it is kept. Rows that repeat a key are one node of the graph, each
     returned. Other columns are not read; an empty table gives an empty result.
     """
+    scratch.bounded(df.sparkSession)
     threshold = percent / 100
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_shingles long, key binary, sig binary, bands array<long>"

@@ -270,6 +270,7 @@ def pack(df: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, key: s
     ``capacity`` rows at most; ranks come from counts for each task and length, so pieces of one length that are a
     third of all stay where they are.
     """
+    scratch.bounded(df.sparkSession)
     pieces = cut(df, path, end_id, capacity, key, text)
     spark = df.sparkSession
     counts = scratch.table(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")

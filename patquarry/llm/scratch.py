@@ -15,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Bytes of a batch of rows that a Python worker gets; texts are long, and Spark's own bound lets a batch have 10,000 of them.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that Python workers of this session get by ``BATCH_BYTES``, unless its bound is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
 
 def base(spark: SparkSession) -> str:
     """The shared folder of this application."""

@@ -24,6 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from patquarry.llm import scratch
+
 #: The base patterns (fixed values): kind, pattern, group whose length counts, and the least length.
 BASE = (
     ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 6),
@@ -247,6 +249,8 @@ def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -
     """``df`` with the secrets in its texts replaced by a mark, and ``n_chars``, where there is such a column, counted anew
     in changed rows. Null texts stay null; all rows and columns stay."""
 
+    scratch.bounded(df.sparkSession)
+
     @F.pandas_udf("string")
     def clean(x):  # noqa: ANN001, ANN202
         return x.map(redacted, na_action="ignore")

@@ -366,6 +366,7 @@ def _batches(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
 
 def _scorer(df: DataFrame, network: Network, text: str | None = None):
     """Scores of the last column, or of the field ``text`` of the last column's rows."""
+    scratch.bounded(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(network)
     token = network.token()
 

@@ -148,9 +148,10 @@ def test_licenses_equal_brute_force(spark, odd, empty):
 
 
 def test_wrapped_and_long_statements(spark):
-    def best(text, template, width):
+    def best(text, template, width, needs):
         w, t = licenses.words(text), frozenset(licenses.words(template))
-        return max(len(t.intersection(w[i : i + width])) / len(t) for i in range(max(1, len(w) - width + 1)))
+        parts = [w[i : i + width] for i in range(max(1, len(w) - width + 1))]
+        return max((len(t.intersection(x)) / len(t) for x in parts if needs[0] <= set(zip(x, x[1:], strict=False)) and needs[1] <= set(x)), default=0.0)
 
     notices = {
         "mit": "Copyright (c) 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
@@ -161,13 +162,14 @@ def test_wrapped_and_long_statements(spark):
     long = {f"t{n}": (" ".join(f"w{n}x{i}" for i in range(n)),) for n in (33, 50, 64, 90, 200)}
     texts += ["x " * at + t + end + "y " * 70 for (t,) in long.values() for at in (0, 1, 17, 31, 45) for end in (" ", "\n")]
     for chosen in (licenses.TEMPLATES, {**licenses.TEMPLATES, **long}):
+        turns = licenses.turns(chosen)
         rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chosen).collect()
         for r in rows:
             got = set(filter(None, r.labels.split(",")))
             value = {}
             for label, ts in chosen.items():  # in every run as long as the statement's stride allows, and in any window of its size
                 size = {t: licenses.stride_of(len(licenses.words(t))) for t in ts}
-                value[label] = tuple(max(best(texts[r.doc_id], t, w(size[t])) for t in ts) for w in (lambda x: x + 1, lambda x: 2 * x))
+                value[label] = tuple(max(best(texts[r.doc_id], t, w(size[t]), turns[label, tuple(licenses.words(t))]) for t in ts) for w in (lambda x: x + 1, lambda x: 2 * x))
             assert {k for k, (x, _) in value.items() if x >= 0.9} <= got, texts[r.doc_id]
             assert got - set(r.base_labels.split(",")) <= {k for k, (_, y) in value.items() if y >= 0.9}, texts[r.doc_id]
         assert all(label in rows[9 * i + j].labels.split(",") for i, label in enumerate(notices) for j in range(9))
@@ -181,14 +183,29 @@ def test_short_statements_need_their_words_close_together(spark):
     assert rows == {1: "bsd", 2: ""}
 
 
+def test_no_statement_gives_another_licenses_label(spark):
+    """Every template on its own, and whole notices of licenses that differ in a word."""
+    every = [(label, t) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    terms = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    every += [(label, terms.format(x)) for label, x in (("gpl-notice", ""), ("lgpl", "Lesser "), ("agpl", "Affero "))]
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    every += [(label, cc.format(x)) for label, x in (("cc-by", ""), ("cc-by-sa", "-ShareAlike"), ("cc-by-nc", "-NonCommercial"), ("cc-by-nd", "-NoDerivatives"))]
+    texts = [(i, x) for i, (_, t) in enumerate(every) for x in (t, "some words before\n" + t.replace(" ", "\n") + " and other words after " * 9)]
+    for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got = {x for x in r.labels.split(",") if x and x not in r.base_labels.split(",")} | ({every[r.doc_id][0]} & set(r.base_labels.split(",")))
+        assert got == {every[r.doc_id][0]}, (every[r.doc_id], r.labels)
+    both = " ".join(terms.format(x) for x in ("", "Affero "))
+    assert licenses.scan(spark.createDataFrame([(1, both)], "doc_id long, text string")).first().labels == "agpl,gpl,gpl-notice"
+
+
 def test_containment_join_is_exact():
     r = np.random.default_rng(2)
     vocabulary = [f"w{i}".encode() for i in range(30)]
     templates = [(f"t{k}", frozenset(r.choice(vocabulary, r.integers(1, 9), replace=False).tolist())) for k in range(40)]
     index = licenses.TemplateIndex(templates, {w: int(r.integers(0, 50)) for w in vocabulary}, 0.75)
     for _ in range(500):
-        block = frozenset(r.choice(vocabulary, r.integers(1, 15), replace=False).tolist())
-        want = {label: len(t & block) / len(t) for label, t in templates if len(t & block) >= 0.75 * len(t) - 1e-9}
+        block = r.choice(vocabulary, r.integers(1, 15), replace=False).tolist()
+        want = {label: len(t & set(block)) / len(t) for label, t in templates if len(t & set(block)) >= 0.75 * len(t) - 1e-9}
         assert index.matches(block) == want
 
 
