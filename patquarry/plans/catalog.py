@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from patquarry.plans import queries_core, queries_decided, queries_linked, queries_misc, queries_more, queries_reports, queries_topics  # noqa: E402, F401
+from patquarry.plans import queries_core, queries_decided, queries_files, queries_linked, queries_misc, queries_more, queries_reports, queries_topics  # noqa: E402, F401

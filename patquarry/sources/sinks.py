@@ -11,10 +11,11 @@ def rebuild(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows, one a key, whose keys a table lacks. One writer at a time: Parquet folders do not isolate two."""
+def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
+    """Append the rows, one a key, whose keys a table lacks, parted as the table is. One writer at a time: Parquet folders do not isolate two."""
     there = df.sparkSession.read.parquet(path).select(*keys)
-    df.dropDuplicates(keys).join(there, keys, "left_anti").write.mode("append").parquet(path)
+    writer = df.dropDuplicates(keys).join(there, keys, "left_anti").write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
