@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -55,6 +57,7 @@ def byte_letters() -> list[str]:
 
 
 _LETTERS = dict(enumerate(byte_letters()))
+_SPACE = _LETTERS[32]
 
 
 def as_letters(word: str) -> str:
@@ -119,6 +122,8 @@ class Encoder:
         self.tokenize = self.library.model.tokenize
         if spec["model"].get("end_of_word_suffix") and rules(spec) == WORD_RULES:
             self.encode, self.memo = self._by_words, Memo(lambda chunk: self._ids(WORD_PATTERN.findall(chunk)))
+        elif not spec["model"].get("end_of_word_suffix") and rules(spec) == BYTE_RULES and sys.byteorder == "little" and width in (2, 4):
+            self.encode, self.memo, self.code = self._by_bytes, Memo(self._byte_ids), "H" if width == 2 else "I"
         elif not spec["model"].get("end_of_word_suffix") and rules(spec) == BYTE_RULES:
             self.encode, self.memo = self._by_bytes, Memo(lambda chunk: self._ids(BYTE_PATTERN.findall(chunk)))
         else:
@@ -127,6 +132,16 @@ class Encoder:
     def _ids(self, words: list[str]) -> bytes:
         return np.array([t.id for w in words for t in self.tokenize(as_letters(w))], self.type).tobytes()
 
+    def _byte_ids(self, chunk: str) -> bytes:
+        """As ``_ids`` of the pattern's words. A run of ASCII letters, a space before it or not, is one, and a mark after it another."""
+        if chunk.isascii() and chunk:
+            space = chunk[0] == " "
+            if chunk[space:].isalpha():
+                return array(self.code, [t.id for t in self.tokenize(_SPACE + chunk[1:] if space else chunk)]).tobytes()
+            if chunk[-1] in ".,;:!?" and chunk[space:-1].isalpha():
+                return self.memo[chunk[:-1]] + self.memo[chunk[-1]]
+        return self._ids(BYTE_PATTERN.findall(chunk))
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
