@@ -20,8 +20,8 @@ import regex
 
 #: White space as the tokenizers library's patterns see it (a fixed value); Python's \\s has four more characters.
 SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: A private-use character that parts chunks; texts that hold it take the slower way.
-_MARK = chr(0xE000)
+#: What parts chunks, of one byte so that plain texts stay so; texts that hold it take the slower way.
+_MARK = "\x00"
 #: The published split patterns of the two byte-pair vocabularies (fixed values).
 WORD_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BYTE_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
