@@ -29,14 +29,16 @@ def folder(spark: SparkSession) -> str:
 
 
 def state(spark: SparkSession, paths: Sequence[str]) -> tuple:
-    """Names, sizes and times of the files of the given paths."""
+    """Names, sizes and times of all files below the given paths."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        for f in path.getFileSystem(conf).listStatus(path):
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
             found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(found)
+    return tuple(sorted(found))
 
 
 def derived(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:

@@ -141,6 +141,11 @@ def test_derived_tables_follow_their_sources(spark, tmp_path):
         assert derived.derived(spark, "t", [path], build).count() == 3
     spark.range(5).write.mode("overwrite").parquet(path)
     assert derived.derived(spark, "t", [path], build).count() == 5 and len(built) == 2
+    parted = str(tmp_path / "parted")
+    spark.range(3).selectExpr("id", "id % 2 as p").write.partitionBy("p").parquet(parted)
+    before = derived.state(spark, [parted])
+    spark.range(1).write.mode("append").parquet(f"{parted}/p=1")  # a new file in an old folder
+    assert len(derived.state(spark, [parted])) > len(before)
     base = tables.base_table(spark, DATA)
     assert "parquet" in base._jdf.queryExecution().toString() and base.select("country_code").groupBy("country_code").count().count() > 1
 
