@@ -37,7 +37,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_documents(spark, sf_dir))
+    documents = _documents(spark, sf_dir)
+    return secrets.scan(documents, prime=secrets.dictionary(documents, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

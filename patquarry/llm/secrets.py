@@ -3,8 +3,11 @@
 A candidate is a whole run of key-like characters, however long, after a word that announces a secret. It is compressed by zstandard
 with dictionaries of code and identifiers, once the text around it alone and once with the candidate in its place;
 the difference is what the candidate adds, as it stands or in lower case. Words, identifiers and what stands nearby already add few bytes,
-random strings nearly their full content, and those are reported. The words and identifiers are those of Python's own documentation,
-its modules' names and their members, which every worker has, and a fixed text. Copies of the candidate nearby are blanked before, so
+random strings nearly their full content, and those are reported. Names are split at case, underscores and the like, and
+those of their parts that are words of the dictionary count for nothing.
+
+The dictionary (``dictionary``) has the words of a corpus by document frequency, which text near a secret's name does not count for, those of a
+tokenizer's vocabulary, of Python's own documentation, its modules' names and their members, and a fixed text. Copies of the candidate nearby are blanked before, so
 a secret that stands twice does not explain itself.
 """
 
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import json
 import random
 import re
 from collections import Counter
@@ -62,6 +66,8 @@ IDENTIFIERS = (
 
 #: Words of four letters and more, also inside names.
 _LETTERS = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+#: The longest word of a corpus that counts; and where the parts of a name in camel case meet.
+LONGEST, _BORDER = 24, re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _LONG_HEX = b"x" * 24
 
@@ -99,11 +105,48 @@ def library_words(most: int = WORDS) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _compressor() -> zstandard.ZstdCompressor:
-    words = " ".join(library_words()).encode() + b" " + IDENTIFIERS  # the nearest are the cheapest
-    prime = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    prime.precompute_compress(level=19)
-    return zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+def _library() -> bytes:
+    return " ".join(library_words()).encode() + b" " + IDENTIFIERS  # the nearest are the cheapest
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """Words of four letters and more in a vocabulary file of the tokenizers library, in lower case, those of the smallest ids last."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    found = dict.fromkeys(w.lower() for t in sorted(tokens, key=tokens.get) for w in _LETTERS.findall(t))
+    return list(found)[::-1]
+
+
+def corpus_words(df: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
+    """The ``most`` words that stand in the most texts, two at least, in lower case, the most frequent ones last; ties by the word.
+
+    All texts count, but not what stands in reach of a secret's name, so that no secret explains its copies. Null texts have no words."""
+    shy = F.regexp_replace(F.col(text), f"(?is)(?:{'|'.join(CONTEXT)}).{{0,{REACH}}}[a-z0-9+/_=.-]*", " ")
+    found = F.array_distinct(F.transform(F.regexp_extract_all(shy, F.lit(_LETTERS.pattern), F.lit(0)), F.lower))
+    counted = df.select(F.explode(found).alias("word")).where(f"length(word) <= {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
+
+
+def dictionary(df: DataFrame | None = None, vocabulary: str | None = None, text: str = "text") -> bytes:
+    """What primes the compressor: words of a vocabulary file, of a corpus and of Python's library, each once, and the fixed text.
+
+    Its size is bounded by the vocabulary and ``WORDS``, not by the corpus."""
+    parts = [vocabulary_words(vocabulary) if vocabulary else [], corpus_words(df, text) if df is not None else [], library_words()]
+    last = dict.fromkeys(w for part in parts[::-1] for w in part[::-1])
+    return " ".join(list(last)[::-1]).encode() + b" " + IDENTIFIERS
+
+
+@lru_cache(maxsize=2)
+def _compressor(prime: bytes) -> zstandard.ZstdCompressor:
+    words = zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=19)
+    return zstandard.ZstdCompressor(level=19, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+@lru_cache(maxsize=2)
+def _known(prime: bytes) -> frozenset[str]:
+    """The dictionary's words of four letters and more."""
+    return frozenset(w.lower() for w in _LETTERS.findall(prime.decode()))
 
 
 def _without(text: str, grams: frozenset[str]) -> str:
@@ -116,16 +159,29 @@ def _without(text: str, grams: frozenset[str]) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def novelty(text: str, start: int, end: int) -> int:
-    """Compressed bytes that a candidate adds to the text around it, in which copies of the candidate are blanked."""
+def unexplained(name: str, prime: bytes) -> str:
+    """A name in lower case without the dictionary's words: parts of it, which camel case and all but letters part, that are one word or two side by side."""
+    known = _known(prime)
+
+    def blank(m: re.Match) -> str:
+        x = m[0].lower()
+        return " " if x in known or any(x[:i] in known and x[i:] in known for i in range(4, len(x) - 3)) else m[0]
+
+    return re.sub(" +", " ", re.sub("[A-Za-z]{4,}", blank, _BORDER.sub(" ", name))).lower()
+
+
+def novelty(text: str, start: int, end: int, prime: bytes | None = None) -> int:
+    """Compressed bytes that a candidate adds to the text around it, in which copies of the candidate are blanked: as it stands, in lower
+    case, or without the words that the dictionary explains, whichever is least."""
+    prime = prime or _library()
     candidate = text[start:end]
     grams = frozenset(candidate[i : i + COPY] for i in range(end - start - COPY + 1))
     more = AROUND + COPY - 1  # a copy across the border is seen as one
     before, after = _without(text[max(0, start - more) : start], grams)[-AROUND:], _without(text[end : end + more], grams)[:AROUND]
     around = f"{after}\n{before}"  # the candidate comes last, after all that may explain it
-    size = lambda x: len(_compressor().compress(x.encode("utf-8", "surrogatepass")))
+    size = lambda x: len(_compressor(prime).compress(x.encode("utf-8", "surrogatepass")))
     alone = size(around)
-    return min(size(around + x) for x in {candidate, candidate.lower()}) - alone
+    return min(size(around + x) for x in {candidate, candidate.lower(), unexplained(candidate, prime)}) - alone
 
 
 def random_like(text: str, seed: int) -> str:
@@ -139,13 +195,13 @@ def random_like(text: str, seed: int) -> str:
     return "".join(next((r.choice(kind) for is_, kind in kinds if is_(c)), c) for c in text)
 
 
-def _new(text: str, start: int, end: int) -> bool:
+def _new(text: str, start: int, end: int, prime: bytes) -> bool:
     """Whether a candidate of at most ``PIECE`` characters adds nearly what random characters of its kind would in its place."""
-    added = novelty(text, start, end)
+    added = novelty(text, start, end, prime)
     if added < LEAST:
         return False
     controls = (text[:start] + random_like(text[start:end], seed) + text[end:] for seed in range(CONTROLS))
-    return any(added >= SHARE * novelty(c, start, end) for c in controls)
+    return any(added >= SHARE * novelty(c, start, end, prime) for c in controls)
 
 
 def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -156,21 +212,21 @@ def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
         yield end - PIECE, end
 
 
-def _any_new(text: str, start: int, end: int) -> bool:
+def _any_new(text: str, start: int, end: int, prime: bytes) -> bool:
     """Whether a candidate as a whole, one of its pieces, or one of the parts that points join is new."""
-    if any(_new(text, a, b) for a, b in _pieces(start, end)):
+    if any(_new(text, a, b, prime) for a, b in _pieces(start, end)):
         return True
     at = start
     for part in text[start:end].split("."):
-        if SHORTEST <= len(part) < end - start and any(_new(text, a, b) for a, b in _pieces(at, at + len(part))):
+        if SHORTEST <= len(part) < end - start and any(_new(text, a, b, prime) for a, b in _pieces(at, at + len(part))):
             return True
         at += len(part) + 1
     return False
 
 
-def novel_spans(text: str) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, prime: bytes | None = None) -> list[tuple[int, int, str]]:
     """Incompressible candidates that follow a name of a secret closely, to their full extent."""
-    found = []
+    found, prime = [], prime or _library()
     lower = text.lower()
     if not any(x in lower for x in CONTEXT):
         return found
@@ -187,19 +243,19 @@ def novel_spans(text: str) -> list[tuple[int, int, str]]:
             if end - start < SHORTEST or ends.get(end):
                 continue
             if end not in ends:
-                ends[end] = _any_new(text, start, end)
+                ends[end] = _any_new(text, start, end, prime)
             elif start == m.end() and start - tried >= SHORTEST:  # the name stands in a run that is not new as a whole; what follows it may be
                 tried = start
-                ends[end] = _new(text, start, min(end, start + PIECE))
+                ends[end] = _new(text, start, min(end, start + PIECE), prime)
             if ends[end]:
                 found.append((start, end, "novel"))
     return found
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
+def spans(text: str, prime: bytes | None = None) -> list[tuple[int, int, str]]:
     """All spans by start, then by kind; a novel one only where no base span covers it."""
     base = base_spans(text)
-    more = [s for s in novel_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    more = [s for s in novel_spans(text, prime) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -207,10 +263,10 @@ def _joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
-def redacted(text: str, mark: str = "[removed]") -> str:
+def redacted(text: str, mark: str = "[removed]", prime: bytes | None = None) -> str:
     """The text with every span, overlapping ones as one, replaced by a mark."""
     out, at = [], 0
-    for start, end, _ in spans(text):
+    for start, end, _ in spans(text, prime):
         if end <= at:
             continue
         if start >= at:
@@ -219,8 +275,8 @@ def redacted(text: str, mark: str = "[removed]") -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Find secrets in every whole text.
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", prime: bytes | None = None) -> DataFrame:
+    """Find secrets in every whole text. ``prime``: the dictionary, by default without a corpus and a vocabulary.
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``: the base kinds' counts, the hex digest of their
     ``kind:start:end`` list, and the list with the novel spans. Positions are code points, ends exclusive.
@@ -234,7 +290,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for x in batch.column(1):
-                found = spans(x.as_py() or "")
+                found = spans(x.as_py() or "", prime)
                 base = [s for s in found if s[2] != "novel"]
                 row = [*(sum(s[2] == k for s in base) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)]
                 for c, v in zip(columns, row, strict=True):
@@ -245,7 +301,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", prime: bytes | None = None) -> DataFrame:
     """``df`` with the secrets in its texts replaced by a mark, and ``n_chars``, where there is such a column, counted anew
     in changed rows. Null texts stay null; all rows and columns stay."""
 
@@ -253,7 +309,7 @@ def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -
 
     @F.pandas_udf("string")
     def clean(x):  # noqa: ANN001, ANN202
-        return x.map(redacted, na_action="ignore")
+        return x.map(lambda t: redacted(t, prime=prime), na_action="ignore")
 
     out = df.withColumn(text, clean(F.col(text)))
     if n_chars in df.columns:

@@ -8,6 +8,7 @@ import pytest
 
 from patquarry.llm import licenses, secrets, sharding, toxicity
 from tests.compare import assert_same
+from tests.llm.conftest import BYTE
 
 
 def test_sharding(spark, odd, empty):
@@ -106,6 +107,60 @@ def test_recall_and_false_positives_of_new_strings():
     assert np.mean(wrong) <= 0.15
 
 
+#: Names that no setting was chosen by (a fixed list of this test).
+UNSEEN = (
+    "CustomerInvoiceGenerator ShippingAddressValidator PaymentGatewayAdapter InventoryReservationService OrderFulfillmentWorkflow MAX_RETRY_ATTEMPT_COUNT "
+    "ENABLE_EXPERIMENTAL_FEATURES STRIPE_WEBHOOK_SECRET_NAME /usr/local/share/ca-certificates /var/log/nginx/access.log ~/.config/gcloud/application_default "
+    "org.apache.spark.sql.functions com.google.firebase.messaging System.Security.Cryptography tensorflow.python.framework react-native-gesture-handler "
+    "eslint-plugin-import-order docker-compose.override.yml kubectl-rollout-restart terraform_remote_state_bucket ansible_become_password_file "
+    "readCertificateFromKeystore computeSignatureDigest parseMultipartFormData getElementsByClassName XMLHttpRequestEventTarget IllegalArgumentException "
+    "HttpServletRequestWrapper AbstractSingletonProxyFactoryBean OAuth2AuthorizationServer LdapUserDetailsManager SessionCookieInterceptor "
+    "user_profile_picture_url last_modified_timestamp is_feature_flag_enabled employee_onboarding_checklist quarterly_revenue_forecast "
+    "see-the-internal-wiki-page ask-your-administrator rotate-every-ninety-days stored-in-the-password-manager <REPLACE-WITH-YOUR-VALUE> "
+    "github.com/organization/project https://docs.example.org/security/overview application/vnd.api+json multipart/form-data-boundary "
+    "backend/services/authentication/handlers tests/integration/fixtures/accounts packages/shared/components/button scripts/deployment/rollback.sh "
+    "ClusterRoleBindingTemplate PersistentVolumeClaimSpec NetworkPolicyController HorizontalPodAutoscaler ServiceMeshConfiguration "
+    "elasticache-subnet-group cloudfront-distribution-identifier lambda-execution-role-policy dynamodb-table-stream-arn sagemaker-endpoint-variant "
+    "mysql_native_password postgres_superuser_reserved_connections mongodb_replica_set_name cassandra_consistency_level clickhouse_distributed_table "
+    "android.permission.INTERNET UIApplicationDelegate NSUserNotificationCenter kSecAttrAccessibleWhenUnlocked BroadcastReceiverRegistration "
+    "chrome-extension-manifest firefox-addon-permissions safari-web-inspector accessibility-tree-snapshot browser-fingerprint-protection "
+    "PKCS12KeyStoreLoader X509CertificateChain RSAPrivateKeyStructure EllipticCurveParameters HmacSignatureVerifier "
+    "numpy.random.default_generator pandas.core.groupby.generic sklearn.model_selection matplotlib.backends.registry scipy.sparse.linalg "
+    "BatchNormalizationLayer LearningRateScheduler GradientAccumulationSteps TransformerEncoderBlock AttentionHeadDimension "
+    "webpack.config.production.json vscode-language-server jupyter_notebook_config nginx-ingress-controller prometheus_alertmanager_receiver "
+    "WordPressThemeCustomizer MagentoCheckoutObserver "
+    "jenkins-pipeline-library gitlab-runner-registration circleci-context-variables bitbucket-deployment-keys sonarqube-quality-gate"
+).split()
+PLACES = ("access_key {}", "Authorization: Bearer {}", "the credential is {}", "private_key <- {}", "encryption_key ({})", "passphrase {} # see above")
+
+
+def test_names_of_code_stay_and_secrets_go():
+    """Of names that no setting was chosen by, in six places, one in twenty at most is taken for a secret; secrets of many forms are found."""
+    prime = secrets.dictionary(None, BYTE)
+    wrong = [(name, t) for name in UNSEEN for t in PLACES if secrets.novel_spans(t.format(name), prime)]
+    assert len(UNSEEN) >= 100 and len(wrong) <= 0.05 * len(UNSEEN) * len(PLACES), wrong
+    r = np.random.default_rng(77)
+    draw = lambda n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(list(letters), n))
+    forms = (
+        lambda: draw(24), lambda: draw(40), lambda: "sk_live_" + draw(24), lambda: "ghp_" + draw(36), lambda: draw(32, "abcdef0123456789").upper(), lambda: "-".join(draw(n, "abcdef0123456789") for n in (8, 4, 4, 4, 12)),
+        lambda: f"eyJ{draw(30)}.eyJ{draw(60)}.{draw(43)}", lambda: draw(20, "0123456789"), lambda: draw(16, "abcdefghijklmnopqrstuvwxyz"), lambda: draw(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: "production-database-" + draw(24),
+    )
+    missed = [key for make in forms for k in range(30) if (key := make()) in secrets.redacted(f"before\n{PLACES[k % 6].format(key)}\nafter", prime=prime)]
+    assert len(missed) <= 0.01 * 30 * len(forms), missed
+
+
+def test_dictionary_of_a_corpus(spark, odd, empty):
+    """Words count by the texts that they stand in; what stands after a secret's name explains nothing, however many copies it has."""
+    texts = ["zorblatt quuxify zorblatt", "Zorblatt vexillum", "password zyxgravelotte", "bearer: zyxgravelotte", "QUUXIFY once", None, "", "a bc " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert secrets.corpus_words(df) == ["zorblatt", "quuxify"] and secrets.corpus_words(df, most=1) == ["quuxify"]
+    assert secrets.corpus_words(empty) == [] and isinstance(secrets.corpus_words(odd), list)
+    prime = secrets.dictionary(df)
+    assert b"quuxify" in prime and b"zyxgravelotte" not in prime and prime.endswith(secrets.IDENTIFIERS)
+    assert secrets.unexplained("QuuxifyZorblatt_kq7", prime).split() == ["kq7"] and secrets.unexplained("quuxifyzorblatt", prime).strip() == ""
+    assert secrets.scan(odd, prime=prime).count() == odd.count() and secrets.redact(odd, prime=prime).columns == odd.columns
+
+
 def test_base_columns_equal_sql(spark):
     """Counts of the base kinds and places of the base phrases over a whole table, by an engine's own patterns."""
     from patquarry.llm import queries
