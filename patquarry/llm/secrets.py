@@ -42,6 +42,7 @@ CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "ap
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.I | re.A)
 #: A whole run of key-like characters, over single points inside it; counted from so many characters on.
 _CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"), 16
+_PART = re.compile("[^._/-]+")
 #: How far after a name a candidate may begin, how much text on either side primes the compressor, the least share that
 #: a candidate must add of what random characters in its place add, how many times those are drawn, and the least of new bytes.
 REACH, AROUND, SHARE, CONTROLS, LEAST = 48, 160, 0.75, 2, 11
@@ -213,14 +214,12 @@ def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
 
 
 def _any_new(text: str, start: int, end: int, prime: bytes) -> bool:
-    """Whether a candidate as a whole, one of its pieces, or one of the parts that points join is new."""
+    """Whether a candidate as a whole, one of its pieces, or one of its long parts between points, hyphens, underscores and slashes is new."""
     if any(_new(text, a, b, prime) for a, b in _pieces(start, end)):
         return True
-    at = start
-    for part in text[start:end].split("."):
-        if SHORTEST <= len(part) < end - start and any(_new(text, a, b, prime) for a, b in _pieces(at, at + len(part))):
+    for part in _PART.finditer(text, start, end):
+        if SHORTEST <= len(part[0]) < end - start and any(_new(text, a, b, prime) for a, b in _pieces(*part.span())):
             return True
-        at += len(part) + 1
     return False
 
 
