@@ -20,7 +20,8 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 from pydoc_data.topics import topics
 from string import ascii_lowercase, digits
 
@@ -39,6 +40,8 @@ BASE = (
 KINDS = ("assign", "access", "hex", "novel")
 #: Names that announce a secret (a fixed list of this operator).
 CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "credential", "private_key", "private-key", "client_key", "auth_key", "access_key", "bearer", "authorization", "connection_string", "encryption_key", "signing_key", "ssh-rsa", "ssh-ed25519")
+#: Each of those names has one of these.
+STEMS = ("pass", "secret", "token", "key", "credential", "bearer", "authorization", "connection_string", "ssh-")
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.I | re.A)
 #: A whole run of key-like characters, over single points inside it; counted from so many characters on.
 _CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"), 16
@@ -67,8 +70,8 @@ IDENTIFIERS = (
 
 #: Words of four letters and more, also inside names.
 _LETTERS = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}")
-#: The longest word of a corpus that counts; and where the parts of a name in camel case meet.
-LONGEST, _BORDER = 24, re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+#: The longest word of a corpus that counts; a word of a corpus stands in one text of so many; and where the parts of a name in camel case meet.
+LONGEST, RARE, _BORDER = 24, 20_000, re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _LONG_HEX = b"x" * 24
 
@@ -119,12 +122,15 @@ def vocabulary_words(path: str) -> list[str]:
 
 
 def corpus_words(df: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
-    """The ``most`` words that stand in the most texts, two at least, in lower case, the most frequent ones last; ties by the word.
+    """The ``most`` words that stand in the most texts, two at least and one in ``RARE``, in lower case, the most frequent ones last; ties by the word.
 
     All texts count, but not what stands in reach of a secret's name, so that no secret explains its copies. Null texts have no words."""
-    shy = F.regexp_replace(F.col(text), f"(?is)(?:{'|'.join(CONTEXT)}).{{0,{REACH}}}[a-z0-9+/_=.-]*", " ")
+    low = F.lower(F.col(text))
+    near = reduce(or_, (low.contains(x) for x in STEMS))  # most texts have none and need no pattern
+    shy = F.when(near, F.regexp_replace(F.col(text), f"(?is)(?:{'|'.join(CONTEXT)}).{{0,{REACH}}}[a-z0-9+/_=.-]*", " ")).otherwise(F.col(text))
     found = F.array_distinct(F.transform(F.regexp_extract_all(shy, F.lit(_LETTERS.pattern), F.lit(0)), F.lower))
-    counted = df.select(F.explode(found).alias("word")).where(f"length(word) <= {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = df.select(F.explode(found).alias("word")).where(f"length(word) <= {LONGEST}").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(f"n > 1 and n * {RARE}L >= {df.count()}L")  # so that few rows of a task reach the driver, however many tasks there are
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
 
 
