@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patquarry.operators import chains
 
 #: A claim's number at the start of a segment, and references to claims (fixed patterns).
-ANCHOR = r"(?s)^\s*(\d+)(?:\s*[-–]\s*(\d+))?\s*[.．、]\s*(\D.*)$"
+NUMBERS = r"\s*(\d+)(?:\s*[-–]\s*(\d+))?\s*[.．、]"
+HEAD, SPACE = NUMBERS + r"(?=\s*\D)", r"[ \t\x0B\f\r]"
 REFERENCE = r"(?i)(?:claims?|权利要求|權利要求)\s*(\d+(?:\s*(?:[-–~,、]|to|至|and|or|或|和)\s*\d+)*)"
 CANCELED, RANGE = r"(?i)cancell?ed", r"(?i)[-–~]|to|至"
 #: Statuses from the least favourable on (fixed values).
@@ -18,15 +19,14 @@ LONGEST_RANGE = 10_000
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, nth, segment``: parts between bars or line ends; one that starts with no number goes on the one before."""
+    """``key, nth, segment``: parts between bars or line ends; one that starts with no number goes on the one before.
 
-    def add(found: Column, part: Column) -> Column:
-        more = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.concat(F.element_at(found, -1), F.lit(" "), F.trim(part))))
-        return F.when(part.rlike(ANCHOR), F.concat(found, F.array(F.trim(part)))).when(F.size(found) == 0, found).otherwise(more)
-
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"\s*\|\s*|\r?\n")
-    joined = F.aggregate(parts, F.array().cast("array<string>"), add)
-    return df.select(key, F.posexplode(joined).alias("nth", "segment")).withColumn("nth", F.col("nth") + 1)
+    One split, at the line ends that a number follows: bars become line ends first, and those that stay become spaces, as do the
+    spaces around them. What stands before the first number is left out; a null text has no segments."""
+    lines = F.regexp_replace(F.col(text), r"\s*\|\s*|\r?\n", "\n")
+    parts = F.split(F.concat(F.lit("\n"), lines), "\n(?=" + HEAD.replace(r"\s", SPACE).replace(r"\D", r"[^\d\n]") + ")")
+    found = df.select(key, F.posexplode(parts).alias("nth", "segment")).where("nth > 0")
+    return found.withColumn("segment", F.regexp_replace(F.trim("segment"), " *\n *", " "))
 
 
 def references(body: Column) -> Column:
@@ -35,20 +35,23 @@ def references(body: Column) -> Column:
 
     def numbers(token: Column) -> Column:
         n = F.transform(F.regexp_extract_all(token, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
-        n = F.filter(n, lambda x: x.isNotNull())
-        short = F.array_max(n).cast("long") - F.array_min(n) < LONGEST_RANGE
-        return F.when((F.size(n) == 2) & token.rlike(RANGE) & short, F.sequence(F.array_min(n), F.array_max(n))).otherwise(n)
+        return F.struct(F.filter(n, lambda x: x.isNotNull()).alias("n"), token.rlike(RANGE).alias("range"))
+
+    def meant(x: Column) -> Column:
+        low, high = F.array_min(x["n"]), F.array_max(x["n"])
+        return F.when(x["range"] & (F.size(x["n"]) == 2) & (high.cast("long") - low < LONGEST_RANGE), F.sequence(low, high)).otherwise(x["n"])
 
-    return F.array_distinct(F.flatten(F.transform(tokens, numbers)))
+    return F.array_distinct(F.flatten(F.transform(F.transform(tokens, numbers), meant)))
 
 
 def parse(df: DataFrame, key: str, text: str) -> DataFrame:
     """A row a claim: ``number, text, type, parent, parents, multiple_dependent``; only references back name parents.
 
     A number that is no int stays as its digits and has no parents."""
-    rows = segments(df, key, text)
-    get = lambda i: F.regexp_extract("segment", ANCHOR, i)
-    rows = rows.withColumn("first", get(1).try_cast("int")).withColumn("end", get(2)).withColumn("body", F.trim(get(3)))
+    rows = segments(df, key, text).withColumn("head", F.regexp_extract("segment", "^" + HEAD, 0))  # the rest of a segment needs no pattern
+    get = lambda i: F.regexp_extract("head", NUMBERS, i)
+    body = F.when(F.col("head") != "", F.substring("segment", F.length("head") + 1, F.length("segment"))).otherwise("")
+    rows = rows.withColumn("first", get(1).try_cast("int")).withColumn("end", get(2)).withColumn("body", body)
     rows = rows.withColumn("refs", references(F.col("body"))).withColumn("back", F.filter("refs", lambda x: x < F.col("first")))
     odd = (F.col("end") != "") | F.col("body").rlike(CANCELED)
     kind = F.when(odd, "unknown").when(F.size("refs") == 0, "independent").when(F.size("back") == 0, "unknown").otherwise("dependent")
