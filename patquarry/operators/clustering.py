@@ -93,86 +93,191 @@ def claim_chunks(df: DataFrame, key: str, text: str, most: int = 256, step: int
     return df.select(key, F.posexplode(packed).alias("chunk", "w")).select(key, "chunk", F.size("w").alias("words"), F.array_join("w", " ").alias("text"))
 
 
+def words_of(text: Column, stop_words: Sequence[str] = ()) -> Column:
+    """Words of two characters and more in order, without ``stop_words`` (lower case)."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 1)
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+
+
+def pairs_of(words: Column) -> Column:
+    """Pairs of neighbors among words, as text."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def terms_of(text: Column, stop_words: Sequence[str] = ()) -> Column:
     """Words of two characters and more in order, without ``stop_words`` (lower case), and pairs of neighbors among them."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 1)
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    words = words_of(text, stop_words)
+    return F.concat(words, pairs_of(words))
 
 
-def _weighted(counts: DataFrame, topic: str, by: Sequence[str] = ()) -> DataFrame:
-    """Class-based TF-IDF of counts ``by..., topic, term, n``: adds ``weight``; each value of ``by`` is a corpus of its own."""
-    sizes = counts.groupBy(*by, topic).agg(F.sum("n").alias("size"))  # a row a topic
-    mean = sizes.groupBy(*by).agg(F.avg("size").alias("mean"))
-    whole = counts.groupBy(*by, "term").agg(F.sum("n").alias("all"))
-    weight = F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("all"))
-    rows = counts.join(F.broadcast(sizes), [*by, topic]).join(whole, [*by, "term"])
-    return (rows.join(F.broadcast(mean), list(by)) if by else rows.join(F.broadcast(mean))).select(*by, topic, "term", "n", weight.alias("weight"))
+def _weight(n: Column, size: Column, mean: Column, whole: Column) -> Column:
+    """Class-based TF-IDF of a term that stands ``n`` times in a topic and ``whole`` times in all."""
+    return n / size * F.log(1 + mean / whole)
 
 
-def term_weights(df: DataFrame, text: str, topic: str = "topic", stop_words: Sequence[str] = ()) -> DataFrame:
-    """Class-based TF-IDF of every word and pair of words in each topic: ``topic, term, n, weight``; no term is left out but ``stop_words``."""
-    return _weighted(df.select(topic, F.explode(terms_of(F.col(text), stop_words)).alias("term")).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n")), topic)
+#: Up to so many topics have a column each where terms are counted.
+WIDE = 64
+
+
+def term_lists(df: DataFrame, text: str, topic: str = "topic", stop_words: Sequence[str] = ()) -> DataFrame:
+    """``term, w``: every word and pair of words once, with its ``topic, n, weight`` in each topic that has it; see ``term_weights``.
 
+    Counts are shuffled once, by term. The sizes of topics come from a pass before, a row a topic for the driver."""
+    rows = df.select(topic, words_of(F.col(text), stop_words).alias("_words"))
+    sizes = [(r[0], r[1]) for r in rows.groupBy(topic).agg(F.sum(F.greatest(2 * F.size("_words") - 1, F.lit(0)))).collect() if r[1]]
+    mean, size = F.lit(float(sum(n for _, n in sizes)) / max(1, len(sizes))), dict(sizes)
+    terms = rows.select(topic, F.explode(F.concat("_words", pairs_of(F.col("_words")))).alias("term"))
+    if len(sizes) <= WIDE:
+        columns = [f"_n{i}" for i in range(len(sizes))]
+        counts = terms.groupBy("term").agg(*[F.count_if(F.col(topic).eqNullSafe(F.lit(t))).alias(c) for c, (t, _) in zip(columns, sizes, strict=True)])
+        whole = sum((F.col(c) for c in columns), F.lit(0).cast("long"))
+        each = [F.when(F.col(c) > 0, F.struct(F.lit(t).alias(topic), F.col(c).alias("n"), _weight(F.col(c), F.lit(n), mean, whole).alias("weight"))) for c, (t, n) in zip(columns, sizes, strict=True) if t is not None]
+        kind = f"array<struct<{topic}:{df.schema[topic].dataType.simpleString()},n:bigint,weight:double>>"
+        return counts.select("term", F.array_compact(F.array(*each)).cast(kind).alias("w"))
+    counts = terms.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.collect_list(F.struct(topic, "n")).alias("_w"), F.sum("n").alias("_all"))
+    of = F.create_map(*[F.lit(x) for t, n in size.items() if t is not None for x in (t, n)])
+    return counts.select("term", F.transform(F.filter("_w", lambda x: x[topic].isNotNull()), lambda x: F.struct(x[topic].alias(topic), x["n"].alias("n"), _weight(x["n"], of[x[topic]], mean, F.col("_all")).alias("weight"))).alias("w"))
 
-def _best_terms(weights: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("weight").desc(), "term"))
-    return weights.withColumn("rank", rank).where(F.col("rank") <= most).select(*keys, "rank", "term", "weight")
+
+def term_weights(df: DataFrame, text: str, topic: str = "topic", stop_words: Sequence[str] = ()) -> DataFrame:
+    """Class-based TF-IDF of every word and pair of words in each topic: ``topic, term, n, weight``; no term is left out but ``stop_words``."""
+    return term_lists(df, text, topic, stop_words).select("term", F.inline("w")).select(topic, "term", "n", "weight")
+
+
+#: So many words at most are sent to the tasks to choose pairs by; with more of them all pairs are counted.
+SIEVED = 200_000
+
+
+def best_terms(df: DataFrame, text: str, groups: Column, most: int = 10, stop_words: Sequence[str] = ()) -> DataFrame:
+    """``k, topic, rank, term, weight``: the ``most`` best words and pairs of words of each topic by class-based TF-IDF, ties to the smaller term.
+
+    ``groups``: the topics that a text is in, an array of ``k, topic``; each ``k`` is a corpus of its own. The result is that of weighing every term,
+    but most pairs are never counted: one stands no more often in a topic than either of its words, and at the same place in all others
+    at least, so a word whose own count gives less than the topic's words have already is in no pair that matters."""
+    spark, by = df.sparkSession, ["k", "topic"]
+    rows = df.select(words_of(F.col(text), stop_words).alias("_words"), groups.alias("_in"))
+    # a null word a text counts the texts: each has a pair less than words
+    ended = F.when(F.size("_words") > 0, F.concat("_words", F.array(F.lit(None).cast("string"))))
+    every = rows.select(F.explode(ended).alias("term"), "_in").select("term", F.inline("_in"))
+    words, drop_words = derived.stored(every.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n")), "words")
+    sizes = words.groupBy(*by).agg(F.sum(F.when(F.col("term").isNull(), -F.col("n")).otherwise(2 * F.col("n"))).alias("size"))
+    sizes, drop_sizes = derived.stored(sizes.withColumn("mean", F.avg("size").over(Window.partitionBy("k"))), "sizes")  # a row a topic
+
+    def weighed(counts: DataFrame) -> DataFrame:
+        whole = counts.groupBy("k", "term").agg(F.sum("n").alias("_all"))
+        return counts.join(F.broadcast(sizes), by).join(whole, ["k", "term"]).select(*by, "term", "n", "size", "mean", _weight(F.col("n"), F.col("size"), F.col("mean"), F.col("_all")).alias("weight"))
+
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("weight").desc(), "term"))
+    ranked = lambda weights: weights.withColumn("rank", rank).where(F.col("rank") <= most).select(*by, "rank", "term", "weight")
+    words = words.where("term is not null")
+    first, drop_first = derived.stored(ranked(weighed(words)), "best-words")
+    least = first.groupBy(*by).agg(F.min(F.when(F.col("rank") == most, F.col("weight"))).alias("least"))
+    bound = _weight(F.col("n"), F.col("size"), F.col("mean"), F.col("n"))
+    able = words.join(F.broadcast(sizes), by).join(F.broadcast(least), by).where(F.col("least").isNull() | (bound >= F.col("least") * (1 - 1e-9)))
+    able, drop_able = derived.stored(able.select("term").distinct(), "able-words")
+    pairs = rows.select("_in", F.explode(F.arrays_zip(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))).alias("a"), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))).alias("b"))).alias("p")).select("_in", "p.a", "p.b")
+    if able.count() <= SIEVED:
+        for c in ("a", "b"):
+            pairs = pairs.join(F.broadcast(able.withColumnRenamed("term", c)), c, "left_semi")
+    pairs = pairs.select(F.concat("a", F.lit(" "), "b").alias("term"), "_in").select("term", F.inline("_in"))
+    pairs, drop_pairs = derived.stored(pairs.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    found, _ = derived.stored(ranked(first.select(*by, "term", "weight").unionByName(ranked(weighed(pairs)).select(*by, "term", "weight"))), "best-terms")  # a few rows a topic
+    for path in (drop_words, drop_sizes, drop_first, drop_able, drop_pairs):
+        derived.delete(spark, path)
+    return found
 
 
 def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10, stop_words: Sequence[str] = ()) -> DataFrame:
     """``topic, rank, term, weight``, with the best terms of each topic by class-based TF-IDF."""
-    return _best_terms(term_weights(df, text, topic, stop_words), [topic], most)
+    found = best_terms(df, text, F.array(F.struct(F.lit(0).alias("k"), F.col(topic).alias("topic"))), most, stop_words)
+    return found.select(F.col("topic").alias(topic), "rank", "term", "weight")
+
+
+def _counted(batches):  # noqa: ANN001, ANN202
+    """A row a text and term of rows ``topic, key, words``, with how often it stands there."""
+    import pyarrow as pa
+
+    for batch in batches:
+        at, terms, counts = [], [], []
+
+        def out():  # noqa: ANN202
+            rows = pa.array(at, pa.int32())  # noqa: B023
+            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[*batch.schema.names[:2], "term", "c"])  # noqa: B023
+
+        for i, value in enumerate(batch.column(2)):
+            words = value.as_py() or []
+            for found in (Counter(words), Counter(map(" ".join, zip(words, words[1:], strict=False)))):
+                at += [i] * len(found)
+                terms += found
+                counts += found.values()
+            if len(at) > 200_000:
+                yield out()
+                at, terms, counts = [], [], []
+        yield out()
 
 
 def representative(df: DataFrame, key: str, text: str, topic: str = "topic", most: int = 3) -> DataFrame:
     """``topic, key, cosine, nearest, farthest``: documents by the cosine of their terms' counts with the topic's weights, the
-    ``most`` nearest and farthest of each topic with their ranks, null for the other kind; ties go to the smaller key. Documents without terms count 0."""
-    weights = term_weights(df, text, topic).select(topic, "term", "weight")
-    norms = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    counts = df.select(topic, key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(topic, key, "term").agg(F.count(F.lit(1)).alias("c"))
-    dots = counts.join(weights, [topic, "term"]).groupBy(topic, key).agg(F.sum(F.col("c") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("own"))
+    ``most`` nearest and farthest of each topic with their ranks, null for the other kind; ties go to the smaller key. Documents without terms count 0.
+
+    Terms are counted a text first and then shuffled once, by term, where they meet with all that decides their weights; what comes back is a sum a
+    document and task."""
+    words = df.select(topic, key, words_of(F.col(text)).alias("_words"))
+    sizes, drop_sizes = derived.stored(words.groupBy(topic).agg(F.sum(F.greatest(2 * F.size("_words") - 1, F.lit(0))).alias("_size")).where("_size > 0"), "sizes")  # a row a topic
+    mean = sizes.agg(F.avg("_size")).first()[0] or 1.0
+    kind = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (topic, key))
+    counts = words.mapInArrow(_counted, f"{kind}, term string, c long").repartition("term").groupBy("term", topic, key).agg(F.sum("c").alias("c"))
+    of = lambda *by: F.sum("c").over(Window.partitionBy(*by))
+    weighed = counts.select(topic, key, "term", "c", of("term", topic).alias("_n"), of("term").alias("_all")).join(F.broadcast(sizes), topic)
+    weighed = weighed.withColumn("weight", _weight(F.col("_n"), F.col("_size"), F.lit(mean), F.col("_all")))
+    # of the square of a weight each document with the term brings its share
+    dots = weighed.groupBy(topic, key).agg(F.sum(F.col("c") * F.col("weight")).alias("dot"), F.sum(F.col("c") * F.col("c")).alias("own"), F.sum(F.col("weight") * F.col("weight") * F.col("c") / F.col("_n")).alias("share"))
+    dots, _ = derived.stored(dots, "dots")  # a row a document
+    norms = dots.groupBy(topic).agg(F.sqrt(F.sum("share")).alias("norm"))
+    derived.delete(df.sparkSession, drop_sizes)
     rows = df.select(topic, key).distinct().join(dots, [topic, key], "left").join(F.broadcast(norms), topic, "left")
-    rows = rows.withColumn("cosine", F.round(F.coalesce(F.col("dot") / (F.col("own") * F.col("norm")), F.lit(0.0)), 9))
+    rows = rows.withColumn("cosine", F.round(F.coalesce(F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.col("norm")), F.lit(0.0)), 9))
     by = lambda *o: F.row_number().over(Window.partitionBy(topic).orderBy(*o))
     near, far = (rows.select(topic, key, "cosine", by(o, key).alias("r")).where(F.col("r") <= most) for o in (F.col("cosine").desc(), F.col("cosine").asc()))
     return near.withColumnRenamed("r", "nearest").join(far.withColumnRenamed("r", "farthest"), [topic, key, "cosine"], "full")
 
 
-def _windows(sets: dict[int, list[str]], width: int):
-    """How many windows of the texts have each word, and each pair of words of one topic; a row a word or pair and task."""
+def _windows(sets: dict[int, list[str]], width: int, rows: int = 4096):
+    """How many windows of the texts have each word, and each pair of words of one topic; a row a word or pair and task.
+
+    ``rows`` windows at a time are a matrix of which words each has, whose product with itself counts pairs."""
+    import numpy as np
     import pyarrow as pa
 
-    topics_of: dict[str, list[int]] = {}
-    for topic, words in sets.items():
-        for w in words:
-            topics_of.setdefault(w, []).append(topic)
+    names = sorted({w for words in sets.values() for w in words})
+    index = {w: i for i, w in enumerate(names)}
+    member = np.zeros((len(names), len(sets)), np.float32)
+    for t, words in enumerate(sets.values()):
+        member[[index[w] for w in words], t] = 1
+    together = np.triu(member @ member.T > 0)
 
     def run(batches):  # noqa: ANN001, ANN202
-        counts: Counter[tuple[str, str]] = Counter()
-        n = 0
+        total, n = np.zeros(together.shape, np.int64), 0
         for batch in batches:
-            for tokens in batch.column(0).to_pylist():
+            for value in batch.column(0):
+                tokens = value.as_py()
                 starts = max(1, len(tokens) - width + 1)
                 n += starts
-                held = Counter(w for w in tokens[:width] if w in topics_of)
-                before, since = None, 0
-                for i in range(starts + 1):
-                    now = frozenset(w for w, c in held.items() if c) if i < starts else None
-                    if now != before:  # windows between two changes count together
-                        if before and i > since:
-                            for a in before:
-                                counts[a, a] += i - since
-                            pairs = {(a, b) for a in before for b in before if a < b and set(topics_of[a]) & set(topics_of[b])}
-                            for pair in pairs:
-                                counts[pair] += i - since
-                        before, since = now, i
-                    if i + width < len(tokens) and i < starts:
-                        held[tokens[i]] -= tokens[i] in topics_of
-                        held[tokens[i + width]] += tokens[i + width] in topics_of
-        counts["", ""] = n
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts]), pa.array([b for _, b in counts]), pa.array(list(counts.values()), pa.int64())], names=["a", "b", "n"])
+                found = [(i, index[w]) for i, w in enumerate(tokens) if w in index]
+                if not found:
+                    continue
+                at, ids = np.array(found).T
+                own, ids = np.unique(ids, return_inverse=True)
+                for first in range(0, starts, rows):
+                    many = min(rows, starts - first)
+                    a, b = np.searchsorted(at, (first, first + many + width - 1))
+                    change = np.zeros((many + 1, len(own)), np.int32)
+                    np.add.at(change, (np.maximum(at[a:b] - width + 1 - first, 0), ids[a:b]), 1)
+                    np.add.at(change, (np.minimum(at[a:b] + 1 - first, many), ids[a:b]), -1)
+                    there = (change[:-1].cumsum(0) > 0).astype(np.float32)
+                    total[np.ix_(own, own)] += (there.T @ there).astype(np.int64)
+        x, y = np.nonzero(together & (total > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(["", *(names[i] for i in x)]), pa.array(["", *(names[i] for i in y)]), pa.array([n, *total[x, y].tolist()], pa.int64())], names=["a", "b", "n"])
 
     return run
 
@@ -214,17 +319,15 @@ def candidates(df: DataFrame, text: str, vector: str, reduced: int = 100, starts
 
     Returns the candidates, ``k, coherence, diversity, balance, small, score, profile`` (null, or low, middle or high), and the
     rows of ``df`` that have a vector with ``k, topic, distance`` to the topic's center, once for each ``k``. All numbers and ``starts`` are fitted in
-    the same passes over stored components; terms are counted once for all numbers, by the topics that a text has in each."""
+    the same passes over stored components; terms are counted for all numbers together."""
     spark = df.sparkSession
-    ready, _ = derived.stored(reduce_dimensions(df.where(F.col(vector).isNotNull()), vector, reduced), "reduced")
+    ready, drop_ready = derived.stored(reduce_dimensions(df.where(F.col(vector).isNotNull()), vector, reduced), "reduced")
     ks = ladder(ready.count())
     fits, _ = online.kmeans(ready, "reduced", ks, starts, seed=seed)
-    near = online.assigned(ready, "reduced", fits)
-    every = F.inline(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("topics").alias("topic")))
-    counts = near.select("topics", F.explode(terms_of(F.col(text), stop_words)).alias("term")).groupBy("topics", "term").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("term", "n", every).groupBy("k", "topic", "term").agg(F.sum("n").alias("n"))
-    words, _ = derived.stored(_best_terms(_weighted(counts, "topic", ["k"]), ["k", "topic"], 10), "words")  # a few rows a topic
-    held = coherence(ready, text, words.withColumn("_topic", F.col("k") * 1000 + F.col("topic")), "_topic")
+    near, _ = derived.stored(online.assigned(ready, "reduced", fits), "assigned")
+    derived.delete(spark, drop_ready)
+    words = best_terms(near, text, F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("topics").alias("topic")), stop_words=stop_words)
+    held = coherence(near, text, words.withColumn("_topic", F.col("k") * 1000 + F.col("topic")), "_topic")
     per_topic = spark.createDataFrame(list(held.items()), "_topic int, c double").groupBy(F.floor(F.col("_topic") / 1000).cast("int").alias("k")).agg(F.avg("c").alias("coherence"))
     diverse = words.groupBy("k").agg((F.count_distinct("term") / F.count(F.lit(1))).alias("diversity"))
     rows = near.select(*df.columns, "reduced", F.inline(F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), F.col("topics").alias("topic"), F.col("distances").alias("distance"))))

@@ -9,17 +9,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from patquarry.sources import derived
+
 
 def distances(weights: DataFrame, topic: str = "topic") -> DataFrame:
-    """``a, b, distance`` with a < b: one less the cosine of two topics' term weights (``topic, term, weight``); 1 where they share no term.
-
-    Topics are few, so a term has a few rows; products are summed by pair before the shuffle."""
-    rows = weights.select(F.col(topic).alias("t"), "term", "weight").where("weight != 0")
-    norms = rows.groupBy("t").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    lists = rows.groupBy("term").agg(F.collect_list(F.struct("t", "weight")).alias("w"))  # a topic each
-    pairs = lists.select(F.explode("w").alias("x"), "w").select("x", F.explode("w").alias("y")).where("x.t < y.t")
-    dots = pairs.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("dot"))
-    side = lambda c: norms.select(F.col("t").alias(c), F.col("norm").alias(f"n{c}"))
+    """``a, b, distance`` with a < b: one less the cosine of two topics' term weights (``topic, term, weight``); 1 where they share no term."""
+    return between(weights.groupBy("term").agg(F.collect_list(F.struct(topic, "weight")).alias("w")), topic)
+
+
+def between(lists: DataFrame, topic: str = "topic") -> DataFrame:
+    """``distances`` of terms that come once each, ``term, w``, with an array of ``topic, weight``.
+
+    Topics are few, so a term has a few of them; one pass sums products by pair before the shuffle, a topic's own among them."""
+    rows = lists.select(F.filter("w", lambda x: x["weight"] != 0).alias("w"))
+    pairs = rows.select(F.explode("w").alias("x"), "w").select("x", F.explode("w").alias("y")).where(F.col(f"x.{topic}") <= F.col(f"y.{topic}"))
+    dots = pairs.groupBy(F.col(f"x.{topic}").alias("a"), F.col(f"y.{topic}").alias("b")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("dot"))
+    dots, _ = derived.stored(dots, "dots")  # a row a pair of topics
+    side = lambda c: dots.where("a = b").select(F.col("a").alias(c), F.sqrt("dot").alias(f"n{c}"))
     every = side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b"))  # a row a pair of topics
     cosine = F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb"))
     return every.join(dots, ["a", "b"], "left").select("a", "b", F.greatest(F.lit(0.0), 1 - cosine).alias("distance"))
@@ -66,8 +72,8 @@ def linkage(names: Sequence, far: np.ndarray) -> list[Node]:
 
 
 def hierarchy(weights: DataFrame, topic: str = "topic") -> list[Node]:
-    """The merges of all topics that have terms; the driver gets a row a pair of topics."""
-    rows = distances(weights, topic).collect()
+    """The merges of all topics that have terms; the driver gets a row a pair of topics. ``weights``: as ``distances`` or ``between`` take them."""
+    rows = (between if "w" in weights.columns else distances)(weights, topic).collect()
     names = sorted({x for r in rows for x in (r.a, r.b)})
     at, far = {x: i for i, x in enumerate(names)}, np.zeros((len(names), len(names)))
     for r in rows:

@@ -55,7 +55,7 @@ select m.topic::int as topic, (m.i - 1)::int as position, round((m.x * m.n + coa
 # topics that say alike
 query("T23_topic_distances", f"""with {_WEIGHTS}, n as (select topic, sqrt(sum(weight * weight)) as norm from weights group by 1), dots as (select x.topic as a, y.topic as b, sum(x.weight * y.weight) as dot from weights x join weights y using (term) where x.topic < y.topic group by 1, 2)
 select p.topic as a, q.topic as b, round(greatest(0.0, 1 - coalesce(dot, 0) / (p.norm * q.norm)), 9) as distance from n p join n q on p.topic < q.topic left join dots on dots.a = p.topic and dots.b = q.topic""")(
-    lambda s, d: hierarchy.distances(clustering.term_weights(_discovered(s, d), "text")).withColumn("distance", F.round("distance", 9))
+    lambda s, d: hierarchy.between(clustering.term_lists(_discovered(s, d), "text")).withColumn("distance", F.round("distance", 9))
 )
 
 
@@ -65,7 +65,7 @@ def _labelled(s, d):  # noqa: ANN001, ANN202
 
 
 def _hierarchy(s, d):  # noqa: ANN001, ANN202
-    return hierarchy.as_table(s, hierarchy.hierarchy(clustering.term_weights(_labelled(s, d), "text")))
+    return hierarchy.as_table(s, hierarchy.hierarchy(clustering.term_lists(_labelled(s, d), "text")))
 
 
 def _suggestions(s, d):  # noqa: ANN001, ANN202

@@ -127,3 +127,49 @@ def test_chunks_by_tokens(spark):
                     assert y.start <= x.end + 1 and (overlap == 0 or y.start < x.end)
     with pytest.raises(ValueError, match="overlap"):
         tokens.pack("1. a", path, 5, 5)
+
+
+def test_best_terms_are_those_of_all_terms(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=r.choice((0, 1, 2, 30, 90)))) for _ in range(80)]
+    rows = [(t, [(3, i % 3), (5, i % 5 if i % 7 else None)]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "t string, g array<struct<k:int,topic:int>>").repartition(3)
+    counts = {}
+    for text, groups in rows:
+        words = text.split()
+        for k, topic in groups:
+            for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
+                at = counts.setdefault(k, {}).setdefault(topic, {})
+                at[term] = at.get(term, 0) + 1
+    want = set()
+    for k, by in counts.items():
+        mean = sum(sum(c.values()) for c in by.values()) / len(by)
+        for topic, c in by.items():
+            weights = {t: n / sum(c.values()) * np.log(1 + mean / sum(o.get(t, 0) for o in by.values())) for t, n in c.items()}
+            best = sorted(weights, key=lambda t: (-weights[t], t))[:4]
+            want |= {(k, topic, i, t) for i, t in enumerate(best, 1) if topic is not None}
+    got = {(x.k, x.topic, x["rank"], x.term) for x in clustering.best_terms(df, "t", df["g"], 4).collect()}
+    assert got == want
+
+
+def test_terms_of_all_topics_are_shuffled_once(spark):
+    df = spark.createDataFrame([(0, "red apple pie"), (1, "red apple tart"), (2, None), (None, "red")], "topic int, t string")
+    weights = clustering.term_weights(df, "t")
+    assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.topic for r in weights.collect()} == {0, 1}
+    wide = {(r.topic, r.term, r.n, r.weight) for r in weights.collect()}
+    before, clustering.WIDE = clustering.WIDE, 0
+    try:
+        assert {(r.topic, r.term, r.n, r.weight) for r in clustering.term_weights(df, "t").collect()} == wide
+    finally:
+        clustering.WIDE = before
+
+
+def test_representatives_of_texts_that_share_a_key(spark):
+    df = spark.createDataFrame([(0, 1, "red apple"), (0, 1, "red"), (0, 2, "red apple tart"), (1, 3, ""), (1, 4, "sea")], "topic int, k long, t string")
+    got = {r.k: r.cosine for r in clustering.representative(df, "k", "t").collect()}
+    weights = {(r.topic, r.term): r.weight for r in clustering.term_weights(df, "t").collect()}
+    norm = sum(w * w for (t, _), w in weights.items() if t == 0) ** 0.5
+    one = (2 * weights[0, "red"] + weights[0, "apple"] + weights[0, "red apple"]) / (6**0.5 * norm)
+    assert got[1] == pytest.approx(one, abs=1e-8) and got[3] == 0 and got[4] == pytest.approx(1)
