@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -58,18 +60,32 @@ def corpus_names(patents: DataFrame, code: str, std: str, raw: str) -> DataFrame
     return counts.groupBy("code").agg(F.min(F.struct("kind", (-F.col("n")).alias("n"), "name"))["name"].alias("corpus_name"))
 
 
-def converge(patents: DataFrame, names: Names, std: str, raw: str, code: str | None, out: str) -> DataFrame:
-    """``patents`` with the display name ``out``: by code, by alias of the standardised or raw name, by the corpus, as it stands."""
+def converge(patents: DataFrame, names: Names, std: str, raw: str, code: str | None, out: str, corpus: DataFrame | None = None) -> DataFrame:
+    """``patents`` with the display name ``out``: by code, by alias of the standardised or raw name, by the corpus, as it stands. ``corpus``: the patents that name codes, by default these."""
     df = patents.withColumn("_std", first_part(F.col(std))).withColumn("_raw", first_part(F.col(raw)))
     for key in ("_std", "_raw") if std != raw else ("_raw",):
         df = df.withColumn("alias_key", lookup_key(F.col(key))).join(names.by_alias.withColumnRenamed("alias_name", f"_by{key}"), "alias_key", "left").drop("alias_key")
     ways = [*(("_by_std",) if std != raw else ()), "_by_raw", "_std", "_raw"]
     if code:
-        df = df.withColumn("code", blank_to_null(F.col(code))).join(names.by_code, "code", "left").join(corpus_names(patents, code, std, raw), "code", "left").drop("code")
+        df = df.withColumn("code", blank_to_null(F.col(code))).join(names.by_code, "code", "left").join(corpus_names(patents if corpus is None else corpus, code, std, raw), "code", "left").drop("code")
         ways = ["code_name", *ways[:-2], "corpus_name", "_std", "_raw"]
     return df.withColumn(out, F.coalesce(*ways)).drop("_std", "_raw", "_by_std", "_by_raw", "code_name", "corpus_name")
 
 
+def converged(patents: DataFrame, names: Names, std: str, raw: str, code: str | None, out: str) -> DataFrame:
+    """``patent_id`` and the display name ``out`` of every patent: each distinct spelling converges once, so only these are joined with names and codes."""
+    columns = list(dict.fromkeys(c for c in (std, raw, code) if c))
+    spelled = converge(patents.select(*columns).distinct(), names, std, raw, code, out, patents)
+    spelled = spelled.select(*[F.col(c).alias(f"_{c}") for c in columns], out)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    return patents.select("patent_id", *columns).join(spelled, same, "left").select("patent_id", out)
+
+
+def applicants(patents: DataFrame, names: Names, raw: str = "applicant_raw") -> DataFrame:
+    """``patent_id, applicant_name, applicant_no, is_primary, applicant_display_name``: what ``expand_applicants`` adds, without the other columns."""
+    return expand_applicants(patents.select("patent_id", raw), names, raw).drop(raw)
+
+
 def expand_applicants(patents: DataFrame, names: Names, raw: str = "applicant_raw") -> DataFrame:
     """A row for each applicant of each patent: ``applicant_no`` from 1, ``is_primary`` and ``applicant_display_name``."""
     rows = patents.select("*", F.posexplode(split_multi_value(F.col(raw))).alias("_at", "applicant_name"))

@@ -17,7 +17,7 @@ def _latest(s, d):  # noqa: ANN001, ANN202
 
 
 def _applicants(s, d):  # noqa: ANN001, ANN202
-    return t.expanded(s, d).select("patent_id", F.col("applicant_display_name").alias("applicant"))
+    return t.people(s, d).select("patent_id", F.col("applicant_display_name").alias("applicant"))
 
 
 def topic_table(s, d):  # noqa: ANN001, ANN202

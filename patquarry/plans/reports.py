@@ -187,7 +187,7 @@ def run_report(sources: Mapping[str, DataFrame], name: str, filters: Mapping[str
     spec = REPORTS[name] if name in REPORTS else ARCHIVED[name]
     if spec.kind == "cluster":
         raise ValueError(f"{name} is made from topics, not from one table")
-    source = sources[spec.source]
+    source = sources.having(spec.source, columns_of(spec, filters)) if hasattr(sources, "having") else sources[spec.source]
     if spec.by_patent:
         df = in_scope(source.where(predicate(spec, filters, source)), patent_ids)
     else:

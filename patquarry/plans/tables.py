@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +36,12 @@ def base_table(spark: SparkSession, d: str) -> DataFrame:
 
 def expanded(spark: SparkSession, d: str) -> DataFrame:
     """A row a patent and applicant, rebuilt when its sources have changed."""
-    return _derived(spark, d, "report_applicants", lambda: base.applicant_expanded(patents(spark, d), names(spark, d)))
+    return _derived(spark, d, "report_applicants", lambda: base.applicant_expanded(patents(spark, d), names(spark, d), people(spark, d)))
+
+
+def people(spark: SparkSession, d: str) -> DataFrame:
+    """A row a patent and applicant with the names alone, rebuilt when its sources have changed."""
+    return _derived(spark, d, "applicant_names", lambda: companies.applicants(patents(spark, d), names(spark, d)))
 
 
 def families(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +62,12 @@ class Sources(Mapping):
         df = self.made[name](self.spark, self.d)
         return base.with_groups(df, project(self.spark, self.d, "company_groups")) if self.scope == "group" and name != "family_country" else df
 
+    def having(self, name: str, columns: Collection[str]) -> DataFrame:
+        """A table that has these columns at least: without display names the base is the patents, and no names converge for it."""
+        if name == "base" and not set(columns) & set(base.COLUMNS):
+            return base.plain_base(patents(self.spark, self.d))
+        return self[name]
+
     def __iter__(self) -> Iterator[str]:
         return iter(self.made)
 

@@ -172,3 +172,25 @@ def test_similar_needs_the_subjects_vector(spark):
     for subject in (4, 99):
         with pytest.raises(ValueError, match="no vector"):
             sets.similar(df, subject)
+
+
+def test_names_converge_once_a_spelling(spark):
+    from patquarry.plans import base, companies
+
+    rows = [(1, "ACME", "Acme | B", "C1"), (2, "ACME", "Acme | B", "C1"), (3, None, "zeta", None), (4, None, "zeta", None), (5, None, None, "C1"), (6, None, " ", None)]
+    patents = spark.createDataFrame(rows, "patent_id long, std string, raw string, own_code string")
+    none = lambda k: spark.createDataFrame([], f"{k}_key string, {k}_name string")
+    names = companies.Names(none("alias"), none("alias"), spark.createDataFrame([], "code string, code_name string"))
+    want = {r.patent_id: r.out for r in companies.converge(patents, names, "std", "raw", "own_code", "out").collect()}
+    assert {r.patent_id: r.out for r in companies.converged(patents, names, "std", "raw", "own_code", "out").collect()} == want
+    assert want[1] == want[5] == "ACME" and want[3] == "zeta"
+    assert base.plain_base(patents.withColumn("grant_date_text", patents["std"])).columns[-1] == "grant_year"
+
+
+def test_reports_without_names_need_none(spark):
+    from patquarry.plans import base, tables
+    from tests.compare import DATA
+
+    sources = tables.Sources(spark, DATA)
+    assert not set(sources.having("base", {"application_year", "country_code"}).columns) & set(base.COLUMNS)
+    assert set(base.COLUMNS) <= set(sources.having("base", {"applicant_display_name"}).columns)
