@@ -48,7 +48,8 @@ def pack(text: str, path: str, most: int, overlap: int = 0) -> list[tuple[list[s
     if not 0 <= overlap < most:
         raise ValueError("the overlap must be less than the limit")
     tokenizer = _tokenizer(path)
-    count = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
+    encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
+    count = lambda x: len(encode(x).ids)
     out, held = [], []
 
     def flush() -> None:
@@ -58,21 +59,26 @@ def pack(text: str, path: str, most: int, overlap: int = 0) -> list[tuple[list[s
             held.clear()
 
     for number, a, b in claims(text):
-        if count(text[a:b]) <= most:
+        whole = encode(text[a:b])
+        if len(whole.ids) <= most:
             if held and count(GAP.join([*(text[x:y] for _, x, y in held), text[a:b]])) > most:
                 flush()
             held.append((number, a, b))
             continue
         flush()
-        places = [p for p in tokenizer.encode(text[a:b], add_special_tokens=False).offsets if p[1] > p[0]]
+        places = [p for p in whole.offsets if p[1] > p[0]]
         at = 0
         while at < len(places):
             end = min(at + most, len(places))
             part = lambda e: text[a + places[at][0] : a + places[e - 1][1]]  # noqa: B023, E731
-            while end > at + 1 and count(part(end)) > most:  # a cut may change the tokens at its edges
+            piece = part(end)
+            n = count(piece)
+            while end > at + 1 and n > most:  # a cut may change the tokens at its edges
                 end -= 1
+                piece = part(end)
+                n = count(piece)
             start = a + places[at][0]
-            out.append(([number] if number else [], part(end), count(part(end)), start, start + len(part(end))))
+            out.append(([number] if number else [], piece, n, start, start + len(piece)))
             if end >= len(places):
                 break
             at = max(at + 1, end - overlap)

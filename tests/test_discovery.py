@@ -173,3 +173,18 @@ def test_representatives_of_texts_that_share_a_key(spark):
     norm = sum(w * w for (t, _), w in weights.items() if t == 0) ** 0.5
     one = (2 * weights[0, "red"] + weights[0, "apple"] + weights[0, "red apple"]) / (6**0.5 * norm)
     assert got[1] == pytest.approx(one, abs=1e-8) and got[3] == 0 and got[4] == pytest.approx(1)
+
+
+def test_a_long_claim_is_encoded_about_twice(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, seen = tokens._tokenizer(path), []
+
+    class Counting:
+        def encode(self, x, **more):
+            seen.append(len(x))
+            return real.encode(x, **more)
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda p: Counting())
+    text = "red apple pie " * 2000
+    assert len(tokens.pack(text, path, 256)) > 10
+    assert sum(seen) < 2.5 * len(text)
