@@ -14,7 +14,7 @@ NONE = 9
 
 
 def follow(links: DataFrame, keys: Sequence[str], node: str, to: str, rank: str | None = None) -> DataFrame:
-    """``keys, node, at, up, low, ended``: where the pointers from each node lead.
+    """``keys, node, at, up, low, ended, missing`` and, if given, ``rank``: where the pointers from each node lead.
 
     ``links`` has a row a node: ``to`` names the next node of the same keys, null at an end; ``rank`` is a small number. ``ended``: the chain comes
     to an end; then ``at`` is that last node. Else it runs into a cycle, of which ``low`` is the smallest node, or to a node that is not there, ``at``.
@@ -51,7 +51,7 @@ def follow(links: DataFrame, keys: Sequence[str], node: str, to: str, rank: str
     cyclic = open_.join(reached, [*keys, "at"], "left").withColumn("low", F.coalesce("_low", "low")).drop("_low")
     out = reduce(DataFrame.unionByName, [*done, cyclic])
     ended = F.col("at").isNull()
-    out, _ = derived.stored(out.select(*keys, node, F.when(ended, F.col("last")).otherwise(F.col("at")).alias("at"), "up", "low", ended.alias("ended"), "missing"), "chains")
+    out, _ = derived.stored(out.select(*keys, node, F.when(ended, F.col("last")).otherwise(F.col("at")).alias("at"), "up", "low", ended.alias("ended"), "missing", *([F.col("rank").alias(rank)] if rank else [])), "chains")
     for p in paths:
         derived.delete(spark, p)
     return out

@@ -70,11 +70,10 @@ def evaluate(elements: Column) -> Column:
 
 def infer(claims: DataFrame, key: str) -> DataFrame:
     """Statuses along parents: ``key, number, status, inferred``. The least favourable of a claim and those it depends on
-    counts; it is inferred where one of those is not established. A missing parent or a cycle gives a null status."""
+    counts; it is inferred where one of those is not established. A missing parent or a cycle gives a null status. ``claims`` is read once."""
     ranks = F.array(*map(F.lit, STATUSES))
     ranked = claims.select(key, "number", "parent", F.array_position(ranks, F.col("own")).cast("int").alias("rank"))
-    ends = chains.follow(ranked, [key], "number", "parent", "rank")
-    out = ranked.join(ends, [key, "number"])
+    out = chains.follow(ranked, [key], "number", "parent", "rank")
     status = F.get(ranks, F.least("rank", "up") - 1)
     return out.select(key, "number", F.when(F.col("ended"), status).alias("status"), (F.col("ended") & (F.col("up") == 1)).alias("inferred"))
 

@@ -10,7 +10,8 @@ from patquarry.plans import adhoc, family, tables as t
 from patquarry.plans.catalog import query
 from patquarry.plans.queries_core import _claims
 from patquarry.plans.queries_topics import _LATEST, _latest
-from patquarry.sources.projection import as_sql, load, project, with_tables
+from patquarry.sources import derived
+from patquarry.sources.projection import as_sql, load, project, sources, with_tables
 
 
 def _names(s, d):  # noqa: ANN001, ANN202
@@ -102,13 +103,18 @@ def _vector_texts(s, d):  # noqa: ANN001, ANN202
     return load(s, d, "embeddings").select(number.alias("text"), F.sha2(old, 256).alias("hash"), F.col("embedding").alias("vector"), (F.col("label") % 2).alias("model"))
 
 
+def _parsed(s, d):  # noqa: ANN001, ANN202
+    """The claims without their texts, parsed once; what reads them filters the stored rows, not the patterns' results."""
+    return derived.derived(s, "claims", sources(d, "patents"), lambda: claims.parse(_claims(s, d), "patent_id", "claims").drop("text"))
+
+
 query("K4_skeleton", with_tables(" select patent_id, '1' as independent, '2,3,9' as dependent, '4,5,6-8' as unknown from patents", "patents"))(lambda s, d: misc.skeleton(claims.parse(_claims(s, d), "patent_id", "claims")))
 _ELEMENTS = "case (patent_id + cast(number as int)) % 4 when 0 then array('met', 'not_met') when 1 then array('met', 'met') when 2 then array('met', 'unclear') end"
 query("K7_aggregate", with_tables(""", k as (select patent_id, n, case (patent_id + n) % 4 when 0 then 1 when 1 then 3 when 2 then 2 end as k from patents, (values (1), (2), (3), (9)) as v(n)),
 p as (select patent_id, max(k) filter (n = 1) as a, max(k) filter (n = 2) as b from k group by 1),
 u as (select k.*, case n when 1 then 9 when 2 then coalesce(a, 9) when 3 then least(coalesce(a, 9), coalesce(b, 9)) end as up from k join p using (patent_id))
 select patent_id, n::varchar as number, case when n < 9 then case least(k, up) when 1 then 'not_established' when 2 then 'needs_review' when 3 then 'possibly_established' end end as status, coalesce(n < 9 and up = 1, false) as inferred from u""", "patents"))(
-    lambda s, d: claims.aggregate(claims.parse(_claims(s, d), "patent_id", "claims"), claims.parse(_claims(s, d), "patent_id", "claims").where("type != 'unknown'").select("patent_id", "number", F.expr(_ELEMENTS).alias("elements")), "patent_id")
+    lambda s, d: claims.aggregate(_parsed(s, d), _parsed(s, d).where("type != 'unknown'").select("patent_id", "number", F.expr(_ELEMENTS).alias("elements")), "patent_id")
 )
 query("P21_W17_positions", f"""with {t.EXPANDED_SQL}, assignments as ({as_sql('assignments')}), {_LATEST}, x as (select distinct on (applicant_display_name, patent_id) * from expanded where trim(applicant_display_name) != ''),
 p as (select applicant_display_name as applicant, count(distinct nullif(trim(country_code), '')) as country_count, count(*) filter ({t.state()} = 'alive') as granted_count, count(*) filter ({t.state()} = 'dead') as dead_count, count(distinct l.topic_code) as topic_count, count(*) as n

@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from patquarry.operators import chains, claims, topics
+from patquarry.plans import catalog, queries_misc
+from tests.compare import DATA
 
 
 def walked(to):
@@ -61,3 +65,16 @@ def test_merges_of_any_length(spark):
     got = {(r.channel, r.topic_code): r.target for r in topics.resolve_merges(spark.createDataFrame(rows, "channel string, topic_code string, merged_into string")).collect()}
     assert {got["a", f"T{i:03}"] for i in range(61)} == {"T060"}
     assert [got["b", f"T00{i}"] for i in range(1, 7)] == ["T002", "T002", "T002", "gone", "T005", "T006"]
+
+
+def test_inference_reads_its_claims_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rank = F.udf(lambda s: seen.add(1) or s, "string").asNondeterministic()
+    rows = spark.createDataFrame([(1, i, i - 1 if i > 1 else None, "possibly_established") for i in range(1, 9)], "id int, number int, parent int, own string")
+    got = claims.infer(rows.withColumn("own", rank("own")), "id").collect()
+    assert len(got) == 8 and {r.status for r in got} == {"possibly_established"} and seen.value == 8
+
+
+def test_claims_are_parsed_before_they_are_filtered(spark):
+    catalog.QUERIES["K7_aggregate"](spark, DATA)
+    assert "Filter" in (plan := queries_misc._parsed(spark, DATA).where("type != 'unknown'")._jdf.queryExecution().toString()) and "regexp" not in plan.lower()
