@@ -45,9 +45,18 @@ def analysis_members(members: DataFrame, excluded: DataFrame, global_workspaces:
 
 def search_terms(patents: DataFrame, fields: Mapping[str, int]) -> DataFrame:
     """``patent_id, field, term, lookup, source_rank``: each field's parts; one row for each patent, field and lookup."""
+    return _entries(patents, fields).groupBy("patent_id", "field", "lookup").agg(F.min("term").alias("term"), F.min("source_rank").alias("source_rank"))
+
+
+def lookups(patents: DataFrame, fields: Mapping[str, int]) -> DataFrame:
+    """``patent_id, lookup`` of the search terms, without grouping: a patent may have a lookup several times."""
+    return _entries(patents, fields).select("patent_id", "lookup")
+
+
+def _entries(patents: DataFrame, fields: Mapping[str, int]) -> DataFrame:
     entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(r).alias("source_rank"), F.col(f).cast("string").alias("value")) for f, r in fields.items()]))
     rows = patents.select("patent_id", entries.alias("e")).select("patent_id", "e.field", "e.source_rank", F.explode(split_multi_value(F.col("e.value"))).alias("term"))
-    return rows.withColumn("lookup", lookup_key(F.col("term"))).where("lookup is not null").groupBy("patent_id", "field", "lookup").agg(F.min("term").alias("term"), F.min("source_rank").alias("source_rank"))
+    return rows.withColumn("lookup", lookup_key(F.col("term"))).where("lookup is not null")
 
 
 def keyword_search(patents: DataFrame, terms: DataFrame, keyword: str) -> DataFrame:

@@ -94,7 +94,7 @@ def _index(s, d):  # noqa: ANN001, ANN202
     key = (s.sparkContext.applicationId, derived.state(s, sources(d, "patents")))
     if key not in _INDEXES:
         path = f"{derived.folder(s)}/substrings-{len(_INDEXES)}"
-        substrings.build(sets.search_terms(t.patents(s, d), _FIELDS), path)
+        substrings.build(sets.lookups(t.patents(s, d), _FIELDS), path)
         _INDEXES[key] = path
     return substrings.load(s, _INDEXES[key])
 

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -188,3 +189,23 @@ def test_a_long_claim_is_encoded_about_twice(monkeypatch):
     text = "red apple pie " * 2000
     assert len(tokens.pack(text, path, 256)) > 10
     assert sum(seen) < 2.5 * len(text)
+
+
+def test_an_index_takes_terms_that_come_twice_and_groups_a_row_a_patent(spark, tmp_path):
+    """More keywords than a number has bits; the terms are computed once, and nothing is grouped by keyword and patent together."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i % 400, f"term {i % 400:03} of {i % 7}") for i in range(800)]
+    same = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    substrings.build(spark.createDataFrame(rows, "patent_id long, lookup string").withColumn("lookup", same("lookup")), str(tmp_path / "index"))
+    assert seen.value == 800
+    index = substrings.load(spark, str(tmp_path / "index"))
+    words = [f"term {i:03}" for i in range(150)] + ["e", "no such", "m 39_", "%", "of 3", "e"]
+    found = substrings.matches(index, words)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted({(w, p) for w in words for p, t in rows if plain_like(t, substrings.pattern(w))})
+    import re
+
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("," not in k for k in keys)
+    assert {x.keyword: x.scanned for x in substrings.scanned(index, words).collect() if x.keyword in ("e", "no such")} == {"e": len(set(rows)), "no such": 0}
+    assert substrings.matches(index, []).count() == 0
