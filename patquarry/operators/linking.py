@@ -5,7 +5,8 @@ the identifiers that earlier ones brought, kept or overwrote. Each row's patent
 guess of all rows' patents the times follow at which every patent holds every identifier, and from these a better guess. A
 round of that sets right at least the rows that depend on none that is wrong, so the guess that a round does not change is the one that
 order gives. Rounds are as many as the longest chain of rows each of which needs the one before, few in practice; identifiers that many
-rows share do not lengthen it.
+rows share do not lengthen it. The first guess is made of the lowest patent or row that names each identifier at all, followed for a few steps: where
+identifiers are seldom overwritten it is right, and one round shows that.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from patquarry.sources import derived
 HOT = 50_000
 #: Later than any row.
 NEVER = (1 << 62) - 1
+#: A first guess follows chains of so many doublings.
+JUMPS = 2
 _LEVELS = 40
 
 
@@ -45,23 +48,47 @@ def _cover(low: Column, high: Column) -> Column:
     return F.array_distinct(F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), state, step, lambda s: s["out"]))
 
 
-def _held(entries: DataFrame, hot: int) -> DataFrame:
-    """Entries ``priority, pid, time`` with ``value, c0, c1`` from then on, nulls filled from before, and ``until``, the patent's next entry.
+def _events(state: DataFrame, n: int, often: DataFrame | None, hot: int) -> DataFrame:
+    """``priority, value, time, kind, pid, until, c0, c1``: what each row of ``state`` asks (kind 1), what its patent holds from then on until its
+    next change (kind 2), or both of the same value and context (kind 3).
 
-    A patent of more than ``hot`` entries is dealt out by blocks of time: blocks give their last values and first time on, a row a block.
+    ``state``: pid, time (-1 for stored patents), mask (bits of the identifiers that others have too) and x0 to x(n + 2): keys, number and context; nulls are
+    filled from before. One shuffle by patents serves all identifiers. A patent in ``often``, of more than ``hot`` rows, is dealt out by blocks of time: blocks give
+    their last values and first changes, a row a block.
     """
-    own, columns = ["priority", "pid"], ["value", "c0", "c1"]
-    often = entries.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*own, F.lit(True).alias("_hot"))
-    rows = entries.join(often, own, "left").withColumn("_block", F.when(F.col("_hot"), F.floor(F.col("time") / hot)).otherwise(F.lit(0).cast("long")))
-    ends = rows.where("_hot").groupBy(*own, "_block").agg(F.min("time").alias("_first"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("time", c)))[c].alias(f"_{c}") for c in columns])
-    by_block = Window.partitionBy(*own).orderBy("_block")
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*own, "_block", F.lead("_first").over(by_block).alias("_next"), *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in columns])
-    inside = Window.partitionBy(*own, "_block").orderBy("time")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.drop("_hot").withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns} | {"_lead": F.lead("time").over(inside)})
-    out = rows.join(ends, [*own, "_block"], "left").select(*own, "time", F.coalesce("_lead", "_next", F.lit(NEVER)).alias("until"), *[F.coalesce(c, f"_{c}").alias(c) for c in columns])
-    return out.where("value is not null")
+    xs, ways = [f"x{i}" for i in range(n + 3)], range(n + 1)
+    if often is None:
+        rows, part = state, ["pid"]
+    else:
+        part = ["pid", "_block"]
+        rows = state.join(F.broadcast(often.withColumn("_hot", F.lit(True))), "pid", "left").withColumn("_block", F.when(F.col("_hot"), F.floor(F.col("time") / hot)).otherwise(F.lit(0).cast("long")))
+    inside, back = Window.partitionBy(*part).orderBy("time"), Window.partitionBy(*part).orderBy(F.col("time").desc())
+    so_far, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"f{i}": F.last(x, ignorenulls=True).over(so_far) for i, x in enumerate(xs)} | {f"p{i}": F.last(x, ignorenulls=True).over(before) for i, x in enumerate(xs)})
+    new = lambda i: F.col(xs[i]).isNotNull() & ~F.col(f"f{i}").eqNullSafe(F.col(f"p{i}"))
+    rows = rows.withColumns({f"new{i}": new(i) for i in range(n)} | {f"new{n}": new(n) | new(n + 1) | new(n + 2)}).drop(*[f"p{i}" for i in range(n + 3)])
+    rows = rows.withColumns({f"until{i}": F.last(F.when(F.col(f"new{i}"), F.col("time")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)) for i in ways})
+    if often is not None:
+        ends = rows.where("_hot").groupBy(*part).agg(*[F.min(F.when(F.col(f"new{i}"), F.col("time"))).alias(f"_n{i}") for i in ways], *[F.max(F.when(F.col(x).isNotNull(), F.struct("time", x)))[x].alias(f"_x{i}") for i, x in enumerate(xs)])
+        earlier, later = (Window.partitionBy("pid").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_block"), F.col("_block").desc()))
+        ends = ends.select(*part, *[F.last(f"_n{i}", ignorenulls=True).over(later).alias(f"_u{i}") for i in ways], *[F.last(f"_x{i}", ignorenulls=True).over(earlier).alias(f"_f{i}") for i in range(n + 3)])
+        rows = rows.join(F.broadcast(ends), part, "left")
+        rows = rows.withColumns({f"until{i}": F.coalesce(f"until{i}", f"_u{i}") for i in ways} | {f"f{i}": F.coalesce(f"f{i}", f"_f{i}") for i in range(n + 3)})
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+
+    def event(i: int, value: Column, kind: Column, c0: Column, c1: Column) -> Column:
+        holds = kind != 1
+        return F.struct(F.lit(i).alias("priority"), value.alias("value"), kind.cast("int").alias("kind"), F.when(holds, F.col("pid")).otherwise(none).alias("pid"), F.when(holds, F.coalesce(f"until{i}", F.lit(NEVER))).otherwise(none).alias("until"), c0.alias("c0"), c1.alias("c1"))
+
+    given = lambda i: F.col(xs[i]).isNotNull() & (F.col("mask").bitwiseAND(F.lit(1 << i)) != 0)
+    incoming = F.col("time") >= 0
+    out = [event(i, F.col(xs[i]), F.when(given(i), F.when(~incoming, 2).when(F.col(f"new{i}"), 3).otherwise(1)), text, text) for i in range(n)]
+    asks, begins = incoming & given(n), F.col(f"new{n}") & F.col(f"f{n}").isNotNull() & (F.col(xs[n]).isNull() | given(n))
+    own, filled = [F.col(x) for x in xs[n + 1 :]], [F.col(f"f{n + 1}"), F.col(f"f{n + 2}")]
+    alike = own[0].eqNullSafe(filled[0]) & own[1].eqNullSafe(filled[1])
+    out.append(event(n, F.col(f"f{n}"), F.when(asks & begins & alike, 3).when(asks, 1).when(begins, 2), *[F.when(asks, x).otherwise(y) for x, y in zip(own, filled, strict=True)]))
+    out.append(event(n, F.col(f"f{n}"), F.when(asks & begins & ~alike, 2), *filled))
+    return rows.select("time", F.inline(F.array(*out))).where("kind is not null")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +103,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, v, block, time, kind, pid, until, a, b in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if (p, v, block) != key:
                 key, heaps = (p, v, block), {}
-            if kind != 1:
+            if kind in (0, 2):
                 heappush(heaps.setdefault((a, b), []), (pid, until))
                 continue
             best = None
@@ -89,40 +116,56 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         best = rank if best is None else min(best, rank)
             if best is not None:
                 out.append((time, p, best[2]))
+            if kind == 3:  # from now on
+                heappush(heaps.setdefault((a, b), []), (pid, until))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["row", "priority", "pid"])
 
 
-def _answers(held: DataFrame, asked: DataFrame, often: DataFrame | None, hot: int) -> DataFrame:
-    """``row, priority, pid`` for the questions that find a patent.
+def _answers(events: DataFrame, often: DataFrame | None, last: int, hot: int) -> DataFrame:
+    """``row, priority, pid`` for the questions among ``events`` that find a patent; ``last`` is the time of the last row.
 
-    ``held``: priority, value, c0, c1, pid, time, until. ``asked``: priority, value, c0, c1, time. Entries of one value meet in a task, those of
-    the values in ``often``, which more than ``hot`` rows ask for, by blocks of time. A patent that holds such a value over whole blocks is counted
-    for the aligned ranges of blocks that it covers, where the lowest is kept; the others come to the blocks where they begin and end.
+    Entries of one value meet in a task, those of the values in ``often``, which more than ``hot`` rows ask for, by blocks of time. A patent
+    that holds such a value over whole blocks is counted for the aligned ranges of blocks that it covers, where the lowest is kept; the others come to
+    the blocks where they begin and end.
     """
     value = ["priority", "value"]
     first = F.lit(0).cast("long")
-    held = held.join(asked.select(*value).distinct(), value, "left_semi")  # only values that are asked for matter
     columns = [*value, "block", "time", "kind", "pid", "until", "c0", "c1"]
-    ask = asked.withColumns({"block": first, "kind": F.lit(1), "pid": F.lit(None).cast("long"), "until": F.lit(None).cast("long")})
-    begins = held.withColumns({"block": first, "kind": F.lit(2)})
-    events = ask.select(*columns).unionByName(begins.select(*columns))
-    if often is not None:
+    if often is None:
+        events = events.withColumn("block", first).select(*columns)
+    else:
         block = F.floor(F.col("time") / hot) + 1  # stored rows are in block 0
-        hot_ones = lambda df: df.join(often.withColumn("_hot", F.lit(True)), value, "left").withColumn("block", F.when(F.col("_hot"), block).otherwise(first))
-        ask, begins = hot_ones(ask), hot_ones(begins)
-        last = asked.agg((F.floor(F.max("time") / hot) + 2).alias("_last"))
-        split = begins.where("_hot").join(F.broadcast(last)).withColumn("_to", F.when(F.col("until") == NEVER, F.col("_last")).otherwise(F.floor(F.col("until") / hot) + 1))
+        events = events.join(F.broadcast(often.withColumn("_hot", F.lit(True))), value, "left").withColumn("block", F.when(F.col("_hot"), block).otherwise(first))
+        split = events.where("_hot and kind != 1").withColumn("_to", F.when(F.col("until") == NEVER, F.lit(last // hot + 2)).otherwise(F.floor(F.col("until") / hot) + 1))
         start = F.lit(-2).cast("long").alias("time")
         ends = split.where((F.col("_to") > F.col("block")) & (F.col("until") != NEVER)).select(*value, F.col("_to").alias("block"), start, F.lit(0).alias("kind"), "pid", "until", "c0", "c1")
         over = split.where(F.col("_to") > F.col("block") + 1).select(*value, "c0", "c1", "pid", F.inline(_cover(F.col("block") + 1, F.col("_to"))))
         lowest = over.groupBy(*value, "c0", "c1", "level", "node").agg(F.min("pid").alias("pid"))
-        above = ask.where("_hot").select(*value, "block").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")).withColumn("node", F.expr("shiftright(block, level)"))
+        above = events.where("_hot and kind in (1, 3)").select(*value, "block").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")).withColumn("node", F.expr("shiftright(block, level)"))
         whole = above.join(lowest, [*value, "level", "node"]).groupBy(*value, "block", "c0", "c1").agg(F.min("pid").alias("pid"))
         whole = whole.select(*value, "block", start, F.lit(0).alias("kind"), "pid", F.lit(NEVER).alias("until"), "c0", "c1")
-        events = ask.select(*columns).unionByName(begins.select(*columns)).unionByName(ends).unionByName(whole)
+        events = events.select(*columns).unionByName(ends).unionByName(whole)
     return events.repartition(*value, "block").sortWithinPartitions(*value, "block", "time", "kind", "pid").mapInArrow(_sweep, "row long, priority long, pid long")
 
 
+def _jumped(guess: DataFrame, base: int, paths: list[str]) -> DataFrame:
+    """``time, pid, mask`` where a row that was guessed to follow another one has that one's guess, so that short chains are guessed to their ends.
+
+    Any guess will do, so a chain of more rows than ``2 ** JUMPS`` is left to the rounds."""
+    own = F.col("pid") == F.col("time") + base
+    for k in range(JUMPS):
+        ahead = guess.where(~own).select(F.col("time").alias("_at"), F.col("pid").alias("_pid"))
+        left = guess.where(~own).join(ahead, F.col("pid") - base == F.col("_at"), "left")
+        left = left.select("time", F.coalesce("_pid", "pid").alias("pid"), "mask", F.col("_pid").isNotNull().alias("moved"))
+        guess, path = derived.stored(guess.where(own).select("time", "pid", "mask", F.lit(False).alias("moved")).unionByName(left), f"jumped-{k}")
+        paths.append(path)
+        more = guess.where("moved").limit(1).count()
+        guess = guess.drop("moved")
+        if not more:
+            break
+    return guess
+
+
 def resolve(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], number: str, context: Sequence[str], row: str = "row_no", hot: int = HOT) -> tuple[DataFrame, int]:
     """``row, patent_id, found`` for each row of a file, and the rounds it took.
 
@@ -135,39 +178,55 @@ def resolve(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], number:
     """
     if len(context) != 2:
         raise ValueError("a context has two columns")
-    columns = [*keys, number, *context]
+    spark, columns = incoming.sparkSession, [*keys, number, *context]
     tidy = lambda df, *more: df.select(*more, *[blank_to_null(F.col(c).cast("string")).alias(f"x{i}") for i, c in enumerate(columns)])
     xs, n = [f"x{i}" for i in range(len(columns))], len(keys)
     base = (stored.agg(F.max("patent_id")).first()[0] or 0) + 1
-    rows, there = tidy(incoming, F.col(row).cast("long").alias("time")), tidy(stored, F.col("patent_id").cast("long").alias("pid"))
-    # rows that share no identifier are decided
-    named = lambda df, *c: df.select(*c, F.posexplode(F.array(*xs[: n + 1])).alias("priority", "value")).where("value is not null")
-    shared = named(rows, "time").unionByName(named(there, F.lit(-1).cast("long").alias("time"))).groupBy("priority", "value").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last")).where("n > 1 and last >= 0")
-    linked = named(rows, "time").join(shared, ["priority", "value"], "left_semi").select("time").distinct()
-    rows, drop_rows = derived.stored(rows.join(linked, "time", "left_semi"), "linked-rows")
-    held_there, drop_there = derived.stored(there.join(named(there, "pid").join(shared, ["priority", "value"], "left_semi").select("pid").distinct(), "pid", "left_semi"), "linked-patents")
-    # what a row brings to each way of finding, and what it asks: the application number comes with its context, in whole or in part
+    time = F.col(row).cast("long")
+    rows, there = tidy(incoming, time.alias("time"), (time + base).alias("pid")), tidy(stored, F.lit(-1).cast("long").alias("time"), F.col("patent_id").cast("long").alias("pid"))
+    # a row or patent an identifier, the application number with its context
     ways = F.array(*[F.struct(F.lit(i).alias("priority"), F.col(x).alias("value"), *[(F.col(xs[n + 1 + k]) if i == n else F.lit(None).cast("string")).alias(f"c{k}") for k in (0, 1)]) for i, x in enumerate(xs[: n + 1])])
-    told = rows.select("time", F.inline(ways)).where("value is not null or c0 is not null or c1 is not null")
-    kept = held_there.select("pid", F.lit(-1).cast("long").alias("time"), F.inline(ways)).where("value is not null or c0 is not null or c1 is not null")
-    asked = told.where("value is not null")
-    often, drop_often = derived.stored(asked.groupBy("priority", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "frequent-values")
+    named = rows.unionByName(there).select("time", "pid", F.inline(ways)).where("value is not null")
+    first = F.min(F.struct("pid", "c0", "c1"))
+    values = named.groupBy("priority", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("time") >= 0).alias("asked"), first.alias("first"))
+    shared = values.where("n > 1 and asked > 0")
+    paths: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = derived.stored(df, name)
+        paths.append(path)
+        return df
+
+    often = kept(values.where(F.col("asked") > hot).select("priority", "value"), "frequent-values")
     often = None if often.isEmpty() else often
-    guess, path, rounds = rows.select(F.col("time").alias("row"), (F.col("time") + base).alias("pid")), None, 0
+    # rows that share no identifier are decided; a first guess for the others is the lowest patent that names the identifier at all
+    fits = [F.col(c).isNull() | F.col(f"first.{c}").isNull() | (F.col(c) == F.col(f"first.{c}")) for c in ("c0", "c1")]
+    seen = F.when((F.col("first.pid") < F.col("pid")) & fits[0] & fits[1], F.struct("priority", "first.pid"))
+    linked = named.join(shared, ["priority", "value"]).groupBy("time", "pid").agg(F.min(seen)["pid"].alias("found"), F.bit_or(F.expr("shiftleft(1, priority)")).alias("mask"))
+    linked = kept(linked, "linked")
+    held_there = kept(there.join(linked.where("time < 0").select("pid", "mask"), "pid"), "linked-patents")
+    guess = _jumped(linked.where("time >= 0").select("time", F.coalesce("found", "pid").alias("pid"), "mask"), base, paths)
+    rows = kept(rows.drop("pid").join(guess, "time"), "linked-rows")
+    last = rows.agg(F.max("time")).first()[0] or 0
+    guess, state, path, rounds = rows.select("time", "pid"), rows, None, 0
     while True:
-        entries = told.join(guess, F.col("time") == F.col("row")).select(*kept.columns).unionByName(kept)
-        best = _answers(_held(entries, hot), asked, often, hot).groupBy("row").agg(F.min(F.struct("priority", "pid"))["pid"].alias("found"))
-        now = rows.select(F.col("time").alias("row")).join(best, "row", "left").join(guess.withColumnRenamed("pid", "before"), "row")
-        now, new_path = derived.stored(now.select("row", F.coalesce("found", F.col("row") + base).alias("pid"), F.col("before")), f"links-{rounds}")
+        many, many_path = derived.stored(guess.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("pid"), "frequent-patents")
+        events = _events(state.unionByName(held_there), n, None if many.isEmpty() else many, hot)
+        best = _answers(events, often, last, hot).groupBy("row").agg(F.min(F.struct("priority", "pid"))["pid"].alias("found"))
+        now = guess.withColumnRenamed("pid", "before").join(best, F.col("time") == F.col("row"), "left")
+        now, new_path = derived.stored(now.select("time", F.coalesce("found", F.col("time") + base).alias("pid"), "before"), f"links-{rounds}")
         rounds += 1
         changed = now.where("pid != before").limit(1).count()
-        if path:
-            derived.delete(incoming.sparkSession, path)
-        guess, path = now.select("row", "pid"), new_path
+        for p in (path, many_path):
+            if p:
+                derived.delete(spark, p)
+        guess, path = now.select("time", "pid"), new_path
         if not changed:
             break
-    for p in (drop_rows, drop_there, drop_often):
-        derived.delete(incoming.sparkSession, p)
+        state = rows.drop("pid").join(guess, "time")
+    for p in paths:
+        derived.delete(spark, p)
+    guess = guess.withColumnRenamed("time", "row")
     all_ = incoming.select(F.col(row).cast("long").alias("row")).join(guess, "row", "left")
     pid = F.coalesce("pid", F.col("row") + base)
     return all_.select(F.col("row").alias(row), pid.alias("patent_id"), (pid != F.col("row") + base).alias("found")), rounds

@@ -99,3 +99,11 @@ def test_aligned_ranges(spark):
     df = spark.createDataFrame([(a, b) for a in range(12) for b in range(a, 14)], "a long, b long")
     for r in df.withColumn("c", linking._cover(F.col("a"), F.col("b"))).collect():
         assert sorted(x for n in r.c for x in range(n.node << n.level, (n.node + 1) << n.level)) == list(range(r.a, r.b))
+
+
+def test_short_chains_take_one_round(spark):
+    """Four rows a patent, each of which is found by the identifier that the one before brought, and a stored patent for some."""
+    rows, stored = [], [(p + 1, f"G{p}", None, None, None, None, None, "old") for p in range(0, 40, 3)]
+    for p in range(40):
+        rows += [(4 * p, f"G{p}", None, None, None, None, None, "a"), (4 * p + 1, f"G{p}", None, f"P{p}", None, None, None, None), (4 * p + 2, None, None, f"P{p}", f"A{p}", "US", None, "b"), (4 * p + 3, None, None, None, f"A{p}", "XX" if p % 7 == 0 else None, None, "c")]
+    assert check(spark, stored, rows, linking.HOT) == 1
