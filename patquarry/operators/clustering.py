@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections import Counter
 from collections.abc import Sequence
+from hashlib import blake2b
+from itertools import count
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from patquarry.functions.status import is_design
@@ -193,53 +194,229 @@ def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10, sto
     return found.select(F.col("topic").alias(topic), "rank", "term", "weight")
 
 
-def _counted(batches):  # noqa: ANN001, ANN202
-    """A row a text and term of rows ``topic, key, words``, with how often it stands there."""
+def _parsed(words, seed: int, width: int):  # noqa: ANN001, ANN202
+    """Of the words of a batch of texts each one's row and place in the list of different words, where a pair begins, that list, and its hashes.
+
+    A hash is of ``width`` bytes and never 0."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    salt = seed.to_bytes(8, "little")
+    hashes = np.frombuffer(b"".join(blake2b(w.encode(), digest_size=width, salt=salt).digest().ljust(8, b"\0") for w in flat.dictionary.to_pylist()), "<i8")
+    return row, flat.indices.to_numpy().astype(np.int64), np.flatnonzero(row[:-1] == row[1:]), flat.dictionary, np.where(hashes == 0, 1, hashes)
+
+
+def _sliced(columns, names: list[str], rows: int = 200_000):  # noqa: ANN001, ANN202
+    """The columns as batches of so many rows at most."""
     import pyarrow as pa
 
-    for batch in batches:
-        at, terms, counts = [], [], []
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
+def _batch_counts(seed: int, width: int):
+    """Rows ``topic, _word, _a, _b, _n`` of rows ``topic, words``: how often a batch's texts have a word, of hash ``_a``, or a pair, of hashes ``_a`` and ``_b``, in a
+    topic. ``_b`` is 0 for a word, which is given itself too; both are 0 for the number of all of them."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            row, ids, first, words, hashes = _parsed(batch.column(1), seed, width)
+            topics = batch.column(0).dictionary_encode()
+            names = pa.concat_arrays([topics.dictionary, pa.nulls(1, topics.dictionary.type)])
+            t = pc.fill_null(topics.indices, len(names) - 1).to_numpy().astype(np.int64)[row]
+            u, none = max(1, len(words)), lambda n: pa.nulls(n, words.type)
+            of = lambda at, word, a, b, n: _sliced([names.take(pa.array(at)), word, *(pa.array(x.astype(np.int64)) for x in (a, b, n))], [batch.schema.names[0], "_word", "_a", "_b", "_n"])  # noqa: E731, B023
+            size = np.bincount(t, minlength=len(names)) + np.bincount(t[first], minlength=len(names))
+            at = np.flatnonzero(size)
+            yield from of(at, none(len(at)), np.zeros(len(at)), np.zeros(len(at)), size[at])
+            terms, n = np.unique(t * u + ids, return_counts=True)
+            yield from of(terms // u, words.take(pa.array(terms % u)), hashes[terms % u], np.zeros(len(terms)), n)
+            terms, n = np.unique((t[first] * u + ids[first]) * u + ids[first + 1], return_counts=True)
+            yield from of(terms // u // u, none(len(terms)), hashes[terms // u % u], hashes[terms % u], n)
+
+    return run
+
+
+def _document_counts(seed: int, width: int):
+    """Rows ``topic, key, _a, _b, _c`` of rows ``topic, key, words``: how often a text has a word or pair, as hashes."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            row, ids, first, words, hashes = _parsed(batch.column(2), seed, width)
+            u = max(1, len(words))
+            of = lambda at, a, b, c: _sliced([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), *(pa.array(x.astype(np.int64)) for x in (a, b, c))], [*batch.schema.names[:2], "_a", "_b", "_c"])  # noqa: E731, B023
+            terms, c = np.unique(row * u + ids, return_counts=True)
+            yield from of(terms // u, hashes[terms % u], np.zeros(len(terms)), c)
+            terms, c = np.unique((row[first] * u + ids[first]) * u + ids[first + 1], return_counts=True)
+            yield from of(terms // u // u, hashes[terms // u % u], hashes[terms % u], c)
 
-        def out():  # noqa: ANN202
-            rows = pa.array(at, pa.int32())  # noqa: B023
-            return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[*batch.schema.names[:2], "term", "c"])  # noqa: B023
+    return run
 
-        for i, value in enumerate(batch.column(2)):
-            words = value.as_py() or []
-            for found in (Counter(words), Counter(map(" ".join, zip(words, words[1:], strict=False)))):
-                at += [i] * len(found)
-                terms += found
-                counts += found.values()
-            if len(at) > 200_000:
-                yield out()
-                at, terms, counts = [], [], []
-        yield out()
+
+def _document_bounds(seed: int, width: int, heavy: list[tuple]):
+    """Rows ``topic, key, _heavy, _light, _terms, _squares`` of rows ``topic, key, words``: the product of a text's counts with the weights in ``heavy``, rows of a topic, two hashes and
+    a weight, the number of terms that have none there, that of all, and the sum of their counts' squares."""
+    import numpy as np
+
+    topics = list(dict.fromkeys(r[0] for r in heavy))
+    place = {t: i for i, t in enumerate(topics)}
+    of, a, b = (np.array([f(r) for r in heavy], np.int64) for f in (lambda r: place[r[0]], lambda r: r[1], lambda r: r[2]))
+    known = np.unique(np.concatenate([[0], a, b]))  # 0 stands for no second word
+    coded = lambda t, x, y: (t * len(known) + x) * len(known) + y
+    codes, weights = coded(of, np.searchsorted(known, a), np.searchsorted(known, b)), np.array([r[3] for r in heavy], float)
+    order = np.argsort(codes)
+    codes, weights, none = np.append(codes[order], -1), np.append(weights[order], 0.0), int(np.searchsorted(known, 0))
+
+    def found(code):  # noqa: ANN001, ANN202
+        at = np.searchsorted(codes[:-1], code)
+        return np.where(codes[at] == code, weights[at], 0.0)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            row, ids, first, words, hashes = _parsed(batch.column(2), seed, width)
+            u, n = max(1, len(words)), batch.num_rows
+            t = pc.fill_null(pc.index_in(batch.column(0), value_set=pa.array(topics, batch.column(0).type)), -1).to_numpy().astype(np.int64)[row]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            at = np.where(known[at] == hashes, at, -1)[ids]
+            one = found(np.where((t >= 0) & (at >= 0), coded(t, at, none), -2))
+            x, y, s = at[first], at[first + 1], t[first]
+            two = found(np.where((s >= 0) & (x >= 0) & (y >= 0), coded(s, x, y), -2))
+            total = lambda a, b: np.bincount(row, a, n) + np.bincount(row[first], b, n)  # noqa: E731, B023
+            terms, c = np.unique(row * u + ids, return_counts=True)
+            pairs, d = np.unique((row[first] * u + ids[first]) * u + ids[first + 1], return_counts=True)
+            squares = np.bincount(terms // u, c.astype(float) ** 2, n) + np.bincount(pairs // u // u, d.astype(float) ** 2, n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(total(one, two)), *(pa.array(total(a, b).astype(np.int64)) for a, b in ((one == 0, two == 0), (one >= 0, two >= 0))), pa.array(squares)],
+                names=[*batch.schema.names[:2], "_heavy", "_light", "_terms", "_squares"],
+            )
+
+    return run
+
+
+#: Terms of all topics together whose weights are sent to the tasks that bound cosines.
+HEAVY = 65_536
+#: So many terms of the texts that are left are sent to the tasks at most; with more of them both sides are shuffled.
+FEW = 500_000
+#: Bytes of a batch of texts in a Python worker, and of the hash of a word.
+BATCH_BYTES, HASH_BYTES = 8 << 20, 8
+
+
+def _repeated_terms(rows: DataFrame, topic: str, kind: str) -> tuple[DataFrame, str, int]:
+    """``topic, _a, _b, _n, _all``: terms that stand more than once, as hashes, how often in a topic and in all; where that is stored; and the seed of the hashes.
+
+    Different words have different hashes: that is looked up, and with another seed they are counted again. Hashes of 0 have the topics' sizes."""
+    for seed in count():
+        parts = rows.select(topic, "_words").mapInArrow(_batch_counts(seed, HASH_BYTES), f"{kind}, _word string, _a long, _b long, _n long")
+        counts = parts.repartition("_a", "_b").groupBy("_a", "_b", "_word", topic).agg(F.sum("_n").alias("_n"))
+        counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy("_a", "_b")))
+        terms, path = derived.stored(counts.where("_all > 1 or _a = 0"), "terms")
+        if terms.where("_word is not null").select("_a", "_word").distinct().groupBy("_a").count().where("count > 1").isEmpty():
+            return terms.drop("_word"), path, seed
+        derived.delete(rows.sparkSession, path)
+
+
+def _levels(terms: DataFrame, topic: str, kind: StructField) -> tuple[DataFrame, DataFrame]:
+    """Terms with their ``_weight`` and ``_level``, its logarithm in steps; and a row a topic: its size, the weight of a term that stands once, the norm of all
+    weights, the level from which terms are heavy, and the smallest and largest weight below."""
+    spark, sizes = terms.sparkSession, {r[0]: r[1] for r in terms.where("_a = 0").select(topic, "_n").collect()}
+    mean = float(sum(sizes.values())) / max(1, len(sizes))
+    size = spark.createDataFrame([(t, n) for t, n in sizes.items() if t is not None], StructType([kind, StructField("_size", LongType())]))
+    weighed = terms.where("_a != 0").join(F.broadcast(size), topic).withColumn("_weight", _weight(F.col("_n"), F.col("_size"), F.lit(mean), F.col("_all")))
+    weighed = weighed.withColumn("_level", F.floor(F.log2("_weight") * 16))
+    of: dict = {t: [] for t in sizes if t is not None}
+    found = weighed.groupBy(topic, "_level").agg(F.count(F.lit(1)).alias("many"), F.min("_weight").alias("least"), F.max("_weight").alias("most"), F.sum(F.col("_weight") * F.col("_weight")).alias("squares"), F.sum("_n").alias("n"))
+    for r in found.collect():  # some hundred rows a topic
+        of[r[0]].append(r)
+    rows = []
+    for t, levels in of.items():
+        once, left, cut = log(1 + mean) / sizes[t], HEAVY // len(of), None
+        least = most = once
+        for r in sorted(levels, key=lambda r: -r._level):
+            left -= r.many
+            if left >= 0:
+                cut = r._level
+            else:
+                least, most = min(least, r.least), max(most, r.most)
+        singles = sizes[t] - sum(r.n for r in levels)
+        rows.append((t, once, sqrt(sum(r.squares for r in levels) + singles * once * once), cut, least, most))
+    names = [("_once", DoubleType()), ("_norm", DoubleType()), ("_cut", LongType()), ("_light_least", DoubleType()), ("_light_most", DoubleType())]
+    return weighed, spark.createDataFrame(rows, StructType([kind, *(StructField(*x) for x in names)]))
+
+
+def _able(bounds: DataFrame, key: str, topic: str, most: int) -> DataFrame:
+    """Of rows with ``_low`` and ``_high``, between which their cosine is, those that can be among the ``most`` largest or smallest of their topic."""
+    found = bounds
+    for name, sure, able in (("_near", 0.0 - F.col("_low"), 0.0 - F.col("_high")), ("_far", F.col("_high"), F.col("_low"))):
+        last = bounds.select(F.col(topic).alias("_t"), F.struct(sure.alias("x"), F.col(key).alias("k")).alias(name))
+        last = last.withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy(name))).where(F.col("_r") == most).drop("_r")
+        found = found.join(F.broadcast(last), F.col(topic).eqNullSafe(F.col("_t")), "left").drop("_t").withColumn(f"{name}_able", F.col(name).isNull() | (F.struct(able.alias("x"), F.col(key).alias("k")) <= F.col(name))).drop(name)
+    return found.where("_near_able or _far_able").drop("_near_able", "_far_able")
 
 
 def representative(df: DataFrame, key: str, text: str, topic: str = "topic", most: int = 3) -> DataFrame:
     """``topic, key, cosine, nearest, farthest``: documents by the cosine of their terms' counts with the topic's weights, the
     ``most`` nearest and farthest of each topic with their ranks, null for the other kind; ties go to the smaller key. Documents without terms count 0.
 
-    Terms are counted a text first and then shuffled once, by term, where they meet with all that decides their weights; what comes back is a sum a
-    document and task."""
-    words = df.select(topic, key, words_of(F.col(text)).alias("_words"))
-    sizes, drop_sizes = derived.stored(words.groupBy(topic).agg(F.sum(F.greatest(2 * F.size("_words") - 1, F.lit(0))).alias("_size")).where("_size > 0"), "sizes")  # a row a topic
-    mean = sizes.agg(F.avg("_size")).first()[0] or 1.0
-    kind = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (topic, key))
-    counts = words.mapInArrow(_counted, f"{kind}, term string, c long").repartition("term").groupBy("term", topic, key).agg(F.sum("c").alias("c"))
-    of = lambda *by: F.sum("c").over(Window.partitionBy(*by))
-    weighed = counts.select(topic, key, "term", "c", of("term", topic).alias("_n"), of("term").alias("_all")).join(F.broadcast(sizes), topic)
-    weighed = weighed.withColumn("weight", _weight(F.col("_n"), F.col("_size"), F.lit(mean), F.col("_all")))
-    # of the square of a weight each document with the term brings its share
-    dots = weighed.groupBy(topic, key).agg(F.sum(F.col("c") * F.col("weight")).alias("dot"), F.sum(F.col("c") * F.col("c")).alias("own"), F.sum(F.col("weight") * F.col("weight") * F.col("c") / F.col("_n")).alias("share"))
-    dots, _ = derived.stored(dots, "dots")  # a row a document
-    norms = dots.groupBy(topic).agg(F.sqrt(F.sum("share")).alias("norm"))
-    derived.delete(df.sparkSession, drop_sizes)
-    rows = df.select(topic, key).distinct().join(dots, [topic, key], "left").join(F.broadcast(norms), topic, "left")
-    rows = rows.withColumn("cosine", F.round(F.coalesce(F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.col("norm")), F.lit(0.0)), 9))
+    The result is that of weighing every term of every document, but most documents are only bounded: the heaviest terms are few and known to every task, and
+    a document's other terms weigh between the lightest and the heaviest of the rest. Only those that can be among the nearest or farthest meet all weights. Terms are hashes of
+    words that are checked to differ, counted a batch before they are shuffled."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+    try:
+        found = _cosines(df, key, text, topic, most)
+    finally:
+        spark.conf.set(name, before)
     by = lambda *o: F.row_number().over(Window.partitionBy(topic).orderBy(*o))
-    near, far = (rows.select(topic, key, "cosine", by(o, key).alias("r")).where(F.col("r") <= most) for o in (F.col("cosine").desc(), F.col("cosine").asc()))
-    return near.withColumnRenamed("r", "nearest").join(far.withColumnRenamed("r", "farthest"), [topic, key, "cosine"], "full")
+    ranked = found.select(topic, key, "cosine", by(F.col("cosine").desc(), key).alias("nearest"), by("cosine", key).alias("farthest")).where((F.col("nearest") <= most) | (F.col("farthest") <= most))
+    return ranked.select(topic, key, "cosine", *[F.when(F.col(c) <= most, F.col(c)).alias(c) for c in ("nearest", "farthest")])
+
+
+def _cosines(df: DataFrame, key: str, text: str, topic: str, most: int) -> DataFrame:
+    """``topic, key, cosine`` of the documents that can be among the ``most`` nearest or farthest, stored."""
+    spark, kinds = df.sparkSession, {c: f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (topic, key)}
+    both, coded = ", ".join(kinds.values()), lambda d: d.select(topic, key, words_of(F.col(text)).alias("_words"))
+    rows = coded(df)
+    terms, drop_terms, seed = _repeated_terms(rows, topic, kinds[topic])
+    weighed, topics = _levels(terms, topic, df.schema[topic])
+    topics = F.broadcast(topics)
+    heavy = [tuple(r) for r in weighed.join(topics, topic).where("_level >= _cut").select(topic, "_a", "_b", "_weight").collect()]  # HEAVY rows at most
+    bounds = rows.mapInArrow(_document_bounds(seed, HASH_BYTES, heavy), f"{both}, _heavy double, _light long, _terms long, _squares double")
+    # the texts of a document have a norm together that is between that of terms apart and that of the same terms
+    bounds = bounds.groupBy(topic, key).agg(*[F.sum(c).alias(c) for c in ("_heavy", "_light", "_terms")], F.sqrt(F.sum("_squares")).alias("_least"), F.sum(F.sqrt("_squares")).alias("_most")).join(topics, topic, "left")
+    bound = lambda x, own: F.round(F.when((F.col("_least") > 0) & F.col(key).isNotNull(), x / (F.col(own) * F.col("_norm"))).otherwise(0.0), 9)
+    error = (F.col("_terms") + 10) * 1e-15  # sums in another order differ by less
+    low, high = (bound((F.col("_heavy") + F.col("_light") * F.col(f"_light_{x}")) * near, own) for x, near, own in (("least", 1 - error, "_most"), ("most", 1 + error, "_least")))
+    bounds, drop_bounds = derived.stored(bounds.select(topic, key, "_terms", F.coalesce(low, F.lit(0.0)).alias("_low"), F.coalesce(high, F.lit(0.0)).alias("_high")), "bounds")  # a row a document
+    able, drop_able = derived.stored(_able(bounds, key, topic, most), "able")
+    many, size = able.agg(F.count(F.lit(1)), F.coalesce(F.sum("_terms"), F.lit(0))).first()
+    few = lambda d, n, limit: F.broadcast(d) if n <= limit else d
+    own = coded(df.join(few(able.select(topic, key), many, SIEVED), [topic, key], "left_semi")).mapInArrow(_document_counts(seed, HASH_BYTES), f"{both}, _a long, _b long, _c long")
+    own, drop_own = derived.stored(own.groupBy(topic, key, "_a", "_b").agg(F.sum("_c").alias("_c")), "able-terms")
+    met = weighed.join(few(own, size, FEW), [topic, "_a", "_b"]).groupBy(topic, key).agg(F.sum(F.col("_c") * F.col("_weight")).alias("_dot"), F.sum("_c").alias("_met"))
+    whole = own.groupBy(topic, key).agg(F.sum("_c").alias("_size"), F.sum(F.col("_c") * F.col("_c")).alias("_own"))
+    dots = whole.join(met, [topic, key], "left").join(topics, topic)
+    # a term that was not met stands once
+    dot = F.coalesce("_dot", F.lit(0.0)) + (F.col("_size") - F.coalesce("_met", F.lit(0))) * F.col("_once")
+    dots = dots.select(topic, key, (dot / (F.sqrt(F.col("_own").cast("double")) * F.col("_norm"))).alias("_x"))
+    found, _ = derived.stored(able.select(topic, key).join(dots, [topic, key], "left").select(topic, key, F.round(F.coalesce("_x", F.lit(0.0)), 9).alias("cosine")), "cosines")
+    for path in (drop_terms, drop_bounds, drop_able, drop_own):
+        derived.delete(spark, path)
+    return found
 
 
 def _windows(sets: dict[int, list[str]], width: int, rows: int = 4096):

@@ -176,6 +176,53 @@ def test_representatives_of_texts_that_share_a_key(spark):
     assert got[1] == pytest.approx(one, abs=1e-8) and got[3] == 0 and got[4] == pytest.approx(1)
 
 
+@pytest.mark.parametrize(("heavy", "width"), [(65_536, 8), (12, 1), (0, 8)])
+def test_representatives_are_those_of_all_weights(spark, monkeypatch, heavy, width):
+    """Whatever terms are heavy and however often hashes meet; texts share keys, topics are null and cosines tie."""
+    monkeypatch.setattr(clustering, "HEAVY", heavy)
+    monkeypatch.setattr(clustering, "HASH_BYTES", width)
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(14)]
+    rows = [(r.choice(("x", "y", None)), r.randrange(90), " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(14)], k=r.choice((0, 1, 2, 9, 40))))) for _ in range(120)]
+    rows += [(t, k + 100, text) for t, k, text in rows[:20]] + [("z", 1, None), ("z", None, "w1 w2"), ("x", 500, "once"), ("y", 501, "w1 alone")]
+    documents, counts = {}, {}
+    for topic, k, text in rows:
+        words = (text or "").split()
+        own = documents.setdefault((topic, k), {})
+        for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
+            for c in (own, counts.setdefault(topic, {})):
+                c[term] = c.get(term, 0) + 1
+    mean = sum(sum(c.values()) for c in counts.values()) / len(counts)
+    weights = {topic: {t: n / sum(c.values()) * np.log(1 + mean / sum(o.get(t, 0) for o in counts.values())) for t, n in c.items()} for topic, c in counts.items()}
+    length = lambda x: sum(v * v for v in x) ** 0.5
+    cosines = {(topic, k): round(sum(c * weights[topic][t] for t, c in own.items()) / (length(own.values()) * length(weights[topic].values())), 9) if own and topic and k is not None else 0.0 for (topic, k), own in documents.items()}
+    want = {}
+    for topic in {t for t, _ in documents}:
+        of = [(x, k) for (t, k), x in cosines.items() if t == topic]
+        low = lambda x: (x[1] is not None, x[1] or 0)
+        for name, order in (("nearest", lambda x: (-x[0], low(x))), ("farthest", lambda x: (x[0], low(x)))):
+            for i, (x, k) in enumerate(sorted(of, key=order)[:3], 1):
+                want.setdefault((topic, k, x), {})[name] = i
+    df = spark.createDataFrame(rows, "topic string, k long, t string").repartition(3)
+    got = {(x.topic, x.k, x.cosine): {n: x[n] for n in ("nearest", "farthest") if x[n]} for x in clustering.representative(df, "k", "t").collect()}
+    assert got == want
+
+
+def test_representatives_shuffle_no_row_a_document_and_term(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    same = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(i % 2, i, f"{same} w{i}") for i in range(500)], "topic int, k long, t string").repartition(2).localCheckpoint()
+    before = written()
+    assert len(clustering.representative(df, "k", "t").collect()) == 12
+    assert written() - before < 500 * 401 / 10
+
+
 def test_a_long_claim_is_encoded_about_twice(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     real, seen = tokens._tokenizer(path), []
