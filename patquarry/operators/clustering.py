@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Sequence
-from hashlib import blake2b
 from itertools import count
 from math import log, sqrt
 
@@ -200,11 +199,11 @@ def _parsed(words, seed: int, width: int):  # noqa: ANN001, ANN202
     A hash is of ``width`` bytes and never 0."""
     import numpy as np
     import pyarrow.compute as pc
+    from pandas.util import hash_array
 
     flat = words.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
-    salt = seed.to_bytes(8, "little")
-    hashes = np.frombuffer(b"".join(blake2b(w.encode(), digest_size=width, salt=salt).digest().ljust(8, b"\0") for w in flat.dictionary.to_pylist()), "<i8")
+    hashes = hash_array(flat.dictionary.to_numpy(zero_copy_only=False), hash_key=f"{seed:016}", categorize=False).view(np.int64) & ((1 << 8 * width) - 1 if width < 8 else -1)
     return row, flat.indices.to_numpy().astype(np.int64), np.flatnonzero(row[:-1] == row[1:]), flat.dictionary, np.where(hashes == 0, 1, hashes)
 
 
@@ -310,19 +309,31 @@ def _document_bounds(seed: int, width: int, heavy: list[tuple]):
 HEAVY = 65_536
 #: So many terms of the texts that are left are sent to the tasks at most; with more of them both sides are shuffled.
 FEW = 500_000
+#: Up to so many topics have a column each where pairs are counted.
+NARROW = 8
 #: Bytes of a batch of texts in a Python worker, and of the hash of a word.
 BATCH_BYTES, HASH_BYTES = 8 << 20, 8
 
 
-def _repeated_terms(rows: DataFrame, topic: str, kind: str) -> tuple[DataFrame, str, int]:
-    """``topic, _a, _b, _n, _all``: terms that stand more than once, as hashes, how often in a topic and in all; where that is stored; and the seed of the hashes.
+def _repeated_terms(rows: DataFrame, topic: str, kind: str, sizes: dict) -> tuple[DataFrame, str, int]:
+    """``topic, _a, _b, _n, _all``: words, and pairs that stand more than once, as hashes, how often in a topic and in all; where that is stored; and the seed of the hashes.
 
-    Different words have different hashes: that is looked up, and with another seed they are counted again. Hashes of 0 have the topics' sizes."""
+    Different words have different hashes: that is looked up, and with another seed they are counted again. Hashes of 0 have the topics' sizes.
+    ``sizes``: the bytes of each topic's texts; a task gets the terms of ``BATCH_BYTES`` of them, or fewer if Spark's own number of partitions is larger."""
+    parted = sum(sizes.values()) // BATCH_BYTES
+    deal = [parted] if parted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     for seed in count():
-        parts = rows.select(topic, "_words").mapInArrow(_batch_counts(seed, HASH_BYTES), f"{kind}, _word string, _a long, _b long, _n long")
-        counts = parts.repartition("_a", "_b").groupBy("_a", "_b", "_word", topic).agg(F.sum("_n").alias("_n"))
-        counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy("_a", "_b")))
-        terms, path = derived.stored(counts.where("_all > 1 or _a = 0"), "terms")
+        parts = rows.select(topic, "_words").mapInArrow(_batch_counts(seed, HASH_BYTES), f"{kind}, _word string, _a long, _b long, _n long").repartition(*deal, "_a", "_b")
+        if 0 < len(sizes) <= NARROW:
+            columns = [(f"_n{i}", t) for i, t in enumerate(sizes)]
+            counts = parts.groupBy("_a", "_b", "_word").agg(*[F.sum(F.when(F.col(topic).eqNullSafe(F.lit(t)), F.col("_n")).otherwise(0)).alias(c) for c, t in columns])
+            each = F.array(*[F.when(F.col(c) > 0, F.struct(F.lit(t).cast(rows.schema[topic].dataType).alias(topic), F.col(c).alias("_n"))) for c, t in columns])
+            counts = counts.withColumn("_all", sum((F.col(c) for c, _ in columns), F.lit(0).cast("long")))
+            kept = counts.where("_all > 1 or _b = 0").select("_a", "_b", "_word", "_all", F.inline(F.array_compact(each)))
+        else:
+            counts = parts.groupBy("_a", "_b", "_word", topic).agg(F.sum("_n").alias("_n"))
+            kept = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy("_a", "_b", "_word"))).where("_all > 1 or _b = 0")
+        terms, path = derived.stored(kept, "terms")
         if terms.where("_word is not null").select("_a", "_word").distinct().groupBy("_a").count().where("count > 1").isEmpty():
             return terms.drop("_word"), path, seed
         derived.delete(rows.sparkSession, path)
@@ -391,7 +402,8 @@ def _cosines(df: DataFrame, key: str, text: str, topic: str, most: int) -> DataF
     spark, kinds = df.sparkSession, {c: f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (topic, key)}
     both, coded = ", ".join(kinds.values()), lambda d: d.select(topic, key, words_of(F.col(text)).alias("_words"))
     rows = coded(df)
-    terms, drop_terms, seed = _repeated_terms(rows, topic, kinds[topic])
+    sizes = {r[0]: r[1] or 0 for r in df.groupBy(topic).agg(F.sum(F.octet_length(text))).collect()}  # a row a topic
+    terms, drop_terms, seed = _repeated_terms(rows, topic, kinds[topic], sizes)
     weighed, topics = _levels(terms, topic, df.schema[topic])
     topics = F.broadcast(topics)
     heavy = [tuple(r) for r in weighed.join(topics, topic).where("_level >= _cut").select(topic, "_a", "_b", "_weight").collect()]  # HEAVY rows at most

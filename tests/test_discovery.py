@@ -176,11 +176,12 @@ def test_representatives_of_texts_that_share_a_key(spark):
     assert got[1] == pytest.approx(one, abs=1e-8) and got[3] == 0 and got[4] == pytest.approx(1)
 
 
-@pytest.mark.parametrize(("heavy", "width"), [(65_536, 8), (12, 1), (0, 8)])
-def test_representatives_are_those_of_all_weights(spark, monkeypatch, heavy, width):
+@pytest.mark.parametrize(("heavy", "width", "narrow"), [(65_536, 8, 8), (12, 1, 8), (0, 8, 2)])
+def test_representatives_are_those_of_all_weights(spark, monkeypatch, heavy, width, narrow):
     """Whatever terms are heavy and however often hashes meet; texts share keys, topics are null and cosines tie."""
     monkeypatch.setattr(clustering, "HEAVY", heavy)
     monkeypatch.setattr(clustering, "HASH_BYTES", width)
+    monkeypatch.setattr(clustering, "NARROW", narrow)
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(14)]
     rows = [(r.choice(("x", "y", None)), r.randrange(90), " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(14)], k=r.choice((0, 1, 2, 9, 40))))) for _ in range(120)]
@@ -208,6 +209,10 @@ def test_representatives_are_those_of_all_weights(spark, monkeypatch, heavy, wid
     assert got == want
 
 
+def test_no_texts_have_no_representatives(spark):
+    assert clustering.representative(spark.createDataFrame([], "topic int, k long, t string"), "k", "t").collect() == []
+
+
 def test_representatives_shuffle_no_row_a_document_and_term(spark):
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
 
