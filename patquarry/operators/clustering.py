@@ -193,17 +193,23 @@ def keywords(df: DataFrame, text: str, topic: str = "topic", most: int = 10, sto
     return found.select(F.col("topic").alias(topic), "rank", "term", "weight")
 
 
+def _hashes(words, seed: str):  # noqa: ANN001, ANN202
+    """Hashes of 8 bytes of different words."""
+    from pandas.util import hash_array
+
+    return hash_array(words.to_numpy(zero_copy_only=False), hash_key=f"{seed:>16}", categorize=False).view("int64")
+
+
 def _parsed(words, seed: int, width: int):  # noqa: ANN001, ANN202
     """Of the words of a batch of texts each one's row and place in the list of different words, where a pair begins, that list, and its hashes.
 
     A hash is of ``width`` bytes and never 0."""
     import numpy as np
     import pyarrow.compute as pc
-    from pandas.util import hash_array
 
     flat = words.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
-    hashes = hash_array(flat.dictionary.to_numpy(zero_copy_only=False), hash_key=f"{seed:016}", categorize=False).view(np.int64) & ((1 << 8 * width) - 1 if width < 8 else -1)
+    hashes = _hashes(flat.dictionary, f"{seed}") & ((1 << 8 * width) - 1 if width < 8 else -1)
     return row, flat.indices.to_numpy().astype(np.int64), np.flatnonzero(row[:-1] == row[1:]), flat.dictionary, np.where(hashes == 0, 1, hashes)
 
 
@@ -217,8 +223,8 @@ def _sliced(columns, names: list[str], rows: int = 200_000):  # noqa: ANN001, AN
 
 
 def _batch_counts(seed: int, width: int):
-    """Rows ``topic, _word, _a, _b, _n`` of rows ``topic, words``: how often a batch's texts have a word, of hash ``_a``, or a pair, of hashes ``_a`` and ``_b``, in a
-    topic. ``_b`` is 0 for a word, which is given itself too; both are 0 for the number of all of them."""
+    """Rows ``topic, _a, _b, _n, _check`` of rows ``topic, words``: how often a batch's texts have a word, of hash ``_a``, or a pair, of hashes ``_a`` and ``_b``, in a
+    topic. ``_b`` is 0 for a word, of which ``_check`` is another hash; both are 0 for the number of all of them."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import numpy as np
@@ -230,15 +236,15 @@ def _batch_counts(seed: int, width: int):
             topics = batch.column(0).dictionary_encode()
             names = pa.concat_arrays([topics.dictionary, pa.nulls(1, topics.dictionary.type)])
             t = pc.fill_null(topics.indices, len(names) - 1).to_numpy().astype(np.int64)[row]
-            u, none = max(1, len(words)), lambda n: pa.nulls(n, words.type)
-            of = lambda at, word, a, b, n: _sliced([names.take(pa.array(at)), word, *(pa.array(x.astype(np.int64)) for x in (a, b, n))], [batch.schema.names[0], "_word", "_a", "_b", "_n"])  # noqa: E731, B023
+            u, zero = max(1, len(words)), lambda x: np.zeros(len(x))
+            of = lambda at, *more: _sliced([names.take(pa.array(at)), *(pa.array(x.astype(np.int64)) for x in more)], [batch.schema.names[0], "_a", "_b", "_n", "_check"])  # noqa: E731, B023
             size = np.bincount(t, minlength=len(names)) + np.bincount(t[first], minlength=len(names))
             at = np.flatnonzero(size)
-            yield from of(at, none(len(at)), np.zeros(len(at)), np.zeros(len(at)), size[at])
+            yield from of(at, zero(at), zero(at), size[at], zero(at))
             terms, n = np.unique(t * u + ids, return_counts=True)
-            yield from of(terms // u, words.take(pa.array(terms % u)), hashes[terms % u], np.zeros(len(terms)), n)
+            yield from of(terms // u, hashes[terms % u], zero(terms), n, _hashes(words, f"check {seed}")[terms % u])
             terms, n = np.unique((t[first] * u + ids[first]) * u + ids[first + 1], return_counts=True)
-            yield from of(terms // u // u, none(len(terms)), hashes[terms // u % u], hashes[terms % u], n)
+            yield from of(terms // u // u, hashes[terms // u % u], hashes[terms % u], n, zero(terms))
 
     return run
 
@@ -313,29 +319,33 @@ FEW = 500_000
 NARROW = 8
 #: Bytes of a batch of texts in a Python worker, and of the hash of a word.
 BATCH_BYTES, HASH_BYTES = 8 << 20, 8
+#: Bytes of texts whose terms are counted by one task.
+DEALT = 16 << 20
 
 
 def _repeated_terms(rows: DataFrame, topic: str, kind: str, sizes: dict) -> tuple[DataFrame, str, int]:
-    """``topic, _a, _b, _n, _all``: words, and pairs that stand more than once, as hashes, how often in a topic and in all; where that is stored; and the seed of the hashes.
+    """``topic, _a, _b, _n, _all``: terms that stand more than once, as hashes, how often in a topic and in all; where that is stored; and the seed of the hashes.
 
-    Different words have different hashes: that is looked up, and with another seed they are counted again. Hashes of 0 have the topics' sizes.
-    ``sizes``: the bytes of each topic's texts; a task gets the terms of ``BATCH_BYTES`` of them, or fewer if Spark's own number of partitions is larger."""
-    parted = sum(sizes.values()) // BATCH_BYTES
+    Where words of one hash differ in another one, all are counted again with another seed. Hashes of 0 have the topics' sizes.
+    ``sizes``: the bytes of each topic's texts; a task gets the terms of ``DEALT`` of them, or fewer if Spark's own number of partitions is larger."""
+    parted, by = sum(sizes.values()) // DEALT, ["_a", "_b"]
     deal = [parted] if parted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    checks = [F.min("_check").alias("_low"), F.max("_check").alias("_high")]
     for seed in count():
-        parts = rows.select(topic, "_words").mapInArrow(_batch_counts(seed, HASH_BYTES), f"{kind}, _word string, _a long, _b long, _n long").repartition(*deal, "_a", "_b")
+        parts = rows.select(topic, "_words").mapInArrow(_batch_counts(seed, HASH_BYTES), f"{kind}, _a long, _b long, _n long, _check long").repartition(*deal, *by)
         if 0 < len(sizes) <= NARROW:
             columns = [(f"_n{i}", t) for i, t in enumerate(sizes)]
-            counts = parts.groupBy("_a", "_b", "_word").agg(*[F.sum(F.when(F.col(topic).eqNullSafe(F.lit(t)), F.col("_n")).otherwise(0)).alias(c) for c, t in columns])
+            counts = parts.groupBy(*by).agg(*checks, *[F.sum(F.when(F.col(topic).eqNullSafe(F.lit(t)), F.col("_n")).otherwise(0)).alias(c) for c, t in columns])
             each = F.array(*[F.when(F.col(c) > 0, F.struct(F.lit(t).cast(rows.schema[topic].dataType).alias(topic), F.col(c).alias("_n"))) for c, t in columns])
             counts = counts.withColumn("_all", sum((F.col(c) for c, _ in columns), F.lit(0).cast("long")))
-            kept = counts.where("_all > 1 or _b = 0").select("_a", "_b", "_word", "_all", F.inline(F.array_compact(each)))
+            kept = counts.where("_all > 1 or _a = 0").select(*by, "_all", (F.col("_low") != F.col("_high")).alias("_met"), F.inline(F.array_compact(each)))
         else:
-            counts = parts.groupBy("_a", "_b", "_word", topic).agg(F.sum("_n").alias("_n"))
-            kept = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy("_a", "_b", "_word"))).where("_all > 1 or _b = 0")
+            counts, over = parts.groupBy(*by, topic).agg(*checks, F.sum("_n").alias("_n")), Window.partitionBy(*by)
+            counts = counts.withColumns({"_all": F.sum("_n").over(over), "_met": F.min("_low").over(over) != F.max("_high").over(over)}).drop("_low", "_high")
+            kept = counts.where("_all > 1 or _a = 0")
         terms, path = derived.stored(kept, "terms")
-        if terms.where("_word is not null").select("_a", "_word").distinct().groupBy("_a").count().where("count > 1").isEmpty():
-            return terms.drop("_word"), path, seed
+        if terms.where("_met").isEmpty():
+            return terms.drop("_met"), path, seed
         derived.delete(rows.sparkSession, path)
 
 
